@@ -1 +1,47 @@
-"""Queries registered by this module."""
+"""Column-role and expectation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlake.operators import checks as P
+from spanlake.plans.registry import register
+from spanlake.plans.sqlparts import QA
+from spanlake.sources import fixtures as FX
+from spanlake.sources.tables import table
+
+ROLES_SQL = f"""
+with {QA}
+select id::bigint as id, question, context, answer_text from qa
+"""
+
+
+@register("column_roles", ROLES_SQL)
+def column_roles(spark, sf):
+    qa = FX.qa_examples(spark, sf)
+    # Non-standard names: the roles fall back to positions 0, 1, 2.
+    odd = qa.select(F.col("question").alias("q_text"), F.col("context").alias("passage"),
+                    F.col("answers").alias("labels"), "id")
+    out = P.select_roles(odd, keep=("id",))
+    return out.select(F.col("id").cast("bigint").alias("id"), "question", "context",
+                      F.get("answers.text", 0).alias("answer_text"))
+
+
+EXPECT_SQL = """
+with f as (select vec_id as feature_id from embeddings),
+l as (select vec_id as feature_id from embeddings)
+select (select count(*) from f)::bigint as n_features,
+       (select count(*) from l)::bigint as n_logits,
+       (select count(*) from f where feature_id not in (select feature_id from l))::bigint as features_without_logits,
+       (select count(*) from l where feature_id not in (select feature_id from f))::bigint as logits_without_features,
+       (select count(*) from f) = (select count(*) from l) as counts_match,
+       (select count(*) from documents where doc_id % 5 = 0) > 0 as has_validation,
+       least(200, 512)::bigint as max_seq_length
+"""
+
+
+@register("row_expectations", EXPECT_SQL)
+def row_expectations(spark, sf):
+    feats = FX.eval_features(spark, sf)
+    logits = table(spark, sf, "embeddings").select(F.col("vec_id").alias("feature_id"))
+    return P.row_expectations(feats, logits, FX.qa_examples(spark, sf), 200, 512)

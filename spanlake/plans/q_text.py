@@ -1 +1,96 @@
-"""Queries registered by this module."""
+"""Text cleaning queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlake.functions.text import clean_qa, sql_clean_corpus, sql_clean_qa, sql_squad_normalize, squad_normalize
+from spanlake.operators import cleaning as C
+from spanlake.plans.registry import register
+from spanlake.plans.sqlparts import QA, TITLE
+from spanlake.sources import fixtures as FX
+from spanlake.sources.tables import table
+
+CLEAN_TEXT_SQL = f"select doc_id::bigint as doc_id, {sql_clean_qa('text')} as text from documents"
+
+
+@register("clean_text", CLEAN_TEXT_SQL)
+def clean_text(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_qa("text").alias("text"))
+
+
+def raw_corpus(spark, sf):
+    """The reference's raw corpus shape, from the documents table."""
+    d = table(spark, sf, "documents")
+    s = F.lit(None).cast("string")
+    return d.select(F.col("doc_id").cast("string").alias("doc_key"), "text",
+                    F.regexp_extract("text", FX.TITLE_PATTERN, 1).alias("title"),
+                    F.col("source").alias("corpus_source"), s.alias("url"), F.col("lang").alias("domain"),
+                    s.alias("author"), s.alias("html"), F.col("doc_id").alias("document_id"))
+
+
+CLEAN_CORPUS_SQL = f"""
+select doc_id::varchar as doc_key, {sql_clean_corpus('text')} as text, {TITLE} as title,
+       doc_id::bigint as document_id from documents
+"""
+
+
+@register("clean_corpus", CLEAN_CORPUS_SQL)
+def clean_corpus_q(spark, sf):
+    out = C.clean_corpus_frame(raw_corpus(spark, sf))
+    return out.select("doc_key", "text", "title", F.col("document_id").cast("bigint").alias("document_id"))
+
+
+_CB = sql_clean_qa("substr(context, 1, answer_start)")
+_CA = sql_clean_qa("substr(context, answer_start + 1)")
+SHIFTED = f"""shifted as (select id, split,
+  case when answer_start is null then {sql_clean_qa('context')} else {_CB} || {_CA} end as context,
+  case when answer_start is null then null else length({_CB}) end as answer_start,
+  {sql_clean_qa('answer_text')} as answer_text from qa)"""
+
+SHIFT_SQL = f"""
+with {QA}, {SHIFTED}
+select id::bigint as id, split, context, answer_start::bigint as answer_start, answer_text from shifted
+"""
+
+
+def _shifted(spark, sf):
+    return C.clean_and_shift(FX.qa_examples(spark, sf))
+
+
+@register("clean_qa_shift_answer", SHIFT_SQL)
+def clean_qa_shift_answer(spark, sf):
+    s = _shifted(spark, sf)
+    return s.select(F.col("id").cast("bigint").alias("id"), "split", "context",
+                    C.first_answer_start().cast("bigint").alias("answer_start"),
+                    F.get("answers.text", 0).alias("answer_text"))
+
+
+SPAN_CHECK_SQL = f"""
+with {QA}, {SHIFTED}
+select id::bigint as id, answer_start::bigint as answer_start, answer_text as expected,
+       substr(context, answer_start + 1, length(answer_text)) as found,
+       substr(context, answer_start + 1, length(answer_text)) = answer_text as ok
+from shifted where answer_start is not null
+"""
+
+
+@register("answer_span_check", SPAN_CHECK_SQL)
+def answer_span_check(spark, sf):
+    out = C.answer_span_check(_shifted(spark, sf))
+    return out.select(F.col("id").cast("bigint").alias("id"), F.col("answer_start").cast("bigint").alias("answer_start"),
+                      "expected", "found", "ok")
+
+
+NORMALIZE_SQL = f"""
+with {QA}
+select id::bigint as id, {sql_squad_normalize('answer_text')} as normalized from qa
+"""
+
+
+@register("answer_normalize", NORMALIZE_SQL)
+def answer_normalize(spark, sf):
+    qa = FX.qa_examples(spark, sf)
+    return qa.select(F.col("id").cast("bigint").alias("id"),
+                     squad_normalize(F.get("answers.text", 0)).alias("normalized"))
