@@ -1 +1,256 @@
-"""Queries registered by this module."""
+"""Window-feature queries (W1-W9) over documents (contexts, titles as questions)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlake.functions.text import SEGMENT, WS, sql_str
+from spanlake.operators import windows as Wn
+from spanlake.plans.registry import register
+from spanlake.plans.sqlparts import QA, words_sql
+from spanlake.sources import fixtures as FX
+from spanlake.sources.tables import table
+
+SPEC = Wn.WindowSpec()
+ML, ST = SPEC.max_seq_length, SPEC.doc_stride
+
+
+def _vocab(spark, sf):
+    return Wn.vocabulary_from_text(table(spark, sf, "benchmark"), "text")
+
+
+def _examples(spark, sf):
+    return FX.qa_examples(spark, sf)
+
+
+def _tok_sql(side: str, col: str) -> str:
+    p = side
+    return f"""{p}l as (select id, regexp_extract_all({col}, {sql_str(SEGMENT)}) as segs from qa),
+{p}s as (select id, unnest(segs) as token, generate_subscripts(segs, 1) as pos from {p}l),
+{p}o as (select id, pos, token, coalesce(sum(length(token)) over (partition by id order by pos
+          rows between unbounded preceding and 1 preceding), 0) as start from {p}s),
+{p}t0 as (select id, row_number() over (partition by id order by pos) - 1 as tok_idx, token, start,
+          start + length(token) as "end" from {p}o where not regexp_full_match(token, {sql_str(WS)})),
+{p}t as (select {p}t0.*, coalesce(v.id, 1) as tid from {p}t0 left join vocab v on v.token = lower({p}t0.token))"""
+
+
+BASE_SQL = f"""{QA},
+vterms as (select distinct unnest({words_sql('text')}) as token from benchmark),
+vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
+          union all select token, 3 + row_number() over (order by token) as id from vterms),
+{_tok_sql('q', 'question')},
+{_tok_sql('c', 'context')},
+qagg as (select id, count(*) as qn, sum(tid * (tok_idx + 2)) as qsum from qt group by id),
+cagg as (select id, count(*) as n from ct group by id),
+ex as (select qa.id, qa.split, coalesce(qagg.qn, 0) as qn, coalesce(qagg.qsum, 0) as qsum,
+              coalesce(cagg.n, 0) as n,
+              {ML} - coalesce(qagg.qn, 0) - 3 as cap, {ML} - coalesce(qagg.qn, 0) - 3 - {ST} as step,
+              qa.answer_start as s, qa.answer_start + length(qa.answer_text) as e
+       from qa left join qagg using (id) left join cagg using (id)),
+win as (select *, unnest(range(case when n <= cap then 1 else 1 + ceil((n - cap) / step)::int end)) as w from ex),
+win2 as (select *, w * step as ws, least(w * step + cap, n) as we from win),
+fw as (select win2.id, win2.w, split, qn, qsum, ws, we, s, e,
+              coalesce(sum(ct.tid * (qn + 3 + ct.tok_idx - ws)), 0) as csum0,
+              max(case when ct.tok_idx = ws then ct.start end) as first_start,
+              max(case when ct.tok_idx = we - 1 then ct."end" end) as last_end,
+              count(ct.tok_idx) filter (where ct.start <= s) as k,
+              count(ct.tok_idx) filter (where ct."end" < e) as m,
+              coalesce(sum(ct.start), 0) as sum_start, coalesce(sum(ct."end"), 0) as sum_end
+       from win2 left join ct on ct.id = win2.id and ct.tok_idx >= win2.ws and ct.tok_idx < win2.we
+       group by win2.id, win2.w, split, qn, qsum, ws, we, s, e),
+feat as (select id, w, split, qn, we - ws as cn, qn + (we - ws) + 3 as n_ids,
+                2 + qsum + 3 * (qn + 2) + csum0 + 3 * (qn + 3 + we - ws) as ids_checksum,
+                sum_start, sum_end,
+                case when s is not null and we > ws and first_start <= s and last_end >= e
+                     then qn + 2 + k - 1 else 0 end as start_positions,
+                case when s is not null and we > ws and first_start <= s and last_end >= e
+                     then qn + 2 + m else 0 end as end_positions
+         from fw)"""
+
+
+# ----------------------------------------------------------------------------- W1
+TOKEN_OFFSETS_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, tok_idx::bigint as tok_idx, token, start::bigint as start, "end"::bigint as "end" from ct
+"""
+
+
+@register("token_offsets", TOKEN_OFFSETS_SQL)
+def token_offsets(spark, sf):
+    t = Wn.token_offsets(_examples(spark, sf), "id", "context")
+    return t.select(F.col("id").cast("bigint").alias("id"), F.col("tok_idx").cast("bigint").alias("tok_idx"),
+                    "token", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+def _windows(spark, sf):
+    ex = _examples(spark, sf)
+    return Wn.windows(Wn.encode(ex, _vocab(spark, sf)), SPEC)
+
+
+# ----------------------------------------------------------------------------- W2
+TOKEN_WINDOWS_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", ws::bigint as token_start, we::bigint as token_end,
+       cap::bigint as cap, step::bigint as step from win2
+"""
+
+
+@register("token_windows", TOKEN_WINDOWS_SQL)
+def token_windows(spark, sf):
+    w = _windows(spark, sf)
+    return w.select(*[F.col(c).cast("bigint").alias(a) for c, a in
+                      (("id", "id"), ("window", "window"), ("ws", "token_start"), ("we", "token_end"),
+                       ("cap", "cap"), ("step", "step"))])
+
+
+# ----------------------------------------------------------------------------- W3
+PAIR_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", n_ids::bigint as n_ids, ids_checksum::bigint as ids_checksum,
+       qn::bigint as n_question, cn::bigint as n_context from feat
+"""
+
+
+@register("pair_features", PAIR_SQL)
+def pair_features(spark, sf):
+    f = Wn.pair_features(_windows(spark, sf), Wn.WindowSpec(pad_to_max_length=False), eval_mode=True)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.size("input_ids").cast("bigint").alias("n_ids"),
+                    Wn.checksum("input_ids").alias("ids_checksum"),
+                    F.size("q_ids").cast("bigint").alias("n_question"),
+                    (F.col("we") - F.col("ws")).cast("bigint").alias("n_context"))
+
+
+# ----------------------------------------------------------------------------- W4
+PADDED_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", {ML}::bigint as size, n_ids::bigint as mask_sum,
+       ids_checksum::bigint as ids_checksum from feat
+"""
+
+
+@register("padded_features", PADDED_SQL)
+def padded_features(spark, sf):
+    f = Wn.pair_features(_windows(spark, sf), SPEC, eval_mode=True)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.size("input_ids").cast("bigint").alias("size"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+                    Wn.checksum("input_ids").alias("ids_checksum"))
+
+
+# ----------------------------------------------------------------------------- W5
+BATCH_SQL = f"""
+with {BASE_SQL},
+o as (select id, w, n_ids, row_number() over (order by id, w) - 1 as ord from feat),
+b as (select *, ord // 8 as batch from o)
+select ord::bigint as feature_ordinal, id::bigint as id, w::bigint as "window", batch::bigint as batch,
+       (ceil(max(n_ids) over (partition by batch) / 8) * 8)::bigint as padded_length from b
+"""
+
+
+@register("batch_padding", BATCH_SQL)
+def batch_padding(spark, sf):
+    f = Wn.pair_features(_windows(spark, sf), Wn.WindowSpec(pad_to_max_length=False), eval_mode=True)
+    f = f.select("id", "window", "input_ids", "attention_mask")
+    b = Wn.batch_pad(f, ["id", "window"], 8, 8)
+    return b.select(F.col("feature_ordinal").cast("bigint").alias("feature_ordinal"),
+                    F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.col("batch").cast("bigint").alias("batch"),
+                    F.col("padded_length").cast("bigint").alias("padded_length"))
+
+
+# ----------------------------------------------------------------------------- W6
+MASKED_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", ({ML} - cn)::bigint as n_null_offsets,
+       sum_start::bigint as sum_start, sum_end::bigint as sum_end from feat
+"""
+
+
+@register("masked_offsets", MASKED_SQL)
+def masked_offsets(spark, sf):
+    f = Wn.pair_features(_windows(spark, sf), SPEC, eval_mode=True)
+    offs = F.filter("offset_mapping", lambda o: o.isNotNull())
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    (F.size("offset_mapping") - F.size(offs)).cast("bigint").alias("n_null_offsets"),
+                    F.aggregate(offs, F.lit(0).cast("bigint"), lambda a, o: a + o["start"]).alias("sum_start"),
+                    F.aggregate(offs, F.lit(0).cast("bigint"), lambda a, o: a + o["end"]).alias("sum_end"))
+
+
+# ----------------------------------------------------------------------------- W7
+LABELS_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", start_positions::bigint as start_positions,
+       end_positions::bigint as end_positions from feat
+"""
+
+
+def _labelled(spark, sf):
+    ex = _examples(spark, sf)
+    enc = Wn.encode(ex, _vocab(spark, sf)).join(ex.select("id", "answers"), "id")
+    return Wn.span_labels(Wn.pair_features(Wn.windows(enc, SPEC), SPEC, eval_mode=False))
+
+
+@register("span_labels", LABELS_SQL)
+def span_labels(spark, sf):
+    f = _labelled(spark, sf)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.col("start_positions").cast("bigint").alias("start_positions"),
+                    F.col("end_positions").cast("bigint").alias("end_positions"))
+
+
+# ----------------------------------------------------------------------------- W8
+TRAIN_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", ids_checksum::bigint as ids_checksum, n_ids::bigint as mask_sum,
+       start_positions::bigint as start_positions, end_positions::bigint as end_positions
+from feat where split = 'train'
+"""
+
+
+@register("train_features", TRAIN_SQL)
+def train_features(spark, sf):
+    ex = _examples(spark, sf).where(F.col("split") == "train")
+    f = Wn.train_features(ex, _vocab(spark, sf), SPEC)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    Wn.checksum("input_ids").alias("ids_checksum"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+                    F.col("start_positions").cast("bigint").alias("start_positions"),
+                    F.col("end_positions").cast("bigint").alias("end_positions"))
+
+
+EVAL_SQL = f"""
+with {BASE_SQL}
+select id::bigint as example_id, w::bigint as "window", ids_checksum::bigint as ids_checksum,
+       ({ML} - cn)::bigint as n_null_offsets, (cn + 1)::bigint as n_type_one
+from feat where split = 'validation'
+"""
+
+
+@register("eval_features", EVAL_SQL)
+def eval_features(spark, sf):
+    ex = _examples(spark, sf).where(F.col("split") == "validation")
+    f = Wn.eval_features(ex, _vocab(spark, sf), SPEC)
+    return f.select(F.col("example_id").cast("bigint").alias("example_id"),
+                    F.col("window").cast("bigint").alias("window"),
+                    Wn.checksum("input_ids").alias("ids_checksum"),
+                    F.size(F.filter("offset_mapping", lambda o: o.isNull())).cast("bigint").alias("n_null_offsets"),
+                    F.aggregate("token_type_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_type_one"))
+
+
+# ----------------------------------------------------------------------------- W9
+VOCAB_SQL = f"""
+with vterms as (select distinct unnest({words_sql('text')}) as token from benchmark),
+vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
+          union all select token, 3 + row_number() over (order by token) as id from vterms),
+sym as (select '[UNK' || i || ']' as token, i as ord from range(1, 100) t(i)
+        union all select '[unused' || i || ']', i - 500 + 1000 from range(500, 700) t(i)),
+new as (select * from sym where token not in (select token from vocab))
+select token, ((select max(id) from vocab) + row_number() over (order by ord))::bigint as id from new
+"""
+
+
+@register("vocab_extend", VOCAB_SQL)
+def vocab_extend(spark, sf):
+    v = _vocab(spark, sf)
+    return Wn.extend_vocabulary(v, Wn.added_symbols(spark))
