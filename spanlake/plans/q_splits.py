@@ -1 +1,130 @@
-"""Queries registered by this module."""
+"""Split, fold, sampling and parameter-grid queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlake.operators import grid as G
+from spanlake.operators import splits as K
+from spanlake.plans.registry import register
+from spanlake.plans.sqlparts import QA
+from spanlake.sources import fixtures as FX
+from spanlake.sources.tables import table
+
+SEED, NFOLD = 10, 5
+
+
+def _qa(spark, sf):
+    return FX.qa_examples(spark, sf)
+
+
+UNION_SQL = f"""
+with {QA}
+select id::bigint as id, split from qa where split = 'train'
+union all select id::bigint, split from qa where split = 'validation'
+"""
+
+
+@register("union_splits", UNION_SQL)
+def union_splits(spark, sf):
+    qa = _qa(spark, sf)
+    u = K.union_splits(qa.where(F.col("split") == "train"), qa.where(F.col("split") == "validation"))
+    return u.select(F.col("id").cast("bigint").alias("id"), "split")
+
+
+FOLDS_SQL = f"""
+with {QA}
+select id::bigint as id, (ntile({NFOLD}) over (order by md5('{SEED}:' || id::varchar), id) - 1)::bigint as fold from qa
+"""
+
+
+def _folded(spark, sf):
+    return K.assign_folds(_qa(spark, sf).select("id", "split"), NFOLD, SEED)
+
+
+@register("kfold_assign", FOLDS_SQL)
+def kfold_assign(spark, sf):
+    return _folded(spark, sf).select(F.col("id").cast("bigint").alias("id"), F.col("fold").cast("bigint").alias("fold"))
+
+
+PARTS_SQL = f"""
+with {QA},
+f as (select id, ntile({NFOLD}) over (order by md5('{SEED}:' || id::varchar), id) - 1 as fold from qa)
+select id::bigint as id, i::bigint as split_index, case when fold = i then 'validation' else 'train' end as part
+from f, range({NFOLD}) r(i)
+"""
+
+
+@register("kfold_parts", PARTS_SQL)
+def kfold_parts(spark, sf):
+    p = K.fold_parts(_folded(spark, sf), NFOLD)
+    return p.select(F.col("id").cast("bigint").alias("id"), F.col("split_index").cast("bigint").alias("split_index"),
+                    "part")
+
+
+SAMPLE_SQL = f"""
+with {QA}
+select id::bigint as id from qa where substr(md5('42:' || id::varchar), 1, 4) < '{int(0.1 * 65536):04x}'
+"""
+
+
+@register("seeded_sample", SAMPLE_SQL)
+def seeded_sample(spark, sf):
+    return K.seeded_sample(_qa(spark, sf), 0.1, 42).select(F.col("id").cast("bigint").alias("id"))
+
+
+# ----------------------------------------------------------------------------- grid
+def _sql_lit(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"{v!r}::double"
+    return str(v)
+
+
+def _decode_sql(id_expr: str) -> str:
+    names = list(G.SWEEP_GRID)
+    stride, strides = 1, {}
+    for name in reversed(names):
+        strides[name] = stride
+        stride *= len(G.SWEEP_GRID[name])
+    cols = []
+    for name in names:
+        vals = ", ".join(_sql_lit(v) for v in G.SWEEP_GRID[name])
+        cols.append(f"[{vals}][(({id_expr}) // {strides[name]}) % {len(G.SWEEP_GRID[name])} + 1] as {name}")
+    return ", ".join(cols)
+
+
+GRID_N = G.grid_size()
+PARAM_GRID_SQL = f"""
+select event_id::bigint as event_id, (event_id % {GRID_N})::bigint as setting_id,
+       {_decode_sql(f'event_id % {GRID_N}')} from events
+"""
+
+
+def _results(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", "event_type", (F.col("event_id") % GRID_N).alias("setting_id"),
+                     F.col("value").alias("metric"))
+
+
+@register("param_grid", PARAM_GRID_SQL)
+def param_grid(spark, sf):
+    r = _results(spark, sf).select(F.col("event_id").cast("bigint").alias("event_id"),
+                                   F.col("setting_id").cast("bigint").alias("setting_id"))
+    return G.decode_settings(r)
+
+
+BEST_SETTING_SQL = f"""
+with r as (select event_type as run, event_id % {GRID_N} as setting_id, value as metric from events),
+b as (select * from (select *, row_number() over (partition by run order by metric desc, setting_id) as k from r)
+      where k = 1)
+select run, setting_id::bigint as setting_id, metric, {_decode_sql('setting_id')} from b
+"""
+
+
+@register("best_setting", BEST_SETTING_SQL)
+def best_setting(spark, sf):
+    b = G.best_setting(_results(spark, sf), "metric", group="event_type", maximize=True)
+    b = b.select(F.col("event_type").alias("run"), F.col("setting_id").cast("bigint").alias("setting_id"), "metric")
+    return G.decode_settings(b)
