@@ -1 +1,88 @@
-"""Queries registered by this module."""
+"""Round trips through the sinks and sources.
+
+Each query writes to a fresh folder under the shared checkpoint folder and
+returns what reading it back gives; the oracle is the SQL of the source query.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanlake.operators import cleaning as C
+from spanlake.operators import decode as D
+from spanlake.operators import evaluate as E
+from spanlake.operators import retrieval as R
+from spanlake.operators.common import r6
+from spanlake.plans import q_decode, q_evaluate, q_retrieval, q_text
+from spanlake.plans.registry import register
+from spanlake.session import scratch_path
+from spanlake.sources import fixtures as FX
+from spanlake.sources import io as S
+
+
+@register("roundtrip_corpus_json", q_text.CLEAN_CORPUS_SQL)
+def roundtrip_corpus_json(spark, sf):
+    clean = C.clean_corpus_frame(q_text.raw_corpus(spark, sf))
+    path = scratch_path(spark, "corpus")
+    S.write_corpus(clean, path, "json")
+    back = S.read_corpus_lines(spark, path)
+    return back.select("doc_key", "text", "title", F.col("document_id").cast("bigint").alias("document_id"))
+
+
+@register("roundtrip_hits_csv", q_retrieval.HITS_WIDE_SQL)
+def roundtrip_hits_csv(spark, sf):
+    wide = q_retrieval.hits_wide(spark, sf)
+    path = scratch_path(spark, "hits")
+    S.write_hits_csv(wide, path)
+    return S.read_hits_csv(spark, path, q_retrieval.K, T.LongType())
+
+
+@register("roundtrip_nbest_json", q_decode.PROB_SQL)
+def roundtrip_nbest_json(spark, sf):
+    rows = D.nbest_rows(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
+    path = scratch_path(spark, "nbest")
+    written = S.write_nbest(rows, path, prefix="m0")
+    back = S.read_nbest_lines(spark, written, "bigint")
+    return back.select(F.col("id").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                       "text", "start_logit", "end_logit", r6("probability").alias("probability"))
+
+
+METRICS_SQL = f"""
+with {q_evaluate.SCORE_CTES},
+m as (select round(avg(exact_match) * 100, 6) as eval_exact_match, round(avg(f1) * 100, 6) as eval_f1,
+             count(*)::bigint as eval_samples from sc2)
+select 'eval_exact_match = ' || eval_exact_match::varchar as line from m
+union all select 'eval_f1 = ' || eval_f1::varchar from m
+union all select 'eval_samples = ' || eval_samples::varchar from m
+"""
+
+
+@register("metrics_lines", METRICS_SQL)
+def metrics_lines(spark, sf):
+    m = E.evaluate(FX.shifted_predictions(spark, sf), FX.qa_examples(spark, sf))
+    m = m.select(r6("eval_exact_match").alias("eval_exact_match"), r6("eval_f1").alias("eval_f1"), "eval_samples")
+    path = scratch_path(spark, "metrics")
+    S.write_metrics_lines(m, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("roundtrip_predictions_json", q_decode.FINAL_SQL)
+def roundtrip_predictions_json(spark, sf):
+    a = D.final_answers(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
+    path = scratch_path(spark, "pred")
+    written = S.write_predictions(a, path, prefix="m0")
+    back = spark.read.schema("id bigint, prediction_text string").json(written)
+    return back.select(F.col("id").cast("bigint").alias("id"), "prediction_text")
+
+
+@register("roundtrip_splits", q_text.SHIFT_SQL)
+def roundtrip_splits(spark, sf):
+    shifted = q_text.clean_qa_shift_answer(spark, sf)
+    path = scratch_path(spark, "splits")
+    S.write_splits(shifted, path, ("split",))
+    back = S.read_split(spark, path, "train").unionByName(S.read_split(spark, path, "validation"))
+    return back.select("id", "split", "context", "answer_start", "answer_text")
+
+
+_ = R  # retrieval helpers are reached through q_retrieval

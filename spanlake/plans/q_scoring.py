@@ -1 +1,70 @@
-"""Queries registered by this module."""
+"""Scoring queries (M1, M2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlake.operators import scoring as M
+from spanlake.operators import windows as Wn
+from spanlake.operators.common import r6
+from spanlake.plans.q_windows import BASE_SQL, SPEC, _windows
+from spanlake.plans.registry import register
+from spanlake.sources.tables import table
+
+LOSS_SQL = """
+with f as (select vec_id, list_transform(embedding, lambda v: v::double) as s,
+                  list_transform(list_reverse(embedding), lambda v: v::double) as e,
+                  len(embedding) as n, least(greatest((vec_id * 7) % 70, 0), len(embedding)) as ps,
+                  least(greatest((vec_id * 11) % 70, 0), len(embedding)) as pe from embeddings),
+c as (select case when ps < n then list_max(s) + ln(list_sum(list_transform(s, lambda v: exp(v - list_max(s)))))
+                  - s[ps + 1] end as ce_s,
+             case when pe < n then list_max(e) + ln(list_sum(list_transform(e, lambda v: exp(v - list_max(e)))))
+                  - e[pe + 1] end as ce_e from f)
+select round(avg(ce_s), 6) as start_loss, round(avg(ce_e), 6) as end_loss, count(ce_s)::bigint as n_start,
+       count(ce_e)::bigint as n_end, round((avg(ce_s) + avg(ce_e)) / 2, 6) as total_loss from c
+"""
+
+
+@register("span_loss", LOSS_SQL)
+def span_loss(spark, sf):
+    e = table(spark, sf, "embeddings")
+    lab = e.select(F.col("embedding").alias("start_logits"), F.reverse("embedding").alias("end_logits"),
+                   ((F.col("vec_id") * 7) % 70).cast("int").alias("start_positions"),
+                   ((F.col("vec_id") * 11) % 70).cast("int").alias("end_positions"))
+    r = M.span_loss(lab)
+    return r.select(r6("start_loss").alias("start_loss"), r6("end_loss").alias("end_loss"), "n_start", "n_end",
+                    r6("total_loss").alias("total_loss"))
+
+
+LEXICAL_SQL = f"""
+with {BASE_SQL},
+qd as (select distinct id, tid from qt where tid <> 1),
+hit as (select win2.id, win2.w, count(*) as overlap from win2
+        join ct on ct.id = win2.id and ct.tok_idx >= win2.ws and ct.tok_idx < win2.we
+        join qd on qd.id = ct.id and qd.tid = ct.tid group by win2.id, win2.w)
+select win2.id::bigint as id, win2.w::bigint as "window", coalesce(hit.overlap, 0)::bigint as overlap
+from win2 left join hit using (id, w)
+"""
+
+
+def _scored_features(spark, sf):
+    return Wn.pair_features(_windows(spark, sf), SPEC, eval_mode=True)
+
+
+@register("lexical_scores", LEXICAL_SQL)
+def lexical_scores(spark, sf):
+    f = M.lexical_logits(_scored_features(spark, sf))
+    s = F.aggregate("start_logits", F.lit(0.0), lambda a, x: a + x)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    s.cast("bigint").alias("overlap"))
+
+
+@register("model_scores", LEXICAL_SQL)
+def model_scores(spark, sf):
+    """M1 plug-in path: the numpy overlap model through Arrow batches."""
+    f = _scored_features(spark, sf).select("id", "window", "input_ids", "sequence_ids", "q_ids",
+                                           "attention_mask")
+    s = M.score_with(f, M.OverlapModel, key_cols=("id", "window"),
+                     input_cols=("input_ids", "sequence_ids", "q_ids"))
+    return s.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.aggregate("start_logits", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("overlap"))
