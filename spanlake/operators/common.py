@@ -22,6 +22,29 @@ def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Bounded check: does ``df`` have at most ``max_rows`` rows? Use it on a cheap
+    frame whose size bounds the side to broadcast (e.g. the questions bound the
+    hit lists), so the check does not recompute an expensive plan."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def explode_rows(df: DataFrame, arr: Column, keep, alias: str = "item") -> DataFrame:
+    """``explode`` without the filter Catalyst infers for it.
+
+    For ``explode(expr)`` the optimizer adds ``size(expr) > 0`` below the
+    generator, which evaluates an expensive ``expr`` (a regex, an in-row sort)
+    twice. ``explode_outer`` plus a null filter gives the same rows (for arrays
+    without null elements) with one evaluation.
+    """
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).where(F.col(alias).isNotNull())
+
+
+def posexplode_rows(df: DataFrame, arr: Column, keep, pos: str = "pos", alias: str = "item") -> DataFrame:
+    """``posexplode`` counterpart of ``explode_rows``."""
+    return df.select(*keep, F.posexplode_outer(arr).alias(pos, alias)).where(F.col(pos).isNotNull())
+
+
 def require_columns(df: DataFrame, cols, what: str = "input") -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.common import explode_rows, posexplode_rows
+
 N_BEST = 20
 MAX_ANSWER_LENGTH = 30
 
@@ -83,7 +85,7 @@ def feature_candidates(features: DataFrame, n_best: int = N_BEST, max_answer_len
     if per_feature_cut:
         # Sorted by (-score, start_rank, end_rank): the feature's own best n.
         cands = F.slice(F.array_sort(cands), 1, n_best)
-    rows = features.select("example_id", "feature_id", F.explode(cands).alias("c"))
+    rows = explode_rows(features, cands, ["example_id", "feature_id"], "c")
     return rows.select("example_id", "feature_id", "c.start_rank", "c.end_rank", "c.start_idx", "c.end_idx",
                        "c.start_logit", "c.end_logit", (-F.col("c.neg_score")).alias("score"),
                        "c.char_start", "c.char_end")
@@ -188,7 +190,7 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
 
 def nbest_rows(decoded: DataFrame) -> DataFrame:
     """S10/D9 long form: ``(id, rank, text, start_logit, end_logit, probability)``."""
-    return decoded.select("id", F.posexplode("preds").alias("pos", "p")).select(
+    return posexplode_rows(decoded, F.col("preds"), ["id"], "pos", "p").select(
         "id", (F.col("pos") + 1).alias("rank"), "p.text", "p.start_logit", "p.end_logit", "p.probability",
         "p.is_null")
 

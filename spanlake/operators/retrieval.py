@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import WS, title_prefix, words
-from spanlake.operators.common import broadcast_checked, r6
+from spanlake.operators.common import (MAX_BROADCAST_ROWS, broadcast_checked, explode_rows,
+                                       fits_broadcast, r6)
+from spanlake.session import ensure_checkpoint_dir
 
 K1 = 1.2
 B = 0.75
@@ -46,11 +48,12 @@ class InvertedIndex:
     def avgdl(self) -> Column:
         return self.doc_stats.select(F.avg("dl")).scalar()
 
-    def term_df(self, terms: DataFrame | None = None) -> DataFrame:
+    def term_df(self, terms: DataFrame | None = None, broadcast_terms: bool = True) -> DataFrame:
         """``(term, df)``; restricted to ``terms`` (a ``term`` column) when given."""
         p = self.postings
         if terms is not None:
-            p = p.join(broadcast_checked(terms.select("term").distinct()), "term", "left_semi")
+            t = terms.select("term").distinct()
+            p = p.join(F.broadcast(t) if broadcast_terms else t, "term", "left_semi")
         return p.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -63,24 +66,35 @@ def tokens(corpus: DataFrame, key: str = "doc_id", text: str = "text",
            stopwords: DataFrame | None = None, num_partitions: int | None = None) -> DataFrame:
     """Exploded ``(doc_id, term)`` tokens, hash-partitioned by ``doc_id``.
 
-    ``stopwords`` (a ``term`` column) is removed with a broadcast anti join.
+    The raw text is shuffled (not the token arrays) and tokenized after the
+    shuffle, in parallel. ``stopwords`` (a ``term`` column) is removed with an
+    anti join, broadcast after a size check.
     """
-    docs = corpus.select(F.col(key).alias("doc_id"), analyze(text).alias("toks"))
+    docs = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
             else docs.repartition("doc_id"))
-    toks = docs.select("doc_id", F.explode("toks").alias("term"))
+    toks = explode_rows(docs, analyze("_text"), ["doc_id"], "term")
     if stopwords is not None:
         toks = toks.join(broadcast_checked(stopwords.select("term").distinct()), "term", "left_anti")
     return toks
 
 
 def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
-                stopwords: DataFrame | None = None,
-                num_partitions: int | None = None) -> InvertedIndex:
-    """Postings with term frequency and document length."""
+                stopwords: DataFrame | None = None, num_partitions: int | None = None,
+                materialize: bool = True) -> InvertedIndex:
+    """Postings with term frequency and document length.
+
+    ``materialize=True`` checkpoints the postings to the shared checkpoint folder:
+    the corpus is tokenized once for all later uses (scoring, document
+    frequencies, corpus statistics), lineage is cut, and the ``doc_id``
+    partitioning is kept for the scoring aggregation.
+    """
     tf = (tokens(corpus, key, text, stopwords, num_partitions)
           .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+    if materialize:
+        ensure_checkpoint_dir(postings.sparkSession)
+        postings = postings.checkpoint(eager=True)
     return InvertedIndex(postings)
 
 
@@ -97,22 +111,29 @@ def load_index(spark, path: str) -> InvertedIndex:
 
 def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question") -> DataFrame:
     """``(qid, term, qtf)``: a query is a plain bag of words."""
-    return (queries.select(F.col(qid).alias("qid"), F.explode(analyze(qtext)).alias("term"))
-            .groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("_q"))
+    return explode_rows(q, analyze("_q"), ["qid"], "term").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str = "question",
-         k1: float = K1, b: float = B) -> DataFrame:
+         k1: float = K1, b: float = B, broadcast_queries: bool | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` for every document sharing a term with the query.
 
     ``score = sum qtf * ln(1 + (N - df + .5)/(df + .5)) * tf / (tf + k1*(1 - b + b*dl/avgdl))``
     rounded to 6 places (so that ranks do not depend on summation order).
+
+    The weighted query terms are broadcast when the query-term table passes a
+    size check (its row count bounds the weighted table); otherwise the join
+    shuffles on ``term`` and adaptive execution splits hot terms.
     """
     qt = query_terms(queries, qid, qtext)
-    dfs = index.term_df(qt)
+    small = fits_broadcast(qt) if broadcast_queries is None else broadcast_queries
+    dfs = index.term_df(qt, small)
     n, avgdl = index.n_docs(), index.avgdl()
     idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weighted = broadcast_checked(qt.join(dfs, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")))
+    weighted = qt.join(dfs, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
+    if small:
+        weighted = F.broadcast(weighted)
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     contrib = index.postings.join(weighted, "term").select(
         "qid", "doc_id", (F.col("w") * F.col("tf") / norm).alias("c"))
@@ -145,12 +166,13 @@ def passage_corpus(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("text", title_prefix("title", "text"))
 
 
-def attach_text(hits: DataFrame, corpus: DataFrame, key: str = "doc_id",
-                text: str = "text") -> DataFrame:
-    """Join the (small, size-checked) hit list to the corpus text; the corpus is
-    streamed, not shuffled."""
+def attach_text(hits: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text",
+                broadcast_hits: bool = True) -> DataFrame:
+    """Join the hit list to the corpus text. Hits are at most ``k`` per question;
+    when the caller has checked the question count they are broadcast and the
+    corpus is streamed, not shuffled."""
     src = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return src.join(broadcast_checked(hits), "doc_id")
+    return src.join(F.broadcast(hits) if broadcast_hits else hits, "doc_id")
 
 
 def hits_wide(hits: DataFrame, k: int = 10, qid: str = "qid") -> DataFrame:
@@ -177,9 +199,10 @@ def retrieve_contexts(corpus: DataFrame, questions: DataFrame, k: int = 10,
     Questions with no hit get an empty context.
     """
     passages = passage_corpus(corpus)
-    idx = build_index(passages, stopwords=stopwords)
-    hits = top_k(bm25(idx, questions), k)
-    with_text = attach_text(hits.select("qid", "doc_id", "rank"), passages)
+    idx = build_index(passages, stopwords=stopwords, materialize=True)
+    small = fits_broadcast(questions, MAX_BROADCAST_ROWS // k)
+    hits = top_k(bm25(idx, questions, broadcast_queries=small), k)
+    with_text = attach_text(hits.select("qid", "doc_id", "rank"), passages, broadcast_hits=small)
     ctx = concat_context(with_text)
     return (questions.select("id", "question")
             .join(ctx.withColumnRenamed("qid", "id"), "id", "left")
@@ -190,7 +213,7 @@ def title_dictionary(titles: DataFrame, title: str = "title") -> DataFrame:
     """T5: user-dictionary terms from titles: drop parentheses, split on blanks,
     trim, distinct, no empty term."""
     parts = F.split(F.regexp_replace(F.col(title), r"[()]", ""), WS + "+")
-    return (titles.select(F.explode(parts).alias("term"))
+    return (explode_rows(titles, parts, [], "term")
             .select(F.trim("term").alias("term")).where(F.col("term") != "").distinct())
 
 

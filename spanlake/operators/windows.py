@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WS, words
-from spanlake.operators.common import broadcast_checked
+from spanlake.operators.common import broadcast_checked, explode_rows, posexplode_rows
 from spanlake.operators.ordering import dense_index
 
 # Special symbols and their ids in the built-in vocabulary.
@@ -45,9 +45,11 @@ def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
                   num_partitions: int | None = None) -> DataFrame:
     """``(key, tok_idx, token, start, end)``; offsets are 0-based code points,
     end exclusive; blanks are not tokens."""
-    segs = df.select(F.col(key).alias("_k"), F.regexp_extract_all(F.col(text), F.lit(SEGMENT), 0).alias("segs"))
-    segs = segs.repartition(num_partitions, "_k") if num_partitions else segs.repartition("_k")
-    ex = segs.select("_k", F.posexplode("segs").alias("pos", "token"))
+    raw = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
+    # Segment after the shuffle: the raw text moves, not the (larger) arrays.
+    segs = F.regexp_extract_all(F.col("_t"), F.lit(SEGMENT), 0)
+    ex = posexplode_rows(raw, segs, ["_k"], "pos", "token")
     w = Window.partitionBy("_k").orderBy("pos")
     ln = F.length("token")
     ex = ex.withColumn("start", F.coalesce(F.sum(ln).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -69,7 +71,7 @@ def vocabulary_from_terms(terms: DataFrame, term: str = "term") -> DataFrame:
 
 def vocabulary_from_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Vocabulary over the lower-cased word tokens of a text column."""
-    return vocabulary_from_terms(df.select(F.explode(words(text)).alias("term")))
+    return vocabulary_from_terms(explode_rows(df, words(text), [], "term"))
 
 
 def extend_vocabulary(vocab: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -133,11 +135,12 @@ def windows(enc: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     qn = F.size("q_ids")
     cap = F.lit(spec.max_seq_length) - qn - F.lit(spec.specials)
     step = cap - F.lit(spec.doc_stride)
-    checked = enc.withColumn("cap", cap).withColumn("step", step).withColumn(
-        "_ok", F.assert_true(F.col("step") > 0, F.lit("question too long: max_seq_length - question - specials "
-                                                      "must exceed doc_stride")))
+    # The check is part of ``step`` itself, so column pruning cannot drop it.
+    step = F.when(step > 0, step).otherwise(F.raise_error(F.lit(
+        "question too long: max_seq_length - question - specials must exceed doc_stride")))
+    checked = enc.withColumn("cap", cap).withColumn("step", step)
     nw = window_count(F.size("c_ids"), F.col("cap"), F.col("step"))
-    out = checked.withColumn("window", F.explode(F.sequence(F.lit(0), nw - 1))).drop("_ok")
+    out = checked.withColumn("window", F.explode(F.sequence(F.lit(0), nw - 1)))
     ws = F.col("window") * F.col("step")
     return out.withColumn("ws", ws).withColumn("we", F.least(ws + F.col("cap"), F.size("c_ids")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.operators import decode as D
-from spanlake.operators.common import r6
+from spanlake.operators.common import explode_rows, r6
 from spanlake.plans.registry import register
 from spanlake.sources import fixtures as FX
 
@@ -86,7 +86,7 @@ def top_logits(spark, sf):
     f = _features(spark, sf)
     out = None
     for side, col in (("start", "start_logits"), ("end", "end_logits")):
-        t = f.select("feature_id", F.explode(D.top_indexes(F.col(col), N)).alias("t")).select(
+        t = explode_rows(f, D.top_indexes(F.col(col), N), ["feature_id"], "t").select(
             F.col("feature_id").cast("bigint").alias("feature_id"), F.lit(side).alias("side"),
             F.col("t.rank").cast("bigint").alias("rank"), F.col("t.idx").cast("bigint").alias("idx"),
             F.col("t.logit").alias("logit"))

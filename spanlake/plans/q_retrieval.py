@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import WS, sanitize_query, sql_str, title_prefix
 from spanlake.operators import retrieval as R
+from spanlake.operators.common import MAX_BROADCAST_ROWS, fits_broadcast
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import PASSAGES, QUESTIONS, TITLE, bm25_ctes, words_sql
 from spanlake.sources import fixtures as FX
@@ -68,8 +69,10 @@ select id::bigint as id, {_wide_cols} from h group by id
 @register("hits_wide", HITS_WIDE_SQL)
 def hits_wide(spark, sf):
     p = _passages(spark, sf)
-    t = R.top_k(R.bm25(R.build_index(p), FX.questions(spark, sf)), K)
-    wide = R.hits_wide(R.attach_text(t, p), K)
+    q = FX.questions(spark, sf)
+    small = fits_broadcast(q, MAX_BROADCAST_ROWS // K)
+    t = R.top_k(R.bm25(R.build_index(p), q, broadcast_queries=small), K)
+    wide = R.hits_wide(R.attach_text(t, p, broadcast_hits=small), K)
     return wide.withColumn("id", F.col("id").cast("bigint"))
 
 

@@ -9,5 +9,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one task per core.
+
+    A table stored as one unsplittable row group is read by a single task, and
+    every row-local step after it (regexes, tokenizing, in-row decoding) would run
+    on one core. Such scans are spread round-robin over the default parallelism.
+    On a cluster, scans of large tables already have many splits and this is a
+    no-op (no extra shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
