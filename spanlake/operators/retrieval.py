@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import WS, title_prefix, words
 from spanlake.operators.common import (MAX_BROADCAST_ROWS, broadcast_checked, explode_rows,
                                        fits_broadcast, r6)
-from spanlake.session import ensure_checkpoint_dir
+from pyspark.storagelevel import StorageLevel
 
 K1 = 1.2
 B = 0.75
@@ -38,6 +38,9 @@ class InvertedIndex:
 
     postings: DataFrame
 
+    def release(self) -> None:
+        self.postings.unpersist()
+
     @property
     def doc_stats(self) -> DataFrame:
         return self.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
@@ -84,17 +87,18 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
                 materialize: bool = True) -> InvertedIndex:
     """Postings with term frequency and document length.
 
-    ``materialize=True`` checkpoints the postings to the shared checkpoint folder:
-    the corpus is tokenized once for all later uses (scoring, document
-    frequencies, corpus statistics), lineage is cut, and the ``doc_id``
-    partitioning is kept for the scoring aggregation.
+    ``materialize=True`` persists the postings (memory, spilling to disk): the
+    corpus is tokenized once for all later uses (scoring, document frequencies,
+    corpus statistics), and the cached plan keeps its ``doc_id`` hash
+    partitioning, so the scoring aggregation needs no shuffle. (A checkpoint
+    would drop that partitioning.) Lost blocks are recomputed from the short
+    lineage; ``save_index`` writes a durable copy. ``release()`` unpersists.
     """
     tf = (tokens(corpus, key, text, stopwords, num_partitions)
           .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
     if materialize:
-        ensure_checkpoint_dir(postings.sparkSession)
-        postings = postings.checkpoint(eager=True)
+        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     return InvertedIndex(postings)
 
 
