@@ -94,9 +94,18 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
     would drop that partitioning.) Lost blocks are recomputed from the short
     lineage; ``save_index`` writes a durable copy. ``release()`` unpersists.
     """
-    tf = (tokens(corpus, key, text, stopwords, num_partitions)
-          .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
-    postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+    if stopwords is None:
+        # Document length is known in-row before the explode: no window needed.
+        docs = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+        docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
+                else docs.repartition("doc_id"))
+        docs = docs.select("doc_id", analyze("_text").alias("_toks"))
+        toks = explode_rows(docs.withColumn("dl", F.size("_toks")), F.col("_toks"), ["doc_id", "dl"], "term")
+        postings = toks.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    else:
+        tf = (tokens(corpus, key, text, stopwords, num_partitions)
+              .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+        postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
     if materialize:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     return InvertedIndex(postings)

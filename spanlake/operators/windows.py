@@ -50,11 +50,16 @@ def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
     # Segment after the shuffle: the raw text moves, not the (larger) arrays.
     segs = F.regexp_extract_all(F.col("_t"), F.lit(SEGMENT), 0)
     ex = posexplode_rows(raw, segs, ["_k"], "pos", "token")
-    w = Window.partitionBy("_k").orderBy("pos")
+    # One window computes both running sums: characters before the segment
+    # (its start offset) and blank segments before it (to number the tokens).
+    before = Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ln = F.length("token")
-    ex = ex.withColumn("start", F.coalesce(F.sum(ln).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ex = ex.withColumn("end", F.col("start") + ln).where(~F.col("token").rlike(f"^{WS}$"))
-    ex = ex.withColumn("tok_idx", F.row_number().over(w) - 1)
+    blank = F.col("token").rlike(f"^{WS}$")
+    ex = ex.withColumn("_blank", blank).select(
+        "_k", "pos", "token", "_blank",
+        F.coalesce(F.sum(ln).over(before), F.lit(0)).alias("start"),
+        F.coalesce(F.sum(F.col("_blank").cast("int")).over(before), F.lit(0)).alias("_nb"))
+    ex = ex.where(~F.col("_blank")).withColumns({"end": F.col("start") + ln, "tok_idx": F.col("pos") - F.col("_nb")})
     return ex.select(F.col("_k").alias(key), "tok_idx", "token", F.col("start").cast("int").alias("start"),
                      F.col("end").cast("int").alias("end"))
 
