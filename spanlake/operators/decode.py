@@ -32,6 +32,12 @@ N_BEST = 20
 MAX_ANSWER_LENGTH = 30
 
 
+def _model(df: DataFrame) -> list[str]:
+    """Several models can be decoded in one plan: a ``model`` column, when present,
+    is part of every grouping key."""
+    return ["model"] if "model" in df.columns else []
+
+
 def attach_logits(features: DataFrame, logits: DataFrame, key: str = "feature_id") -> DataFrame:
     """Features + logits by ``feature_id`` (the reference aligns by row position)."""
     return features.join(logits, key)
@@ -85,8 +91,8 @@ def feature_candidates(features: DataFrame, n_best: int = N_BEST, max_answer_len
     if per_feature_cut:
         # Sorted by (-score, start_rank, end_rank): the feature's own best n.
         cands = F.slice(F.array_sort(cands), 1, n_best)
-    rows = explode_rows(features, cands, ["example_id", "feature_id"], "c")
-    return rows.select("example_id", "feature_id", "c.start_rank", "c.end_rank", "c.start_idx", "c.end_idx",
+    rows = explode_rows(features, cands, [*_model(features), "example_id", "feature_id"], "c")
+    return rows.select(*_model(features), "example_id", "feature_id", "c.start_rank", "c.end_rank", "c.start_idx", "c.end_idx",
                        "c.start_logit", "c.end_logit", (-F.col("c.neg_score")).alias("score"),
                        "c.char_start", "c.char_end")
 
@@ -99,8 +105,9 @@ def null_scores(features: DataFrame) -> DataFrame:
     best = F.min_by(F.struct((s0 + e0).alias("score"), s0.alias("start_logit"), e0.alias("end_logit"),
                              F.col("feature_id")),
                     F.struct(s0 + e0, F.col("feature_id")))
-    return (features.groupBy("example_id").agg(best.alias("b"))
-            .select("example_id", F.col("b.score").alias("null_score"),
+    keys = [*_model(features), "example_id"]
+    return (features.groupBy(*keys).agg(best.alias("b"))
+            .select(*keys, F.col("b.score").alias("null_score"),
                     F.col("b.start_logit").alias("null_start_logit"),
                     F.col("b.end_logit").alias("null_end_logit"),
                     F.col("b.feature_id").alias("null_feature_id")))
@@ -113,7 +120,7 @@ def example_topn(cands: DataFrame, n_best: int = N_BEST, nulls: DataFrame | None
     before the cut (after all real candidates on equal scores) and is kept even
     when the cut drops it, so a list may hold ``n + 1`` rows.
     """
-    w = Window.partitionBy("example_id").orderBy(
+    w = Window.partitionBy(*_model(cands), "example_id").orderBy(
         F.col("score").desc(), F.col("is_null").asc(), F.col("feature_id").asc(),
         F.col("start_rank").asc(), F.col("end_rank").asc())
     # Plain limit first: Spark adds a partial WindowGroupLimit, so a hot example
@@ -123,7 +130,7 @@ def example_topn(cands: DataFrame, n_best: int = N_BEST, nulls: DataFrame | None
     if nulls is None:
         return top
     nrows = nulls.select(
-            "example_id", F.col("null_feature_id").alias("feature_id"),
+            *_model(nulls), "example_id", F.col("null_feature_id").alias("feature_id"),
             F.lit(None).cast("int").alias("start_rank"), F.lit(None).cast("int").alias("end_rank"),
             F.lit(0).alias("start_idx"), F.lit(0).alias("end_idx"),
             F.col("null_start_logit").alias("start_logit"), F.col("null_end_logit").alias("end_logit"),
@@ -140,12 +147,12 @@ def gather(topn: DataFrame) -> DataFrame:
     """Bounded per-example arrays (at most n + 1 entries), ordered by rank."""
     item = F.struct("rank", "feature_id", "start_idx", "end_idx", "start_logit", "end_logit", "score",
                     "char_start", "char_end", "is_null")
-    return topn.groupBy("example_id").agg(F.array_sort(F.collect_list(item)).alias("cands"))
+    return topn.groupBy(*_model(topn), "example_id").agg(F.array_sort(F.collect_list(item)).alias("cands"))
 
 
 def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
            max_answer_length: int = MAX_ANSWER_LENGTH, null_mode: bool = False,
-           use_max_context: bool = True) -> DataFrame:
+           use_max_context: bool = True, models: list | None = None) -> DataFrame:
     """``(id, preds, null_score)`` where ``preds`` is the final n-best list
     ``array<struct<text, start_logit, end_logit, score, probability, is_null,
     feature_id, start_idx, end_idx>>`` in rank order (``"empty"`` fallback
@@ -153,16 +160,27 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
 
     ``examples``: ``id, context``. ``features``: ``feature_id, example_id,
     offset_mapping, start_logits, end_logits[, token_is_max_context]``.
+
+    Several models decode in one plan when ``features`` has a ``model`` column
+    and ``models`` lists its values: every example gets one row per model, and
+    the contexts are joined (shuffled) once for all models.
     """
+    mk = _model(features)
+    if mk and not models:
+        raise ValueError("features have a model column: pass the list of models")
     cands = feature_candidates(features, n_best, max_answer_length, use_max_context)
     nulls = null_scores(features) if null_mode else None
     lists = gather(example_topn(cands, n_best, nulls))
     if nulls is not None:
-        lists = lists.join(nulls.select("example_id", "null_score"), "example_id", "left")
+        lists = lists.join(nulls.select(*mk, "example_id", "null_score"), [*mk, "example_id"], "left")
     else:
         lists = lists.withColumn("null_score", F.lit(None).cast("double"))
     ex = examples.select("id", "context")
-    joined = ex.join(lists, ex["id"] == lists["example_id"], "left")
+    if mk:
+        # One row per (example, model): a literal-array explode, not a cross join.
+        ex = ex.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    lists = lists.withColumnRenamed("example_id", "id")
+    joined = ex.join(lists, ["id", *mk], "left")
     ctx = F.col("context")
     texted = F.transform(
         F.coalesce(F.col("cands"), F.array().cast(lists.schema["cands"].dataType)),
@@ -177,21 +195,21 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
                      F.lit(None).cast("bigint").alias("feature_id"),
                      F.lit(None).cast("int").alias("start_idx"), F.lit(None).cast("int").alias("end_idx"))
     need = (F.size("p0") == 0) | ((F.size("p0") == 1) & (F.get("p0", 0)["text"] == ""))
-    staged = joined.select("id", "null_score", texted.alias("p0"))
-    staged = staged.select("id", "null_score",
+    staged = joined.select("id", *mk, "null_score", texted.alias("p0"))
+    staged = staged.select("id", *mk, "null_score",
                            F.when(need, F.concat(F.array(empty), F.col("p0"))).otherwise(F.col("p0")).alias("p1"))
     # Max-shifted softmax over the list (the fallback row counts).
     mx = F.array_max(F.transform("p1", lambda p: p["score"]))
     exps = F.transform("p1", lambda p: F.exp(p["score"] - mx))
     total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
     preds = F.zip_with("p1", exps, lambda p, x: p.withField("probability", x / total))
-    return staged.select("id", "null_score", preds.alias("preds"))
+    return staged.select("id", *mk, "null_score", preds.alias("preds"))
 
 
 def nbest_rows(decoded: DataFrame) -> DataFrame:
     """S10/D9 long form: ``(id, rank, text, start_logit, end_logit, probability)``."""
-    return posexplode_rows(decoded, F.col("preds"), ["id"], "pos", "p").select(
-        "id", (F.col("pos") + 1).alias("rank"), "p.text", "p.start_logit", "p.end_logit", "p.probability",
+    return posexplode_rows(decoded, F.col("preds"), ["id", *_model(decoded)], "pos", "p").select(
+        "id", *_model(decoded), (F.col("pos") + 1).alias("rank"), "p.text", "p.start_logit", "p.end_logit", "p.probability",
         "p.is_null")
 
 
@@ -203,10 +221,10 @@ def final_answers(decoded: DataFrame, null_mode: bool = False, threshold: float
     entry is non-empty, or the example had no features, the answer is ``""``.
     """
     if not null_mode:
-        return decoded.select("id", F.get("preds", 0)["text"].alias("prediction_text"),
+        return decoded.select("id", *_model(decoded), F.get("preds", 0)["text"].alias("prediction_text"),
                               F.lit(None).cast("double").alias("score_diff"))
     best = F.get(F.filter("preds", lambda p: p["text"] != ""), 0)
     diff = F.col("null_score") - best["start_logit"] - best["end_logit"]
     text = F.when(best.isNull() | F.col("null_score").isNull(), F.lit("")).when(
         diff > F.lit(threshold), F.lit("")).otherwise(best["text"])
-    return decoded.select("id", text.alias("prediction_text"), diff.alias("score_diff"))
+    return decoded.select("id", *_model(decoded), text.alias("prediction_text"), diff.alias("score_diff"))

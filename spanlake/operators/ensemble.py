@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 def stack_models(nbests: list[DataFrame]) -> DataFrame:
     """V1: union the models' n-best rows ``(id, rank, text, probability)`` with a
-    ``model`` index (0 = first model)."""
+    ``model`` index (0 = first model). (A multi-model ``decode`` already yields
+    the stacked form, with ``model`` as the index.)"""
     out = None
     for i, nb in enumerate(nbests):
         part = nb.select("id", "rank", "text", "probability").withColumn("model", F.lit(i))
@@ -41,13 +42,21 @@ def assert_aligned(stacked: DataFrame, n_models: int) -> None:
             raise ValueError(f"ids missing from some models: {[tuple(r) for r in bad]}")
 
 
-def top1(stacked: DataFrame) -> DataFrame:
+def top1(stacked: DataFrame, n_models: int | None = None) -> DataFrame:
     """V2: ``(id, votes array<struct<model, text, probability>>)`` from rank-1 rows,
-    restricted to the first model's ids."""
+    for the ids of the first model (``model = 0``).
+
+    With ``n_models``, an id that lacks another model's answer fails the query
+    (checked inside the plan, no extra pass over the data).
+    """
     t = stacked.where(F.col("rank") == 1)
-    ids0 = t.where(F.col("model") == 0).select("id")
-    t = t.join(ids0, "id", "left_semi")
-    return t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("model", "text", "probability"))).alias("votes"))
+    votes = F.array_sort(F.collect_list(F.struct("model", "text", "probability")))
+    g = t.groupBy("id").agg(votes.alias("votes")).where(F.get("votes", 0)["model"] == 0)
+    if n_models is not None:
+        ok = F.size("votes") == n_models
+        g = g.withColumn("votes", F.when(ok, F.col("votes")).otherwise(
+            F.raise_error(F.concat(F.lit("an id lacks an answer of some model: "), F.col("id").cast("string")))))
+    return g
 
 
 def _max_prob(votes: Column) -> Column:
@@ -63,14 +72,14 @@ def _majority(votes: Column) -> Column:
     return F.get(F.array_sort(keyed), 0)["text"]
 
 
-def vote(stacked: DataFrame, rule: str = "majority") -> DataFrame:
+def vote(stacked: DataFrame, rule: str = "majority", n_models: int | None = None) -> DataFrame:
     """V3/V4: ``(id, prediction_text)``.
 
     ``max_prob``: V3. ``majority`` (the documented intent): the most voted text,
     ties by probability then text (all different -> V3). ``first_model`` (the
     reference as written): all different -> V3, else the first model's text.
     """
-    t = top1(stacked)
+    t = top1(stacked, n_models)
     votes = F.col("votes")
     if rule == "max_prob":
         pred = _max_prob(votes)

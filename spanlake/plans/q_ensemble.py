@@ -15,14 +15,14 @@ VARIANTS = ("se", "es", "ee")  # model 0, 1, 2
 
 
 def _stacked(spark, sf):
+    """The three decoders in one plan (one context join for all models)."""
     ex = FX.decode_examples(spark, sf)
-    nbs = []
-    for v in VARIANTS:
-        rows = D.nbest_rows(D.decode(ex, FX.eval_features(spark, sf, v)))
-        nbs.append(rows.withColumn("probability", r6("probability")))
-    st = V.stack_models(nbs)
-    V.assert_aligned(st, len(VARIANTS))
-    return st
+    feats = None
+    for i, v in enumerate(VARIANTS):
+        f = FX.eval_features(spark, sf, v).withColumn("model", F.lit(i))
+        feats = f if feats is None else feats.unionByName(f)
+    rows = D.nbest_rows(D.decode(ex, feats, models=list(range(len(VARIANTS)))))
+    return rows.select("id", "model", "rank", "text", r6("probability").alias("probability"))
 
 
 def _top1_sql() -> str:
@@ -42,7 +42,7 @@ select id::bigint as id, text as prediction_text from
 
 @register("ensemble_max_prob", MAXP_SQL)
 def ensemble_max_prob(spark, sf):
-    return V.vote(_stacked(spark, sf), "max_prob").select(F.col("id").cast("bigint").alias("id"), "prediction_text")
+    return V.vote(_stacked(spark, sf), "max_prob", len(VARIANTS)).select(F.col("id").cast("bigint").alias("id"), "prediction_text")
 
 
 MAJ_SQL = f"""
@@ -55,7 +55,7 @@ select id::bigint as id, text as prediction_text from
 
 @register("ensemble_majority", MAJ_SQL)
 def ensemble_majority(spark, sf):
-    return V.vote(_stacked(spark, sf), "majority").select(F.col("id").cast("bigint").alias("id"), "prediction_text")
+    return V.vote(_stacked(spark, sf), "majority", len(VARIANTS)).select(F.col("id").cast("bigint").alias("id"), "prediction_text")
 
 
 FIRST_SQL = f"""
@@ -70,5 +70,5 @@ from d join mp using (id) join m0 using (id)
 
 @register("ensemble_first_model", FIRST_SQL)
 def ensemble_first_model(spark, sf):
-    return V.vote(_stacked(spark, sf), "first_model").select(F.col("id").cast("bigint").alias("id"),
+    return V.vote(_stacked(spark, sf), "first_model", len(VARIANTS)).select(F.col("id").cast("bigint").alias("id"),
                                                              "prediction_text")

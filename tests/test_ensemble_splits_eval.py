@@ -36,6 +36,8 @@ def test_missing_id_is_an_error(spark):
     m1 = nbest(spark, [("a", 1, "x", .5)])
     with pytest.raises(ValueError):
         V.assert_aligned(V.stack_models([m0, m1]), 2)
+    with pytest.raises(Exception):  # the same check inside the plan
+        V.vote(V.stack_models([m0, m1]), "majority", 2).collect()
 
 
 @pytest.mark.parametrize("n,k", [(23, 5), (10, 5), (7, 3)])
