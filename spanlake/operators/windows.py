@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WS, words
-from spanlake.operators.common import broadcast_checked, explode_rows, posexplode_rows
+from spanlake.operators.common import explode_rows, fits_broadcast, posexplode_rows
 from spanlake.operators.ordering import dense_index
 
 # Special symbols and their ids in the built-in vocabulary.
@@ -97,9 +97,13 @@ def added_symbols(spark) -> DataFrame:
     return unk.unionByName(unused)
 
 
-def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Look tokens up (lower-cased) in the vocabulary; unknown -> ``[UNK]``."""
-    v = broadcast_checked(vocab.select(F.col("token").alias("_t"), F.col("id").alias("tid")))
+def token_ids(tokens: DataFrame, vocab: DataFrame, broadcast_vocab: bool | None = None) -> DataFrame:
+    """Look tokens up (lower-cased) in the vocabulary; unknown -> ``[UNK]``.
+    The vocabulary is broadcast when it passes the size check (or when the
+    caller has checked it: ``broadcast_vocab``)."""
+    v = vocab.select(F.col("token").alias("_t"), F.col("id").alias("tid"))
+    small = fits_broadcast(v) if broadcast_vocab is None else broadcast_vocab
+    v = F.broadcast(v) if small else v
     return (tokens.join(v, F.lower(tokens["token"]) == v["_t"], "left")
             .withColumn("tid", F.coalesce(F.col("tid"), F.lit(UNK_ID)).cast("int")).drop("_t"))
 
@@ -117,8 +121,9 @@ def gather_tokens(tok: DataFrame, key: str = "id", prefix: str = "c") -> DataFra
 def encode(df: DataFrame, vocab: DataFrame, key: str = "id", question: str = "question",
            context: str = "context") -> DataFrame:
     """W1 for both sides: ``key, q_ids, q_offs, c_ids, c_offs`` (+ other columns)."""
-    q = gather_tokens(token_ids(token_offsets(df, key, question), vocab), key, "q")
-    c = gather_tokens(token_ids(token_offsets(df, key, context), vocab), key, "c")
+    small = fits_broadcast(vocab)  # one size check for both sides
+    q = gather_tokens(token_ids(token_offsets(df, key, question), vocab, small), key, "q")
+    c = gather_tokens(token_ids(token_offsets(df, key, context), vocab, small), key, "c")
     base = df.select(key)
     empty_ids = F.array().cast("array<int>")
     empty_offs = F.array().cast("array<struct<start:int,end:int>>")
