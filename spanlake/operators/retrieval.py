@@ -34,7 +34,8 @@ B = 0.75
 
 @dataclass
 class InvertedIndex:
-    """Postings ``(doc_id, term, tf, dl)``; doc stats derive from them."""
+    """Postings ``(doc_id, field, term, tf, dl)``; one index can hold several
+    fields (each with its own statistics). Document stats derive from them."""
 
     postings: DataFrame
 
@@ -43,21 +44,21 @@ class InvertedIndex:
 
     @property
     def doc_stats(self) -> DataFrame:
-        return self.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        """``(doc_id, field, dl)``; no shuffle on a ``doc_id``-partitioned index."""
+        return self.postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
 
-    def n_docs(self) -> Column:
-        return self.doc_stats.select(F.count("*")).scalar()
-
-    def avgdl(self) -> Column:
-        return self.doc_stats.select(F.avg("dl")).scalar()
+    def field_stats(self) -> DataFrame:
+        """``(field, n_docs, avgdl)``: one row per field."""
+        return self.doc_stats.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     def term_df(self, terms: DataFrame | None = None, broadcast_terms: bool = True) -> DataFrame:
-        """``(term, df)``; restricted to ``terms`` (a ``term`` column) when given."""
+        """``(field, term, df)``; restricted to ``terms`` (a ``term`` column) when given.
+        Partial aggregation makes a hot term one row per task before the shuffle."""
         p = self.postings
         if terms is not None:
             t = terms.select("term").distinct()
             p = p.join(F.broadcast(t) if broadcast_terms else t, "term", "left_semi")
-        return p.groupBy("term").agg(F.count("*").alias("df"))
+        return p.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def analyze(text) -> Column:
@@ -65,27 +66,38 @@ def analyze(text) -> Column:
     return words(text)
 
 
-def tokens(corpus: DataFrame, key: str = "doc_id", text: str = "text",
-           stopwords: DataFrame | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exploded ``(doc_id, term)`` tokens, hash-partitioned by ``doc_id``.
+def _fields(text) -> list[str]:
+    return [text] if isinstance(text, str) else list(text)
 
-    The raw text is shuffled (not the token arrays) and tokenized after the
-    shuffle, in parallel. ``stopwords`` (a ``term`` column) is removed with an
-    anti join, broadcast after a size check.
-    """
-    docs = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+
+def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions: int | None) -> DataFrame:
+    """Raw field texts hash-partitioned by ``doc_id`` (the text moves, not tokens),
+    then one row per (document, field) with its tokens, tokenized after the shuffle."""
+    docs = corpus.select(F.col(key).alias("doc_id"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
     docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
             else docs.repartition("doc_id"))
-    toks = explode_rows(docs, analyze("_text"), ["doc_id"], "term")
+    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(f"_f{i}").alias("toks"))
+                                    for i, f in enumerate(fields)]))
+    return docs.select("doc_id", per_field.alias("_fz")).select("doc_id", "_fz.field", "_fz.toks")
+
+
+def tokens(corpus: DataFrame, key: str = "doc_id", text="text",
+           stopwords: DataFrame | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Exploded ``(doc_id, field, term)`` tokens, hash-partitioned by ``doc_id``.
+    ``stopwords`` (a ``term`` column) is removed with a size-checked broadcast
+    anti join."""
+    docs = _docs_by_id(corpus, key, _fields(text), num_partitions)
+    toks = explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term")
     if stopwords is not None:
         toks = toks.join(broadcast_checked(stopwords.select("term").distinct()), "term", "left_anti")
     return toks
 
 
-def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
+def build_index(corpus: DataFrame, key: str = "doc_id", text="text",
                 stopwords: DataFrame | None = None, num_partitions: int | None = None,
                 materialize: bool = True) -> InvertedIndex:
-    """Postings with term frequency and document length.
+    """Postings with term frequency and document length, for one field
+    (``text`` a column name) or several (a list), in a single pass.
 
     ``materialize=True`` persists the postings (memory, spilling to disk): the
     corpus is tokenized once for all later uses (scoring, document frequencies,
@@ -96,16 +108,13 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if stopwords is None:
         # Document length is known in-row before the explode: no window needed.
-        docs = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-        docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
-                else docs.repartition("doc_id"))
-        docs = docs.select("doc_id", analyze("_text").alias("_toks"))
-        toks = explode_rows(docs.withColumn("dl", F.size("_toks")), F.col("_toks"), ["doc_id", "dl"], "term")
-        postings = toks.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        docs = _docs_by_id(corpus, key, _fields(text), num_partitions).withColumn("dl", F.size("toks"))
+        toks = explode_rows(docs, F.col("toks"), ["doc_id", "field", "dl"], "term")
+        postings = toks.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     else:
         tf = (tokens(corpus, key, text, stopwords, num_partitions)
-              .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
-        postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+              .groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf")))
+        postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "field")))
     if materialize:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     return InvertedIndex(postings)
@@ -114,7 +123,7 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text: str = "text",
 def save_index(index: InvertedIndex, path: str, mode: str = "overwrite") -> None:
     """Write the postings once (dropping an earlier index), clustered by document
     within each file so a later scan keeps a document's postings together."""
-    (index.postings.sortWithinPartitions("doc_id", "term")
+    (index.postings.sortWithinPartitions("doc_id", "field", "term")
      .write.mode(mode).parquet(f"{path}/postings"))
 
 
@@ -130,27 +139,34 @@ def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question") ->
 
 def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str = "question",
          k1: float = K1, b: float = B, broadcast_queries: bool | None = None) -> DataFrame:
-    """``(qid, doc_id, score)`` for every document sharing a term with the query.
+    """R3 (+ R4): ``(qid, doc_id, score)`` for every document sharing a term with
+    the query; with several fields each is scored with its own statistics and
+    the best field wins.
 
     ``score = sum qtf * ln(1 + (N - df + .5)/(df + .5)) * tf / (tf + k1*(1 - b + b*dl/avgdl))``
     rounded to 6 places (so that ranks do not depend on summation order).
 
     The weighted query terms are broadcast when the query-term table passes a
-    size check (its row count bounds the weighted table); otherwise the join
-    shuffles on ``term`` and adaptive execution splits hot terms.
+    size check (its row count times the number of fields bounds the weighted
+    table); otherwise the join shuffles on ``term`` and adaptive execution
+    splits hot terms. Both score aggregations are satisfied by the postings'
+    ``doc_id`` partitioning.
     """
     qt = query_terms(queries, qid, qtext)
     small = fits_broadcast(qt) if broadcast_queries is None else broadcast_queries
     dfs = index.term_df(qt, small)
-    n, avgdl = index.n_docs(), index.avgdl()
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weighted = qt.join(dfs, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
+    # One row per field: a proven bound (the number of fields).
+    stats = F.broadcast(index.field_stats())
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    weighted = qt.join(dfs, "term").join(stats, "field").select(
+        "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     if small:
         weighted = F.broadcast(weighted)
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = index.postings.join(weighted, "term").select(
-        "qid", "doc_id", (F.col("w") * F.col("tf") / norm).alias("c"))
-    return contrib.groupBy("qid", "doc_id").agg(r6(F.sum("c")).alias("score"))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    contrib = index.postings.join(weighted, ["field", "term"]).select(
+        "qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
+    per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
+    return per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",
@@ -163,15 +179,9 @@ def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",
 def multifield_bm25(corpus: DataFrame, queries: DataFrame, fields=("text", "title"),
                     key: str = "doc_id", qid: str = "id", qtext: str = "question",
                     stopwords: DataFrame | None = None) -> DataFrame:
-    """Score each field with its own statistics; the best field wins."""
-    parts = []
-    for f in fields:
-        idx = build_index(corpus, key, f, stopwords)
-        parts.append(bm25(idx, queries, qid, qtext).withColumn("field", F.lit(f)))
-    allf = parts[0]
-    for p in parts[1:]:
-        allf = allf.unionByName(p)
-    return allf.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    """Every field scored with its own statistics, the best field wins; all
+    fields are tokenized in one pass over one shuffle of the corpus."""
+    return bm25(build_index(corpus, key, list(fields), stopwords), queries, qid, qtext)
 
 
 def passage_corpus(corpus: DataFrame) -> DataFrame:
@@ -232,9 +242,11 @@ def title_dictionary(titles: DataFrame, title: str = "title") -> DataFrame:
 
 def frequent_terms(index: InvertedIndex, min_doc_fraction: float = 0.5) -> DataFrame:
     """A stop-word table derived from the corpus: terms in more than the given
-    fraction of the documents (the reference loads its list from a file)."""
-    n = index.n_docs()
-    return index.term_df().where(F.col("df") > F.lit(min_doc_fraction) * n).select("term")
+    fraction of the documents of a field (the reference loads its list from a
+    file)."""
+    stats = F.broadcast(index.field_stats())
+    return (index.term_df().join(stats, "field")
+            .where(F.col("df") > F.lit(min_doc_fraction) * F.col("n_docs")).select("term").distinct())
 
 
 def tag_dictionary_terms(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
