@@ -41,27 +41,32 @@ class WindowSpec:
     specials: int = 3  # [CLS] q [SEP] c [SEP]
 
 
-def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
-                  num_partitions: int | None = None) -> DataFrame:
-    """``(key, tok_idx, token, start, end)``; offsets are 0-based code points,
-    end exclusive; blanks are not tokens."""
-    raw = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
-    # Segment after the shuffle: the raw text moves, not the (larger) arrays.
-    segs = F.regexp_extract_all(F.col("_t"), F.lit(SEGMENT), 0)
-    ex = posexplode_rows(raw, segs, ["_k"], "pos", "token")
+def _offsets(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Segments of ``text`` with offsets; ``frame`` must be hash-partitioned by
+    ``keys[0]`` so that the running-sum window needs no shuffle."""
+    segs = F.regexp_extract_all(F.col(text), F.lit(SEGMENT), 0)
+    ex = posexplode_rows(frame, segs, keys, "pos", "token")
     # One window computes both running sums: characters before the segment
     # (its start offset) and blank segments before it (to number the tokens).
-    before = Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ln = F.length("token")
-    blank = F.col("token").rlike(f"^{WS}$")
-    ex = ex.withColumn("_blank", blank).select(
-        "_k", "pos", "token", "_blank",
+    ex = ex.withColumn("_blank", F.col("token").rlike(f"^{WS}$")).select(
+        *keys, "pos", "token", "_blank",
         F.coalesce(F.sum(ln).over(before), F.lit(0)).alias("start"),
         F.coalesce(F.sum(F.col("_blank").cast("int")).over(before), F.lit(0)).alias("_nb"))
-    ex = ex.where(~F.col("_blank")).withColumns({"end": F.col("start") + ln, "tok_idx": F.col("pos") - F.col("_nb")})
-    return ex.select(F.col("_k").alias(key), "tok_idx", "token", F.col("start").cast("int").alias("start"),
-                     F.col("end").cast("int").alias("end"))
+    ex = ex.where(~F.col("_blank"))
+    return ex.select(*keys, (F.col("pos") - F.col("_nb")).alias("tok_idx"), "token",
+                     F.col("start").cast("int").alias("start"), (F.col("start") + ln).cast("int").alias("end"))
+
+
+def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
+                  num_partitions: int | None = None) -> DataFrame:
+    """``(key, tok_idx, token, start, end)``; offsets are 0-based code points,
+    end exclusive; blanks are not tokens. The raw text is shuffled by key and
+    segmented after the shuffle."""
+    raw = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
+    return _offsets(raw, ["_k"], "_t").withColumnRenamed("_k", key)
 
 
 def vocabulary_from_terms(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -113,21 +118,38 @@ def gather_tokens(tok: DataFrame, key: str = "id", prefix: str = "c") -> DataFra
     array<struct<start,end>>`` in token order."""
     items = F.array_sort(F.collect_list(F.struct("tok_idx", "tid", "start", "end")))
     g = tok.groupBy(key).agg(items.alias("_it"))
-    return g.select(key, F.transform("_it", lambda x: x["tid"]).alias(f"{prefix}_ids"),
-                    F.transform("_it", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-                    .alias(f"{prefix}_offs"))
+    return g.select(key, *_unzip("_it", prefix))
+
+
+def _unzip(items: str, prefix: str):
+    return (F.transform(items, lambda x: x["tid"]).alias(f"{prefix}_ids"),
+            F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+            .alias(f"{prefix}_offs"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str = "id", question: str = "question",
-           context: str = "context") -> DataFrame:
-    """W1 for both sides: ``key, q_ids, q_offs, c_ids, c_offs`` (+ other columns)."""
-    small = fits_broadcast(vocab)  # one size check for both sides
-    q = gather_tokens(token_ids(token_offsets(df, key, question), vocab, small), key, "q")
-    c = gather_tokens(token_ids(token_offsets(df, key, context), vocab, small), key, "c")
-    base = df.select(key)
+           context: str = "context", num_partitions: int | None = None) -> DataFrame:
+    """W1 for both sides: ``key, q_ids, q_offs, c_ids, c_offs``.
+
+    Question and context are tokenized in one pass: one shuffle of the raw
+    texts by key, one running-sum window over ``(key, side)``, one vocabulary
+    join and one gather that builds both arrays (filtered ``collect_list``).
+    """
+    raw = df.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(context).alias("_c"))
+    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_q").alias("_t")),
+                              F.struct(F.lit(1).alias("side"), F.col("_c").alias("_t"))))
+    both = raw.select("_k", sides.alias("_s")).select("_k", "_s.side", "_s._t")
+    tok = token_ids(_offsets(both, ["_k", "side"], "_t"), vocab)
+    item = F.struct("tok_idx", "tid", "start", "end")
+    g = tok.groupBy("_k").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, item))).alias("_qi"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, item))).alias("_ci"))
+    g = g.select(F.col("_k").alias(key), *_unzip("_qi", "q"), *_unzip("_ci", "c"))
+    # Examples whose texts yield no token at all still get (empty) arrays.
     empty_ids = F.array().cast("array<int>")
     empty_offs = F.array().cast("array<struct<start:int,end:int>>")
-    out = base.join(q, key, "left").join(c, key, "left")
+    out = df.select(key).join(g, key, "left")
     return out.select(key,
                       F.coalesce("q_ids", empty_ids).alias("q_ids"), F.coalesce("q_offs", empty_offs).alias("q_offs"),
                       F.coalesce("c_ids", empty_ids).alias("c_ids"), F.coalesce("c_offs", empty_offs).alias("c_offs"))
