@@ -176,6 +176,11 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
     else:
         lists = lists.withColumn("null_score", F.lit(None).cast("double"))
     ex = examples.select("id", "context")
+    # A duplicated example id is an error (the reference keeps the last one
+    # silently). The count runs on the id partitioning the join needs anyway.
+    dup = F.count("*").over(Window.partitionBy("id")) > 1
+    ex = ex.withColumn("context", F.when(dup, F.raise_error(F.concat(
+        F.lit("duplicate example id: "), F.col("id").cast("string")))).otherwise(F.col("context")))
     if mk:
         # One row per (example, model): a literal-array explode, not a cross join.
         ex = ex.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))

@@ -64,6 +64,18 @@ class OverlapModel:
         return starts, starts
 
 
+# Scorers selectable by name (the reference picks its network by model name).
+SCORERS: dict[str, Callable[[], Callable]] = {"lexical-overlap": OverlapModel}
+
+
+def score_by_name(features: DataFrame, name: str, key_cols=("feature_id",),
+                  input_cols=("input_ids", "sequence_ids", "q_ids")) -> DataFrame:
+    """M1 dispatch: run the scorer registered under ``name``."""
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name!r}; known: {sorted(SCORERS)}")
+    return score_with(features, SCORERS[name], key_cols, input_cols)
+
+
 def _lse(x: Column) -> Column:
     mx = F.array_max(x)
     return mx + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - mx)), F.lit(0.0), lambda a, v: a + v))

@@ -64,7 +64,6 @@ def model_scores(spark, sf):
     """M1 plug-in path: the numpy overlap model through Arrow batches."""
     f = _scored_features(spark, sf).select("id", "window", "input_ids", "sequence_ids", "q_ids",
                                            "attention_mask")
-    s = M.score_with(f, M.OverlapModel, key_cols=("id", "window"),
-                     input_cols=("input_ids", "sequence_ids", "q_ids"))
+    s = M.score_by_name(f, "lexical-overlap", key_cols=("id", "window"))
     return s.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
                     F.aggregate("start_logits", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("overlap"))
