@@ -49,14 +49,17 @@ def row_expectations(features: DataFrame, logits: DataFrame, splits: DataFrame,
     orphan = lg.join(f, key, "left_anti").select(F.count("*")).scalar()
     has_val = splits.where(F.col("split") == "validation").select(F.count("*")).scalar() > 0
     # A one-row frame to hang the scalar subqueries on.
+    # Each scalar subquery is referenced once (a repeated reference would run again).
     one = splits.sparkSession.range(1)
-    return one.select(
+    row = one.select(
         n_f.cast("bigint").alias("n_features"), n_l.cast("bigint").alias("n_logits"),
         missing.cast("bigint").alias("features_without_logits"),
         orphan.cast("bigint").alias("logits_without_features"),
-        (n_f == n_l).alias("counts_match"),
         has_val.alias("has_validation"),
         F.least(F.lit(requested_len), F.lit(model_limit)).cast("bigint").alias("max_seq_length"))
+    return row.select("n_features", "n_logits", "features_without_logits", "logits_without_features",
+                      (F.col("n_features") == F.col("n_logits")).alias("counts_match"),
+                      "has_validation", "max_seq_length")
 
 
 def predictions_to_rows(pred_map: DataFrame, col: str = "predictions") -> DataFrame:

@@ -18,9 +18,10 @@ from spanlake.session import ensure_checkpoint_dir
 
 
 def dense_index(df: DataFrame, order_cols, name: str = "ordinal",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Add a 0-based dense ``name`` column following ``order_cols`` (ties must not
-    exist: end the order with a unique key)."""
+    exist: end the order with a unique key). With ``total``, every row also gets
+    the row count (from the same per-partition counts, no extra job)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -31,10 +32,13 @@ def dense_index(df: DataFrame, order_cols, name: str = "ordinal",
               .checkpoint(eager=True))
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
     # One row per partition: a global window here is bounded by the partition count.
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
+    offs = counts.withColumns({
+        "_off": F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0)),
+        "_tot": F.sum("_n").over(Window.partitionBy(F.lit(0)))})
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-            .withColumn(name, (F.col("_off") + pos).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    out = (ranged.join(F.broadcast(offs.select("_pid", "_off", "_tot")), "_pid")
+           .withColumn(name, (F.col("_off") + pos).cast("bigint")))
+    if total:
+        out = out.withColumn(total, F.col("_tot").cast("bigint"))
+    return out.drop("_pid", "_mid", "_off", "_tot")

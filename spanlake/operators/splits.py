@@ -29,13 +29,13 @@ def assign_folds(df: DataFrame, k: int = 5, seed: int = 10, key: str = "id") ->
     """K2: ``fold`` in ``0..k-1``; shuffled by the seeded hash; sizes differ by at
     most one, the bigger folds first (``ntile`` semantics)."""
     h = df.withColumn("_h", seeded_hash(key, seed))
-    r = dense_index(h, ["_h", key], "_r")
-    n = r.select(F.count("*")).scalar()
+    r = dense_index(h, ["_h", key], "_r", total="_n")
+    n = F.col("_n")
     q = F.floor(n / k)
     m = n - q * k
     rr = F.col("_r")
     fold = F.when(rr < m * (q + 1), F.floor(rr / (q + 1))).otherwise(F.floor((rr - m) / q))
-    return r.withColumn("fold", fold.cast("int")).drop("_h", "_r")
+    return r.withColumn("fold", fold.cast("int")).drop("_h", "_r", "_n")
 
 
 def fold_parts(folded: DataFrame, k: int = 5) -> DataFrame:
