@@ -37,6 +37,14 @@ def bm25_topk(spark, sf):
                     F.col("doc_id").cast("bigint").alias("doc_id"), "score")
 
 
+@register("bm25_topk_pruned", BM25_TOPK_SQL)
+def bm25_topk_pruned(spark, sf):
+    """The same top-10 as ``bm25_topk``, through the exact pruned path."""
+    t = R.bm25_top_k_pruned(R.build_index(_passages(spark, sf)), FX.questions(spark, sf), K)
+    return t.select(F.col("qid").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                    F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+
+
 # ---------------------------------------------------------------- bm25_multifield
 MULTI_SQL = f"""
 with {PASSAGES}, {QUESTIONS}, {bm25_ctes('passages', 'text', 'questions', 't_')},

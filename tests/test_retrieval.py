@@ -91,3 +91,18 @@ def test_stopwords_and_dictionary(spark, frames):
     assert idx.postings.where(F.col("term").isin("is", "the")).count() == 0
     d = R.title_dictionary(spark.createDataFrame([("New (York) City",), ("  ",), ("City",)], "title string"))
     assert sorted(r.term for r in d.collect()) == ["City", "New", "York"]
+
+
+def test_pruned_top_k_equals_exact_on_skewed_corpus(spark):
+    # "the" is in every document (a hot term); rare terms decide the ranking
+    rows = [(i, f"d{i}", " ".join(["the"] * (1 + i % 4) + [f"w{i % 37}", f"v{i % 11}", f"u{i % 5}"]))
+            for i in range(400)]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
+    qs = spark.createDataFrame([(1, "the w3 v4"), (2, "the the u1"), (3, "the w36 w35 v0"), (4, "the")],
+                               "id bigint, question string")
+    idx = R.build_index(corpus)
+    for k in (1, 5, 10):
+        exact = sorted(tuple(r) for r in R.top_k(R.bm25(idx, qs), k).select("qid", "rank", "doc_id", "score").collect())
+        pruned = sorted(tuple(r) for r in R.bm25_top_k_pruned(idx, qs, k)
+                        .select("qid", "rank", "doc_id", "score").collect())
+        assert pruned == exact
