@@ -40,17 +40,21 @@ def clean_and_shift(df: DataFrame, context: str = "context", answers: str = "ans
     """
     start = first_answer_start(answers)
     ctx = F.col(context)
-    before = clean_qa(F.substr(ctx, F.lit(1), start))
-    after = clean_qa(F.substr(ctx, start + 1))
-    new_ctx = F.when(start.isNull(), clean_qa(ctx)).otherwise(F.concat(before, after))
+    # The cleaned halves are projected once (null without an answer): used in two
+    # conditional branches, they would otherwise be computed twice.
+    staged = df.withColumns({
+        "_cb": clean_qa(F.substr(ctx, F.lit(1), start)),
+        "_ca": clean_qa(F.substr(ctx, start + 1)),
+    })
+    new_ctx = F.when(start.isNull(), clean_qa(ctx)).otherwise(F.concat("_cb", "_ca"))
     old_starts = F.col(f"{answers}.answer_start")
     new_starts = F.when(start.isNull(), old_starts).otherwise(
-        F.concat(F.array(F.length(before).cast("int")),
+        F.concat(F.array(F.length("_cb").cast("int")),
                  F.slice(old_starts, 2, F.greatest(F.size(old_starts) - 1, F.lit(0)))))
     new_answers = F.struct(new_starts.alias("answer_start"),
                            F.transform(F.col(f"{answers}.text"), clean_qa).alias("text"))
     # One projection: both new columns must read the original context.
-    return df.withColumns({context: new_ctx, answers: new_answers})
+    return staged.withColumns({context: new_ctx, answers: new_answers}).drop("_cb", "_ca")
 
 
 def answer_span_check(df: DataFrame, context: str = "context", answers: str = "answers") -> DataFrame:
