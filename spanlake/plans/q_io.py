@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from spanlake.operators import cleaning as C
 from spanlake.operators import decode as D
 from spanlake.operators import evaluate as E
-from spanlake.operators import retrieval as R
 from spanlake.operators.common import r6
 from spanlake.plans import q_decode, q_evaluate, q_retrieval, q_text
 from spanlake.plans.registry import register
@@ -84,5 +83,3 @@ def roundtrip_splits(spark, sf):
     back = S.read_split(spark, path, "train").unionByName(S.read_split(spark, path, "validation"))
     return back.select("id", "split", "context", "answer_start", "answer_text")
 
-
-_ = R  # retrieval helpers are reached through q_retrieval

@@ -3,9 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from spanlake.session import scratch_path
 from spanlake.sources import io as S
 
@@ -108,4 +105,3 @@ def test_splits_partition_pruning(spark):
     assert [r.id for r in v.collect()] == [2]
     plan = v._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "validation" in plan
-    _ = (F, T)
