@@ -105,3 +105,14 @@ def test_splits_partition_pruning(spark):
     assert [r.id for r in v.collect()] == [2]
     plan = v._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "validation" in plan
+
+
+def test_prediction_map_rows_and_null_odds(spark):
+    from spanlake.operators.checks import predictions_to_rows
+    m = spark.createDataFrame([({"q1": "a", "q2": ""},)], "predictions map<string,string>")
+    assert sorted(tuple(r) for r in predictions_to_rows(m).collect()) == [("q1", "a"), ("q2", "")]
+    odds = spark.createDataFrame([("q1", 0.5), ("q2", -1.25)], "id string, score_diff double")
+    out = S.write_null_odds(odds, scratch_path(spark, "odds"), prefix="m1")
+    assert out.endswith("null_odds_m1")
+    back = sorted(tuple(r) for r in spark.read.schema("id string, score_diff double").json(out).collect())
+    assert back == [("q1", 0.5), ("q2", -1.25)]

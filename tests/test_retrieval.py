@@ -106,3 +106,21 @@ def test_pruned_top_k_equals_exact_on_skewed_corpus(spark):
         pruned = sorted(tuple(r) for r in R.bm25_top_k_pruned(idx, qs, k)
                         .select("qid", "rank", "doc_id", "score").collect())
         assert pruned == exact
+
+
+def test_save_load_index_and_dictionary_tags(spark, frames):
+    from spanlake.session import scratch_path
+    corpus, qs = frames
+    idx = R.build_index(corpus)
+    path = scratch_path(spark, "index")
+    R.save_index(idx, path)
+    loaded = R.load_index(spark, path)
+    a = sorted(tuple(r) for r in R.top_k(R.bm25(idx, qs), 3).collect())
+    b = sorted(tuple(r) for r in R.top_k(R.bm25(loaded, qs), 3).collect())
+    assert a == b
+    toks = R.tokens(corpus)
+    d = spark.createDataFrame([("Seoul",), ("Korea",)], "term string")
+    tagged = R.tag_dictionary_terms(toks, d)
+    hits = {r.term for r in tagged.where("is_title_term").collect()}
+    assert hits == {"seoul", "korea"}
+    assert tagged.count() == toks.count()
