@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.operators.windows import UNK_ID
+from spanlake.session import ship_package
 
 
 def lexical_logits(features: DataFrame) -> DataFrame:
@@ -36,6 +37,7 @@ def score_with(features: DataFrame, model_factory: Callable[[], Callable], key_c
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
     schema += ", start_logits array<float>, end_logits array<float>"
     keys = list(key_cols)
+    ship_package(features.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()

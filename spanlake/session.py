@@ -70,3 +70,41 @@ def local_fs_path(path: str) -> str:
 
 def path_exists(path: str) -> bool:
     return os.path.exists(local_fs_path(path)) if is_local_path(path) else True
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``spanlake`` package importable in Python workers.
+
+    Needed by the ``mapInPandas`` scorer path: its functions are pickled by
+    reference. The package is zipped once per application into the shared
+    checkpoint folder and added with ``addPyFile``. When that folder is not a
+    local path (a cluster file system), the package is expected to be installed
+    on the executors or passed with ``--py-files``.
+    """
+    import zipfile
+
+    import spanlake
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    if not is_local_path(base):
+        _SHIPPED.add(sc.applicationId)
+        return
+    pkg = os.path.dirname(os.path.abspath(spanlake.__file__))
+    root = os.path.dirname(pkg)
+    out_dir = os.path.join(local_fs_path(base), "spanlake-pyfiles", sc.applicationId)
+    os.makedirs(out_dir, exist_ok=True)
+    path = os.path.join(out_dir, "spanlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
