@@ -59,9 +59,8 @@ class OverlapModel:
         starts = []
         for ids, seq, q in zip(pdf["input_ids"], pdf["sequence_ids"], pdf["q_ids"]):
             ids = np.asarray(ids)
-            seq = np.asarray([(-1 if s is None or (isinstance(s, float) and np.isnan(s)) else s) for s in seq])
-            qset = np.asarray(q)
-            hit = (seq == 1) & (ids != UNK_ID) & np.isin(ids, qset)
+            seq = np.asarray(seq, dtype=np.float64)  # nulls (special tokens, padding) -> nan
+            hit = (seq == 1) & (ids != UNK_ID) & np.isin(ids, np.asarray(q))
             starts.append(hit.astype(np.float32))
         return starts, starts
 
