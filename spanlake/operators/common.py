@@ -22,6 +22,20 @@ def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def let(values: dict, body) -> Column:
+    """Evaluate ``values`` once per row and use them in ``body``.
+
+    Catalyst collapses projections by inlining a column's expression where it is
+    used; inside a lambda of ``transform``/``filter``/``aggregate`` that means once
+    per array element (a padded array rebuilt 200 times per row, say). The array
+    argument of a higher-order function is evaluated once, so binding the values
+    as the single element of a one-element array keeps them computed once:
+    ``body`` receives a struct whose fields are the bound values.
+    """
+    bound = F.array(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, body), 0)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Bounded check: does ``df`` have at most ``max_rows`` rows? Use it on a cheap
     frame whose size bounds the side to broadcast (e.g. the questions bound the

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.operators.common import explode_rows, posexplode_rows
+from spanlake.operators.common import explode_rows, let, posexplode_rows
 
 N_BEST = 20
 MAX_ANSWER_LENGTH = 30
@@ -70,27 +70,35 @@ def feature_candidates(features: DataFrame, n_best: int = N_BEST, max_answer_len
     Columns: ``example_id, feature_id, start_rank, end_rank, start_idx, end_idx,
     start_logit, end_logit, score, char_start, char_end``.
     """
-    offsets = F.col("offset_mapping")
-    max_ctx = (F.col("token_is_max_context")
-               if use_max_context and "token_is_max_context" in features.columns else None)
-    starts = top_indexes(F.col("start_logits"), n_best)
-    ends = top_indexes(F.col("end_logits"), n_best)
-
-    def pairs(s):
-        return F.transform(
-            F.filter(ends, lambda e: _valid(s, e, offsets, max_ctx, max_answer_length)),
-            lambda e: F.struct(
-                (-(s["logit"] + e["logit"])).alias("neg_score"),
-                s["rank"].alias("start_rank"), e["rank"].alias("end_rank"),
-                s["idx"].alias("start_idx"), e["idx"].alias("end_idx"),
-                s["logit"].alias("start_logit"), e["logit"].alias("end_logit"),
-                F.get(offsets, s["idx"])["start"].alias("char_start"),
-                F.get(offsets, e["idx"])["end"].alias("char_end")))
-
-    cands = F.flatten(F.transform(starts, pairs))
-    if per_feature_cut:
-        # Sorted by (-score, start_rank, end_rank): the feature's own best n.
-        cands = F.slice(F.array_sort(cands), 1, n_best)
+    with_mc = use_max_context and "token_is_max_context" in features.columns
+    bound = {"o": "offset_mapping", "s": top_indexes(F.col("start_logits"), n_best),
+             "e": top_indexes(F.col("end_logits"), n_best)}
+    if with_mc:
+        bound["m"] = "token_is_max_context"
+
+    def per_feature(v):
+        # Offsets, the max-context map and both top-n lists are bound once per
+        # feature row (see ``let``), not re-evaluated for every (start, end) pair.
+        offsets, ends, max_ctx = v["o"], v["e"], (v["m"] if with_mc else None)
+
+        def pairs(s):
+            return F.transform(
+                F.filter(ends, lambda e: _valid(s, e, offsets, max_ctx, max_answer_length)),
+                lambda e: F.struct(
+                    (-(s["logit"] + e["logit"])).alias("neg_score"),
+                    s["rank"].alias("start_rank"), e["rank"].alias("end_rank"),
+                    s["idx"].alias("start_idx"), e["idx"].alias("end_idx"),
+                    s["logit"].alias("start_logit"), e["logit"].alias("end_logit"),
+                    F.get(offsets, s["idx"])["start"].alias("char_start"),
+                    F.get(offsets, e["idx"])["end"].alias("char_end")))
+
+        cands = F.flatten(F.transform(v["s"], pairs))
+        if per_feature_cut:
+            # Sorted by (-score, start_rank, end_rank): the feature's own best n.
+            cands = F.slice(F.array_sort(cands), 1, n_best)
+        return cands
+
+    cands = let(bound, per_feature)
     rows = explode_rows(features, cands, [*_model(features), "example_id", "feature_id"], "c")
     return rows.select(*_model(features), "example_id", "feature_id", "c.start_rank", "c.end_rank", "c.start_idx", "c.end_idx",
                        "c.start_logit", "c.end_logit", (-F.col("c.neg_score")).alias("score"),
@@ -203,11 +211,15 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
     staged = joined.select("id", *mk, "null_score", texted.alias("p0"))
     staged = staged.select("id", *mk, "null_score",
                            F.when(need, F.concat(F.array(empty), F.col("p0"))).otherwise(F.col("p0")).alias("p1"))
-    # Max-shifted softmax over the list (the fallback row counts).
-    mx = F.array_max(F.transform("p1", lambda p: p["score"]))
-    exps = F.transform("p1", lambda p: F.exp(p["score"] - mx))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    preds = F.zip_with("p1", exps, lambda p, x: p.withField("probability", x / total))
+    # Max-shifted softmax over the list (the fallback row counts); the max,
+    # the exponentials and their total are each bound once per example.
+    def softmax(b):
+        return let({"p": b["p"], "m": F.array_max(F.transform(b["p"], lambda p: p["score"]))}, lambda c: let(
+            {"p": c["p"], "x": F.transform(c["p"], lambda p: F.exp(p["score"] - c["m"]))}, lambda d: let(
+                {"p": d["p"], "x": d["x"], "t": F.aggregate(d["x"], F.lit(0.0), lambda acc, x: acc + x)},
+                lambda f: F.zip_with(f["p"], f["x"], lambda p, x: p.withField("probability", x / f["t"])))))
+
+    preds = let({"p": "p1"}, softmax)
     return staged.select("id", *mk, "null_score", preds.alias("preds"))
 
 

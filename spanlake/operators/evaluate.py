@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import squad_normalize, squad_tokens
+from spanlake.operators.common import let
 
 
 def _overlap(p: Column, g: Column) -> Column:
@@ -21,11 +22,15 @@ def _overlap(p: Column, g: Column) -> Column:
 
 
 def f1_pair(pred_tokens: Column, gold_tokens: Column) -> Column:
-    """SQuAD token F1 of one prediction against one gold answer (0 when no overlap)."""
-    ov = _overlap(pred_tokens, gold_tokens).cast("double")
-    prec = ov / F.size(pred_tokens)
-    rec = ov / F.size(gold_tokens)
-    return F.when(ov == 0, F.lit(0.0)).otherwise(F.lit(2.0) * prec * rec / (prec + rec))
+    """SQuAD token F1 of one prediction against one gold answer (0 when no overlap).
+    Both token lists are bound once (they are used inside the overlap lambdas)."""
+    def body(v):
+        p, g = v["p"], v["g"]
+        ov = _overlap(p, g).cast("double")
+        prec = ov / F.size(p)
+        rec = ov / F.size(g)
+        return F.when(ov == 0, F.lit(0.0)).otherwise(F.lit(2.0) * prec * rec / (prec + rec))
+    return let({"p": pred_tokens, "g": gold_tokens}, body)
 
 
 def golds(answers: str = "answers") -> Column:
@@ -37,11 +42,9 @@ def golds(answers: str = "answers") -> Column:
 def score_rows(predictions: DataFrame, references: DataFrame, answers: str = "answers") -> DataFrame:
     """E1 + E2 per example: ``(id, exact_match, f1)`` in [0, 1]; max over golds."""
     j = predictions.join(references.select("id", F.col(answers).alias("_ans")), "id")
-    g = golds("_ans")
-    pn = squad_normalize("prediction_text")
-    pt = squad_tokens("prediction_text")
-    em = F.exists(g, lambda x: squad_normalize(x) == pn).cast("double")
-    f1 = F.array_max(F.transform(g, lambda x: f1_pair(pt, squad_tokens(x))))
+    bound = {"g": golds("_ans"), "pn": squad_normalize("prediction_text"), "pt": squad_tokens("prediction_text")}
+    em = let(bound, lambda v: F.exists(v["g"], lambda x: squad_normalize(x) == v["pn"]).cast("double"))
+    f1 = let(bound, lambda v: F.array_max(F.transform(v["g"], lambda x: f1_pair(v["pt"], squad_tokens(x)))))
     return j.select("id", em.alias("exact_match"), f1.alias("f1"))
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.operators.common import let
 from spanlake.operators.windows import UNK_ID
 from spanlake.session import ship_package
 
@@ -23,9 +24,9 @@ def lexical_logits(features: DataFrame) -> DataFrame:
     """Built-in scorer: logit 1.0 at context tokens whose id occurs in the
     question (``[UNK]`` excluded), else 0.0; the same array for start and end.
     Needs ``input_ids, sequence_ids, q_ids``."""
-    hit = F.transform("input_ids", lambda t, i: F.when(
-        (F.get(F.col("sequence_ids"), i) == 1) & (t != UNK_ID) & F.array_contains(F.col("q_ids"), t),
-        F.lit(1.0)).otherwise(F.lit(0.0)))
+    hit = let({"ids": "input_ids", "seq": "sequence_ids", "q": "q_ids"}, lambda v: F.zip_with(
+        v["ids"], v["seq"], lambda t, s: F.when((s == 1) & (t != UNK_ID) & F.array_contains(v["q"], t),
+                                                F.lit(1.0)).otherwise(F.lit(0.0))))
     return features.withColumns({"start_logits": hit, "end_logits": hit})
 
 
@@ -78,8 +79,16 @@ def score_by_name(features: DataFrame, name: str, key_cols=("feature_id",),
 
 
 def _lse(x: Column) -> Column:
-    mx = F.array_max(x)
-    return mx + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - mx)), F.lit(0.0), lambda a, v: a + v))
+    """log-sum-exp, max-shifted; ``x`` and its max are bound once per row."""
+    return let({"x": x}, lambda b: let({"x": b["x"], "m": F.array_max(b["x"])}, lambda v: v["m"] + F.log(
+        F.aggregate(F.transform(v["x"], lambda e: F.exp(e - v["m"])), F.lit(0.0), lambda a, e: a + e))))
+
+
+def _ce(x: Column, pos: Column) -> Column:
+    """Cross-entropy at ``pos`` clamped to ``[0, L]``; ``L`` (ignored) -> null."""
+    n = F.size(x)
+    p = F.least(F.greatest(pos, F.lit(0)), n)
+    return F.when(p < n, _lse(x) - F.get(x, p))
 
 
 def span_loss(df: DataFrame, start_logits: str = "start_logits", end_logits: str = "end_logits",
@@ -92,10 +101,8 @@ def span_loss(df: DataFrame, start_logits: str = "start_logits", end_logits: str
     """
     out = {}
     for side, lg, pos in (("start", start_logits, start_positions), ("end", end_logits, end_positions)):
-        x = F.transform(F.col(lg), lambda v: v.cast("double"))
-        n = F.size(lg)
-        p = F.least(F.greatest(F.col(pos), F.lit(0)), n)
-        out[side] = F.when(p < n, _lse(x) - F.get(x, p))
+        out[side] = let({"x": F.transform(F.col(lg), lambda v: v.cast("double")), "pos": F.col(pos)},
+                        lambda b: _ce(b["x"], b["pos"]))
     r = df.select(out["start"].alias("ce_s"), out["end"].alias("ce_e"))
     agg = r.agg(F.avg("ce_s").alias("start_loss"), F.avg("ce_e").alias("end_loss"),
                 F.count("ce_s").cast("bigint").alias("n_start"), F.count("ce_e").cast("bigint").alias("n_end"))
