@@ -63,8 +63,8 @@ def test_nbest_object_and_lines(spark):
     rows = S.read_nbest_object(spark, path)
     got = sorted((r.id, r.rank, r.text, r.probability) for r in rows.collect())
     assert got == [("q1", 1, "a", 0.7), ("q1", 2, "b", 0.3), ("q2", 1, "empty", 1.0)]
-    out = S.write_nbest(rows, scratch_path(spark, "nbest-lines"), prefix="roberta")
-    assert out.endswith("nbest_predictions_roberta")
+    out = S.write_nbest(rows, scratch_path(spark, "nbest-lines"), prefix="m1")
+    assert out.endswith("nbest_predictions_m1")
     back = sorted((r.id, r.rank, r.text, r.probability) for r in S.read_nbest_lines(spark, out).collect())
     assert back == got
 
