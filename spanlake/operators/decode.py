@@ -180,7 +180,9 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
     nulls = null_scores(features) if null_mode else None
     lists = gather(example_topn(cands, n_best, nulls))
     if nulls is not None:
-        lists = lists.join(nulls.select(*mk, "example_id", "null_score"), [*mk, "example_id"], "left")
+        # The null candidate is kept in every list: read its score from the array
+        # (no second aggregation of the features, no join).
+        lists = lists.withColumn("null_score", F.get(F.filter("cands", lambda c: c["is_null"]), 0)["score"])
     else:
         lists = lists.withColumn("null_score", F.lit(None).cast("double"))
     ex = examples.select("id", "context")
