@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import contamination
 from spanlake.llm.registry import read, register
+from spanlake.llm.simhash import near_duplicates
 
 OP1_SQL = r"""
 with w as (select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -34,3 +36,9 @@ from w left join words using (r) left join items using (r)
 def op1(spark, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register("op4_simhash_near_dedup")
+def op4(spark, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
