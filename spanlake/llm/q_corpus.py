@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import contamination
+from spanlake.llm.lines import rebuilt_documents
+from spanlake.llm.packing import pack_documents
 from spanlake.llm.registry import read, register
+from spanlake.llm.sharding import shard_by_bytes
 from spanlake.llm.simhash import near_duplicates
 
 OP1_SQL = r"""
@@ -42,3 +45,36 @@ def op1(spark, sf_dir: str) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op2_best_fit_packing")
+def op2(spark, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+rep as (select key, max(doc_id) as kept from k where length(key) >= 40
+        group by key having count(distinct doc_id) >= 5),
+m as (select k.*, rep.key is not null and doc_id <> rep.kept as gone from k left join rep using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by r, doc_id
+"""
+
+
+@register("op7_line_dedup", OP7_SQL)
+def op7(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out, n_lines, n_dropped = rebuilt_documents(docs)
+    return out.select("doc_id", n_lines, n_dropped, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op10_sharding")
+def op10(spark, sf_dir: str) -> DataFrame:
+    found = shard_by_bytes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
