@@ -9,6 +9,7 @@ from spanlake.llm.decontamination import contamination
 from spanlake.llm.lines import rebuilt_documents
 from spanlake.llm.packing import pack_documents
 from spanlake.llm.registry import read, register
+from spanlake.llm.repetition import quality
 from spanlake.llm.sharding import shard_by_bytes
 from spanlake.llm.simhash import near_duplicates
 
@@ -78,3 +79,8 @@ def op10(spark, sf_dir: str) -> DataFrame:
     found = shard_by_bytes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op3_quality_repetition")
+def op3(spark, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"))
