@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import contamination
+from spanlake.llm.language import learn, predict
 from spanlake.llm.lines import rebuilt_documents
 from spanlake.llm.packing import pack_documents
 from spanlake.llm.registry import read, register
@@ -84,3 +85,14 @@ def op10(spark, sf_dir: str) -> DataFrame:
 @register("op3_quality_repetition")
 def op3(spark, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id="doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@register("op9_language_id")
+def op9(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = predict(docs, learn(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
