@@ -9,6 +9,7 @@ from spanlake.llm.decontamination import contamination
 from spanlake.llm.language import learn, predict
 from spanlake.llm.lines import rebuilt_documents
 from spanlake.llm.packing import pack_documents
+from spanlake.llm.pages import main_texts
 from spanlake.llm.registry import read, register
 from spanlake.llm.repetition import quality
 from spanlake.llm.sharding import shard_by_bytes
@@ -96,3 +97,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, learn(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op8_html_extraction")
+def op8(spark, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
