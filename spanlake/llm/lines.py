@@ -4,11 +4,9 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 of at least ``min_chars`` code points that are found in at least ``min_docs`` documents
 lose all their lines except in the largest id that holds them; all other lines stay.
 
-1. Every task marks its lines' hashes in a filter of those seen once and one of those
-   seen twice. The filters are cut into segments, shuffled by segment and folded one
-   after another: a bit is seen twice if two tasks have it. The twice-seen filter has
-   ``filter_bits`` bits whatever the data, which bounds its broadcast; more lines than
-   it was sized for only mean more suspects, never a different result.
+1. Every task marks its lines' hashes in two filters of fixed size, one of those seen
+   once and one of those seen twice, which are merged by segment (``twice_seen``). More
+   lines than the filters were sized for only mean more suspects, never another result.
 2. Only lines that the twice-seen filter suspects are shuffled, as a 128-bit digest and
    an id, once per document. Exact counts of documents and the largest id are partial
    aggregates, so a line that a third of all documents hold is no hot task.
@@ -32,13 +30,11 @@ from pyspark.sql import types as T
 from spanlake.llm.shared import arrow_schema, free_name, written
 from spanlake.llm.textarrays import (BLANK, CONTINUATION, LOWER, Powers, prefix_sums,
                                      range_hashes, slices)
+from spanlake.llm.twice_seen import passes, twice_seen
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 FILTER_BITS = 1 << 26
-SEGMENT_BITS = 1 << 20
-FILTERS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("once", T.BinaryType()),
-                        T.StructField("twice", T.BinaryType())])
 
 
 def _keys(data: np.ndarray, offsets: np.ndarray, min_chars: int, powers: Powers):
@@ -65,59 +61,13 @@ def _keys(data: np.ndarray, offsets: np.ndarray, min_chars: int, powers: Powers)
     return low, rows[at], start[at], stop[at], hashes[at]
 
 
-def _bits(hashes: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64(filter_bits)
-    return hashes % m, (hashes >> np.uint64(20)) * np.uint64(0xD6E8FEB86659FD93) % m
-
-
-def _mark(batches, min_chars: int, filter_bits: int, schema: pa.Schema):
-    powers = Powers()
-    once, twice = np.zeros(filter_bits, bool), np.zeros(filter_bits, bool)
-    for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
-            hashes = _keys(data, offsets, min_chars, powers)[4]
-            kinds, counts = np.unique(hashes, return_counts=True)
-            a, b = _bits(kinds, filter_bits)
-            again = (counts > 1) | (once[a] & once[b])
-            for bits in (a, b):
-                twice[bits[again]] = True
-                once[bits] = True
-    for k, at in enumerate(range(0, filter_bits, SEGMENT_BITS)):
-        part = once[at:at + SEGMENT_BITS]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary()),
-                pa.array([np.packbits(twice[at:at + SEGMENT_BITS]).tobytes()], pa.binary())], schema=schema)
-
-
-def _fold(batches, schema: pa.Schema):
-    """Tasks' segments, in any order, into one per segment."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for k, o, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            o, t = np.frombuffer(o.as_py(), np.uint8), np.frombuffer(t.as_py(), np.uint8)
-            if k in held:
-                once, twice = held[k]
-                held[k] = once | o, twice | t | (once & o)
-            else:
-                held[k] = o, t
-    for k, (once, twice) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once.tobytes()], pa.binary()),
-                                          pa.array([twice.tobytes()], pa.binary())], schema=schema)
-
-
-def _suspects(batches, min_chars: int, filter_bits: int, twice: np.ndarray, schema: pa.Schema):
+def _suspects(batches, min_chars: int, twice: np.ndarray, schema: pa.Schema):
     powers = Powers()
-
-    def seen_twice(bits):
-        return (twice[(bits >> np.uint64(3)).astype(np.int64)] >> (7 - (bits & np.uint64(7))).astype(np.uint8) & 1) > 0
-
     for batch in batches:
         at, digests = [], []
         for lo, _, data, offsets in slices(batch.column(1)):
             low, rows, start, stop, hashes = _keys(data, offsets, min_chars, powers)
-            a, b = _bits(hashes, filter_bits)
-            for i in np.flatnonzero(seen_twice(a) & seen_twice(b)):
+            for i in np.flatnonzero(passes(twice, hashes)):
                 at.append(lo + int(rows[i]))
                 digests.append(xxhash.xxh3_128_digest(low[start[i]:stop[i]].tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())),
@@ -158,19 +108,17 @@ def _rebuilt(batches, text: int, drops: int, min_chars: int, schema: pa.Schema):
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                    min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(id, drops)``: the digests of the keys whose lines each document loses."""
-    filters = arrow_schema(FILTERS)
-    marked = docs.select(text_col).mapInArrow(
-        partial(_mark, min_chars=min_chars, filter_bits=filter_bits, schema=filters), FILTERS)
-    folded = marked.repartition("segment").mapInArrow(partial(_fold, schema=filters), FILTERS)
-    twice = np.zeros(filter_bits // 8, np.uint8)
-    for r in folded.select("segment", "twice").collect():  # filter_bits / 8 bytes in all
-        part = np.frombuffer(r["twice"], np.uint8)
-        at = r["segment"] * SEGMENT_BITS // 8
-        twice[at:at + len(part)] = part
+    powers = Powers()
+
+    def hashes_of(batch):
+        for _, _, data, offsets in slices(batch.column(0)):
+            yield _keys(data, offsets, min_chars, powers)[4]
+
+    twice = twice_seen(docs.select(text_col), hashes_of, filter_bits)
     source = docs.select(id_col, text_col)
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("digest", T.BinaryType())])
     suspects = written(source.mapInArrow(partial(
-        _suspects, min_chars=min_chars, filter_bits=filter_bits, twice=twice, schema=arrow_schema(schema)), schema),
+        _suspects, min_chars=min_chars, twice=twice, schema=arrow_schema(schema)), schema),
         "suspect-lines")
     confirmed = (suspects.groupBy("digest")
                  .agg(F.count_distinct(F.struct(id_col)).alias("n"), F.max(id_col).alias("kept"))

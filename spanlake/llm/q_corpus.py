@@ -10,10 +10,12 @@ from spanlake.llm.language import learn, predict
 from spanlake.llm.lines import rebuilt_documents
 from spanlake.llm.packing import pack_documents
 from spanlake.llm.pages import main_texts
+from spanlake.llm.privacy import personal_data
 from spanlake.llm.registry import read, register
 from spanlake.llm.repetition import quality
 from spanlake.llm.sharding import shard_by_bytes
 from spanlake.llm.simhash import near_duplicates
+from spanlake.llm.suffixes import deduplicated_bytes
 
 OP1_SQL = r"""
 with w as (select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -102,3 +104,13 @@ def op9(spark, sf_dir: str) -> DataFrame:
 @register("op8_html_extraction")
 def op8(spark, sf_dir: str) -> DataFrame:
     return main_texts(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op6_pii")
+def op6(spark, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
+@register("op5_suffix_array_dedup")
+def op5(spark, sf_dir: str) -> DataFrame:
+    return deduplicated_bytes(read(spark, sf_dir, "documents"), with_bytes=False)
