@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: adaptive execution re-plans joins and coalesces
 # small shuffle partitions at runtime, and splits skewed join partitions.
@@ -40,26 +40,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share.
 
-    On a cluster the setting names shared storage and is used as is. Only when it
-    is unset (local tests) is a private folder created.
+    It is the application's checkpoint folder: the one given to
+    ``setCheckpointDir`` or named by ``spark.checkpoint.dir``. Only a local master,
+    whose executors are the driver's own threads, gets a private folder if there is
+    none; on a cluster that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spanlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
+    if path is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("no shared folder: set spark.checkpoint.dir or call setCheckpointDir")
+            path = tempfile.mkdtemp(prefix="spanlake-ckpt-")
+        sc.setCheckpointDir(path)
+        path = sc.getCheckpointDir()
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp)."""
+    """A fresh folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/spanlake-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_local_path(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 
