@@ -14,13 +14,14 @@ however many pieces there are. Pieces then find their place by their rank within
 length, which Spark computes in salted groups.
 
 Texts are split at spaces and line breaks, which the tokenizer drops and across which
-it makes no token, and the ids of short words are remembered by each task; whole texts
-are tokenized. Null and empty texts have the closing id alone. Repeated rows are packed
+it makes no token, and each worker remembers the ids of short words while it works on
+one job; whole texts are tokenized. Null and empty texts have the closing id alone. Repeated rows are packed
 once each; documents without an id are packed like others.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, rank_within, written
+from spanlake.llm.shared import arrow_schema, kept_by_worker, rank_within, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
-REMEMBERED = 300_000  # words a task remembers; then it starts anew
+REMEMBERED = 1_500_000  # words a worker remembers; then it starts anew
 LONG_WORD = 64
 
 
@@ -47,7 +48,13 @@ def tokenizer_text(path: str | None = None) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    New words are tokenized many at a time, with a separator word of one id between
+    them; words that contain the separator's character are tokenized by themselves.
+    """
+
+    SEPARATOR = "|"
 
     def __init__(self, tokenizer: str):
         import os
@@ -56,25 +63,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        (self.separator,) = self._ids([self.SEPARATOR])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]):
+        alone = [w for w in new if self.SEPARATOR in w]
+        self.words.update(zip(alone, (np.array(x, "<u4").tobytes() for x in self._ids(alone))))
+        words = [w for w in new if self.SEPARATOR not in w]
+        between = f" {self.SEPARATOR} "
+        joined = [between.join(words[i:i + 256]) + between for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.empty(0, "<u4"), *(np.array(x, "<u4") for x in self._ids(joined))])
+        ends = np.flatnonzero(ids == self.separator).tolist()
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.words[w] = raw[4 * at:4 * end]
+            at = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self.words)
+        every = set().union(*split)
+        new = every.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {"": b""}
-            new = {w for words in split for w in words if w}
-        new = list(new)
-        if new:
-            self.words.update(zip(new, self._encode(new)))
-        ids = self.words
-        out = [b"".join([ids[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del ids[w]
+            new = every - {""}
+        self._learn(list(new))
+        of = self.words.__getitem__
+        out = [b"".join(map(of, words)) for words in split]
+        for w in [w for w in new if len(w) > LONG_WORD]:
+            del self.words[w]
         return out
 
 
@@ -89,7 +107,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType(fields)
     arrow = arrow_schema(schema)
-    file = tokenizer_text(tokenizer)
+    file, job = tokenizer_text(tokenizer), uuid.uuid4().hex
     closing = CLOSING_ID.to_bytes(4, "little")
 
     def groups(texts):
@@ -104,7 +122,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             yield group
 
     def cut(batches):
-        encoder = Encoder(file)
+        encoder = kept_by_worker(job, lambda: Encoder(file))
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             row = 0

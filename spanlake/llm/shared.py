@@ -3,21 +3,14 @@ that are free, and ranks within groups of any size."""
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.session import scratch_path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared checkpoint folder: its lineage is
-    cut, and it survives the loss of executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from spanlake.session import written  # noqa: F401  (used by the operators)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -26,6 +19,16 @@ def free_name(df: DataFrame, base: str) -> str:
     return base if base not in have else f"{base}_{uuid.uuid4().hex[:8]}"
 
 
+def kept_by_worker(job: str, make):
+    """What ``make()`` returns, made once per Python worker and job: the tasks of one
+    job that a worker runs after another share it. (Functions are pickled by value, so
+    in a worker they have no module to keep it in.)"""
+    held = getattr(sys, "_spanlake_kept", None)
+    if held is None or held[0] != job:
+        held = sys._spanlake_kept = (job, make())
+    return held[1]
+
+
 def arrow_schema(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)
