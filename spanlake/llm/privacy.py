@@ -18,7 +18,7 @@ and a term discloses the entity if PMI >= ``threshold`` * IC, that is, if knowin
 leaves little of the entity unknown. Estimates from a few copies of one passage say
 nothing, so a pair counts only if it stands in at least ``min_contexts`` different
 contexts. A disclosing term becomes a span of kind ``term`` wherever it is a word of a
-document that holds the entity; spans never replace base spans. :func:`sanitised`
+document that holds the entity, outside base spans, which all stay. :func:`sanitised`
 generalises every span to the name of its kind.
 
 Counts are over all documents; each term of a document counts once. Document
@@ -166,8 +166,10 @@ def _with_spans(docs: DataFrame, text_col: str, rules: Disclosure) -> tuple[Data
     word_spans = _matches(text, rf"\p{{L}}{{{rules.min_letters},}}")
     none = F.array().cast(f"array<{SPAN}>")
     term = free_name(docs, "_term")
+    base = F.concat(*names.values())
     told = told.withColumn(term, F.when(F.col("terms").isNotNull(), F.filter(
-        word_spans, lambda s: F.array_contains("terms", F.lower(s["value"])))).otherwise(none)).drop("terms", keep)
+        word_spans, lambda s: F.array_contains("terms", F.lower(s["value"])) & ~F.exists(
+            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)).drop("terms", keep)
     return told, docs.where(~gate), [*names.values(), term]
 
 
@@ -191,12 +193,12 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def sanitised(docs: DataFrame, *, text_col: str = "text", rules: Disclosure = Disclosure()) -> DataFrame:
     """The documents with every span generalised to the name of its kind in brackets
-    (where spans overlap, to that of the one that begins first, over all of them);
+    (where spans overlap, to that of the first and then longest, over all of them);
     columns as they came."""
     told, clear, names = _with_spans(docs, text_col, rules)
 
     def named(kind, column):
-        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["end"].alias("end"),
                                                       F.lit(f"[{kind.upper()}]").alias("name")))
     spans = F.array_sort(F.concat(*map(named, (*KINDS, "term"), names)))
     text = F.coalesce(F.col(text_col), F.lit(""))
