@@ -8,8 +8,8 @@ of the largest score, with its share of all (uniform prior) as ``score``.
 
 Words are the lower-cased text's runs without white space behind a word-begin mark;
 a character that is no piece is one unknown piece. Words of over ``PART`` characters
-are scored in parts. Whole texts are scored; each task remembers the scores of the
-words it has met.
+are scored in parts. Whole texts are scored; each worker remembers the scores
+of the words it has met in a job.
 
 Learning is expectation maximisation in Spark: words are counted per language, every
 task adds up the pieces its words are expected to use (forward and backward), and the
@@ -24,6 +24,7 @@ Only the id, text and label columns are read.
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, written
+from spanlake.llm.shared import arrow_schema, kept_by_worker, written
 from spanlake.llm.textarrays import Powers, prefix_sums, range_hashes
 
 MARK = "▁"
@@ -270,10 +271,10 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     source = docs.select(id_col, text_col)
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    arrow = arrow_schema(schema)
+    arrow, job = arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = kept_by_worker(job, lambda: Scorer(model))
         for batch in batches:
             langs, scores = _predict_column(scorer, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()),
@@ -285,10 +286,10 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_sco
                languages: list[str] | None = None) -> DataFrame:
     """The documents whose language is known with at least ``min_score`` (and is one of
     ``languages``, if given); columns as they came."""
-    text = docs.columns.index(text_col)
+    text, job = docs.columns.index(text_col), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = kept_by_worker(job, lambda: Scorer(model))
         for batch in batches:
             langs, scores = _predict_column(scorer, batch.column(text).to_pylist())
             keep = [lang != "und" and s >= min_score and (languages is None or lang in languages)
