@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest side (rows) that may be broadcast. A side is broadcast only after its
-# row count has been checked against this bound; above it the join shuffles and
+from spanlake.session import written
+
+# Largest side (bytes of its values) that may be broadcast. A side is broadcast only
+# after its size has been checked against this bound; above it the join shuffles and
 # adaptive execution handles skewed keys.
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 32 << 20
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of the values, by one partially aggregated pass."""
+    width = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("bigint") if isinstance(f.dataType, T.StringType)
+             else F.lit(8).cast("bigint") for f in df.schema if not isinstance(f.dataType, NESTED)]
+    width += [F.octet_length(F.to_json(F.struct(f.name))).cast("bigint") for f in df.schema if isinstance(f.dataType, NESTED)]
+    total = width[0]
+    for w in width[1:]:
+        total = total + w
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"]
 
-    The check reads at most ``max_rows + 1`` rows, so it is bounded even when the
-    side turns out to be large; in that case ``df`` is returned unhinted and the
-    planner picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def broadcast_if_small(df: DataFrame, name: str = "side", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df``, computed once into the shared folder, with a broadcast hint if its values
+    take at most ``max_bytes`` bytes; otherwise unhinted, and the join shuffles."""
+    side = written(df, name)
+    return F.broadcast(side) if size_of(side)[1] <= max_bytes else side
 
 
 def let(values: dict, body) -> Column:
@@ -36,13 +48,6 @@ def let(values: dict, body) -> Column:
     return F.get(F.transform(bound, body), 0)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Bounded check: does ``df`` have at most ``max_rows`` rows? Use it on a cheap
-    frame whose size bounds the side to broadcast (e.g. the questions bound the
-    hit lists), so the check does not recompute an expensive plan."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def explode_rows(df: DataFrame, arr: Column, keep, alias: str = "item") -> DataFrame:
     """``explode`` without the filter Catalyst infers for it.
 

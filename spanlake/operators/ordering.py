@@ -1,12 +1,10 @@
-"""Dense global ordinals without a single-partition window.
+"""Global prefix sums and ordinals without a single-partition window.
 
-``row_number() over (order by ...)`` without ``partitionBy`` moves every row into
-one task. Here the rows are range-partitioned on the order keys and sorted inside
-each partition; each row's position inside its partition comes from
-``monotonically_increasing_id`` (the partition id is in its upper bits), and the
-partition offsets come from per-partition counts (one row per partition). The
-range-partitioned frame is checkpointed to the shared checkpoint folder so that
-every job sees the same partition boundaries, and lineage is cut.
+``row_number() over (order by ...)`` without ``partitionBy`` moves every row into one
+task. Here rows are range-partitioned on the order keys; a row's sum is its running
+sum within its partition plus the sums of the partitions before it, of which there is
+one row per partition. Callers pass the keys and weights only: wide rows join the
+result back by their key.
 """
 
 from __future__ import annotations
@@ -14,31 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.session import ensure_checkpoint_dir
+from spanlake.session import written
 
 
-def dense_index(df: DataFrame, order_cols, name: str = "ordinal",
-                num_partitions: int | None = None, total: str | None = None) -> DataFrame:
-    """Add a 0-based dense ``name`` column following ``order_cols`` (ties must not
-    exist: end the order with a unique key). With ``total``, every row also gets
-    the row count (from the same per-partition counts, no extra job)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
-    # One row per partition: a global window here is bounded by the partition count.
-    offs = counts.withColumns({
-        "_off": F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)),
-        "_tot": F.sum("_n").over(Window.partitionBy(F.lit(0)))})
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    out = (ranged.join(F.broadcast(offs.select("_pid", "_off", "_tot")), "_pid")
-           .withColumn(name, (F.col("_off") + pos).cast("bigint")))
-    if total:
-        out = out.withColumn(total, F.col("_tot").cast("bigint"))
-    return out.drop("_pid", "_mid", "_off", "_tot")
+def prefix_sums(df: DataFrame, order_cols: list[str], name: str = "ordinal", weight: str | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over all rows before this one in the order
+    (without a weight the 0-based ordinal). End the order with a unique key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, so that every later read sees the same partition of every row
+    ranged = written(df.repartitionByRange(n, *order_cols).withColumn("_part", F.spark_partition_id()), "ordered")
+    w = F.col(weight) if weight else F.lit(1)
+    before = Window.partitionBy("_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(w).over(before), F.lit(0)))
+    parts = ranged.groupBy("_part").agg(F.sum(w).alias("_sum"))
+    # one row per partition: a window over all of them is bounded
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    return (local.join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_earlier") + F.col("_local")).cast("bigint")).drop("_part", "_local", "_earlier"))

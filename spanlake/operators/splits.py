@@ -1,17 +1,16 @@
 """Reproducible splits and folds (K1-K4).
 
 Fold order is a seeded hash of the key (``md5(seed:id)``), so it is stable across
-runs and engines. The global position in that order is a dense ordinal computed
-without a single-partition window (see ``ordering.dense_index``).
+runs and engines. A row's position in that order is its rank within the rows that
+share the hash's first digits, plus the number of rows with smaller ones: the hash
+spreads keys evenly, so no bucket is large and nothing but counts is global.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.operators.ordering import dense_index
-
 
 def union_splits(*parts: DataFrame) -> DataFrame:
     """K1: concatenate datasets (by column name)."""
@@ -25,34 +24,51 @@ def seeded_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+BUCKET_DIGITS = 4  # hex digits of the hash that name a bucket
+
+
 def assign_folds(df: DataFrame, k: int = 5, seed: int = 10, key: str = "id") -> DataFrame:
     """K2: ``fold`` in ``0..k-1``; shuffled by the seeded hash; sizes differ by at
     most one, the bigger folds first (``ntile`` semantics)."""
-    h = df.withColumn("_h", seeded_hash(key, seed))
-    r = dense_index(h, ["_h", key], "_r", total="_n")
-    n = F.col("_n")
+    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substr("_h", F.lit(1), F.lit(BUCKET_DIGITS)))
+    counts = h.groupBy("_b").agg(F.count("*").alias("_c"))
+    # at most 16 ** BUCKET_DIGITS rows: the windows over all of them are bounded
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    local = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
+    r = local.join(F.broadcast(offsets), "_b").withColumn("_r", F.col("_r") + F.col("_off"))
+    n, rr = F.col("_n"), F.col("_r")
     q = F.floor(n / k)
     m = n - q * k
-    rr = F.col("_r")
     fold = F.when(rr < m * (q + 1), F.floor(rr / (q + 1))).otherwise(F.floor((rr - m) / q))
-    return r.withColumn("fold", fold.cast("int")).drop("_h", "_r", "_n")
+    return r.withColumn("fold", fold.cast("int")).drop("_h", "_b", "_r", "_n", "_off")
 
 
-def fold_parts(folded: DataFrame, k: int = 5) -> DataFrame:
-    """K3: for every split ``i``, the row is in ``validation`` if ``fold = i`` and
-    in ``train`` otherwise (each row appears once per split index)."""
-    out = folded.withColumn("split_index", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return out.withColumn("part", F.when(F.col("fold") == F.col("split_index"), F.lit("validation"))
-                          .otherwise(F.lit("train")))
+def write_folds(folded: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The rows once, in a folder per fold."""
+    folded.write.mode(mode).partitionBy("fold").parquet(path)
 
 
-def seeded_sample(df: DataFrame, fraction: float, seed: int = 42, key: str = "id") -> DataFrame:
-    """K4: keep a row when the first 4 hex digits of its seeded hash fall under
-    ``fraction``; the same seed always keeps the same rows."""
-    bound = f"{int(fraction * 65536):04x}"
-    return df.where(F.substr(seeded_hash(key, seed), F.lit(1), F.lit(4)) < F.lit(bound))
+def fold_part(spark: SparkSession, path: str, split_index: int, part: str) -> DataFrame:
+    """K3: the part of split ``split_index`` from stored folds: ``validation`` is the
+    fold itself, ``train`` all others. Only the part's folders are read."""
+    rows = spark.read.parquet(path)
+    own = F.col("fold") == split_index
+    return rows.where(own if part == "validation" else ~own)
+
 
+HASH_BITS = 60  # of the seeded hash, as a number
 
-def write_folds(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per split index and part."""
-    parts.write.mode(mode).partitionBy("split_index", "part").parquet(path)
+
+def hash_number(key: str, seed: int) -> Column:
+    """The first 15 hex digits of the seeded hash as a bigint in ``[0, 2**60)``."""
+    return F.conv(F.substr(seeded_hash(key, seed), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
+
+
+def seeded_sample(df: DataFrame, fraction: float, seed: int = 42, key: str = "id") -> DataFrame:
+    """K4: keep a row when its seeded hash, as a share of the hash range, falls under
+    ``fraction``; the same seed always keeps the same rows. 1 or more keeps all rows."""
+    if fraction >= 1:
+        return df
+    return df.where(hash_number(key, seed) < F.lit(int(max(0.0, fraction) * 2 ** HASH_BITS)))

@@ -33,7 +33,8 @@ def roundtrip_corpus_json(spark, sf):
 def roundtrip_hits_csv(spark, sf):
     wide = q_retrieval.hits_wide(spark, sf)
     path = scratch_path(spark, "hits")
-    S.write_hits_csv(wide, path)
+    # another order of columns: they are read by their names
+    S.write_hits_csv(wide.select("id", *reversed(wide.columns[1:])), path)
     return S.read_hits_csv(spark, path, q_retrieval.K, T.LongType())
 
 
@@ -50,17 +51,19 @@ def roundtrip_nbest_json(spark, sf):
 METRICS_SQL = f"""
 with {q_evaluate.SCORE_CTES},
 m as (select round(avg(exact_match) * 100, 6) as eval_exact_match, round(avg(f1) * 100, 6) as eval_f1,
-             count(*)::bigint as eval_samples from sc2)
+             count(*)::bigint as eval_samples, count(*) filter (missing)::bigint as eval_missing from sc2)
 select 'eval_exact_match = ' || eval_exact_match::varchar as line from m
 union all select 'eval_f1 = ' || eval_f1::varchar from m
 union all select 'eval_samples = ' || eval_samples::varchar from m
+union all select 'eval_missing = ' || eval_missing::varchar from m
 """
 
 
 @register("metrics_lines", METRICS_SQL)
 def metrics_lines(spark, sf):
     m = E.evaluate(FX.shifted_predictions(spark, sf), FX.qa_examples(spark, sf))
-    m = m.select(r6("eval_exact_match").alias("eval_exact_match"), r6("eval_f1").alias("eval_f1"), "eval_samples")
+    m = m.select(r6("eval_exact_match").alias("eval_exact_match"), r6("eval_f1").alias("eval_f1"),
+                 "eval_samples", "eval_missing")
     path = scratch_path(spark, "metrics")
     S.write_metrics_lines(m, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
@@ -83,3 +86,55 @@ def roundtrip_splits(spark, sf):
     back = S.read_split(spark, path, "train").unionByName(S.read_split(spark, path, "validation"))
     return back.select("id", "split", "context", "answer_start", "answer_text")
 
+
+
+SCHEMA_SQL = f"""
+with {q_retrieval.CONTEXT_SQL.strip()[len("with "):].rsplit("select q.id", 1)[0]}
+select coalesce(c.context, '') as context, q.id::varchar as id, q.question
+from questions q left join c using (id)
+"""
+
+
+@register("enforced_schema", SCHEMA_SQL)
+def enforced_schema(spark, sf):
+    """The joined examples with the declared column order and types."""
+    return S.enforce_schema(q_retrieval.retrieved_context(spark, sf), S.JOINED_EXAMPLE)
+
+
+@register("roundtrip_null_odds_json", q_decode.NULL_ODDS_SQL)
+def roundtrip_null_odds_json(spark, sf):
+    odds = q_decode.null_odds(spark, sf)
+    written = S.write_null_odds(odds, scratch_path(spark, "odds"), prefix="m0")
+    return spark.read.schema("id bigint, score_diff double").json(written)
+
+
+OBJECT_SQL = """
+select doc_id::varchar as doc_key, text, doc_id::bigint as document_id from documents
+"""
+
+
+@register("corpus_object", OBJECT_SQL)
+def corpus_object(spark, sf):
+    """A corpus of JSON object files, one per source."""
+    d = FX.corpus(spark, sf)
+    entry = F.struct("text", "title", F.col("doc_id").alias("document_id"))
+    objects = d.groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(
+        F.struct(F.col("doc_id").cast("string"), entry)))).alias("value"))
+    path = scratch_path(spark, "objects")
+    objects.select("source", "value").write.partitionBy("source").text(path)
+    return S.read_corpus_object(spark, path).select("doc_key", "text", "document_id")
+
+
+@register("nbest_object", q_decode.PROB_SQL)
+def nbest_object(spark, sf):
+    """N-best lists of JSON object files, a hundred of them."""
+    rows = D.nbest_rows(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
+    item = F.struct("rank", F.struct("start_logit", "end_logit", "text", "probability").alias("p"))
+    lists = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]).alias("preds"))
+    objects = lists.groupBy((F.col("id") % 100).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(
+        F.struct(F.col("id").cast("string"), "preds")))).alias("value"))
+    path = scratch_path(spark, "nbest-objects")
+    objects.write.partitionBy("file").text(path)
+    back = S.read_nbest_object(spark, path)
+    return back.select(F.col("id").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                       "text", "start_logit", "end_logit", r6("probability").alias("probability"))

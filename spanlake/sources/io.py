@@ -4,8 +4,7 @@ Distributed forms are preferred everywhere: JSON Lines and Parquet folders,
 partitioned by split/fold. The reference's single-JSON-object files are read
 (S1, S8) for compatibility: such a file is one unsplittable value, read by one
 task, so it should be converted once to Parquet and not be the working format.
-Single-object *writing* (``single_json_object``) is only for small, size-checked
-results.
+All sinks write JSON Lines.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ CSV_COMMON = {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue":
 CSV_WRITE = {**CSV_COMMON, "quoteAll": "true"}
 CSV_READ = {**CSV_COMMON, "multiLine": "true"}
 
-MAX_SINGLE_OBJECT_ROWS = 1_000_000
-
 
 # ----------------------------------------------------------------------------- S1/S2 corpus
 def read_corpus_object(spark: SparkSession, path: str) -> DataFrame:
@@ -74,13 +71,11 @@ def write_hits_csv(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_hits_csv(spark: SparkSession, path: str, k: int = 10,
                   id_type: T.DataType = T.StringType()) -> DataFrame:
-    """Wide hits from CSV with a declared schema. A leading unnamed index
-    column (as pandas writes) is ignored."""
-    header = spark.read.options(**CSV_READ).csv(path).columns
-    schema = hits_schema(k, id_type)
-    if header and header[0] not in ("id",) and "id" in header:
-        schema = T.StructType([T.StructField("_index", T.StringType())] + schema.fields)
-    return spark.read.options(**CSV_READ).schema(schema).csv(path).select(*hits_schema(k, id_type).fieldNames())
+    """Wide hits from CSV with a declared schema. Columns are taken by the names in
+    the header, in any order; others (a leading unnamed index column, as pandas
+    writes) are ignored, and a missing one is an error."""
+    header = spark.read.options(**CSV_READ).csv(path)
+    return enforce_schema(header, hits_schema(k, id_type))
 
 
 # ----------------------------------------------------------------------------- S7 schema
@@ -143,17 +138,6 @@ def write_null_odds(odds: DataFrame, out_dir: str, prefix: str | None = None, mo
     return path
 
 
-def single_json_object(df: DataFrame, key: str, value: str,
-                       max_rows: int = MAX_SINGLE_OBJECT_ROWS) -> DataFrame:
-    """Edge export of a *small* result as one JSON object ``{key: value}``.
-    Refuses inputs above ``max_rows`` (checked), since the object is one value."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{n}+ rows: too large for a single JSON object; write JSON Lines instead")
-    pairs = F.collect_list(F.struct(F.col(key).cast("string"), F.col(value)))
-    return df.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
-
-
 # ----------------------------------------------------------------------------- S12 metrics
 def metrics_long(metrics_row: DataFrame) -> DataFrame:
     """One-row metrics frame -> ``(key, value)`` rows (values as strings)."""
