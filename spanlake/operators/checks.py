@@ -39,27 +39,22 @@ def row_expectations(features: DataFrame, logits: DataFrame, splits: DataFrame,
     """One row of expectation checks.
 
     Counts on both sides, features without logits and logits without features
-    (anti joins both ways), whether a ``validation`` split exists, and the
+    (one union grouped by key: each side is read once), whether a ``validation`` split exists, and the
     effective window length ``least(requested, model limit)``.
     """
-    f, lg = features.select(key), logits.select(key)
-    n_f = f.select(F.count("*")).scalar()
-    n_l = lg.select(F.count("*")).scalar()
-    missing = f.join(lg, key, "left_anti").select(F.count("*")).scalar()
-    orphan = lg.join(f, key, "left_anti").select(F.count("*")).scalar()
-    has_val = splits.where(F.col("split") == "validation").select(F.count("*")).scalar() > 0
-    # A one-row frame to hang the scalar subqueries on.
-    # Each scalar subquery is referenced once (a repeated reference would run again).
-    one = splits.sparkSession.range(1)
-    row = one.select(
-        n_f.cast("bigint").alias("n_features"), n_l.cast("bigint").alias("n_logits"),
-        missing.cast("bigint").alias("features_without_logits"),
-        orphan.cast("bigint").alias("logits_without_features"),
-        has_val.alias("has_validation"),
-        F.least(F.lit(requested_len), F.lit(model_limit)).cast("bigint").alias("max_seq_length"))
-    return row.select("n_features", "n_logits", "features_without_logits", "logits_without_features",
-                      (F.col("n_features") == F.col("n_logits")).alias("counts_match"),
-                      "has_validation", "max_seq_length")
+    # Keys are counted per side and key, so repeated keys count as often as they occur.
+    sides = features.select(key, F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(
+        logits.select(key, F.lit(0).alias("f"), F.lit(1).alias("l")))
+    per_key = sides.groupBy(key).agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
+    counts = per_key.agg(
+        F.coalesce(F.sum("f"), F.lit(0)).alias("n_features"), F.coalesce(F.sum("l"), F.lit(0)).alias("n_logits"),
+        F.coalesce(F.sum(F.when(F.col("l") == 0, F.col("f"))), F.lit(0)).alias("features_without_logits"),
+        F.coalesce(F.sum(F.when(F.col("f") == 0, F.col("l"))), F.lit(0)).alias("logits_without_features"))
+    has_val = splits.agg(F.coalesce(F.bool_or(F.col("split") == "validation"), F.lit(False)).alias("has_validation"))
+    return counts.join(F.broadcast(has_val)).select(  # one row each
+        "n_features", "n_logits", "features_without_logits", "logits_without_features",
+        (F.col("n_features") == F.col("n_logits")).alias("counts_match"), "has_validation",
+        F.lit(min(requested_len, model_limit)).cast("bigint").alias("max_seq_length"))
 
 
 def predictions_to_rows(pred_map: DataFrame, col: str = "predictions") -> DataFrame:

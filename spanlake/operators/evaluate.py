@@ -40,27 +40,42 @@ def golds(answers: str = "answers") -> Column:
 
 
 def score_rows(predictions: DataFrame, references: DataFrame, answers: str = "answers") -> DataFrame:
-    """E1 + E2 per example: ``(id, exact_match, f1)`` in [0, 1]; max over golds."""
-    j = predictions.join(references.select("id", F.col(answers).alias("_ans")), "id")
+    """E1 + E2 per reference: ``(id, exact_match, f1, missing)``, scores in [0, 1], max
+    over golds. A reference without a prediction scores 0 and is ``missing``;
+    predictions without a reference are ignored."""
+    p = predictions.select("id", "prediction_text", F.lit(True).alias("_has"))
+    j = references.select("id", F.col(answers).alias("_ans")).join(p, "id", "left")
     bound = {"g": golds("_ans"), "pn": squad_normalize("prediction_text"), "pt": squad_tokens("prediction_text")}
     em = let(bound, lambda v: F.exists(v["g"], lambda x: squad_normalize(x) == v["pn"]).cast("double"))
     f1 = let(bound, lambda v: F.array_max(F.transform(v["g"], lambda x: f1_pair(v["pt"], squad_tokens(x)))))
-    return j.select("id", em.alias("exact_match"), f1.alias("f1"))
+    has = F.col("_has").isNotNull() & F.col("prediction_text").isNotNull()
+    return j.select("id", F.when(has, em).otherwise(0.0).alias("exact_match"),
+                    F.when(has, f1).otherwise(0.0).alias("f1"), (~has).alias("missing"))
 
 
 def evaluate(predictions: DataFrame, references: DataFrame, prefix: str = "eval_") -> DataFrame:
-    """One row ``{prefix}exact_match, {prefix}f1`` (x 100) plus row counts."""
+    """One row ``{prefix}exact_match, {prefix}f1`` (x 100) over all references, their
+    number and the number of those without a prediction."""
     s = score_rows(predictions, references)
     return s.agg((F.avg("exact_match") * 100).alias(f"{prefix}exact_match"),
                  (F.avg("f1") * 100).alias(f"{prefix}f1"),
-                 F.count("*").cast("bigint").alias(f"{prefix}samples"))
+                 F.count("*").cast("bigint").alias(f"{prefix}samples"),
+                 F.count_if("missing").cast("bigint").alias(f"{prefix}missing"))
+
+
+def metric_key(metric: str, maximize: bool, tie: str) -> Column:
+    """Order of runs by a metric; a run whose metric is NaN (diverged) or null is never
+    the best, whatever the direction. Ties go to the lowest ``tie``."""
+    m = F.col(metric).cast("double")
+    return F.when(m.isNotNull() & ~F.isnan(m), F.struct((m if maximize else -m).alias("m"), (-F.col(tie)).alias("t")))
 
 
 def best_step(log: DataFrame, run: str = "run", step: str = "step", metric: str = "metric",
               maximize: bool = True) -> DataFrame:
-    """The step with the best metric per run (lowest step on ties)."""
-    key = F.struct((F.col(metric) if maximize else -F.col(metric)).alias("m"), (-F.col(step)).alias("s"))
-    return log.groupBy(run).agg(F.max_by(F.struct(step, metric), key).alias("b")).select(
+    """The step with the best metric per run (lowest step on ties); null for a run
+    without any finite metric."""
+    best = F.max_by(F.struct(step, metric), metric_key(metric, maximize, step)).alias("b")
+    return log.groupBy(run).agg(best).select(
         run, F.col(f"b.{step}").alias("best_step"), F.col(f"b.{metric}").alias("best_metric"))
 
 

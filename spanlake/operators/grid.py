@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.operators.evaluate import metric_key
+
 # The reference's sweep grid, in its order.
 SWEEP_GRID = {
     "learning_rate": [1e-5, 2e-5, 3e-5, 4e-5, 5e-5],
@@ -40,7 +42,7 @@ def decode_settings(df: DataFrame, id_col: str = "setting_id", grid: dict = SWEE
     cols = {}
     for name in names:
         values = F.array(*[F.lit(v) for v in grid[name]])
-        idx = (F.floor(F.col(id_col) / strides[name]) % len(grid[name])).cast("int")
+        idx = F.expr(f"`{id_col}` div {strides[name]} % {len(grid[name])}").cast("int")
         cols[name] = F.get(values, idx)
     return df.withColumns(cols)
 
@@ -50,12 +52,23 @@ def full_grid(spark, grid: dict = SWEEP_GRID) -> DataFrame:
     return decode_settings(spark.range(grid_size(grid)).withColumnRenamed("id", "setting_id"), grid=grid)
 
 
+def grid_results(spark, results: DataFrame, metric: str = "metric", id_col: str = "setting_id",
+                 grid: dict = SWEEP_GRID) -> DataFrame:
+    """Every setting of the grid with the number of its runs and its best (largest) and
+    mean metric; a setting that was never run has 0 runs and null metrics."""
+    m = F.col(metric).cast("double")
+    m = F.when(~F.isnan(m), m)
+    runs = results.groupBy(id_col).agg(F.count("*").alias("runs"), F.max(m).alias("best_metric"),
+                                       F.avg(m).alias("mean_metric"))
+    return (full_grid(spark, grid).join(runs.withColumnRenamed(id_col, "setting_id"), "setting_id", "left")
+            .withColumn("runs", F.coalesce("runs", F.lit(0).cast("bigint"))))
+
+
 def best_setting(results: DataFrame, metric: str = "metric", group: str | None = None,
                  maximize: bool = True, id_col: str = "setting_id") -> DataFrame:
     """The setting with the best metric (per ``group`` if given); direction is
-    explicit; ties -> lowest setting id."""
-    key = F.struct((F.col(metric) if maximize else -F.col(metric)).alias("m"), (-F.col(id_col)).alias("i"))
-    best = F.max_by(F.struct(id_col, metric), key).alias("b")
+    explicit; ties -> lowest setting id; NaN metrics are never the best."""
+    best = F.max_by(F.struct(id_col, metric), metric_key(metric, maximize, id_col)).alias("b")
     g = results.groupBy(group) if group else results.groupBy()
     out = g.agg(best)
     keep = [group] if group else []

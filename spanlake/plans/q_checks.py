@@ -27,9 +27,10 @@ def column_roles(spark, sf):
                       F.get("answers.text", 0).alias("answer_text"))
 
 
+# The sides differ: features without logits, and logits without a feature.
 EXPECT_SQL = """
-with f as (select vec_id as feature_id from embeddings),
-l as (select vec_id as feature_id from embeddings)
+with f as (select doc_id as feature_id from documents),
+l as (select vec_id * 2 as feature_id from embeddings)
 select (select count(*) from f)::bigint as n_features,
        (select count(*) from l)::bigint as n_logits,
        (select count(*) from f where feature_id not in (select feature_id from l))::bigint as features_without_logits,
@@ -42,6 +43,25 @@ select (select count(*) from f)::bigint as n_features,
 
 @register("row_expectations", EXPECT_SQL)
 def row_expectations(spark, sf):
-    feats = FX.eval_features(spark, sf)
-    logits = table(spark, sf, "embeddings").select(F.col("vec_id").alias("feature_id"))
+    feats = table(spark, sf, "documents").select(F.col("doc_id").alias("feature_id"))
+    logits = table(spark, sf, "embeddings").select((F.col("vec_id") * 2).alias("feature_id"))
     return P.row_expectations(feats, logits, FX.qa_examples(spark, sf), 200, 512)
+
+
+ROWS_SQL = f"""
+with {QA}
+select id::varchar as id, coalesce(answer_text, '') as prediction_text, answer_start::bigint as answer_start
+from qa
+"""
+
+
+@register("prediction_rows", ROWS_SQL)
+def prediction_rows(spark, sf):
+    """P5: maps of predictions (one per file) and the references."""
+    qa = FX.qa_examples(spark, sf)
+    text = F.coalesce(F.get("answers.text", 0), F.lit(""))
+    maps = qa.groupBy((F.col("id") % 100).alias("file")).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("id").cast("string"), text))).alias("predictions"))
+    refs = P.references(qa).select(F.col("id").cast("string").alias("id"),
+                                   F.get("answers.answer_start", 0).cast("bigint").alias("answer_start"))
+    return P.predictions_to_rows(maps).join(refs, "id")
