@@ -1,9 +1,9 @@
 """Scoring slot (M1) and span loss (M2).
 
 M1 runs a caller-supplied model over feature rows in Arrow batches with
-``mapInPandas``; the model is built once per Python worker (not per batch).
-A JVM-side lexical scorer (question/context token overlap) gives deterministic
-logits for end-to-end runs without a network.
+``mapInPandas``; the model is built once per task and gets 2-D arrays of a bounded
+number of rows. A JVM-side lexical scorer (question/context token overlap) gives
+deterministic logits for end-to-end runs without a network.
 """
 
 from __future__ import annotations
@@ -19,21 +19,34 @@ from spanlake.operators.common import let
 from spanlake.operators.windows import UNK_ID
 from spanlake.session import ship_package
 
+NONE = -1  # stands for nulls and beyond a row's end in stacked arrays
 
-def lexical_logits(features: DataFrame) -> DataFrame:
+
+def lexical_logits(features: DataFrame, context_id: int = 1) -> DataFrame:
     """Built-in scorer: logit 1.0 at context tokens whose id occurs in the
     question (``[UNK]`` excluded), else 0.0; the same array for start and end.
     Needs ``input_ids, sequence_ids, q_ids``."""
     hit = let({"ids": "input_ids", "seq": "sequence_ids", "q": "q_ids"}, lambda v: F.zip_with(
-        v["ids"], v["seq"], lambda t, s: F.when((s == 1) & (t != UNK_ID) & F.array_contains(v["q"], t),
+        v["ids"], v["seq"], lambda t, s: F.when((s == context_id) & (t != UNK_ID) & F.array_contains(v["q"], t),
                                                 F.lit(1.0)).otherwise(F.lit(0.0))))
     return features.withColumns({"start_logits": hit, "end_logits": hit})
 
 
+def stacked(column: pd.Series) -> np.ndarray:
+    """Rows of integers as one 2-D array, short rows and nulls filled with ``NONE``."""
+    rows = [np.asarray(x, dtype=np.float64) for x in column]
+    out = np.full((len(rows), max(map(len, rows), default=0)), NONE, np.int64)
+    for to, row in zip(out, rows):
+        to[:len(row)] = np.where(np.isnan(row), NONE, row)
+    return out
+
+
 def score_with(features: DataFrame, model_factory: Callable[[], Callable], key_cols=("feature_id",),
-               input_cols=("input_ids", "attention_mask")) -> DataFrame:
-    """M1 plug-in path: ``model_factory()`` returns ``model(batch: pd.DataFrame) ->
-    (start_logits, end_logits)`` (sequences of 1-D arrays, one per row)."""
+               input_cols=("input_ids", "attention_mask"), batch_size: int = 32) -> DataFrame:
+    """M1 plug-in path: ``model_factory()`` returns ``model(inputs) -> (start, end)``.
+    ``inputs`` has a 2-D integer array of up to ``batch_size`` rows per input column
+    (see :func:`stacked`); the logits are 2-D arrays as wide as the first one, and each
+    row keeps as many as it has ids."""
     key_fields = [features.schema[c] for c in key_cols]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
     schema += ", start_logits array<float>, end_logits array<float>"
@@ -43,39 +56,58 @@ def score_with(features: DataFrame, model_factory: Callable[[], Callable], key_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for pdf in batches:
-            s, e = model(pdf)
-            out = pdf[keys].copy()
-            out["start_logits"] = [np.asarray(x, dtype=np.float32) for x in s]
-            out["end_logits"] = [np.asarray(x, dtype=np.float32) for x in e]
-            yield out
+            for at in range(0, len(pdf), batch_size):
+                part = pdf.iloc[at:at + batch_size]
+                start, end = model({c: stacked(part[c]) for c in input_cols})
+                out = part[keys].copy()
+                sizes = [len(x) for x in part[input_cols[0]]]
+                out["start_logits"] = [np.asarray(x[:n], np.float32) for x, n in zip(start, sizes)]
+                out["end_logits"] = [np.asarray(x[:n], np.float32) for x, n in zip(end, sizes)]
+                yield out
 
     return features.select(*key_cols, *input_cols).mapInPandas(run, schema)
 
 
 class OverlapModel:
-    """A numpy model for the plug-in path: the same overlap logits as
-    ``lexical_logits`` (inputs ``input_ids, sequence_ids, q_ids``)."""
+    """A numpy model for the plug-in path: context tokens that occur in the question
+    score 1 plus ``bonus(ids)``, all others 0 (inputs ``input_ids, sequence_ids,
+    q_ids``). Without a bonus these are the logits of ``lexical_logits``."""
+
+    def __init__(self, bonus: Callable[[np.ndarray], np.ndarray] | None = None, context_id: int = 1):
+        self.bonus, self.context_id = bonus, context_id
+
+    def __call__(self, inputs: dict[str, np.ndarray]):
+        ids, q = inputs["input_ids"], inputs["q_ids"]
+        among = np.zeros(ids.shape, bool)
+        for column in q.T:  # one comparison per question position, for all rows
+            among |= ids == column[:, None]
+        hit = among & (inputs["sequence_ids"] == self.context_id) & (ids != UNK_ID) & (ids != NONE)
+        logits = hit * (1.0 if self.bonus is None else 1.0 + self.bonus(ids))
+        return logits, logits
+
+
+def mid_ids(ids: np.ndarray) -> np.ndarray:
+    return (ids % 7) / 8
+
 
-    def __call__(self, pdf: pd.DataFrame):
-        starts = []
-        for ids, seq, q in zip(pdf["input_ids"], pdf["sequence_ids"], pdf["q_ids"]):
-            ids = np.asarray(ids)
-            seq = np.asarray(seq, dtype=np.float64)  # nulls (special tokens, padding) -> nan
-            hit = (seq == 1) & (ids != UNK_ID) & np.isin(ids, np.asarray(q))
-            starts.append(hit.astype(np.float32))
-        return starts, starts
+def late_ids(ids: np.ndarray) -> np.ndarray:
+    return (ids % 16) / 16
 
 
 # Scorers selectable by name (the reference picks its network by model name).
-SCORERS: dict[str, Callable[[], Callable]] = {"lexical-overlap": OverlapModel}
+SCORERS: dict[str, Callable[[], Callable]] = {
+    "lexical-overlap": OverlapModel,
+    "lexical-sevenths": lambda: OverlapModel(mid_ids),
+    "lexical-sixteenths": lambda: OverlapModel(late_ids),
+}
 
 
 def score_by_name(features: DataFrame, name: str, key_cols=("feature_id",),
-                  input_cols=("input_ids", "sequence_ids", "q_ids")) -> DataFrame:
+                  input_cols=("input_ids", "sequence_ids", "q_ids"), batch_size: int = 32) -> DataFrame:
     """M1 dispatch: run the scorer registered under ``name``."""
     if name not in SCORERS:
         raise ValueError(f"unknown scorer {name!r}; known: {sorted(SCORERS)}")
-    return score_with(features, SCORERS[name], key_cols, input_cols)
+    return score_with(features, SCORERS[name], key_cols, input_cols, batch_size)
 
 
 def _lse(x: Column) -> Column:

@@ -2,71 +2,122 @@
 
 Plan shape
 ----------
-* W1: a full-cover segmentation (``regexp_extract_all``) is exploded and the
-  character offsets are a running sum of segment lengths. The examples are
-  hash-partitioned by id *before* the explode, so the running-sum window needs
-  no shuffle of the (larger) token stream. Blank segments are dropped after the
-  offsets are known.
-* Token -> id is a join with the vocabulary, broadcast after a size check.
-* Each example's tokens are gathered into one array (bounded by the document
-  length; the partitioning by id is reused), and windows are ``sequence`` +
-  ``explode`` + ``slice``: one input row -> many feature rows, all row-local.
+* W1: a tokenizer plug-in runs over Arrow batches of texts and returns token ids and
+  character offsets as one array per text, so an example never leaves its row: no
+  shuffle, no regrouping, and rows with equal ids stay rows of their own (the
+  reference makes windows per row).
+* The built-in tokenizer cuts words and looks them up in a vocabulary table. The
+  vocabulary goes to the tasks with it after a check of its bytes; a larger one is
+  joined on the tokens instead.
+* W2: ``sequence`` + ``explode`` + ``slice``: one input row -> many feature rows.
+* W3: both layouts of the pair, padded on the right or on the left.
 * Padding and masks are built last, from sizes, with ``array_repeat``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import SEGMENT, WS, words
-from spanlake.operators.common import explode_rows, fits_broadcast, posexplode_rows
-from spanlake.operators.ordering import dense_index
+from spanlake.functions.text import SEGMENT, words
+from spanlake.operators.common import (MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows,
+                                       posexplode_rows, size_of)
+from spanlake.operators.ordering import prefix_sums
+from spanlake.session import ship_package, written
 
 # Special symbols and their ids in the built-in vocabulary.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIALS = (PAD, UNK, CLS, SEP)
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 
+TOKENS = "array<struct<id:int,start:int,end:int>>"
+
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """Reference defaults: length 200, stride 128, padded to the full length."""
+    """Reference defaults: length 200, stride 128, padded to the full length.
+
+    ``side`` is the padding side: ``right`` gives ``[CLS] question [SEP] context
+    [SEP]``, ``left`` gives ``[CLS] context [SEP] question [SEP]`` behind its padding.
+    ``double_separator`` puts two separators between the parts.
+    """
 
     max_seq_length: int = 200
     doc_stride: int = 128
     pad_to_max_length: bool = True
-    specials: int = 3  # [CLS] q [SEP] c [SEP]
-
-
-def _offsets(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Segments of ``text`` with offsets; ``frame`` must be hash-partitioned by
-    ``keys[0]`` so that the running-sum window needs no shuffle."""
-    segs = F.regexp_extract_all(F.col(text), F.lit(SEGMENT), 0)
-    ex = posexplode_rows(frame, segs, keys, "pos", "token")
-    # One window computes both running sums: characters before the segment
-    # (its start offset) and blank segments before it (to number the tokens).
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ln = F.length("token")
-    ex = ex.withColumn("_blank", F.col("token").rlike(f"^{WS}$")).select(
-        *keys, "pos", "token", "_blank",
-        F.coalesce(F.sum(ln).over(before), F.lit(0)).alias("start"),
-        F.coalesce(F.sum(F.col("_blank").cast("int")).over(before), F.lit(0)).alias("_nb"))
-    ex = ex.where(~F.col("_blank"))
-    return ex.select(*keys, (F.col("pos") - F.col("_nb")).alias("tok_idx"), "token",
-                     F.col("start").cast("int").alias("start"), (F.col("start") + ln).cast("int").alias("end"))
+    side: str = "right"
+    double_separator: bool = False
+
+    def __post_init__(self):
+        if self.side not in ("right", "left"):
+            raise ValueError(f"unknown padding side {self.side!r}")
+
+    @property
+    def specials(self) -> int:
+        return 4 if self.double_separator else 3
+
+    @property
+    def context_id(self) -> int:
+        """The context's number in ``sequence_ids``: its place in the pair."""
+        return 1 if self.side == "right" else 0
+
+
+# ----------------------------------------------------------------------------- W1
+class WordTokenizer:
+    """Built-in tokenizer: runs of letters and digits, and single other characters that
+    are not blank; ids by lower-cased word, unknown ones ``[UNK]``.
+
+    A tokenizer is a callable from a list of texts (or nulls) to a list of
+    ``(ids, starts, ends)``, offsets being 0-based code points, ends exclusive.
+    """
+
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        self.vocabulary = vocabulary or {}
+        self.pattern = regex.compile(SEGMENT)
+
+    def __call__(self, texts: list[str | None]):
+        of = self.vocabulary.get
+        for text in texts:
+            found = [m for m in self.pattern.finditer(text or "") if not m[0].isspace()]
+            yield ([of(m[0].lower(), UNK_ID) for m in found], [m.start() for m in found], [m.end() for m in found])
+
+
+def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Callable]) -> DataFrame:
+    """Add ``columns[c]``, the tokens of text column ``c``, by the tokenizer that
+    ``factory()`` makes once per task."""
+    ship_package(df.sparkSession)
+    made = []  # by the first batch of a task
+
+    @F.arrow_udf(TOKENS)
+    def tokenize(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(factory())
+        ids, starts, ends, counts = [], [], [], [0]
+        for i, s, e in made[0](texts.to_pylist()):
+            ids.extend(i)
+            starts.extend(s)
+            ends.extend(e)
+            counts.append(len(ids))
+        fields = [pa.array(x, pa.int32()) for x in (ids, starts, ends)]
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()),
+                                        pa.StructArray.from_arrays(fields, names=["id", "start", "end"]))
+
+    return df.withColumns({name: tokenize(F.col(c)) for c, name in columns.items()})
 
 
 def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
-                  num_partitions: int | None = None) -> DataFrame:
+                  factory: Callable[[], Callable] = WordTokenizer) -> DataFrame:
     """``(key, tok_idx, token, start, end)``; offsets are 0-based code points,
-    end exclusive; blanks are not tokens. The raw text is shuffled by key and
-    segmented after the shuffle."""
-    raw = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
-    return _offsets(raw, ["_k"], "_t").withColumnRenamed("_k", key)
+    end exclusive; blanks are not tokens."""
+    toks = with_tokens(df.select(F.col(key), F.col(text).alias("_t")), {"_t": "_toks"}, factory)
+    rows = posexplode_rows(toks, F.col("_toks"), [key, "_t"], "tok_idx", "x")
+    return rows.select(key, "tok_idx", F.substr("_t", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("token"),
+                       "x.start", "x.end")
 
 
 def vocabulary_from_terms(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -74,7 +125,7 @@ def vocabulary_from_terms(terms: DataFrame, term: str = "term") -> DataFrame:
     ``(token, id)``; ids are dense (no single-partition window)."""
     spark = terms.sparkSession
     t = terms.select(F.col(term).alias("token")).distinct()
-    t = dense_index(t, ["token"], "ord").select("token", (F.col("ord") + len(SPECIALS)).alias("id"))
+    t = prefix_sums(t, ["token"], "ord").select("token", (F.col("ord") + len(SPECIALS)).alias("id"))
     sp = spark.createDataFrame([(s, i) for i, s in enumerate(SPECIALS)], "token string, id bigint")
     return sp.unionByName(t)
 
@@ -89,8 +140,7 @@ def extend_vocabulary(vocab: DataFrame, symbols: DataFrame) -> DataFrame:
     symbols already present keep their id. Returns the added rows."""
     new = symbols.join(vocab.select("token"), "token", "left_anti")
     last = vocab.select(F.max("id")).scalar()
-    rnk = F.row_number().over(Window.orderBy("ord"))  # bounded: a symbol list
-    return new.select("token", (last + rnk).cast("bigint").alias("id"))
+    return prefix_sums(new, ["ord"], "nth").select("token", (last + 1 + F.col("nth")).cast("bigint").alias("id"))
 
 
 def added_symbols(spark) -> DataFrame:
@@ -102,59 +152,48 @@ def added_symbols(spark) -> DataFrame:
     return unk.unionByName(unused)
 
 
-def token_ids(tokens: DataFrame, vocab: DataFrame, broadcast_vocab: bool | None = None) -> DataFrame:
-    """Look tokens up (lower-cased) in the vocabulary; unknown -> ``[UNK]``.
-    The vocabulary is broadcast when it passes the size check (or when the
-    caller has checked it: ``broadcast_vocab``)."""
-    v = vocab.select(F.col("token").alias("_t"), F.col("id").alias("tid"))
-    small = fits_broadcast(v) if broadcast_vocab is None else broadcast_vocab
-    v = F.broadcast(v) if small else v
-    return (tokens.join(v, F.lower(tokens["token"]) == v["_t"], "left")
-            .withColumn("tid", F.coalesce(F.col("tid"), F.lit(UNK_ID)).cast("int")).drop("_t"))
+def encode(df: DataFrame, vocab: DataFrame | None = None, question: str = "question", context: str = "context",
+           factory: Callable[[], Callable] | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """W1 for both sides: the rows' other columns and ``q_ids, q_offs, c_ids, c_offs``.
 
-
-def gather_tokens(tok: DataFrame, key: str = "id", prefix: str = "c") -> DataFrame:
-    """Per example: ``{prefix}_ids array<int>`` and ``{prefix}_offs
-    array<struct<start,end>>`` in token order."""
-    items = F.array_sort(F.collect_list(F.struct("tok_idx", "tid", "start", "end")))
-    g = tok.groupBy(key).agg(items.alias("_it"))
-    return g.select(key, *_unzip("_it", prefix))
-
-
-def _unzip(items: str, prefix: str):
-    return (F.transform(items, lambda x: x["tid"]).alias(f"{prefix}_ids"),
-            F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-            .alias(f"{prefix}_offs"))
-
-
-def encode(df: DataFrame, vocab: DataFrame, key: str = "id", question: str = "question",
-           context: str = "context", num_partitions: int | None = None) -> DataFrame:
-    """W1 for both sides: ``key, q_ids, q_offs, c_ids, c_offs``.
-
-    Question and context are tokenized in one pass: one shuffle of the raw
-    texts by key, one running-sum window over ``(key, side)``, one vocabulary
-    join and one gather that builds both arrays (filtered ``collect_list``).
+    The tokenizer is ``factory()``, or the built-in one with ``vocab`` ``(token, id)``:
+    the vocabulary is collected for the tasks if its bytes pass the check, and joined
+    on the tokens otherwise. Null texts have no tokens.
     """
-    raw = df.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(context).alias("_c"))
-    raw = raw.repartition(num_partitions, "_k") if num_partitions else raw.repartition("_k")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_q").alias("_t")),
-                              F.struct(F.lit(1).alias("side"), F.col("_c").alias("_t"))))
-    both = raw.select("_k", sides.alias("_s")).select("_k", "_s.side", "_s._t")
-    tok = token_ids(_offsets(both, ["_k", "side"], "_t"), vocab)
-    item = F.struct("tok_idx", "tid", "start", "end")
-    g = tok.groupBy("_k").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, item))).alias("_qi"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, item))).alias("_ci"))
-    g = g.select(F.col("_k").alias(key), *_unzip("_qi", "q"), *_unzip("_ci", "c"))
-    # Examples whose texts yield no token at all still get (empty) arrays.
-    empty_ids = F.array().cast("array<int>")
-    empty_offs = F.array().cast("array<struct<start:int,end:int>>")
-    out = df.select(key).join(g, key, "left")
-    return out.select(key,
-                      F.coalesce("q_ids", empty_ids).alias("q_ids"), F.coalesce("q_offs", empty_offs).alias("q_offs"),
-                      F.coalesce("c_ids", empty_ids).alias("c_ids"), F.coalesce("c_offs", empty_offs).alias("c_offs"))
-
-
+    sides = {question: "_q", context: "_c"}
+    if factory is not None:
+        toks = with_tokens(df, sides, factory)
+    else:
+        vocab = written(vocab.select("token", F.col("id").cast("int").alias("id")), "vocabulary")
+        if size_of(vocab)[1] <= max_broadcast_bytes:
+            ids = {r["token"]: r["id"] for r in vocab.collect()}
+            toks = with_tokens(df, sides, lambda: WordTokenizer(ids))
+        else:
+            toks = _joined_ids(with_tokens(df, sides, WordTokenizer), sides, vocab)
+    unzipped = {}
+    for prefix, col in (("q", "_q"), ("c", "_c")):
+        unzipped[f"{prefix}_ids"] = F.transform(col, lambda x: x["id"])
+        unzipped[f"{prefix}_offs"] = F.transform(col, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return toks.withColumns(unzipped).drop("_q", "_c", question, context)
+
+
+def _joined_ids(toks: DataFrame, sides: dict[str, str], vocab: DataFrame) -> DataFrame:
+    """Ids of a vocabulary too large for the tasks: every token is a row that joins it
+    (a hot token's partition is split by adaptive execution), and each text's tokens
+    come together again by their row number."""
+    toks = written(toks.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    for text, col in sides.items():
+        rows = toks.select("_row", F.col(text).alias("_t"), F.posexplode(col).alias("_n", "_x"))
+        rows = rows.select("_row", "_n", "_x", F.lower(F.substr("_t", F.col("_x.start") + 1, F.col("_x.end") - F.col("_x.start"))).alias("token"))
+        found = rows.join(vocab, "token", "left").select("_row", F.struct(
+            "_n", F.coalesce("id", F.lit(UNK_ID)).alias("id"), F.col("_x.start").alias("start"), F.col("_x.end").alias("end")).alias("_x"))
+        lists = found.groupBy("_row").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+        ids = F.transform("_xs", lambda x: F.struct(x["id"].alias("id"), x["start"].alias("start"), x["end"].alias("end")))
+        toks = toks.join(lists, "_row", "left").withColumn(col, F.coalesce(ids, F.array().cast(TOKENS))).drop("_xs")
+    return toks.drop("_row")
+
+
+# ----------------------------------------------------------------------------- W2
 def window_count(n: Column, cap: Column, step: Column) -> Column:
     """1 if ``n <= cap`` else ``1 + ceil((n - cap) / step)``."""
     return F.when(n <= cap, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - cap) / step).cast("int"))
@@ -177,77 +216,99 @@ def windows(enc: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     return out.withColumn("ws", ws).withColumn("we", F.least(ws + F.col("cap"), F.size("c_ids")))
 
 
+# ----------------------------------------------------------------------------- W3, W4, W6
 def pair_features(win: DataFrame, spec: WindowSpec = WindowSpec(), eval_mode: bool = True) -> DataFrame:
     """W3 (+ W4, W6): ``input_ids, token_type_ids, attention_mask, sequence_ids,
-    offset_mapping`` for ``[CLS] question [SEP] context-window [SEP]``.
+    offset_mapping`` of the pair in the layout of ``spec``, and ``context_start``, the
+    index of the window's first context token.
 
-    In eval mode offsets outside the context are null (W6); in train mode the
-    question keeps its offsets and special tokens get ``(0, 0)``.
+    ``sequence_ids`` number the pair's parts 0 and 1 in their order; token types are 0
+    up to the separator that ends the first part (or both separators) and 1 behind.
+    In eval mode offsets outside the context are null (W6); in train mode the question
+    keeps its offsets and special tokens get ``(0, 0)``.
     """
-    qn = F.size("q_ids")
     cn = F.col("we") - F.col("ws")
-    c_ids = F.slice("c_ids", F.col("ws") + 1, cn)
-    c_offs = F.slice("c_offs", F.col("ws") + 1, cn)
-    ids = F.concat(F.array(F.lit(CLS_ID)), F.col("q_ids"), F.array(F.lit(SEP_ID)), c_ids, F.array(F.lit(SEP_ID)))
+    null_off = F.lit(None).cast("struct<start:int,end:int>")
+    special_off = null_off if eval_mode else F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    question = (F.col("q_ids"), F.size("q_ids"),
+                F.array_repeat(null_off, F.size("q_ids")) if eval_mode else F.col("q_offs"))
+    context = (F.slice("c_ids", F.col("ws") + 1, cn), cn, F.slice("c_offs", F.col("ws") + 1, cn))
+    first, second = (question, context) if spec.side == "right" else (context, question)
+    between = 2 if spec.double_separator else 1
     null_int = F.lit(None).cast("int")
-    seq = F.concat(F.array(null_int), F.array_repeat(F.lit(0), qn), F.array(null_int),
-                   F.array_repeat(F.lit(1), cn), F.array(null_int))
-    types = F.concat(F.array_repeat(F.lit(0), qn + 2), F.array_repeat(F.lit(1), cn + 1))
-    off_t = "struct<start:int,end:int>"
-    null_off = F.lit(None).cast(off_t)
-    zero_off = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    if eval_mode:
-        offs = F.concat(F.array_repeat(null_off, qn + 2), c_offs, F.array(null_off))
-    else:
-        offs = F.concat(F.array(zero_off), F.col("q_offs"), F.array(zero_off), c_offs, F.array(zero_off))
+    ids = F.concat(F.array(F.lit(CLS_ID)), first[0], F.array_repeat(F.lit(SEP_ID), between), second[0],
+                   F.array(F.lit(SEP_ID)))
+    seq = F.concat(F.array(null_int), F.array_repeat(F.lit(0), first[1]), F.array_repeat(null_int, between),
+                   F.array_repeat(F.lit(1), second[1]), F.array(null_int))
+    types = F.concat(F.array_repeat(F.lit(0), first[1] + 1 + between), F.array_repeat(F.lit(1), second[1] + 1))
+    offs = F.concat(F.array(special_off), first[2], F.array_repeat(special_off, between), second[2],
+                    F.array(special_off))
+    start = F.lit(1) if spec.side == "left" else question[1] + 1 + between
     out = win.withColumns({"input_ids": ids, "sequence_ids": seq, "token_type_ids": types,
-                           "offset_mapping": offs})
+                           "offset_mapping": offs, "context_start": start, "cls_index": F.lit(0)})
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     if spec.pad_to_max_length:
-        out = pad(out, spec.max_seq_length, null_off if eval_mode else zero_off)
+        out = pad(out, spec.max_seq_length, special_off, spec.side)
     return out
 
 
-def pad(df: DataFrame, length, pad_offset: Column | None = None) -> DataFrame:
-    """Pad ids/mask/types/sequence ids/offsets to ``length`` (int or Column)."""
+def pad(df: DataFrame, length, pad_offset: Column | None = None, side: str = "right") -> DataFrame:
+    """Pad ids/mask/types/sequence ids/offsets to ``length`` (int or Column) on a
+    side; padding on the left moves ``context_start`` and ``cls_index``."""
     target = F.lit(length) if isinstance(length, int) else length
     extra = F.greatest(target - F.size("input_ids"), F.lit(0))
-    cols = {
-        "input_ids": F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), extra)),
-        "attention_mask": F.concat("attention_mask", F.array_repeat(F.lit(0), extra)),
-    }
-    if "token_type_ids" in df.columns:
-        cols["token_type_ids"] = F.concat("token_type_ids", F.array_repeat(F.lit(0), extra))
-    if "sequence_ids" in df.columns:
-        cols["sequence_ids"] = F.concat("sequence_ids", F.array_repeat(F.lit(None).cast("int"), extra))
-    if "offset_mapping" in df.columns and pad_offset is not None:
-        cols["offset_mapping"] = F.concat("offset_mapping", F.array_repeat(pad_offset, extra))
+    fill = {"input_ids": F.lit(PAD_ID), "attention_mask": F.lit(0), "token_type_ids": F.lit(0),
+            "sequence_ids": F.lit(None).cast("int")}
+    if pad_offset is not None:
+        fill["offset_mapping"] = pad_offset
+    cols = {}
+    for name, value in fill.items():
+        if name in df.columns:
+            more = F.array_repeat(value, extra)
+            cols[name] = F.concat(name, more) if side == "right" else F.concat(more, F.col(name))
+    if side == "left":
+        cols |= {c: F.col(c) + extra for c in ("context_start", "cls_index") if c in df.columns}
     return df.withColumns(cols)
 
 
-def batch_pad(features: DataFrame, order_cols, batch_size: int = 8, multiple: int | None = 8) -> DataFrame:
-    """Dynamic padding per batch of ``batch_size`` consecutive features (dense
-    ordinal over ``order_cols``): the batch's longest row, rounded up to
-    ``multiple``."""
-    f = dense_index(features, order_cols, "feature_ordinal")
-    f = f.withColumn("batch", F.floor(F.col("feature_ordinal") / batch_size).cast("bigint"))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
+# ----------------------------------------------------------------------------- W5
+def batch_pad(features: DataFrame, key: str = "id", window: str = "window", batch_size: int = 8,
+              multiple: int | None = 8, side: str = "right", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Dynamic padding per batch of ``batch_size`` consecutive features in ``(key,
+    window)`` order: the batch's longest row, rounded up to ``multiple``. Adds
+    ``feature_ordinal, batch, padded_length``.
+
+    Only sizes move: a feature's ordinal is its key's offset (prefix sums over the
+    number of windows per key) plus its window, and the batches' lengths are joined
+    back. Keys must be unique per example.
+    """
+    light = features.select(key, window, F.size("input_ids").alias("_n"))
+    counts = light.groupBy(key).agg(F.count("*").alias("_windows"))
+    offsets = prefix_sums(counts, [key], "_offset", weight="_windows").select(key, "_offset")
+    offsets = broadcast_if_small(offsets, "offsets", max_broadcast_bytes)
+
+    def numbered(df):
+        n = df.join(offsets, key).withColumn("feature_ordinal", F.col("_offset") + F.col(window)).drop("_offset")
+        return n.withColumn("batch", F.expr(f"feature_ordinal div {batch_size}"))
+
+    longest = F.max("_n")
     target = F.ceil(longest / multiple) * multiple if multiple else longest
-    return pad(f.withColumn("padded_length", target.cast("int")), F.col("padded_length"))
+    lengths = numbered(light).groupBy("batch").agg(target.cast("int").alias("padded_length"))
+    lengths = broadcast_if_small(lengths, "lengths", max_broadcast_bytes)
+    return pad(numbered(features).join(lengths, "batch"), F.col("padded_length"), side=side)
 
 
+# ----------------------------------------------------------------------------- W7
 def span_labels(feat: DataFrame, answers: str = "answers", compat: bool = False) -> DataFrame:
     """``start_positions, end_positions`` of each (train) window.
 
     Only the first answer counts. No answer, or an answer not fully inside the
-    window's context -> both at ``[CLS]`` (index 0). Else start = last context
-    token with ``start <= answer start``, end = first context token with
-    ``end >= answer end``. ``compat=True`` reproduces the reference's overrun
-    when the answer begins in the window's last context token (start = last
-    index of the row).
+    window's context -> both at ``[CLS]``. Else start = last context token with
+    ``start <= answer start``, end = first context token with ``end >= answer end``.
+    ``compat=True`` reproduces the reference's overrun when the answer begins in the
+    window's last context token (start = last index of the row).
     """
-    qn = F.size("q_ids")
-    ts = qn + 2
+    ts = F.col("context_start")
     cn = F.col("we") - F.col("ws")
     ctx = F.slice("c_offs", F.col("ws") + 1, cn)
     s = F.get(F.col(f"{answers}.answer_start"), 0)
@@ -259,27 +320,31 @@ def span_labels(feat: DataFrame, answers: str = "answers", compat: bool = False)
     start = ts + k - 1
     if compat:
         start = F.when(k == cn, F.size("input_ids") - 1).otherwise(start)
+    cls = F.col("cls_index")
     return feat.withColumns({
-        "start_positions": F.when(inside, start).otherwise(F.lit(0)).cast("int"),
-        "end_positions": F.when(inside, ts + m).otherwise(F.lit(0)).cast("int"),
+        "start_positions": F.when(inside, start).otherwise(cls).cast("int"),
+        "end_positions": F.when(inside, ts + m).otherwise(cls).cast("int"),
     })
 
 
-def train_features(examples: DataFrame, vocab: DataFrame, spec: WindowSpec = WindowSpec(),
-                   compat: bool = False) -> DataFrame:
+# ----------------------------------------------------------------------------- W8
+def train_features(examples: DataFrame, vocab: DataFrame | None = None, spec: WindowSpec = WindowSpec(),
+                   compat: bool = False, factory: Callable[[], Callable] | None = None) -> DataFrame:
     """W8 (train): ``id, window, input_ids, attention_mask, start_positions,
     end_positions``; the original columns are not carried."""
-    enc = encode(examples, vocab).join(examples.select("id", "answers"), "id")
+    enc = encode(examples.select("id", "question", "context", "answers"), vocab, factory=factory)
     f = span_labels(pair_features(windows(enc, spec), spec, eval_mode=False), compat=compat)
     return f.select("id", "window", "input_ids", "attention_mask", "start_positions", "end_positions")
 
 
-def eval_features(examples: DataFrame, vocab: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """W8 (eval): ``example_id, window, input_ids, attention_mask,
-    token_type_ids, offset_mapping`` (null outside the context)."""
-    f = pair_features(windows(encode(examples, vocab), spec), spec, eval_mode=True)
+def eval_features(examples: DataFrame, vocab: DataFrame | None = None, spec: WindowSpec = WindowSpec(),
+                  factory: Callable[[], Callable] | None = None) -> DataFrame:
+    """W8 (eval): ``example_id, window, input_ids, attention_mask, token_type_ids,
+    sequence_ids, q_ids, offset_mapping`` (null outside the context)."""
+    enc = encode(examples.select("id", "question", "context"), vocab, factory=factory)
+    f = pair_features(windows(enc, spec), spec, eval_mode=True)
     return f.select(F.col("id").alias("example_id"), "window", "input_ids", "attention_mask",
-                    "token_type_ids", "offset_mapping")
+                    "token_type_ids", "sequence_ids", "q_ids", "offset_mapping")
 
 
 def checksum(arr) -> Column:

@@ -34,38 +34,50 @@ def _tok_sql(side: str, col: str) -> str:
 {p}t as (select {p}t0.*, coalesce(v.id, 1) as tid from {p}t0 left join vocab v on v.token = lower({p}t0.token))"""
 
 
-BASE_SQL = f"""{QA},
+def base_sql(specials: int = 3, source: str = QA, length: int = ML) -> str:
+    """CTEs from examples ``qa`` to windows ``win2`` and features ``feat`` of the
+    ``question | context`` layout with 3 or 4 special symbols."""
+    between = specials - 2
+    seps = " + ".join(f"3 * (qn + {1 + i})" for i in range(1, between + 1))
+    return f"""{source},
 vterms as (select distinct unnest({words_sql('text')}) as token from benchmark),
 vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
           union all select token, 3 + row_number() over (order by token) as id from vterms),
 {_tok_sql('q', 'question')},
 {_tok_sql('c', 'context')},
-qagg as (select id, count(*) as qn, sum(tid * (tok_idx + 2)) as qsum from qt group by id),
+qagg as (select id, count(*) as qn, sum(tid * (tok_idx + 1)) as qsum, sum(tid) as qtid from qt group by id),
 cagg as (select id, count(*) as n from ct group by id),
 ex as (select qa.id, qa.split, coalesce(qagg.qn, 0) as qn, coalesce(qagg.qsum, 0) as qsum,
-              coalesce(cagg.n, 0) as n,
-              {ML} - coalesce(qagg.qn, 0) - 3 as cap, {ML} - coalesce(qagg.qn, 0) - 3 - {ST} as step,
+              coalesce(qagg.qtid, 0) as qtid, coalesce(cagg.n, 0) as n,
+              {length} - coalesce(qagg.qn, 0) - {specials} as cap, {length} - coalesce(qagg.qn, 0) - {specials} - {ST} as step,
               qa.answer_start as s, qa.answer_start + length(qa.answer_text) as e
        from qa left join qagg using (id) left join cagg using (id)),
 win as (select *, unnest(range(case when n <= cap then 1 else 1 + ceil((n - cap) / step)::int end)) as w from ex),
 win2 as (select *, w * step as ws, least(w * step + cap, n) as we from win),
-fw as (select win2.id, win2.w, split, qn, qsum, ws, we, s, e,
-              coalesce(sum(ct.tid * (qn + 3 + ct.tok_idx - ws)), 0) as csum0,
+fw as (select win2.id, win2.w, split, qn, qsum, qtid, ws, we, s, e,
+              coalesce(sum(ct.tid * (ct.tok_idx - ws + 1)), 0) as csum, coalesce(sum(ct.tid), 0) as ctid,
               max(case when ct.tok_idx = ws then ct.start end) as first_start,
               max(case when ct.tok_idx = we - 1 then ct."end" end) as last_end,
               count(ct.tok_idx) filter (where ct.start <= s) as k,
               count(ct.tok_idx) filter (where ct."end" < e) as m,
               coalesce(sum(ct.start), 0) as sum_start, coalesce(sum(ct."end"), 0) as sum_end
        from win2 left join ct on ct.id = win2.id and ct.tok_idx >= win2.ws and ct.tok_idx < win2.we
-       group by win2.id, win2.w, split, qn, qsum, ws, we, s, e),
-feat as (select id, w, split, qn, we - ws as cn, qn + (we - ws) + 3 as n_ids,
-                2 + qsum + 3 * (qn + 2) + csum0 + 3 * (qn + 3 + we - ws) as ids_checksum,
-                sum_start, sum_end,
-                case when s is not null and we > ws and first_start <= s and last_end >= e
-                     then qn + 2 + k - 1 else 0 end as start_positions,
-                case when s is not null and we > ws and first_start <= s and last_end >= e
-                     then qn + 2 + m else 0 end as end_positions
-         from fw)"""
+       group by win2.id, win2.w, split, qn, qsum, qtid, ws, we, s, e),
+fi as (select *, we - ws as cn, qn + (we - ws) + {specials} as n_ids,
+              s is not null and we > ws and first_start <= s and last_end >= e as inside from fw),
+feat as (select *, 2 + qsum + qtid + {seps} + csum + (qn + {1 + between}) * ctid + 3 * n_ids as ids_checksum,
+                case when inside then qn + {1 + between} + k - 1 else 0 end as start_positions,
+                case when inside then qn + {1 + between} + m else 0 end as end_positions
+         from fi),
+lf as (select *, {length} - n_ids as x from fi),
+left_feat as (select *, 2 * (x + 1) + csum + (x + 1) * ctid + 3 * (x + cn + 2) + qsum + (x + cn + 2) * qtid
+                        + 3 * {length} as ids_checksum,
+                     case when inside then x + k else x end as start_positions,
+                     case when inside then x + 1 + m else x end as end_positions
+              from lf)"""
+
+
+BASE_SQL = base_sql()
 
 
 # ----------------------------------------------------------------------------- W1
@@ -77,14 +89,44 @@ select id::bigint as id, tok_idx::bigint as tok_idx, token, start::bigint as sta
 
 @register("token_offsets", TOKEN_OFFSETS_SQL)
 def token_offsets(spark, sf):
+    """W1 through the plug-in slot (the built-in tokenizer is a plug-in)."""
     t = Wn.token_offsets(_examples(spark, sf), "id", "context")
     return t.select(F.col("id").cast("bigint").alias("id"), F.col("tok_idx").cast("bigint").alias("tok_idx"),
                     "token", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
-def _windows(spark, sf):
+@register("token_offsets_plugin", TOKEN_OFFSETS_SQL)
+def token_offsets_plugin(spark, sf):
+    """W1 with a tokenizer that is not the library's."""
+    t = Wn.token_offsets(_examples(spark, sf), "id", "context", _character_classes)
+    return t.select(F.col("id").cast("bigint").alias("id"), F.col("tok_idx").cast("bigint").alias("tok_idx"),
+                    "token", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+def _character_classes():
+    """A tokenizer by character class, without a pattern: the same tokens, other ids."""
+    from itertools import groupby
+
+    def kind(pair):
+        at, c = pair
+        return "word" if c.isalnum() else at
+
+    def tokenize(texts):
+        for text in texts:
+            parts = ["".join(c for _, c in g) for _, g in groupby(enumerate(text or ""), kind)]
+            starts, at, found = [], 0, []
+            for part in parts:
+                if not part.isspace():
+                    found.append(part)
+                    starts.append(at)
+                at += len(part)
+            yield [len(t) for t in found], starts, [s + len(t) for s, t in zip(starts, found)]
+    return tokenize
+
+
+def _windows(spark, sf, spec=SPEC):
     ex = _examples(spark, sf)
-    return Wn.windows(Wn.encode(ex, _vocab(spark, sf)), SPEC)
+    return Wn.windows(Wn.encode(ex, _vocab(spark, sf)), spec)
 
 
 # ----------------------------------------------------------------------------- W2
@@ -121,6 +163,52 @@ def pair_features(spark, sf):
                     (F.col("we") - F.col("ws")).cast("bigint").alias("n_context"))
 
 
+# The other layouts, padded: sizes, masks and types are compared through sums.
+def _layout(f):
+    ints = {"ids_checksum": Wn.checksum("input_ids"), "mask_checksum": Wn.checksum("attention_mask"),
+            "type_checksum": Wn.checksum("token_type_ids"),
+            "n_question": F.size(F.filter("sequence_ids", lambda x: x == 0)),
+            "n_null_offsets": F.size(F.filter("offset_mapping", lambda o: o.isNull()))}
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    *[c.cast("bigint").alias(n) for n, c in ints.items()])
+
+
+def _sum_of(first: str, last: str) -> str:
+    """Sum of the numbers first..last."""
+    return f"(({last}) * (({last}) + 1) - (({first}) - 1) * ({first})) // 2"
+
+
+LEFT_SQL = f"""
+with {BASE_SQL}
+select id::bigint as id, w::bigint as "window", ids_checksum::bigint as ids_checksum,
+       ({_sum_of('x + 1', str(ML))})::bigint as mask_checksum,
+       ({_sum_of('x + cn + 3', str(ML))})::bigint as type_checksum,
+       cn::bigint as n_question, ({ML} - cn)::bigint as n_null_offsets from left_feat
+"""
+
+
+@register("pair_features_left", LEFT_SQL)
+def pair_features_left(spark, sf):
+    """``context | question`` behind padding; part 0 is the context."""
+    spec = Wn.WindowSpec(side="left")
+    return _layout(Wn.pair_features(_windows(spark, sf, spec), spec, eval_mode=True))
+
+
+DOUBLE_SQL = f"""
+with {base_sql(4)}
+select id::bigint as id, w::bigint as "window", ids_checksum::bigint as ids_checksum,
+       ({_sum_of('1', 'n_ids')})::bigint as mask_checksum,
+       ({_sum_of('qn + 4', 'n_ids')})::bigint as type_checksum,
+       qn::bigint as n_question, ({ML} - cn)::bigint as n_null_offsets from feat
+"""
+
+
+@register("pair_features_double_sep", DOUBLE_SQL)
+def pair_features_double_sep(spark, sf):
+    spec = Wn.WindowSpec(double_separator=True)
+    return _layout(Wn.pair_features(_windows(spark, sf, spec), spec, eval_mode=True))
+
+
 # ----------------------------------------------------------------------------- W4
 PADDED_SQL = f"""
 with {BASE_SQL}
@@ -141,10 +229,12 @@ def padded_features(spark, sf):
 # ----------------------------------------------------------------------------- W5
 BATCH_SQL = f"""
 with {BASE_SQL},
-o as (select id, w, n_ids, row_number() over (order by id, w) - 1 as ord from feat),
+o as (select id, w, n_ids, ids_checksum, row_number() over (order by id, w) - 1 as ord from feat),
 b as (select *, ord // 8 as batch from o)
 select ord::bigint as feature_ordinal, id::bigint as id, w::bigint as "window", batch::bigint as batch,
-       (ceil(max(n_ids) over (partition by batch) / 8) * 8)::bigint as padded_length from b
+       (ceil(max(n_ids) over (partition by batch) / 8) * 8)::bigint as padded_length,
+       (ceil(max(n_ids) over (partition by batch) / 8) * 8)::bigint as size, ids_checksum::bigint as ids_checksum,
+       ({_sum_of('1', 'n_ids')})::bigint as mask_checksum from b
 """
 
 
@@ -152,11 +242,13 @@ select ord::bigint as feature_ordinal, id::bigint as id, w::bigint as "window",
 def batch_padding(spark, sf):
     f = Wn.pair_features(_windows(spark, sf), Wn.WindowSpec(pad_to_max_length=False), eval_mode=True)
     f = f.select("id", "window", "input_ids", "attention_mask")
-    b = Wn.batch_pad(f, ["id", "window"], 8, 8)
+    b = Wn.batch_pad(f, batch_size=8, multiple=8)
     return b.select(F.col("feature_ordinal").cast("bigint").alias("feature_ordinal"),
                     F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
                     F.col("batch").cast("bigint").alias("batch"),
-                    F.col("padded_length").cast("bigint").alias("padded_length"))
+                    F.col("padded_length").cast("bigint").alias("padded_length"),
+                    F.size("input_ids").cast("bigint").alias("size"), Wn.checksum("input_ids").alias("ids_checksum"),
+                    Wn.checksum("attention_mask").alias("mask_checksum"))
 
 
 # ----------------------------------------------------------------------------- W6
@@ -185,18 +277,21 @@ select id::bigint as id, w::bigint as "window", start_positions::bigint as start
 """
 
 
-def _labelled(spark, sf):
-    ex = _examples(spark, sf)
-    enc = Wn.encode(ex, _vocab(spark, sf)).join(ex.select("id", "answers"), "id")
-    return Wn.span_labels(Wn.pair_features(Wn.windows(enc, SPEC), SPEC, eval_mode=False))
+def _labels(spark, sf, spec):
+    f = Wn.span_labels(Wn.pair_features(_windows(spark, sf, spec), spec, eval_mode=False))
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.col("start_positions").cast("bigint").alias("start_positions"),
+                    F.col("end_positions").cast("bigint").alias("end_positions"))
 
 
 @register("span_labels", LABELS_SQL)
 def span_labels(spark, sf):
-    f = _labelled(spark, sf)
-    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
-                    F.col("start_positions").cast("bigint").alias("start_positions"),
-                    F.col("end_positions").cast("bigint").alias("end_positions"))
+    return _labels(spark, sf, SPEC)
+
+
+@register("span_labels_left", LABELS_SQL.replace("from feat", "from left_feat"))
+def span_labels_left(spark, sf):
+    return _labels(spark, sf, Wn.WindowSpec(side="left"))
 
 
 # ----------------------------------------------------------------------------- W8
