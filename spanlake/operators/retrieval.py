@@ -2,31 +2,32 @@
 
 Plan shape at scale
 -------------------
-* The corpus is hash-partitioned once by ``doc_id``; tokens are exploded in place
-  and the postings ``(doc_id, term, tf, dl)`` are aggregated without another
-  shuffle (hash partitioning on ``doc_id`` satisfies grouping on
-  ``(doc_id, term)``).
-* Query terms are small (questions x distinct words): they are broadcast after a
-  row-count check, so the postings are streamed and never shuffled for scoring.
-  The broadcast join keeps the ``doc_id`` partitioning, so the per
-  ``(question, doc)`` score sum needs no shuffle either.
-* Document frequencies are counted only for the query terms (semi join first).
-  Hot terms are pre-aggregated map side, one row per term per task.
-* ``row_number() <= k`` gets a partial ``WindowGroupLimit`` before the shuffle on
-  the question id: at most ``k`` rows per question per task cross the network.
+* The corpus is hash-partitioned once by ``doc_id``; each document is tokenized after
+  the shuffle, its length is known in-row, and the postings ``(doc_id, field, term,
+  tf, dl)`` are aggregated without another shuffle (hash partitioning on ``doc_id``
+  satisfies grouping on ``(doc_id, field, term)``).
+* To answer questions without a stored index, only the questions' terms are kept
+  before the postings are grouped; collection statistics come from the in-row lengths.
+* A stored index is clustered by term, with its fields and statistics beside it, so
+  answering questions reads the postings of their terms once.
+* The weighted question terms are broadcast only after a check of their bytes;
+  otherwise the join shuffles on ``(field, term)`` and adaptive execution splits hot
+  terms. Hot terms are pre-aggregated map side in document frequencies.
+* ``row_number() <= k`` gets a partial ``WindowGroupLimit`` before the shuffle on the
+  question id: at most ``k`` rows per question per task cross the network.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from spanlake.functions.text import WS, title_prefix, words
-from spanlake.operators.common import (MAX_BROADCAST_ROWS, broadcast_checked, explode_rows,
-                                       fits_broadcast, r6)
-from pyspark.storagelevel import StorageLevel
+from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows, r6
+from spanlake.session import written
 
 K1 = 1.2
 B = 0.75
@@ -34,32 +35,28 @@ B = 0.75
 
 @dataclass
 class InvertedIndex:
-    """Postings ``(doc_id, field, term, tf, dl)``; one index can hold several
-    fields (each with its own statistics). Document stats derive from them."""
+    """Postings ``(doc_id, field, term, tf, dl)`` with ``stats`` ``(field, n_docs,
+    avgdl)`` of one or several fields. An index restricted to some terms has the
+    statistics of the whole collection. A stored index has each term's ``df`` in its
+    postings too."""
 
     postings: DataFrame
-    fields: tuple | None = None
+    stats: DataFrame
+    fields: tuple
 
     def release(self) -> None:
+        """Free the postings if they were persisted."""
         self.postings.unpersist()
 
     @property
     def doc_stats(self) -> DataFrame:
-        """``(doc_id, field, dl)``; no shuffle on a ``doc_id``-partitioned index."""
+        """``(doc_id, field, dl)`` of documents with a posting."""
         return self.postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
 
-    def field_stats(self) -> DataFrame:
-        """``(field, n_docs, avgdl)``: one row per field."""
-        return self.doc_stats.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-    def term_df(self, terms: DataFrame | None = None, broadcast_terms: bool = True) -> DataFrame:
-        """``(field, term, df)``; restricted to ``terms`` (a ``term`` column) when given.
-        Partial aggregation makes a hot term one row per task before the shuffle."""
-        p = self.postings
-        if terms is not None:
-            t = terms.select("term").distinct()
-            p = p.join(F.broadcast(t) if broadcast_terms else t, "term", "left_semi")
-        return p.groupBy("field", "term").agg(F.count("*").alias("df"))
+    def term_df(self) -> DataFrame:
+        """``(field, term, df)``; partial aggregation makes a hot term one row per task
+        before the shuffle."""
+        return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def analyze(text) -> Column:
@@ -82,54 +79,72 @@ def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions:
     return docs.select("doc_id", per_field.alias("_fz")).select("doc_id", "_fz.field", "_fz.toks")
 
 
-def tokens(corpus: DataFrame, key: str = "doc_id", text="text",
-           stopwords: DataFrame | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exploded ``(doc_id, field, term)`` tokens, hash-partitioned by ``doc_id``.
-    ``stopwords`` (a ``term`` column) is removed with a size-checked broadcast
-    anti join."""
+def tokens(corpus: DataFrame, key: str = "doc_id", text="text", num_partitions: int | None = None) -> DataFrame:
+    """Exploded ``(doc_id, field, term)`` tokens, hash-partitioned by ``doc_id``."""
     docs = _docs_by_id(corpus, key, _fields(text), num_partitions)
-    toks = explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term")
-    if stopwords is not None:
-        toks = toks.join(broadcast_checked(stopwords.select("term").distinct()), "term", "left_anti")
-    return toks
-
-
-def build_index(corpus: DataFrame, key: str = "doc_id", text="text",
-                stopwords: DataFrame | None = None, num_partitions: int | None = None,
-                materialize: bool = True) -> InvertedIndex:
-    """Postings with term frequency and document length, for one field
-    (``text`` a column name) or several (a list), in a single pass.
-
-    ``materialize=True`` persists the postings (memory, spilling to disk): the
-    corpus is tokenized once for all later uses (scoring, document frequencies,
-    corpus statistics), and the cached plan keeps its ``doc_id`` hash
-    partitioning, so the scoring aggregation needs no shuffle. (A checkpoint
-    would drop that partitioning.) Lost blocks are recomputed from the short
-    lineage; ``save_index`` writes a durable copy. ``release()`` unpersists.
+    return explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term")
+
+
+def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords: DataFrame | None = None,
+                terms: DataFrame | None = None, num_partitions: int | None = None,
+                materialize: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> InvertedIndex:
+    """Postings with term frequency and document length, for one field (``text`` a
+    column name) or several (a list), in a single pass.
+
+    ``stopwords`` (a ``term`` column) are no terms and count in no length. ``terms`` (a
+    ``term`` column) restricts the postings to those terms, before they are grouped;
+    lengths and statistics stay those of all terms.
+
+    ``materialize=True`` persists the postings (memory, spilling to disk): the corpus
+    is tokenized once for all later uses, and the cached plan keeps its ``doc_id``
+    hash partitioning, so the scoring aggregation needs no shuffle. Lost blocks are
+    recomputed from the short lineage; ``save_index`` writes a durable copy.
+    ``release()`` unpersists.
     """
-    if stopwords is None:
-        # Document length is known in-row before the explode: no window needed.
-        docs = _docs_by_id(corpus, key, _fields(text), num_partitions).withColumn("dl", F.size("toks"))
+    docs = _docs_by_id(corpus, key, _fields(text), num_partitions)
+    if stopwords is not None:
+        stop = broadcast_if_small(stopwords.select("term").distinct(), "stop-words", max_broadcast_bytes)
+        kept = explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term").join(stop, "term", "left_anti")
+        # lengths without stop words need the tokens together again: same partitioning
+        kept = kept.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"))
+        kept = kept.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "field")))
+        lengths = kept.select("doc_id", "field", "dl").distinct()
+        if terms is not None:
+            kept = kept.join(_distinct_terms(terms, max_broadcast_bytes), "term", "left_semi")
+        postings = kept
+    else:
+        docs = docs.withColumn("dl", F.size("toks").cast("bigint"))
+        lengths = docs.where("dl > 0").select("field", "dl")
         toks = explode_rows(docs, F.col("toks"), ["doc_id", "field", "dl"], "term")
+        if terms is not None:
+            toks = toks.join(_distinct_terms(terms, max_broadcast_bytes), "term", "left_semi")
         postings = toks.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    else:
-        tf = (tokens(corpus, key, text, stopwords, num_partitions)
-              .groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf")))
-        postings = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "field")))
     if materialize:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-    return InvertedIndex(postings, tuple(_fields(text)))
+        if terms is None:
+            lengths = postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
+    stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return InvertedIndex(postings, stats, tuple(_fields(text)))
+
+
+def _distinct_terms(terms: DataFrame, max_bytes: int) -> DataFrame:
+    return broadcast_if_small(terms.select("term").distinct(), "terms", max_bytes)
 
 
 def save_index(index: InvertedIndex, path: str, mode: str = "overwrite") -> None:
-    """Write the postings once (dropping an earlier index), clustered by document
-    within each file so a later scan keeps a document's postings together."""
-    (index.postings.sortWithinPartitions("doc_id", "field", "term")
+    """Write the index once (dropping an earlier one): postings with their term's
+    document frequency, clustered by term, so that a read of some terms skips the row
+    groups of others; and the statistics."""
+    index.stats.write.mode(mode).parquet(f"{path}/stats")
+    (index.postings.join(index.term_df(), ["field", "term"])
+     .repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id")
      .write.mode(mode).parquet(f"{path}/postings"))
 
 
-def load_index(spark, path: str) -> InvertedIndex:
-    return InvertedIndex(spark.read.parquet(f"{path}/postings"))
+def load_index(spark: SparkSession, path: str) -> InvertedIndex:
+    stats = spark.read.parquet(f"{path}/stats")
+    fields = tuple(sorted(r["field"] for r in stats.select("field").collect()))  # one row per field
+    return InvertedIndex(spark.read.parquet(f"{path}/postings"), stats, fields)
 
 
 def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question") -> DataFrame:
@@ -139,7 +154,7 @@ def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question") ->
 
 
 def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str = "question",
-         k1: float = K1, b: float = B, broadcast_queries: bool | None = None) -> DataFrame:
+         k1: float = K1, b: float = B, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """R3 (+ R4): ``(qid, doc_id, score)`` for every document sharing a term with
     the query; with several fields each is scored with its own statistics and
     the best field wins.
@@ -147,101 +162,30 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     ``score = sum qtf * ln(1 + (N - df + .5)/(df + .5)) * tf / (tf + k1*(1 - b + b*dl/avgdl))``
     rounded to 6 places (so that ranks do not depend on summation order).
 
-    The weighted query terms are broadcast when the query-term table passes a
-    size check (its row count times the number of fields bounds the weighted
-    table); otherwise the join shuffles on ``term`` and adaptive execution
-    splits hot terms. Both score aggregations are satisfied by the postings'
-    ``doc_id`` partitioning.
+    A stored index knows each term's document frequency, so its postings are read once;
+    otherwise the frequencies are counted first, for the questions' terms only. The
+    weighted terms are broadcast if their bytes pass the check; otherwise the join
+    shuffles. Both score aggregations are satisfied by a ``doc_id`` partitioning of the
+    postings.
     """
     qt = query_terms(queries, qid, qtext)
-    small = fits_broadcast(qt) if broadcast_queries is None else broadcast_queries
-    dfs = index.term_df(qt, small)
-    # One row per field: a proven bound (the number of fields).
-    stats = F.broadcast(index.field_stats())
+    stats = F.broadcast(index.stats)  # one row per field: a proven bound
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weighted = qt.join(dfs, "term").join(stats, "field").select(
-        "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
-    if small:
-        weighted = F.broadcast(weighted)
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    contrib = index.postings.join(weighted, ["field", "term"]).select(
-        "qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
+    if "df" in index.postings.columns:
+        joined = (index.postings.join(broadcast_if_small(qt, "question-terms", max_broadcast_bytes), "term")
+                  .join(stats, "field").withColumn("w", F.col("qtf") * idf))
+    else:
+        terms = _distinct_terms(qt, max_broadcast_bytes)
+        dfs = index.postings.join(terms, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+        weighted = qt.join(dfs, "term").join(stats, "field").select(
+            "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
+        joined = index.postings.join(broadcast_if_small(weighted, "weighted-terms", max_broadcast_bytes), ["field", "term"])
+    contrib = joined.select("qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
     per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
     return per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
-def bm25_top_k_pruned(index: InvertedIndex, queries: DataFrame, k: int = 10, qid: str = "id",
-                      qtext: str = "question", k1: float = K1, b: float = B, seed_terms: int = 1,
-                      margin: float = 2e-6) -> DataFrame:
-    """Exact BM25 top-k that skips documents which cannot reach the top k.
-
-    Same result as ``top_k(bm25(...), k)`` for a one-field index, without scoring
-    every document of a frequent term:
-
-    1. Each term's upper bound is ``w * max(tf / norm)`` over its postings.
-    2. A lower bound ``theta`` on the k-th best score: the k-th best partial
-       score over the question's ``seed_terms`` rarest terms (partial <= full).
-    3. Terms taken in increasing upper bound while their running sum stays
-       below ``theta - margin`` are non-essential: a document holding only such
-       terms scores below the k-th best even after rounding to 6 places.
-    4. Candidates are the documents holding an essential term; their full
-       scores add the non-essential contributions: the postings of the
-       non-essential terms are read once (not once per question holding them)
-       and joined to the candidates on the shared ``doc_id`` partitioning.
-
-    How much is skipped depends on the data: frequent terms shared by many
-    questions are what it saves on; when every term is essential it does the
-    exact work plus the bound computation.
-
-    Every step is a join, an aggregation or a window bounded per question; no
-    document is dropped that could be in the top k.
-    """
-    if index.fields is not None and len(index.fields) != 1:
-        raise ValueError("pruned top-k needs a one-field index; use top_k(bm25(...)) for several fields")
-    p = index.postings
-    qt = query_terms(queries, qid, qtext)
-    small = fits_broadcast(qt)
-    bc = F.broadcast if small else (lambda d: d)
-    stats = F.broadcast(index.field_stats())
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    pg = p.join(stats.select("field", "avgdl"), "field").withColumn("g", F.col("tf") / norm)
-    terms = qt.select("term").distinct()
-    tstats = (pg.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-              .groupBy("field", "term").agg(F.count("*").alias("df"), F.max("g").alias("gmax")))
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    w = (qt.join(tstats, "term").join(stats.select("field", "n_docs"), "field")
-         .select("qid", "field", "term", "df", (F.col("qtf") * idf).alias("w"), "gmax")
-         .withColumn("ub", F.col("w") * F.col("gmax")))
-
-    def contrib(weights):
-        return pg.join(bc(weights), ["field", "term"]).select(
-            "qid", "doc_id", (F.col("w") * F.col("tf") / norm).alias("c"))
-
-    # 2. theta from the rarest terms (per question: a window over its few terms).
-    seed = w.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))) \
-            .where(F.col("_r") <= seed_terms).select("qid", "field", "term", "w")
-    partial = contrib(seed).groupBy("qid", "doc_id").agg(F.sum("c").alias("ps"))
-    theta = top_k(partial, k, score="ps").where(F.col("rank") == k).select("qid", F.col("ps").alias("theta"))
-    # 3. essential / non-essential split (running sum of upper bounds, ascending).
-    run = Window.partitionBy("qid").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = (w.join(theta, "qid", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
-             .withColumn("_cum", F.sum("ub").over(run))
-             .withColumn("_noness", F.col("_cum") < F.col("theta") - F.lit(margin)))
-    ess = split.where(~F.col("_noness")).select("qid", "field", "term", "w")
-    noness = split.where(F.col("_noness")).select("qid", "field", "term", "w")
-    # 4. candidates and their full scores.
-    ce = contrib(ess)
-    cands = ce.select("qid", "doc_id").distinct()
-    # Postings of non-essential terms only (each list read once for all
-    # questions), joined to the candidates on the shared doc_id partitioning.
-    nz = noness.select("field", "term").distinct()
-    pn = pg.join(F.broadcast(nz) if small else nz, ["field", "term"], "left_semi")
-    cn = (cands.join(pn, "doc_id").join(bc(noness), ["qid", "field", "term"])
-          .select("qid", "doc_id", (F.col("w") * F.col("tf") / norm).alias("c")))
-    scores = ce.unionByName(cn).groupBy("qid", "doc_id").agg(r6(F.sum("c")).alias("score"))
-    return top_k(scores, k)
-
-
 def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",
           score: str = "score") -> DataFrame:
     """The ``k`` best documents per query with 1-based ``rank``; ties by doc id."""
@@ -249,12 +193,18 @@ def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def multifield_bm25(corpus: DataFrame, queries: DataFrame, fields=("text", "title"),
-                    key: str = "doc_id", qid: str = "id", qtext: str = "question",
-                    stopwords: DataFrame | None = None) -> DataFrame:
-    """Every field scored with its own statistics, the best field wins; all
-    fields are tokenized in one pass over one shuffle of the corpus."""
-    return bm25(build_index(corpus, key, list(fields), stopwords), queries, qid, qtext)
+def search(corpus: DataFrame, queries: DataFrame, k: int = 10, fields="text", key: str = "doc_id", qid: str = "id",
+           qtext: str = "question", stopwords: DataFrame | None = None,
+           max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """R1+R3+R4+R5 without a stored index: the ``k`` best documents per question, from
+    the postings of the questions' terms alone. Several fields (a list) are scored
+    each with its own statistics and the best one wins. The result is written once, so
+    the postings are released."""
+    index = build_index(corpus, key, fields, stopwords, query_terms(queries, qid, qtext),
+                        max_broadcast_bytes=max_broadcast_bytes)
+    hits = written(top_k(bm25(index, queries, qid, qtext, max_broadcast_bytes=max_broadcast_bytes), k), "hits")
+    index.release()
+    return hits
 
 
 def passage_corpus(corpus: DataFrame) -> DataFrame:
@@ -263,12 +213,11 @@ def passage_corpus(corpus: DataFrame) -> DataFrame:
 
 
 def attach_text(hits: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text",
-                broadcast_hits: bool = True) -> DataFrame:
-    """Join the hit list to the corpus text. Hits are at most ``k`` per question;
-    when the caller has checked the question count they are broadcast and the
-    corpus is streamed, not shuffled."""
+                max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join the hit list to the corpus text. A hit list whose bytes pass the check is
+    broadcast, and the corpus is streamed, not shuffled."""
     src = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return src.join(F.broadcast(hits) if broadcast_hits else hits, "doc_id")
+    return src.join(broadcast_if_small(hits, "hits", max_broadcast_bytes), "doc_id")
 
 
 def hits_wide(hits: DataFrame, k: int = 10, qid: str = "qid") -> DataFrame:
@@ -287,19 +236,19 @@ def concat_context(hits: DataFrame, qid: str = "qid") -> DataFrame:
     return hits.groupBy(qid).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("context"))
 
 
-def retrieve_contexts(corpus: DataFrame, questions: DataFrame, k: int = 10,
-                      stopwords: DataFrame | None = None) -> DataFrame:
+def retrieve_contexts(corpus: DataFrame, questions: DataFrame, k: int = 10, stopwords: DataFrame | None = None,
+                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """R1+R3+R5+R7+R8: ``(id, question, context)`` for every question.
 
     The corpus needs ``doc_id, title, text``; questions need ``id, question``.
-    Questions with no hit get an empty context.
+    Questions with no hit get an empty context. ``stopwords`` (a ``term`` column) are
+    left out of the index. The hits' texts are read from the raw corpus, and only they
+    get their title prefix.
     """
-    passages = passage_corpus(corpus)
-    idx = build_index(passages, stopwords=stopwords, materialize=True)
-    small = fits_broadcast(questions, MAX_BROADCAST_ROWS // k)
-    hits = top_k(bm25(idx, questions, broadcast_queries=small), k)
-    with_text = attach_text(hits.select("qid", "doc_id", "rank"), passages, broadcast_hits=small)
-    ctx = concat_context(with_text)
+    hits = search(passage_corpus(corpus), questions, k, stopwords=stopwords, max_broadcast_bytes=max_broadcast_bytes)
+    raw = corpus.select("doc_id", "title", "text").join(
+        broadcast_if_small(hits.select("qid", "doc_id", "rank"), "hits", max_broadcast_bytes), "doc_id")
+    ctx = concat_context(raw.withColumn("text", title_prefix("title", "text")))
     return (questions.select("id", "question")
             .join(ctx.withColumnRenamed("qid", "id"), "id", "left")
             .select("id", "question", F.coalesce("context", F.lit("")).alias("context")))
@@ -317,14 +266,39 @@ def frequent_terms(index: InvertedIndex, min_doc_fraction: float = 0.5) -> DataF
     """A stop-word table derived from the corpus: terms in more than the given
     fraction of the documents of a field (the reference loads its list from a
     file)."""
-    stats = F.broadcast(index.field_stats())
-    return (index.term_df().join(stats, "field")
+    return (index.term_df().join(F.broadcast(index.stats), "field")
             .where(F.col("df") > F.lit(min_doc_fraction) * F.col("n_docs")).select("term").distinct())
 
 
-def tag_dictionary_terms(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """R2 user dictionary: mark tokens that are title terms (kept whole)."""
-    d = broadcast_checked(dictionary.select(F.lower("term").alias("term")).distinct()
-                          .withColumn("is_title_term", F.lit(True)))
-    return toks.join(d, "term", "left").withColumn(
-        "is_title_term", F.coalesce("is_title_term", F.lit(False)))
+def without_terms(index: InvertedIndex, stopwords: DataFrame,
+                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> InvertedIndex:
+    """The index without the given terms (a ``term`` column), lengths and statistics
+    included; the corpus is not tokenized again."""
+    stop = broadcast_if_small(stopwords.select("term").distinct(), "stop-words", max_broadcast_bytes)
+    kept = index.postings.join(stop, "term", "left_anti").withColumn(
+        "dl", F.sum("tf").over(Window.partitionBy("doc_id", "field")))
+    stats = (kept.select("doc_id", "field", "dl").distinct().groupBy("field")
+             .agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    return InvertedIndex(kept, stats, index.fields)
+
+
+def dictionary_tokens(corpus: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text",
+                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """R2 user dictionary: ``(doc_id, term, whole)`` tokens in which a dictionary term
+    stays whole.
+
+    The text is cut at blanks first. A piece that is a dictionary term (lower-cased;
+    also without the full stop, comma or the like behind it) is one token, with
+    ``whole`` true; any other piece is analyzed into words.
+    """
+    docs = corpus.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))
+    pieces = explode_rows(docs, F.split(F.lower("_t"), WS + "+"), ["doc_id"], "piece").where("piece != ''")
+    terms = broadcast_if_small(dictionary.select(F.lower("term").alias("_term")).distinct(), "dictionary",
+                               max_broadcast_bytes)
+    bare = F.regexp_replace("piece", r"[.,;:!?]+$", "")
+    found = pieces.withColumn("_bare", bare).join(terms.withColumn("_whole", F.lit(True)), F.col("piece") == F.col("_term"), "left")
+    found = found.drop("_term").join(terms.withColumn("_core", F.lit(True)), F.col("_bare") == F.col("_term"), "left")
+    whole = F.when(F.col("_whole"), F.array("piece")).when(F.col("_core"), F.array("_bare"))
+    token = F.coalesce(whole, analyze("piece"))
+    flag = F.coalesce("_whole", "_core", F.lit(False))
+    return explode_rows(found.withColumn("whole", flag), token, ["doc_id", "whole"], "term").select("doc_id", "term", "whole")

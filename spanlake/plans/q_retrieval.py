@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import WS, sanitize_query, sql_str, title_prefix
 from spanlake.operators import retrieval as R
-from spanlake.operators.common import MAX_BROADCAST_ROWS, fits_broadcast
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import PASSAGES, QUESTIONS, TITLE, bm25_ctes, words_sql
+from spanlake.session import scratch_path, written
 from spanlake.sources import fixtures as FX
 
 K = 10
@@ -18,8 +18,9 @@ def _passages(spark, sf):
     return R.passage_corpus(FX.corpus(spark, sf))
 
 
-def _topk(spark, sf):
-    return R.top_k(R.bm25(R.build_index(_passages(spark, sf)), FX.questions(spark, sf)), K)
+def _ranked(t):
+    return t.select(F.col("qid").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                    F.col("doc_id").cast("bigint").alias("doc_id"), "score")
 
 
 # ---------------------------------------------------------------- bm25_topk (R3+R5)
@@ -32,17 +33,17 @@ select id::bigint as id, rank::bigint as rank, doc_id::bigint as doc_id, score f
 
 @register("bm25_topk", BM25_TOPK_SQL)
 def bm25_topk(spark, sf):
-    t = _topk(spark, sf)
-    return t.select(F.col("qid").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
-                    F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+    return _ranked(R.search(_passages(spark, sf), FX.questions(spark, sf), K))
 
 
-@register("bm25_topk_pruned", BM25_TOPK_SQL)
-def bm25_topk_pruned(spark, sf):
-    """The same top-10 as ``bm25_topk``, through the exact pruned path."""
-    t = R.bm25_top_k_pruned(R.build_index(_passages(spark, sf)), FX.questions(spark, sf), K)
-    return t.select(F.col("qid").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
-                    F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+@register("bm25_saved_index", BM25_TOPK_SQL)
+def bm25_saved_index(spark, sf):
+    """The same top-10 from an index that was stored and read back."""
+    index = R.build_index(_passages(spark, sf))
+    path = scratch_path(spark, "index")
+    R.save_index(index, path)
+    index.release()
+    return _ranked(R.top_k(R.bm25(R.load_index(spark, path), FX.questions(spark, sf)), K))
 
 
 # ---------------------------------------------------------------- bm25_multifield
@@ -57,10 +58,7 @@ select id::bigint as id, rank::bigint as rank, doc_id::bigint as doc_id, score f
 
 @register("bm25_multifield", MULTI_SQL)
 def bm25_multifield(spark, sf):
-    s = R.multifield_bm25(_passages(spark, sf), FX.questions(spark, sf), fields=("text", "title"))
-    t = R.top_k(s, K)
-    return t.select(F.col("qid").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
-                    F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+    return _ranked(R.search(_passages(spark, sf), FX.questions(spark, sf), K, ["text", "title"]))
 
 
 # ---------------------------------------------------------------- hits_wide
@@ -77,11 +75,8 @@ select id::bigint as id, {_wide_cols} from h group by id
 @register("hits_wide", HITS_WIDE_SQL)
 def hits_wide(spark, sf):
     p = _passages(spark, sf)
-    q = FX.questions(spark, sf)
-    small = fits_broadcast(q, MAX_BROADCAST_ROWS // K)
-    t = R.top_k(R.bm25(R.build_index(p), q, broadcast_queries=small), K)
-    wide = R.hits_wide(R.attach_text(t, p, broadcast_hits=small), K)
-    return wide.withColumn("id", F.col("id").cast("bigint"))
+    hits = R.search(p, FX.questions(spark, sf), K)
+    return R.hits_wide(R.attach_text(hits, p), K).withColumn("id", F.col("id").cast("bigint"))
 
 
 # ---------------------------------------------------------------- retrieved_context (R7+R8)
@@ -154,13 +149,64 @@ select doc_id::bigint as doc_id, term, tf::bigint as tf, (sum(tf) over (partitio
 
 @register("stopword_filter", STOP_SQL)
 def stopword_filter(spark, sf):
-    p = _passages(spark, sf)
-    stop = R.frequent_terms(R.build_index(p), 0.5)
-    idx = R.build_index(p, stopwords=stop)
+    full = R.build_index(_passages(spark, sf))
+    idx = R.without_terms(full, R.frequent_terms(full, 0.5))
     return idx.postings.select(F.col("doc_id").cast("bigint").alias("doc_id"), "term",
                                F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
 
+# ---------------------------------------------------------------- stopword_context (R2+R8)
+STOP_CONTEXT_SQL = f"""
+with {PASSAGES}, {QUESTIONS},
+tok0 as (select doc_id, unnest({words_sql('text')}) as term from passages),
+n0 as (select count(distinct doc_id) as n from tok0),
+stop as (select term from (select distinct doc_id, term from tok0) group by term
+         having count(*) > 0.5::double * (select n from n0)),
+tok as (select * from tok0 where term not in (select term from stop)),
+tf{bm25_ctes('passages', 'text', 'questions').partition('tf')[2]},
+r as (select id, row_number() over (partition by id order by score desc, doc_id) as rank, doc_id, score from s),
+c as (select r.id, string_agg(p.text, '' order by r.rank) as context
+      from r join passages p using (doc_id) where r.rank <= {K} group by r.id)
+select q.id::bigint as id, q.question, coalesce(c.context, '') as context
+from questions q left join c using (id)
+"""
+
+
+@register("stopword_context", STOP_CONTEXT_SQL)
+def stopword_context(spark, sf):
+    """Retrieved contexts with a stop-word table as the analyzer's input."""
+    corpus, questions = FX.corpus(spark, sf), FX.questions(spark, sf)
+    full = R.build_index(R.passage_corpus(corpus))
+    stop = written(R.frequent_terms(full, 0.5), "stop-words")
+    full.release()
+    out = R.retrieve_contexts(corpus, questions, K, stop)
+    return out.withColumn("id", F.col("id").cast("bigint"))
+
+
+# ---------------------------------------------------------------- dictionary_tokens (R2)
+DICTIONARY_SQL = f"""
+with t as (select regexp_extract(html, {sql_str('(?s)<title>(.*?)</title>')}, 1) as title from pages),
+w as (select trim(unnest(regexp_split_to_array(regexp_replace(title, '[()]', '', 'g'), {sql_str(WS + '+')}))) as term from t),
+dict as (select distinct lower(term) as term from w where term <> ''),
+p as (select doc_id, unnest(regexp_split_to_array(lower(text), {sql_str(WS + '+')})) as piece from documents),
+b as (select doc_id, piece, regexp_replace(piece, '[.,;:!?]+$', '') as bare from p where piece <> ''),
+f as (select b.*, d1.term is not null as whole, d2.term is not null as core
+      from b left join dict d1 on d1.term = piece left join dict d2 on d2.term = bare),
+o as (select doc_id, piece as term, true as whole from f where whole
+      union all select doc_id, bare, true from f where not whole and core
+      union all select doc_id, unnest({words_sql('piece')}), false from f where not whole and not core)
+select doc_id::bigint as doc_id, term, whole, count(*)::bigint as n from o group by all
+"""
+
+
+@register("dictionary_tokens", DICTIONARY_SQL)
+def dictionary_tokens(spark, sf):
+    dictionary = R.title_dictionary(FX.page_titles(spark, sf))
+    t = R.dictionary_tokens(FX.corpus(spark, sf), dictionary)
+    return t.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "term", "whole").agg(
+        F.count("*").cast("bigint").alias("n"))
+
+
 # ---------------------------------------------------------------- T4 / T5 / T6
 TITLE_PREFIX_SQL = f"select doc_id::bigint as doc_id, '!!' || {TITLE} || '!!' || text as text from documents"
 
