@@ -38,9 +38,17 @@ def _model(df: DataFrame) -> list[str]:
     return ["model"] if "model" in df.columns else []
 
 
-def attach_logits(features: DataFrame, logits: DataFrame, key: str = "feature_id") -> DataFrame:
-    """Features + logits by ``feature_id`` (the reference aligns by row position)."""
-    return features.join(logits, key)
+def attach_logits(features: DataFrame, logits: DataFrame, key="feature_id") -> DataFrame:
+    """Features + logits by key (the reference aligns by row position). A feature
+    without logits, or logits without a feature, fail the query."""
+    keys = [key] if isinstance(key, str) else list(key)
+    f = features.withColumn("_f", F.lit(True))
+    lg = logits.withColumn("_l", F.lit(True))
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    both = F.when(F.col("_f").isNull(), F.raise_error(F.concat(F.lit("logits without a feature: "), name))).when(
+        F.col("_l").isNull(), F.raise_error(F.concat(F.lit("a feature without logits: "), name))).otherwise(F.lit(True))
+    # the check decides which rows remain, so column pruning cannot drop it
+    return f.join(lg, keys, "full").where(both).drop("_f", "_l")
 
 
 def top_indexes(logits: Column, n: int) -> Column:
@@ -186,16 +194,23 @@ def decode(examples: DataFrame, features: DataFrame, n_best: int = N_BEST,
     else:
         lists = lists.withColumn("null_score", F.lit(None).cast("double"))
     ex = examples.select("id", "context")
-    # A duplicated example id is an error (the reference keeps the last one
-    # silently). The count runs on the id partitioning the join needs anyway.
-    dup = F.count("*").over(Window.partitionBy("id")) > 1
-    ex = ex.withColumn("context", F.when(dup, F.raise_error(F.concat(
-        F.lit("duplicate example id: "), F.col("id").cast("string")))).otherwise(F.col("context")))
+    # All models' lists of an example come together before the contexts move, so these
+    # are joined once; the models are exploded after the join. An example without any
+    # list still has its row, and a duplicated example id is an error (the reference
+    # keeps the last one silently): ids are counted without their texts.
+    fields = F.struct(*([F.col("model")] if mk else []), "cands", "null_score")
+    per_id = lists.groupBy(F.col("example_id").alias("id")).agg(F.collect_list(fields).alias("lists"))
+    ids = ex.groupBy("id").agg(F.count("*").alias("n"))
+    known = ids.join(per_id, "id", "left").withColumn("lists", F.when(F.col("n") > 1, F.raise_error(F.concat(
+        F.lit("duplicate example id: "), F.col("id").cast("string")))).otherwise(F.col("lists"))).drop("n")
+    joined = ex.join(known, "id")
     if mk:
-        # One row per (example, model): a literal-array explode, not a cross join.
-        ex = ex.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    lists = lists.withColumnRenamed("example_id", "id")
-    joined = ex.join(lists, ["id", *mk], "left")
+        joined = joined.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+        own = F.get(F.filter("lists", lambda x: x["model"] == F.col("model")), 0)
+    else:
+        own = F.get("lists", 0)
+    joined = joined.withColumn("own", own).withColumn("cands", F.col("own.cands")).withColumn(
+        "null_score", F.col("own.null_score"))
     ctx = F.col("context")
     texted = F.transform(
         F.coalesce(F.col("cands"), F.array().cast(lists.schema["cands"].dataType)),

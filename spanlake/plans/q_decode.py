@@ -12,14 +12,16 @@ from spanlake.sources import fixtures as FX
 N = D.N_BEST
 L = D.MAX_ANSWER_LENGTH
 Q = FX.QUESTION_POSITIONS
+P = FX.FEATURES_PER_EXAMPLE
 
 
 # ----------------------------------------------------------------------------- oracle CTEs
 def _feat_sql(variant: str = "se") -> str:
     s, e = {"se": ("embedding", "list_reverse(embedding)"), "es": ("list_reverse(embedding)", "embedding"),
             "ee": ("embedding", "embedding")}[variant]
-    return f"""f as (select vec_id as fid, vec_id % 100 as ex, vec_id // 100 as blk, {s} as s, {e} as e,
-                   len(embedding) as n from embeddings),
+    return f"""fx as (select doc_id as ex, j as blk, doc_id * {P} + j as fid from documents, range({P}) t(j)),
+f as (select fid, ex, blk, {s} as s, {e} as e, len(embedding) as n
+      from fx join embeddings on vec_id = fid % (select count(*) from embeddings)),
 a as (select ex, fid, blk, n, unnest(s)::double as sl, generate_subscripts(s, 1) - 1 as si from f),
 b as (select fid, unnest(e)::double as el, generate_subscripts(e, 1) - 1 as ei from f),
 ar as (select * from (select *, row_number() over (partition by fid order by sl desc, si desc) - 1 as sr from a)
@@ -248,3 +250,25 @@ select id::bigint as id, round(score_diff, 6) as score_diff from o
 def null_odds(spark, sf):
     a = D.final_answers(_decoded(spark, sf, null_mode=True), null_mode=True, threshold=0.0)
     return a.select(F.col("id").cast("bigint").alias("id"), r6("score_diff").alias("score_diff"))
+
+
+# ----------------------------------------------------------------------------- D1
+ATTACH_SQL = f"""
+with {_feat_sql()}
+select fid::bigint as feature_id, ex::bigint as example_id, n::bigint as n_logits,
+       round(list_sum(list_transform(s, lambda x: x::double)), 6) as start_sum,
+       round(list_sum(list_transform(e, lambda x: x::double)), 6) as end_sum from f
+"""
+
+
+@register("attach_logits", ATTACH_SQL)
+def attach_logits(spark, sf):
+    f = _features(spark, sf)
+    logits = f.select("feature_id", "start_logits", "end_logits")
+    joined = D.attach_logits(f.drop("start_logits", "end_logits"), logits)
+
+    def total(c):
+        return r6(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")))
+    return joined.select("feature_id", F.col("example_id").cast("bigint").alias("example_id"),
+                         F.size("start_logits").cast("bigint").alias("n_logits"),
+                         total("start_logits").alias("start_sum"), total("end_logits").alias("end_sum"))

@@ -27,7 +27,7 @@ def load_all() -> None:
     # Importing the modules registers their queries.
     from spanlake.plans import (q_retrieval, q_text, q_checks, q_windows,  # noqa: F401
                                 q_decode, q_evaluate, q_ensemble, q_splits,
-                                q_scoring, q_io)
+                                q_scoring, q_io, q_pipeline)
 
 
 def queries() -> dict[str, Callable]:
