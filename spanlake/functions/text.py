@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 # The keep class of the QA cleaner; the corpus cleaner is the same without ｜.
 # Note that "-“ inside the class is a range (U+0022..U+201C); it is kept as is.
 KEEP_QA = r"a-zA-Z0-9가-힣ㄱ-ㅎㅏ-ㅣぁ-ゔァ-ヴー々〆〤一-龥<>()\s\.\?!》《≪≫\'<>〈〉:‘’%,『』「」＜＞・\"-“”∧｜"
-KEEP_CORPUS = r"a-zA-Z0-9가-힣ㄱ-ㅎㅏ-ㅣぁ-ゔァ-ヴー々〆〤一-龥<>()\s\.\?!》《≪≫\'<>〈〉:‘’%,『』「」＜＞・\"-“”∧"
+KEEP_CORPUS = KEEP_QA.replace("｜", "")
 QUOTES = "“”‘’"
 OPENERS = "〈<＜「≪《『"
 CLOSERS = "〉>＞」≫》』"
@@ -83,28 +83,31 @@ def removed_class(keep: str) -> str:
     return f"[{body}]"
 
 
-SPARK_STEPS_QA = CLEAN_STEPS_QA[:-1] + ((removed_class(KEEP_QA), ""),)
-SPARK_STEPS_CORPUS = CLEAN_STEPS_QA[:-1] + ((removed_class(KEEP_CORPUS), ""),)
+REMOVED_QA, REMOVED_CORPUS = removed_class(KEEP_QA), removed_class(KEEP_CORPUS)
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _chain(c: Column, steps) -> Column:
-    for pattern, repl in steps:
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(repl))
-    return c
+def _cleaned(c: Column, removed: str) -> Column:
+    """The steps in their order, single characters by one ``translate``. It follows the
+    two-character escape, which none of its characters takes part in (a line break
+    becomes a space, not a letter n)."""
+    c = F.replace(c, F.lit("\\n"), F.lit(" "))
+    c = F.translate(c, "\n#" + QUOTES + OPENERS + CLOSERS,
+                    "  " + "'" * len(QUOTES) + "<" * len(OPENERS) + ">" * len(CLOSERS))
+    return F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), removed, "")
 
 
 def clean_qa(c) -> Column:
     """Normalise question/context/answer text (8 ordered replacements)."""
-    return _chain(_col(c), SPARK_STEPS_QA)
+    return _cleaned(_col(c), REMOVED_QA)
 
 
 def clean_corpus(c) -> Column:
     """Normalise corpus text; like T1 but the full-width bar is not kept."""
-    return _chain(_col(c), SPARK_STEPS_CORPUS)
+    return _cleaned(_col(c), REMOVED_CORPUS)
 
 
 def title_prefix(title, text) -> Column:

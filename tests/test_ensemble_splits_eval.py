@@ -10,6 +10,7 @@ from spanlake.operators import evaluate as E
 from spanlake.operators import grid as G
 from spanlake.operators import scoring as M
 from spanlake.operators import splits as K
+from spanlake.session import scratch_path
 
 
 def nbest(spark, rows):
@@ -50,16 +51,31 @@ def test_folds_partition(spark, n, k):
     assert max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
     again = {r.id: r.fold for r in K.assign_folds(df, k, seed=10).collect()}
     assert again == {r.id: r.fold for r in rows}
-    parts = K.fold_parts(f, k).collect()
-    assert len(parts) == n * k
-    assert sum(1 for p in parts if p.part == "validation") == n
+    path = scratch_path(spark, "folds")
+    K.write_folds(f, path)
+    for i in range(k):
+        own = {r.id for r in K.fold_part(spark, path, i, "validation").collect()}
+        rest = {r.id for r in K.fold_part(spark, path, i, "train").collect()}
+        assert len(own) == sizes[i] and not own & rest and len(own | rest) == n
+
+
+def test_fold_part_reads_only_its_folders(spark):
+    path = scratch_path(spark, "folds")
+    K.write_folds(K.assign_folds(spark.range(20), 5), path)
+    plan = K.fold_part(spark, path, 2, "validation")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan
 
 
 def test_seeded_sample_is_stable(spark):
     df = spark.range(2000).select(F.col("id"))
     a = {r.id for r in K.seeded_sample(df, 0.25, 5).collect()}
     b = {r.id for r in K.seeded_sample(df, 0.25, 5).collect()}
-    assert a == b and 350 < len(a) < 650
+    assert a == b and 400 < len(a) < 600
+    sizes = [K.seeded_sample(df, f).count() for f in (0.0, 1e-5, 0.999, 1.0, 2.0)]
+    assert sizes[0] == 0 and sizes[1] <= 1 and 1980 <= sizes[2] <= 2000 and sizes[3:] == [2000, 2000]
+    assert {r.id for r in K.seeded_sample(df, 0.1, 5).collect()} <= a
+    many = spark.range(400_000)
+    assert 1 <= K.seeded_sample(many, 1e-5).count() <= 15  # 4 expected
 
 
 def test_exact_match_and_f1(spark):
@@ -78,7 +94,10 @@ def test_exact_match_and_f1(spark):
     p, r = 2 / 3, 1.0
     assert s["4"].f1 == pytest.approx(2 * p * r / (p + r))
     m = E.evaluate(preds, refs).first()
-    assert m.eval_exact_match == pytest.approx(50.0) and m.eval_samples == 4
+    assert m.eval_exact_match == pytest.approx(50.0) and (m.eval_samples, m.eval_missing) == (4, 0)
+    # a reference without a prediction counts as wrong, and is reported
+    few = E.evaluate(preds.where("id in ('1', '2')"), refs).first()
+    assert few.eval_exact_match == pytest.approx(25.0) and (few.eval_samples, few.eval_missing) == (4, 2)
 
 
 def test_best_step_and_keep_last(spark):
@@ -86,6 +105,11 @@ def test_best_step_and_keep_last(spark):
                                 "run string, step int, metric double")
     b = E.best_step(log).first()
     assert (b.best_step, b.best_metric) == (200, .7)
+    nan = spark.createDataFrame([("r", 1, float("nan")), ("r", 2, 0.1), ("s", 3, float("nan")), ("r", 4, None)],
+                                "run string, step int, metric double")
+    for maximize in (True, False):
+        got = {r.run: r.best_step for r in E.best_step(nan, maximize=maximize).collect()}
+        assert got == {"r": 2, "s": None}
     assert [r.step for r in E.keep_last(log, 2).orderBy("recency").collect()] == [400, 300]
 
 
@@ -98,6 +122,12 @@ def test_grid(spark):
     res = spark.createDataFrame([(3, 0.5), (9, 0.9), (4, 0.9)], "setting_id long, metric double")
     assert G.best_setting(res).first().setting_id == 4
     assert G.best_setting(res, maximize=False).first().setting_id == 3
+    diverged = res.union(spark.createDataFrame([(7, float("nan"))], "setting_id long, metric double"))
+    assert [G.best_setting(diverged, maximize=m).first().setting_id for m in (True, False)] == [4, 3]
+    runs = G.grid_results(spark, diverged).where("runs > 0 or setting_id = 5").orderBy("setting_id").collect()
+    assert [(r.setting_id, r.runs, r.best_metric) for r in runs] == [(3, 1, .5), (4, 1, .9), (5, 0, None), (7, 1, None), (9, 1, .9)]
+    big = spark.createDataFrame([((1 << 60) + 1,)], "setting_id long")
+    assert G.decode_settings(big).first().dropout == [0.0, 0.1, 0.2][((1 << 60) + 1) % 3]
 
 
 def test_span_loss(spark):
@@ -113,3 +143,28 @@ def test_span_loss(spark):
     assert r.start_loss == pytest.approx(ce([0, 1, 2], 2))
     assert r.end_loss == pytest.approx((ce([2, 1, 0], 0) + ce([0, 0, 0], 1)) / 2)
     assert r.total_loss == pytest.approx((r.start_loss + r.end_loss) / 2)
+
+
+def test_plugin_scorer_in_batches(spark):
+    rows = [(i, [2, 5, 6, 3, 7, 5, 1, 0][:6 + i % 3], [None, 0, 0, None, 1, 1, 1, None][:6 + i % 3], [5, 6][:i % 3]) for i in range(10)]
+    f = spark.createDataFrame(rows, "feature_id int, input_ids array<int>, sequence_ids array<int>, q_ids array<int>")
+    f = f.withColumn("q_ids", F.coalesce("q_ids", F.array().cast("array<int>")))
+    want = {r.feature_id: r.start_logits for r in M.lexical_logits(f).collect()}
+    for size in (1, 3, 32):
+        got = M.score_by_name(f, "lexical-overlap", batch_size=size).collect()
+        assert {r.feature_id: r.start_logits for r in got} == want
+    bonus = {r.feature_id: r.start_logits for r in M.score_by_name(f, "lexical-sixteenths").collect()}
+    assert bonus[1] == [0, 0, 0, 0, 0, 1 + 5 / 16, 0]
+    with pytest.raises(ValueError):
+        M.score_by_name(f, "unknown")
+
+
+def test_row_expectations_on_different_sides(spark):
+    from spanlake.operators.checks import row_expectations
+    f = spark.createDataFrame([(1,), (2,), (2,), (3,)], "feature_id int")
+    lg = spark.createDataFrame([(2,), (4,), (4,)], "feature_id int")
+    splits = spark.createDataFrame([("train",)], "split string")
+    r = row_expectations(f, lg, splits, 600, 512).first()
+    assert tuple(r) == (4, 3, 2, 2, False, False, 512)
+    empty = row_expectations(f.limit(0), lg.limit(0), splits.limit(0), 600, 512).first()
+    assert tuple(empty) == (0, 0, 0, 0, True, False, 512)

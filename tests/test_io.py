@@ -69,12 +69,26 @@ def test_nbest_object_and_lines(spark):
     assert back == got
 
 
-def test_predictions_and_single_object(spark):
+def test_predictions_file_name(spark):
     p = spark.createDataFrame([("q1", "ans"), ("q2", "")], "id string, prediction_text string")
     out = S.write_predictions(p, scratch_path(spark, "pred"))
     assert out.endswith("/predictions")
-    js = S.single_json_object(p, "id", "prediction_text").first().json
-    assert json.loads(js) == {"q1": "ans", "q2": ""}
+    back = spark.read.schema("id string, prediction_text string").json(out)
+    assert sorted(map(tuple, back.collect())) == [("q1", "ans"), ("q2", "")]
+
+
+def test_hits_csv_columns_go_by_name(spark):
+    path = scratch_path(spark, "hits-reordered")
+    os.makedirs(local(path), exist_ok=True)
+    with open(os.path.join(local(path), "hits.csv"), "w") as f:
+        f.write("score1,id,text1\n1.5,q1,x\n")
+    assert [tuple(r) for r in S.read_hits_csv(spark, path, 1).collect()] == [("q1", "x", 1.5)]
+    try:
+        S.read_hits_csv(spark, path, 2)
+    except ValueError as e:
+        assert "text2" in str(e)
+    else:
+        raise AssertionError("missing column accepted")
 
 
 def test_metrics_lines_sorted(spark):

@@ -77,7 +77,7 @@ def test_tie_by_doc_id_and_short_lists(spark, frames):
 
 def test_multifield_takes_best_field(spark, frames):
     corpus, qs = frames
-    s = R.multifield_bm25(corpus, qs, fields=("text", "title")).collect()
+    s = R.bm25(R.build_index(corpus, text=["text", "title"]), qs).collect()
     t = {(r.qid, r.doc_id): r.score for r in R.bm25(R.build_index(corpus, text="text"), qs).collect()}
     h = {(r.qid, r.doc_id): r.score for r in R.bm25(R.build_index(corpus, text="title"), qs).collect()}
     for r in s:
@@ -93,34 +93,48 @@ def test_stopwords_and_dictionary(spark, frames):
     assert sorted(r.term for r in d.collect()) == ["City", "New", "York"]
 
 
-def test_pruned_top_k_equals_exact_on_skewed_corpus(spark):
-    # "the" is in every document (a hot term); rare terms decide the ranking
-    rows = [(i, f"d{i}", " ".join(["the"] * (1 + i % 4) + [f"w{i % 37}", f"v{i % 11}", f"u{i % 5}"]))
-            for i in range(400)]
-    corpus = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
-    qs = spark.createDataFrame([(1, "the w3 v4"), (2, "the the u1"), (3, "the w36 w35 v0"), (4, "the")],
-                               "id bigint, question string")
-    idx = R.build_index(corpus)
-    for k in (1, 5, 10):
-        exact = sorted(tuple(r) for r in R.top_k(R.bm25(idx, qs), k).select("qid", "rank", "doc_id", "score").collect())
-        pruned = sorted(tuple(r) for r in R.bm25_top_k_pruned(idx, qs, k)
-                        .select("qid", "rank", "doc_id", "score").collect())
-        assert pruned == exact
+def ranked(df):
+    return sorted(tuple(r) for r in df.select("qid", "rank", "doc_id", "score").collect())
 
 
-def test_save_load_index_and_dictionary_tags(spark, frames):
+@pytest.mark.parametrize("fields", ["text", ["text", "title"]])
+def test_search_equals_the_full_index(spark, frames, fields):
+    corpus, qs = frames
+    full = ranked(R.top_k(R.bm25(R.build_index(corpus, text=fields), qs), 3))
+    assert ranked(R.search(corpus, qs, 3, fields)) == full
+    assert ranked(R.search(corpus, qs, 3, fields, max_broadcast_bytes=0)) == full  # every join shuffles
+    stop = spark.createDataFrame([("is",), ("of",)], "term string")
+    index = R.build_index(corpus, text=fields)
+    want = ranked(R.top_k(R.bm25(R.build_index(corpus, text=fields, stopwords=stop), qs), 3))
+    assert ranked(R.search(corpus, qs, 3, fields, stopwords=stop)) == want
+    assert ranked(R.top_k(R.bm25(R.without_terms(index, stop), qs), 3)) == want
+    index.release()
+
+
+def test_contexts_are_the_same_without_broadcasts(spark, frames):
+    corpus, qs = frames
+    a, b = (sorted(map(tuple, R.retrieve_contexts(corpus, qs, 2, max_broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert a == b
+
+
+@pytest.mark.parametrize("fields", ["text", ["text", "title"]])
+def test_saved_index_keeps_fields_and_scores(spark, frames, fields):
     from spanlake.session import scratch_path
     corpus, qs = frames
-    idx = R.build_index(corpus)
+    idx = R.build_index(corpus, text=fields)
     path = scratch_path(spark, "index")
     R.save_index(idx, path)
     loaded = R.load_index(spark, path)
-    a = sorted(tuple(r) for r in R.top_k(R.bm25(idx, qs), 3).collect())
-    b = sorted(tuple(r) for r in R.top_k(R.bm25(loaded, qs), 3).collect())
-    assert a == b
-    toks = R.tokens(corpus)
-    d = spark.createDataFrame([("Seoul",), ("Korea",)], "term string")
-    tagged = R.tag_dictionary_terms(toks, d)
-    hits = {r.term for r in tagged.where("is_title_term").collect()}
-    assert hits == {"seoul", "korea"}
-    assert tagged.count() == toks.count()
+    assert loaded.fields == tuple([fields] if isinstance(fields, str) else fields)
+    assert ranked(R.top_k(R.bm25(loaded, qs), 3)) == ranked(R.top_k(R.bm25(idx, qs), 3))
+    plan = R.bm25(loaded, qs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("df#") and plan.count("Relation [doc_id") + plan.count("Relation [field") == 2  # postings, statistics
+
+
+def test_dictionary_terms_stay_whole(spark):
+    corpus = spark.createDataFrame([(1, "t", "The New-York times, new-york. (Seoul) seoul!"), (2, "t", None)],
+                                   "doc_id bigint, title string, text string")
+    d = spark.createDataFrame([("New-York",), ("Seoul",)], "term string")
+    for limit in (1 << 20, 0):
+        got = sorted((r.term, r.whole) for r in R.dictionary_tokens(corpus, d, max_broadcast_bytes=limit).collect())
+        assert got == [("new-york", True), ("new-york", True), ("seoul", False), ("seoul", True), ("the", False), ("times", False)]

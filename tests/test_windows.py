@@ -69,7 +69,7 @@ def labels(spark, ctx, start, text, compat=False, spec=Wn.WindowSpec(max_seq_len
         else "struct(cast(array() as array<int>) as answer_start, cast(array() as array<string>) as text)"
     ex = spark.createDataFrame([(1, "q", ctx)], "id int, question string, context string") \
         .withColumn("answers", F.expr(ans))
-    enc = Wn.encode(ex, vocab(spark)).join(ex.select("id", "answers"), "id")
+    enc = Wn.encode(ex, vocab(spark))
     f = Wn.span_labels(Wn.pair_features(Wn.windows(enc, spec), spec, eval_mode=False), compat=compat)
     return [(r.window, r.start_positions, r.end_positions) for r in f.orderBy("window").collect()]
 
@@ -108,3 +108,71 @@ def test_vocab_extension(spark):
     assert len(add) == 299 and add[0].token == "[UNK1]" and add[-1].token == "[unused699]"
     last = v.agg(F.max("id")).first()[0]
     assert [r.id for r in add] == list(range(last + 1, last + 300))
+
+
+def test_rows_with_one_id_stay_rows(spark):
+    spec = Wn.WindowSpec(max_seq_length=12, doc_stride=3, pad_to_max_length=False)
+    ex = spark.createDataFrame([(1, "q", "a b c"), (1, "q", "d e"), (2, None, None)], "id int, question string, context string")
+    got = sorted((r.id, r.input_ids) for r in Wn.pair_features(Wn.windows(Wn.encode(ex, vocab(spark)), spec), spec).collect())
+    ids = {t: i for t, i in zip("abcdeq", range(4, 10))}
+    cls, sep = Wn.CLS_ID, Wn.SEP_ID
+    assert got == [(1, [cls, ids["q"], sep, ids["a"], ids["b"], ids["c"], sep]),
+                   (1, [cls, ids["q"], sep, ids["d"], ids["e"], sep]), (2, [cls, sep, sep])]
+
+
+def test_vocabulary_too_large_for_the_tasks_is_joined(spark):
+    rows = [(1, "q a", "a b zz A"), (1, "", "c  d"), (3, None, None)]
+    ex = spark.createDataFrame(rows, "id int, question string, context string").withColumn("extra", F.lit("x"))
+    small, joined = (Wn.encode(ex, vocab(spark), max_broadcast_bytes=n) for n in (1 << 20, 1))
+    assert small.columns == joined.columns
+    key = ["id", "c_ids"]
+    assert sorted(small.collect(), key=lambda r: [str(r[k]) for k in key]) == sorted(joined.collect(), key=lambda r: [str(r[k]) for k in key])
+
+
+def test_layouts(spark):
+    ex = spark.createDataFrame([(1, "q q", "a b c")], "id int, question string, context string")
+    v = {r.token: r.id for r in vocab(spark).collect()}
+    a, b, c, q = (v[t] for t in "abcq")
+    cls, sep, pad = Wn.CLS_ID, Wn.SEP_ID, Wn.PAD_ID
+
+    def row(**kw):
+        spec = Wn.WindowSpec(max_seq_length=12, doc_stride=2, **kw)
+        return Wn.pair_features(Wn.windows(Wn.encode(ex, vocab(spark)), spec), spec).first()
+    left = row(side="left")
+    assert left.input_ids == [pad] * 4 + [cls, a, b, c, sep, q, q, sep]
+    assert left.attention_mask == [0] * 4 + [1] * 8 and left.token_type_ids == [0] * 9 + [1] * 3
+    assert left.sequence_ids == [None] * 5 + [0, 0, 0, None, 1, 1, None]
+    assert [o and (o.start, o.end) for o in left.offset_mapping] == [None] * 5 + [(0, 1), (2, 3), (4, 5)] + [None] * 4
+    assert (left.context_start, left.cls_index) == (5, 4)
+    double = row(double_separator=True)
+    assert double.input_ids == [cls, q, q, sep, sep, a, b, c, sep, pad, pad, pad] and double.cap == 12 - 2 - 4
+    assert double.sequence_ids == [None, 0, 0, None, None, 1, 1, 1, None, None, None, None]
+    assert double.token_type_ids == [0] * 5 + [1] * 4 + [0] * 3
+    both = row(side="left", double_separator=True)
+    assert both.input_ids == [pad] * 3 + [cls, a, b, c, sep, sep, q, q, sep]
+    with pytest.raises(ValueError):
+        Wn.WindowSpec(side="up")
+
+
+def test_labels_of_the_left_layout(spark):
+    ctx = "a b c d e a b c d e"
+    spec = Wn.WindowSpec(max_seq_length=10, doc_stride=2, side="left")  # cap 6, step 4: windows of 6 and 6 tokens
+    assert labels(spark, ctx, 4, "c d", spec=spec)[0] == (0, 3, 4)
+    assert labels(spark, ctx, None, "", spec=spec)[0] == (0, 0, 0)
+    wide = Wn.WindowSpec(max_seq_length=20, doc_stride=2, side="left")  # 14 ids behind 6 of padding
+    assert labels(spark, ctx, 4, "c d", spec=wide) == [(0, 6 + 3, 6 + 4)]
+    assert labels(spark, ctx, None, "", spec=wide) == [(0, 6, 6)]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_batch_padding(spark, max_bytes):
+    rows = [(i, w, [1] * (1 + (7 * i + 3 * w) % 11)) for i in (5, 2, 9) for w in range(i % 4 + 1)]
+    f = spark.createDataFrame(rows, "id int, window int, input_ids array<int>").repartition(3)
+    out = Wn.batch_pad(f, batch_size=3, multiple=4, max_broadcast_bytes=max_bytes).orderBy("feature_ordinal").collect()
+    order = sorted(rows)
+    assert [(r.id, r.window) for r in out] == [r[:2] for r in order]
+    for k, r in enumerate(out):
+        longest = max(len(x[2]) for x in order[k // 3 * 3:k // 3 * 3 + 3])
+        assert (r.feature_ordinal, r.batch) == (k, k // 3)
+        assert len(r.input_ids) == r.padded_length == -(-longest // 4) * 4
+        assert r.input_ids[:len(order[k][2])] == order[k][2]
