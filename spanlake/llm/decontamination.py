@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlake.llm.shared import arrow_schema
 from spanlake.llm.textarrays import (LOWER, Powers, covered, per_row, range_hashes,
                                      slices, table, word_bounds)
 
@@ -179,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     blocks = benchmark_blocks(benchmark, item_col, item_text, max_benchmark_bytes)
     source = docs.select(F.col(id_col), F.col(text_col))
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), *REPORT])
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def one(df: DataFrame, items) -> DataFrame:
         return df.mapInArrow(partial(_report, windows=Windows(items, n), schema=arrow), schema)
@@ -202,10 +203,11 @@ def _union_blocks(source, one, blocks, id_col, schema) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     rows = numbered.join(merged, "_row")
     narrow = T.StructType([schema[0], *REPORT])
+    arrow, text_name = arrow_schema(narrow), source.columns[1]
 
     def finish(batches):
         for batch in batches:
-            out = {f.name: [] for f in narrow}
+            out = {name: [] for name in arrow.names}
             for r in batch.to_pylist():
                 spans = []
                 for x in sorted((y["start"], y["end"]) for y in r["_spans"]):
@@ -213,14 +215,14 @@ def _union_blocks(source, one, blocks, id_col, schema) -> DataFrame:
                         spans[-1] = (spans[-1][0], max(spans[-1][1], x[1]))
                     else:
                         spans.append(x)
-                text = r[source.columns[1]] or ""
+                text = r[text_name] or ""
                 hit = sum(len(text_words(text[a:b])) for a, b in spans)
                 values = [r[id_col], r["n_words"], hit, len(r["items"]),
                           hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), hit > 0,
                           [{"start": a, "end": b} for a, b in spans], r["items"]]
                 for name, v in zip(out, values):
                     out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_arrow_schema(narrow))
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
     return rows.mapInArrow(finish, narrow)
 
 
@@ -235,8 +237,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     for items in benchmark_blocks(benchmark, item_col, item_text, max_benchmark_bytes):
         out = out.mapInArrow(partial(_cleaned, windows=Windows(items, n), text=at, mode=mode), docs.schema)
     return out
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
