@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema
+from spanlake.llm.shared import arrow_schema, written
 from spanlake.llm.textarrays import (LOWER, Powers, covered, per_row, range_hashes,
                                      slices, table, word_bounds)
 
@@ -191,8 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def _union_blocks(source, one, blocks, id_col, schema) -> DataFrame:
-    """Join the blocks' reports row by row on a row number carried as the id."""
-    numbered = source.withColumn("_row", F.monotonically_increasing_id())
+    """Join the blocks' reports row by row on a row number carried as the id. The rows
+    are written with their numbers, so that all blocks see the same ones."""
+    numbered = written(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     parts = None
     for items in blocks:
         part = one(numbered.select(F.col("_row").alias(id_col), source.columns[1]), items)
