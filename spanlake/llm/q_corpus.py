@@ -85,9 +85,36 @@ def op10(spark, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op3_quality_repetition")
+# The words in repeats of 8 words or more are those in 8-word windows found twice; a repeat
+# of over 100 words is a 101-word window found twice.
+OP3_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select r, k, i, array_to_string(ws[i:i + k - 1], ' ') as g
+      from (select r, k, ws, unnest(range(1, len(ws) - k + 2)) as i from d, (values (5), (8), (101)) ks(k) where len(ws) >= k)),
+twice as (select r, k, i from (select *, count(*) over (partition by r, k, g) as n from g) where n > 1),
+hit as (select distinct r, k, unnest(range(i, i + k)) as p from twice),
+cover as (select hit.r, count(*) filter (k = 5) as n5, count(*) filter (k = 101) as n101,
+                 sum(length(d.ws[p])) filter (k = 8) as chars8 from hit join d using (r) group by hit.r),
+l as (select r, unnest(string_split(t, chr(10))) as line from d),
+dup as (select r, count(*) - count(distinct line) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+f as (select r, doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) as word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+             coalesce(dup.n, 0) as n_dup_lines, coalesce(n5, 0) as n_repeat_words,
+             coalesce(chars8, 0) as chars8, coalesce(n101, 0) as n101
+      from d left join dup using (r) left join cover using (r))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       n_words >= 10 and 100 * n_repeat_words <= 20 * n_words and chars8 <= 0.25 * word_chars and n101 = 0 as kept
+from f
+"""
+
+
+@register("op3_quality_repetition", OP3_SQL)
 def op3(spark, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"))
+    found = quality(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def held_out(doc_id="doc_id"):
@@ -111,6 +138,24 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
 
-@register("op5_suffix_array_dedup")
+OP5_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 200) as s from (select doc_id, h, unnest(range(n - 99)) as i from d where n >= 100)),
+f as (select s, min(doc_id::hugeint * 4294967296 + i) as k from w group by s having count(*) > 1),
+gone as (select doc_id, i from w join f using (s) where doc_id::hugeint * 4294967296 + i > k),
+isl as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run
+        from (select *, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as new from gone)),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from isl group by doc_id, run),
+edges as (select doc_id, a, b from runs union all select doc_id, n, n from d),
+parts as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a, b), 0) as x, a as y from edges),
+kept as (select doc_id, unhex(coalesce(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x), '')) as bytes
+         from parts join d using (doc_id) group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(sum(b - a), 0)::bigint as n_removed, count(a)::bigint as n_spans,
+       any_value(sha256(bytes)) as kept_sha256
+from d join kept using (doc_id) left join runs using (doc_id) group by d.doc_id, n
+"""
+
+
+@register("op5_suffix_array_dedup", OP5_SQL)
 def op5(spark, sf_dir: str) -> DataFrame:
     return deduplicated_bytes(read(spark, sf_dir, "documents"), with_bytes=False)
