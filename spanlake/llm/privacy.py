@@ -161,15 +161,16 @@ def _with_spans(docs: DataFrame, text_col: str, rules: Disclosure) -> tuple[Data
     def entities(kind):
         return F.transform(kind, lambda s: _entity(kind, s["value"]))
     held = found.select("row", F.explode(F.array_distinct(F.concat(*map(entities, KINDS)))).alias("entity"))
-    terms = held.join(pairs, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    told = maybe.join(terms.withColumnRenamed("row", keep), keep, "left")
+    told_terms = free_name(docs, "_terms")
+    terms = held.join(pairs, "entity").groupBy(F.col("row").alias(keep)).agg(F.collect_set("term").alias(told_terms))
+    told = maybe.join(terms, keep, "left")
     word_spans = _matches(text, rf"\p{{L}}{{{rules.min_letters},}}")
     none = F.array().cast(f"array<{SPAN}>")
     term = free_name(docs, "_term")
     base = F.concat(*names.values())
-    told = told.withColumn(term, F.when(F.col("terms").isNotNull(), F.filter(
-        word_spans, lambda s: F.array_contains("terms", F.lower(s["value"])) & ~F.exists(
-            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)).drop("terms", keep)
+    told = told.withColumn(term, F.when(F.col(told_terms).isNotNull(), F.filter(
+        word_spans, lambda s: F.array_contains(told_terms, F.lower(s["value"])) & ~F.exists(
+            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)).drop(told_terms, keep)
     return told, docs.where(~gate), [*names.values(), term]
 
 

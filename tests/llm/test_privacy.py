@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from spanlake.llm.privacy import Disclosure, personal_data, sanitised
 
 # the contract's patterns, as they are
@@ -92,7 +94,9 @@ def test_disclosing_terms_and_sanitised_texts(docs_of):
     out = {r.doc_id: r.text for r in sanitised(docs).collect()}
     assert out[200] == "copied rareword text [EMAIL]" and out[300] == "Quentin alone" and out[301] is None
     assert all("[TERM]" in out[100 + i] and "[EMAIL]" in out[100 + i] and "uentin" not in out[100 + i] for i in range(5))
-    assert sanitised(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("x") for c in ("terms", "row", "_row", "_email", "_term", "entity")})
+    again = sanitised(clash)
+    assert again.columns == clash.columns and {r.doc_id: r.text for r in again.collect()} == out
 
 
 def test_overlapping_spans_are_one(docs_of):
