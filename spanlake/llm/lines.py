@@ -120,9 +120,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     suspects = written(source.mapInArrow(partial(
         _suspects, min_chars=min_chars, twice=twice, schema=arrow_schema(schema)), schema),
         "suspect-lines")
-    confirmed = (suspects.groupBy("digest")
-                 .agg(F.count_distinct(F.struct(id_col)).alias("n"), F.max(id_col).alias("kept"))
-                 .where(F.col("n") >= min_docs).select("digest", "kept"))
+    # written, so that the join below can broadcast it if it is small, or split a digest
+    # that very many documents hold
+    confirmed = written(suspects.groupBy("digest")
+                        .agg(F.count_distinct(F.struct(id_col)).alias("n"), F.max(id_col).alias("kept"))
+                        .where(F.col("n") >= min_docs).select("digest", "kept"), "repeated-lines")
     return (suspects.join(confirmed, "digest").where(~F.col(id_col).eqNullSafe(F.col("kept")))
             .groupBy(id_col).agg(F.collect_set("digest").alias("drops")))
 
