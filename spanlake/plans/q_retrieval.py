@@ -107,7 +107,7 @@ select doc_id::bigint as doc_id, term, tf::bigint as tf, (sum(tf) over (partitio
 
 @register("index_postings", POSTINGS_SQL)
 def index_postings(spark, sf):
-    idx = R.build_index(_passages(spark, sf))
+    idx = R.build_index(_passages(spark, sf), materialize=False)  # used once
     return idx.postings.select(F.col("doc_id").cast("bigint").alias("doc_id"), "term",
                                F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
@@ -130,9 +130,11 @@ def index_doc_stats(spark, sf):
     terms = idx.postings.agg(F.countDistinct("term").cast("bigint").alias("n_terms"),
                              F.count("*").cast("bigint").alias("n_postings"))
     # Both sides are single-row aggregates: attach with scalar subqueries.
-    return stats.select("n_docs", "avgdl",
-                        terms.select("n_terms").scalar().alias("n_terms"),
-                        terms.select("n_postings").scalar().alias("n_postings"))
+    out = written(stats.select("n_docs", "avgdl",
+                               terms.select("n_terms").scalar().alias("n_terms"),
+                               terms.select("n_postings").scalar().alias("n_postings")), "index-stats")
+    idx.release()
+    return out
 
 
 # ---------------------------------------------------------------- stopword_filter (R2)
@@ -151,8 +153,10 @@ select doc_id::bigint as doc_id, term, tf::bigint as tf, (sum(tf) over (partitio
 def stopword_filter(spark, sf):
     full = R.build_index(_passages(spark, sf))
     idx = R.without_terms(full, R.frequent_terms(full, 0.5))
-    return idx.postings.select(F.col("doc_id").cast("bigint").alias("doc_id"), "term",
-                               F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
+    out = written(idx.postings.select(F.col("doc_id").cast("bigint").alias("doc_id"), "term",
+                                      F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl")), "postings")
+    full.release()
+    return out
 
 
 # ---------------------------------------------------------------- stopword_context (R2+R8)
