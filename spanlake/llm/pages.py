@@ -55,10 +55,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
             "th": ("tr", "table"), "option": ("select",)}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|sidebar|ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*"
-    r"|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|related"
-    r"|recommend\w*|breadcrumbs?|pagination|pager|disqus|widget|login|signup|toolbar|masthead)(?:$|[\s_-])")
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus)(?:$|[\s_-])")
+    r"(?:^|[\s_-])(?:\w*nav|nav(?:bar|igation)|\w*menu|\w*footer|\w*sidebar|ads?|ad(?:box|slot|unit|wrap|container)"
+    r"|advert\w*|adsense|\w*banner|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|popup\w*"
+    r"|modal|overlay|newsletter\w*|subscri\w+|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?"
+    r"|pagination|pager|widget\w*|login\w*|signup\w*|search\w*|toolbar|masthead|skip)(?:$|[\s_-])")
+COMMENTS = re.compile(
+    r"(?:^|[\s_-])(?:(?:user|reader)?comments?(?:list|section|area|box|thread|form)?|respond|reply|replies|disqus)(?:$|[\s_-])")
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 

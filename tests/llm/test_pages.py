@@ -35,6 +35,15 @@ def test_pages_without_marks_and_broken_markup():
     assert text('<a "' * 20000).strip() == ""
 
 
+def test_names_that_are_no_article():
+    for name in ("top-nav", "mainMenu", "site_footer", "left-sidebar", "ad-slot", "google_ads", "cookieBanner", "notice",
+                 "share-buttons", "related-posts", "userComments", "comment-12", "disqus_thread", "skip-link", "search-box"):
+        for attr in ("class", "id"):
+            assert text(f'<article><p>a</p><div {attr}="x {name}"><p>no</p></div><p>b</p></article>') == "a\n\nb", name
+    for name in ("content", "lead", "shadow", "header-image", "menuet", "navy", "adventure", "commentary", "noticeable"):
+        assert text(f'<article><p>a</p><div class="{name}"><p>yes</p></div></article>') == "a\n\nyes", name
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows], "page_id long, url string, html string, host string, text int").repartition(3)
 
