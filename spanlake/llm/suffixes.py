@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, free_name, written
-from spanlake.llm.textarrays import MIX, U1, Powers, prefix_sums, range_hashes, slices
+from spanlake.llm.shared import arrow_schema, written
+from spanlake.llm.textarrays import MIX, Powers, prefix_sums, range_hashes, slices
 from spanlake.llm.twice_seen import passes, twice_seen
 
 LENGTH = 100
 GRAM = 50
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 NAME_LIMIT = 5000
 BLOCK_BYTES = 1 << 20
 PART_BYTES = 1 << 18
@@ -97,7 +97,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, powe
             range_hashes(data, lo, lo + count + length - 1, powers, sums))
 
 
-def merged_ranks(pos: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+def ranks_by_place(pos: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n + 3, np.int64)
     out[pos] = rank
     return out
@@ -123,7 +123,7 @@ def suffix_order(symbols: np.ndarray, top: int) -> np.ndarray:
     if not new.all():
         order = suffix_order(names, int(new.sum()))
         names[order] = np.arange(1, len(sample) + 1)
-    rank = merged_ranks(sample, names, n)
+    rank = ranks_by_place(sample, names, n)
     sampled = sample[order]
     sampled = sampled[sampled < n]
 
