@@ -8,8 +8,8 @@ of the largest score, with its share of all (uniform prior) as ``score``.
 
 Words are the lower-cased text's runs without white space behind a word-begin mark;
 a character that is no piece is one unknown piece. Words of over ``PART`` characters
-are scored in parts. Whole texts are scored; each worker remembers the scores
-of the words it has met in a job.
+are scored in parts. Whole texts are scored; each task remembers the scores of
+the words it has met.
 
 Learning is expectation maximisation in Spark: words are counted per language, every
 task adds up the pieces its words are expected to use (forward and backward), and the
@@ -24,7 +24,6 @@ Only the id, text and label columns are read.
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 import numpy as np
@@ -33,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, kept_by_worker, written
-from spanlake.llm.textarrays import Powers, prefix_sums, range_hashes
+from spanlake.llm.shared import arrow_schema, forget_kept, written
+from spanlake.llm.textarrays import Powers, prefix_sums, range_hashes, text_slices
 
 MARK = "▁"
 PART = 32
 SAMPLE_DOCS = 4000
 ROUNDS = 3
 SMOOTHING = 0.02
+FLOOR = 1e-9  # of a piece's probability: a part of unknown characters stays above zero
 REMEMBERED = 400_000
 BITMAP_BITS = 20
 
@@ -94,53 +94,71 @@ class Lattice:
         out[1, out[1] == none] = self.n_pieces
         return out
 
-    def _by_length(self, words: list[str]):
+    def _sorted(self, words: list[str]):
+        """Words from long to short: their order, starts, sizes and pieces. The words of
+        at least ``t`` characters are then the first ones."""
         points, bounds = code_points(words)
         size = np.diff(bounds)
         left = np.repeat(bounds[1:], size) - np.arange(len(points))
-        pieces = self._pieces(points, left)
-        for n in np.unique(size):
-            which = np.flatnonzero(size == n)
-            yield int(n), which, bounds[which], pieces
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        first = np.searchsorted(-size, -np.arange(int(size[0]) + 2), "right") if len(size) else np.zeros(2, np.int64)
+        return order, bounds[:-1][order], size, first, self._pieces(points, left)
 
-    def _forward(self, n, start, pieces, p):
-        alpha = np.zeros((n + 1, len(start), p.shape[1]))
+    def _forward(self, start, size, first, pieces, p):
+        """alpha[t]: probability of the first ``t`` characters of each word."""
+        none = self.n_pieces + 1
+        longest = int(size[0])
+        alpha = np.zeros((longest + 1, len(start), p.shape[1]))
         alpha[0] = 1
-        for t in range(1, n + 1):
+        for t in range(1, longest + 1):
             for k in range(1, min(t, self.longest) + 1):
-                alpha[t] += alpha[t - k] * p[pieces[k, start + t - k]]
+                ids = pieces[k, start[:first[t]] + t - k]
+                at = np.flatnonzero(ids != none)
+                alpha[t, at] += alpha[t - k, at] * p[ids[at]]
         return alpha
 
     def log_scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; ``p`` is (pieces + 2, languages)."""
         out = np.zeros((len(words), p.shape[1]))
-        for n, which, start, pieces in self._by_length(words):
-            out[which] = np.log(self._forward(n, start, pieces, p)[n])
+        if words:
+            order, start, size, first, pieces = self._sorted(words)
+            alpha = self._forward(start, size, first, pieces, p)
+            out[order] = np.log(alpha[size, np.arange(len(size))])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by ``counts`` (words, languages) words."""
-        out = np.zeros_like(p)
-        for n, which, start, pieces in self._by_length(words):
-            alpha = self._forward(n, start, pieces, p)
-            beta = np.zeros_like(alpha)
-            beta[n] = counts[which] / alpha[n]
-            for t in range(n - 1, -1, -1):
-                for k in range(1, min(n - t, self.longest) + 1):
-                    ids = pieces[k, start + t]
-                    uses = p[ids] * beta[t + k]
-                    beta[t] += uses
-                    for c in range(p.shape[1]):
-                        out[:, c] += np.bincount(ids, uses[:, c] * alpha[t][:, c], minlength=len(out))
-        return out
+        if not words:
+            return np.zeros_like(p)
+        none = self.n_pieces + 1
+        order, start, size, first, pieces = self._sorted(words)
+        alpha = self._forward(start, size, first, pieces, p)
+        every = np.arange(len(size))
+        beta = np.zeros_like(alpha)
+        beta[size, every] = counts[order] / alpha[size, every]
+        used, uses = [], []
+        for t in range(int(size[0]) - 1, -1, -1):
+            for k in range(1, min(int(size[0]) - t, self.longest) + 1):
+                ids = pieces[k, start[:first[t + k]] + t]
+                at = np.flatnonzero(ids != none)
+                behind = p[ids[at]] * beta[t + k, at]
+                beta[t, at] += behind
+                used.append(ids[at])
+                uses.append(behind * alpha[t, at])
+        used, uses = np.concatenate(used), np.concatenate(uses)
+        return np.stack([np.bincount(used, uses[:, c], minlength=len(p)) for c in range(p.shape[1])], axis=1)
+
+
+def word_parts(word: str) -> list[str]:
+    """The word with its mark, cut if it is long."""
+    marked = MARK + word
+    return [marked] if len(marked) <= PART else [marked[i:i + PART] for i in range(0, len(marked), PART)]
 
 
 def text_words(text: str) -> list[str]:
     """The text's words with their mark, the long ones in parts."""
-    words = [MARK + w for w in text.lower().split()]
-    if any(len(w) > PART for w in words):
-        words = [w[i:i + PART] for w in words for i in range(0, len(w), PART)]
-    return words
+    return [part for w in text.lower().split() for part in word_parts(w)]
 
 
 WORD_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()),
@@ -149,10 +167,11 @@ WORD_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField
 
 def _count_words(batches, schema: pa.Schema):
     from collections import Counter
+    forget_kept()
     for batch in batches:
         counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(text_words(text))
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            counts.setdefault(lang.as_py(), Counter()).update(text_words(text.as_py()))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
@@ -184,7 +203,7 @@ class Model:
     def learnt(self, uses: np.ndarray) -> Model:
         uses = uses + SMOOTHING
         uses[-1] = 0
-        return Model(self.languages, self.pieces, uses / uses.sum(axis=0))
+        return Model(self.languages, self.pieces, np.maximum(uses / uses.sum(axis=0), FLOOR))
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -223,44 +242,39 @@ class Scorer:
         self.scores = np.zeros((0, len(model.languages)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [text_words(t) if t and self.model.languages and any(map(str.isalpha, t)) else None for t in texts]
-        new = {w for words in split if words for w in words}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.scores = {}, self.scores[:0]
-            new = {w for words in split if words for w in words}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            self.known.update(zip(part, range(len(self.scores), len(self.scores) + len(part))))
-            self.scores = np.concatenate([self.scores, self.lattice.log_scores(part, self.model.p)])
+        split = [t.lower().split() if t and self.model.languages and any(map(str.isalpha, t)) else None for t in texts]
+        new = list(set().union(*filter(None, split)).difference(self.known))
+        parts = [word_parts(w) for w in new]
+        before = len(self.scores)
+        if new:
+            flat = [x for w in parts for x in w]
+            scores = np.concatenate([self.lattice.log_scores(flat[at:at + 20_000], self.model.p)
+                                     for at in range(0, len(flat), 20_000)])
+            begin = np.cumsum([0] + [len(w) for w in parts[:-1]])
+            self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            self.scores = np.concatenate([self.scores, np.add.reduceat(scores, begin)])
         langs, scores = [], []
+        of = self.known.__getitem__
         for words in split:
             if words is None:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = self.scores[[self.known[w] for w in words]].sum(axis=0)
+            total = self.scores[np.fromiter(map(of, words), np.int64, len(words))].sum(axis=0)
             best = int(total.argmax())
             langs.append(self.model.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
+        if len(self.known) > REMEMBERED:  # keep the words met first, which are the common ones
+            self.scores = self.scores[:before]
+            for w in new:
+                del self.known[w]
         return langs, scores
 
 
-def _grouped(texts: list, most: int = 1 << 20):
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield texts[at:i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
-
-
-def _predict_column(scorer: Scorer, texts: list) -> tuple[list[str], list[float]]:
+def _predict_column(scorer: Scorer, column) -> tuple[list[str], list[float]]:
     langs, scores = [], []
-    for part in _grouped(texts):
-        a, b = scorer.predict(part)
+    for texts in text_slices(column, 1 << 21):
+        a, b = scorer.predict(texts)
         langs += a
         scores += b
     return langs, scores
@@ -271,12 +285,13 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     source = docs.select(id_col, text_col)
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    arrow, job = arrow_schema(schema), uuid.uuid4().hex
+    arrow = arrow_schema(schema)
 
     def run(batches):
-        scorer = kept_by_worker(job, lambda: Scorer(model))
+        forget_kept()
+        scorer = Scorer(model)
         for batch in batches:
-            langs, scores = _predict_column(scorer, batch.column(1).to_pylist())
+            langs, scores = _predict_column(scorer, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()),
                                               pa.array(scores, pa.float64())], schema=arrow)
     return source.mapInArrow(run, schema)
@@ -286,12 +301,13 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_sco
                languages: list[str] | None = None) -> DataFrame:
     """The documents whose language is known with at least ``min_score`` (and is one of
     ``languages``, if given); columns as they came."""
-    text, job = docs.columns.index(text_col), uuid.uuid4().hex
+    text = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = kept_by_worker(job, lambda: Scorer(model))
+        forget_kept()
+        scorer = Scorer(model)
         for batch in batches:
-            langs, scores = _predict_column(scorer, batch.column(text).to_pylist())
+            langs, scores = _predict_column(scorer, batch.column(text))
             keep = [lang != "und" and s >= min_score and (languages is None or lang in languages)
                     for lang, s in zip(langs, scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -27,14 +27,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.llm.shared import arrow_schema, kept_by_worker, rank_within, written
+from spanlake.llm.textarrays import text_slices
 
 CAPACITY = 2048
 CLOSING_ID = 0
-REMEMBERED = 1_500_000  # words a worker remembers; then it starts anew
+REMEMBERED = 1_200_000  # words a worker remembers, those it met first
 LONG_WORD = 64
 
 
@@ -83,21 +83,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {"": b""}
-            new = every - {""}
+        new = set().union(*split).difference(self.words)
         self._learn(list(new))
         of = self.words.__getitem__
         out = [b"".join(map(of, words)) for words in split]
-        for w in [w for w in new if len(w) > LONG_WORD]:
+        full = len(self.words) > REMEMBERED
+        for w in [w for w in new if full or len(w) > LONG_WORD]:
             del self.words[w]
         return out
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-           tokenizer: str | None = None, with_ids: bool = False, batch_chars: int = 1 << 20) -> DataFrame:
+           tokenizer: str | None = None, with_ids: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, ids."""
     source = docs.select(id_col, text_col)
     fields = [T.StructField(id_col, source.schema[0].dataType), T.StructField("piece", T.IntegerType()),
@@ -110,24 +107,13 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     file, job = tokenizer_text(tokenizer), uuid.uuid4().hex
     closing = CLOSING_ID.to_bytes(4, "little")
 
-    def groups(texts):
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= batch_chars:
-                yield group
-                group, size = [], 0
-        if group:
-            yield group
-
     def cut(batches):
         encoder = kept_by_worker(job, lambda: Encoder(file))
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             row = 0
-            for texts in groups(batch.column(1).to_pylist()):
-                for raw in encoder.encode(texts):
+            for texts in text_slices(batch.column(1), batch_bytes):
+                for raw in encoder.encode([t or "" for t in texts]):
                     raw += closing
                     n = len(raw) // 4
                     for k, at in enumerate(range(0, n, capacity)):

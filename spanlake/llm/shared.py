@@ -29,6 +29,11 @@ def kept_by_worker(job: str, make):
     return held[1]
 
 
+def forget_kept() -> None:
+    """Free what an earlier job has left in this worker."""
+    sys._spanlake_kept = None
+
+
 def arrow_schema(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)

@@ -35,6 +35,12 @@ def slices(column, max_bytes: int = SLICE_BYTES):
         lo = hi
 
 
+def text_slices(column, max_bytes: int):
+    """Yield the texts of a string column as lists of bounded size (null stays None)."""
+    for lo, hi, _, _ in slices(column, max_bytes):
+        yield column.slice(lo, hi - lo).to_pylist()
+
+
 class Powers:
     """Powers of ODD and of its inverse modulo 2**64, grown on demand."""
 
