@@ -49,10 +49,11 @@ from pyspark.sql import types as T
 from spanlake.llm.shared import arrow_schema, written
 from spanlake.llm.textarrays import MIX, Powers, prefix_sums, range_hashes, slices
 from spanlake.llm.twice_seen import passes, twice_seen
+from spanlake.operators.common import broadcast_if_small
 
 LENGTH = 100
 GRAM = 50
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 28
 NAME_LIMIT = 5000
 BLOCK_BYTES = 1 << 20
 PART_BYTES = 1 << 18
@@ -283,7 +284,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
               .select("doc", "version", "start", (F.col("start") + F.col("count") + length - 1).alias("end")))
 
     several = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    names = written(several, "names")
+    names = broadcast_if_small(several, "names")  # so that all contexts need not move again
 
     def name_hashes(batch):
         yield np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)  # in both filters
