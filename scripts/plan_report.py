@@ -71,7 +71,7 @@ def main():
         with open(a.out, "w") as f:
             f.write("# Executed plans of the headline queries\n\n")
             f.write(f"Generated by `scripts/plan_report.py` at `{a.sf}` on local[8] (final adaptive plans; "
-                    "at this size AQE may coalesce partitions, the operator shape is what matters).\n\n")
+                    "at this size AQE may coalesce partitions, the operator shape is what matters). Only the last plan of a query is listed: intermediate tables that it writes to the shared folder (hits, question terms, checked sides) have plans of their own.\n\n")
             f.write("| query | shuffles | shuffle keys | broadcasts | partial top-k limits | cached scans | "
                     "Python ops |\n|---|---|---|---|---|---|---|\n")
             for name, s in rows:
