@@ -8,22 +8,25 @@ last match ended.
 
 Every distinct value of a base span is a protected entity. The corpus tells how much a
 term reveals of it (Sánchez and Batet's information-theoretic sanitisation): with N
-documents, ``df`` of them holding a term or an entity and ``co`` of them holding the
-term close to the entity (``near`` code points on each side),
+different texts, ``df`` of them holding a term or an entity and ``co`` of them holding
+both, the term as a word outside base spans,
 
     PMI(term; entity) = log2(co * N / (df(term) * df(entity)))
     IC(entity)        = log2(N / df(entity))
 
 and a term discloses the entity if PMI >= ``threshold`` * IC, that is, if knowing it
-leaves little of the entity unknown. Estimates from a few copies of one passage say
-nothing, so a pair counts only if it stands in at least ``min_contexts`` different
-contexts. A disclosing term becomes a span of kind ``term`` wherever it is a word of a
-document that holds the entity, outside base spans, which all stay. :func:`sanitised`
-generalises every span to the name of its kind.
-
-Counts are over all documents; each term of a document counts once. Document
-frequencies are counted only for terms that pass the context test, by a semi-join.
-Null texts count as empty, and have no spans. Repeated rows are documents of their own.
+leaves little of the entity unknown. ``min_contexts`` asks for a pair in that many
+different texts; with 1 (:data:`EVERY`, as ``op6_pii`` has it) entities that stand only
+once are protected too. A disclosing term becomes a span of kind ``term`` wherever it is
+a word of a document that holds the entity, outside base spans, which all stay.
+:func:`sanitised` generalises every span to the name of its kind.
+
+A term is a run of letters, marks and digits of any length. Counts are over all
+documents; copies of a text (equal by a digest) count once, and so does each term of a
+text. As ``co <= df(entity)``, only terms with ``df <= N^(1-t) * df(entity)^t`` can
+disclose an entity (t is the threshold), and entities of the same texts are disclosed by
+the same terms: pairs are made of such terms only, and of one entity for each set of
+texts. Null texts count as empty, and have no spans. Every row gets its spans.
 Offsets are code points, ends exclusive. Other columns are not read by
 :func:`personal_data`, and carried along by :func:`sanitised`.
 """
@@ -36,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.shared import free_name, written
+from spanlake.operators.common import broadcast_if_small, explode_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -47,7 +51,8 @@ PATTERNS = {
 }
 # What a text must hold for the pattern to be tried.
 GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"\p{L}\p{M}\p{N}"
+COVERED = "\ufdd0"  # no character; stands for those of base spans
 SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -55,8 +60,9 @@ SPAN = "struct<start:int,end:int,value:string>"
 class Disclosure:
     threshold: float = 0.8
     min_contexts: int = 3
-    near: int = 120
-    min_letters: int = 3
+
+
+EVERY = Disclosure(min_contexts=1)
 
 
 def _digits(value: Column) -> Column:
@@ -85,8 +91,9 @@ TESTS = {"email": lambda v: F.lit(True), "ip": _small_parts, "card": _luhn,
          "phone": lambda v: F.length(_digits(v)).between(8, 15)}
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches with their places: the gaps between them come from splitting."""
+def _matches(text: Column, pattern: str, keep=None) -> Column:
+    """All matches (that ``keep`` wants) with their places: the gaps between them come
+    from splitting."""
     pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     none = F.array().cast(f"array<{SPAN}>")
 
@@ -94,8 +101,9 @@ def _matches(text: Column, pattern: str) -> Column:
         start = done["at"] + F.length(pair["0"])
         end = start + F.length(pair["1"])
         span = F.struct(start.alias("start"), end.alias("end"), pair["1"].alias("value"))
-        return F.when(pair["1"].isNull(), done).otherwise(
-            F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans")))
+        spans = F.concat(done["spans"], F.array(span))
+        spans = F.when(keep(pair["1"]), spans).otherwise(done["spans"]) if keep else spans
+        return F.when(pair["1"].isNull(), done).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
 
 
@@ -111,39 +119,62 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def _terms(text: Column, min_letters: int) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0))
+def _terms(text: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0)))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _terms_outside(text: Column, base: Column) -> Column:
+    """The terms that are words outside the base spans."""
+    text = F.translate(text, COVERED, " ")
+
+    def step(done, s):
+        at = F.greatest(done["at"], s["start"])
+        covered = F.regexp_replace(F.substr(text, at + 1, s["end"] - at), f"[{WORD}]", COVERED)
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.concat(
+            done["out"], F.substr(text, done["at"] + 1, at - done["at"]), covered).alias("out"))
+    rest = F.aggregate(F.array_sort(base), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                       lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    words = F.array_distinct(F.regexp_extract_all(rest, F.lit(f"[{WORD}{COVERED}]+"), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(COVERED))), F.lower))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, rules: Disclosure) -> DataFrame:
-    """``(entity, term)`` pairs whose term discloses the entity. ``found`` has a row
-    number, the text and the base spans of every document that holds any."""
-    def placed(kind):
-        return F.transform(kind, lambda s: F.struct(_entity(kind, s["value"]).alias("entity"),
-                                                    s["start"].alias("start"), s["end"].alias("end")))
-    spans = found.select("row", "text", F.explode(F.concat(*map(placed, KINDS))).alias("s"))
-    at = F.greatest(F.col("s.start") - rules.near, F.lit(0))
-    # a word cut by the context's edge is no word of it
-    before = F.substr("text", at + 1, F.col("s.start") - at)
-    before = F.when(at > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]*", "")).otherwise(before)
-    after = F.regexp_replace(F.substr("text", F.col("s.end") + 1, F.lit(rules.near + 1)), r"[^\x20\x09-\x0D]*$", "")
-    after = F.when(F.length("text") - F.col("s.end") <= rules.near,
-                   F.substr("text", F.col("s.end") + 1, F.lit(rules.near + 1))).otherwise(after)
-    context = spans.select("row", F.col("s.entity").alias("entity"), F.concat_ws(" ", before, after).alias("context"))
-    near = context.select("row", "entity", F.xxhash64("context").alias("context"),
-                          F.explode(F.array_distinct(_terms(F.col("context"), rules.min_letters))).alias("term"))
-    pairs = written(near.groupBy("entity", "term").agg(F.count_distinct("row").alias("co"),
-                                                       F.count_distinct("context").alias("contexts"))
-                    .where(F.col("contexts") >= rules.min_contexts).select("entity", "term", "co"), "pairs")
-    words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(text_col, F.lit("")), rules.min_letters))).alias("term"))
-    term_df = (words.join(pairs.select("term").distinct(), "term", "left_semi")
-               .groupBy("term").agg(F.count("*").alias("df_term")))
-    entity_df = context.groupBy("entity").agg(F.count_distinct("row").alias("df_entity"))
-    n = docs.agg(F.count("*").alias("n"))
-    counted = pairs.join(term_df, "term").join(entity_df, "entity").join(F.broadcast(n))  # one row
-    pmi = F.log2(F.col("co") * F.col("n") / (F.col("df_term") * F.col("df_entity")))
-    ic = F.log2(F.col("n") / F.col("df_entity"))
-    return counted.where((ic > 0) & (pmi >= rules.threshold * ic)).select("entity", "term")
+    """``(digest, terms)``: the terms of each text that disclose an entity of it.
+    ``found`` has the digest, the text and the base spans of the documents that hold any."""
+    def entities(kind):
+        return F.transform(kind, lambda s: _entity(kind, s["value"]))
+    texts = written(found.dropDuplicates(["digest"]).select(
+        "digest", F.array_distinct(F.concat(*map(entities, KINDS))).alias("entities"),
+        _terms_outside(F.col("text"), F.concat(*KINDS)).alias("terms")), "texts")
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    copies = docs.groupBy(F.xxhash64(text).alias("digest")).agg(F.count("*").alias("copies"))
+    n = copies.count()
+    copied = broadcast_if_small(copies.where("copies > 1").select("digest", F.col("digest").alias("copied")), "copied")
+    words = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).join(copied, "digest", "left")
+    words = explode_rows(words, _terms(F.col("text")), ["copied"], "term")
+    term_df = words.groupBy("term").agg((F.count(F.when(F.col("copied").isNull(), 1)) + F.count_distinct("copied")).alias("df_term"))
+
+    held = texts.select("digest", F.explode("entities").alias("entity"))
+    entity_df = held.groupBy("entity").agg(
+        F.count("*").alias("df_entity"), F.bit_xor("digest").alias("a"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("b"))
+    # one entity for each set of texts; one that all texts hold has nothing to disclose
+    entity_df = written(entity_df.groupBy("df_entity", "a", "b").agg(F.min("entity").alias("entity"))
+                        .where(F.col("df_entity") < n).select("entity", "df_entity"), "entities")
+    most = entity_df.agg(F.max("df_entity")).first()[0] or 0
+
+    def bound(df_entity):  # a little more than the bound, for rounding
+        return 1.000001 * n ** (1 - rules.threshold) * F.pow(df_entity, F.lit(rules.threshold))
+    rare = broadcast_if_small(term_df.where(F.col("df_term") <= bound(F.lit(most))), "terms")
+    near = (texts.select("digest", F.explode("terms").alias("term")).join(rare, "term")
+            .join(held.join(entity_df, "entity"), "digest").where(F.col("df_term") <= bound(F.col("df_entity"))))
+    near = written(near.select("digest", "entity", "term", "df_entity", "df_term"), "pairs")
+    counted = near.groupBy("entity", "term", "df_entity", "df_term").agg(F.count("*").alias("co"))
+    pmi = F.log2(F.col("co") * F.lit(n) / (F.col("df_term") * F.col("df_entity")))
+    ic = F.log2(F.lit(n) / F.col("df_entity"))
+    told = counted.where((F.col("co") >= rules.min_contexts) & (pmi >= rules.threshold * ic)).select("entity", "term")
+    return near.join(told, ["entity", "term"], "left_semi").groupBy("digest").agg(F.collect_set("term").alias("terms"))
 
 
 def _with_spans(docs: DataFrame, text_col: str, rules: Disclosure) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -151,26 +182,21 @@ def _with_spans(docs: DataFrame, text_col: str, rules: Disclosure) -> tuple[Data
     text = F.coalesce(F.col(text_col), F.lit(""))
     gate = text.rlike("[0-9@]")  # every base span has one
     names = {k: free_name(docs, f"_{k}") for k in KINDS}
-    keep = free_name(docs, "_row")
-    maybe = docs.where(gate).withColumns({names[k]: _kind_spans(text, k) for k in KINDS} | {keep: F.monotonically_increasing_id()})
+    digest = free_name(docs, "_digest")
+    maybe = docs.where(gate).withColumns({names[k]: _kind_spans(text, k) for k in KINDS} | {digest: F.xxhash64(text)})
     maybe = written(maybe, "personal-data")
     found = maybe.where(sum(F.size(names[k]) for k in KINDS) > 0).select(
-        F.col(keep).alias("row"), F.col(text_col).alias("text"), *[F.col(names[k]).alias(k) for k in KINDS])
-    pairs = written(disclosing_terms(docs, found, text_col, rules), "disclosing")
-
-    def entities(kind):
-        return F.transform(kind, lambda s: _entity(kind, s["value"]))
-    held = found.select("row", F.explode(F.array_distinct(F.concat(*map(entities, KINDS)))).alias("entity"))
+        F.col(digest).alias("digest"), F.col(text_col).alias("text"), *[F.col(names[k]).alias(k) for k in KINDS])
     told_terms = free_name(docs, "_terms")
-    terms = held.join(pairs, "entity").groupBy(F.col("row").alias(keep)).agg(F.collect_set("term").alias(told_terms))
-    told = maybe.join(terms, keep, "left")
-    word_spans = _matches(text, rf"\p{{L}}{{{rules.min_letters},}}")
+    terms = disclosing_terms(docs, found, text_col, rules).select(F.col("digest").alias(digest), F.col("terms").alias(told_terms))
+    told = maybe.join(broadcast_if_small(terms, "disclosing"), digest, "left")
+    word_spans = _matches(text, f"[{WORD}]+", lambda w: F.array_contains(told_terms, F.lower(w)))
     none = F.array().cast(f"array<{SPAN}>")
     term = free_name(docs, "_term")
     base = F.concat(*names.values())
     told = told.withColumn(term, F.when(F.col(told_terms).isNotNull(), F.filter(
-        word_spans, lambda s: F.array_contains(told_terms, F.lower(s["value"])) & ~F.exists(
-            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)).drop(told_terms, keep)
+        word_spans, lambda s: ~F.exists(
+            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)).drop(told_terms, digest)
     return told, docs.where(~gate), [*names.values(), term]
 
 

@@ -10,7 +10,7 @@ from spanlake.llm.language import learn, predict
 from spanlake.llm.lines import rebuilt_documents
 from spanlake.llm.packing import pack_documents
 from spanlake.llm.pages import main_texts
-from spanlake.llm.privacy import personal_data
+from spanlake.llm.privacy import EVERY, personal_data
 from spanlake.llm.registry import read, register
 from spanlake.llm.repetition import quality
 from spanlake.llm.sharding import shard_by_bytes
@@ -135,7 +135,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 @register("op6_pii")
 def op6(spark, sf_dir: str) -> DataFrame:
-    return personal_data(read(spark, sf_dir, "documents"))
+    return personal_data(read(spark, sf_dir, "documents"), rules=EVERY)
 
 
 OP5_SQL = """

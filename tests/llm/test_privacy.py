@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanlake.llm.privacy import Disclosure, personal_data, sanitised
+from spanlake.llm.privacy import EVERY, Disclosure, personal_data, sanitised
+from spanlake.llm.q_corpus import op6
 
 # the contract's patterns, as they are
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -102,3 +103,42 @@ def test_disclosing_terms_and_sanitised_texts(docs_of):
 def test_overlapping_spans_are_one(docs_of):
     out = sanitised(docs_of([(1, "x a+1 555 123 4567@b.cc y"), (2, "+4111111111111111 z")])).collect()
     assert sorted(r.text for r in out) == ["[CARD] z".replace("[CARD]", "+[CARD]"), "x a[PHONE] y"]
+
+
+def plain_spans(texts, threshold):
+    """The term spans of each text, by counting all pairs over the different texts."""
+    word = re.compile(r"[^\W_]+")
+
+    def outside(t):
+        return [m for m in word.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in base(t))]
+    holds = {t: ({t[a:b].lower() for _, a, b in base(t)}, {m[0].lower() for m in outside(t)},
+                 {w.lower() for w in word.findall(t)}) for t in texts}
+    n, out = len(holds), {}
+
+    def tells(e, w):
+        df_e, df_w = sum(e in x[0] for x in holds.values()), sum(w in x[2] for x in holds.values())
+        co = sum(e in x[0] and w in x[1] for x in holds.values())
+        return df_e < n and co and math.log2(co * n / (df_w * df_e)) >= threshold * math.log2(n / df_e)
+    for t, (entities, words, _) in holds.items():
+        told = {w for w in words if any(tells(e, w) for e in entities)}
+        out[t] = ",".join(f"term:{m.start()}:{m.end()}" for m in outside(t) if m[0].lower() in told)
+    return out
+
+
+def test_terms_of_entities_that_stand_once(spark, docs_of, tmp_path):
+    rng = random.Random(5)
+    common = ["the", "and", "über", "words", "of", "many"]
+
+    def some(n):
+        return " ".join(rng.choice(common) for _ in range(n))
+    texts = [some(12) + f" {i % 9}" for i in range(80)]
+    texts += [f"Li {some(60)} B52x a.li@x.example {some(60)} teléfono+1 (409) 555-8387 and abc1.2.3.4x {some(3)}"]
+    texts += ["copied rareword text rare@y.example, \ufdd0rareword"] * 6 + ["rareword of many"] * 3 + ["a.li@z.example a.li li"]
+    texts += [f"{some(4)} Quentin {i} q@x.example r@x.example" for i in range(5)] + [f"{some(2)} q@x.example", "Quentin of words"]
+    want = plain_spans(texts, EVERY.threshold)
+    assert any(want.values()) and want[texts[80]].startswith("term:0:2,")
+    docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in op6(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert ",".join(x for x in got[i].split(",") if x.startswith("term:")) == want[t], t
+    assert [t for t in want if "rareword text" in t and want[t].count("term") == 4]
