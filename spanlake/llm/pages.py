@@ -9,11 +9,13 @@ text.
 Site templates are found by counting: every element subtree that could be a template
 has a hash of its tags and text; Spark counts, per host, on how many different pages
 (by a digest of the html, so copies of one page count once) each hash occurs. Subtrees
-on at least ``min_pages`` pages and a share of ``min_share`` of the host's pages are
-deleted. Paragraphs and headings inside a marked article are the article's own words
-and are no candidates. A share bounds a host's templates by its pages' mean number of
-candidates over the share, so the table that is joined back is small; Spark broadcasts
-it if it is under its size limit and otherwise joins on the host, splitting hot ones.
+on at least ``min_pages`` pages are deleted if that is a share of ``min_share`` of the
+host's pages or at least ``many_pages`` pages, so that the bar does not grow with the
+host. Paragraphs, headings, list items and cells inside a marked article are mostly its
+own words: for them both counts are ``STRICTER`` times as high. What a page loses is
+found by joining its hashes to the host's recurring ones by host and hash, and goes back
+to the page by host and digest; Spark broadcasts what is under a size limit and otherwise
+joins by shuffling, splitting hot keys.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Null or empty html gives an empty text; a page
@@ -33,9 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.llm.shared import arrow_schema, written
+from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+MANY_PAGES = 20
+STRICTER = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -74,7 +79,7 @@ class Element:
 
 class Page:
     """Reads one page. ``templates`` are hashes of subtrees to delete; ``hashes``
-    collects those of all candidates."""
+    collects those of all candidates, the odd ones of text blocks in an article."""
 
     def __init__(self, templates=frozenset()):
         self.templates, self.hashes = templates, set()
@@ -109,7 +114,7 @@ class Page:
             self.flush()
             if len(self.blocks) > e.block:
                 sign = xxhash.xxh64_intdigest("\x1f".join(self.signs[e.sign:]).encode("utf-8", "replace"))
-                sign -= 1 << 63
+                sign = (sign >> 1 << 1) + (e.candidate > 1) - (1 << 63)
                 self.hashes.add(sign)
                 if sign in self.templates:
                     del self.blocks[e.block:]
@@ -151,8 +156,9 @@ class Page:
                 self.flush()
                 self.skipped = len(self.open), about_comments
         main = int(article and self.skipped is None)
-        candidate = (self.skipped is None and not article and tag not in INLINE and tag not in ("html", "body")
-                     and not (self.in_main and tag in TEXT_BLOCKS))
+        candidate = int(self.skipped is None and not article and tag not in INLINE and tag not in ("html", "body"))
+        if self.in_main and tag in TEXT_BLOCKS:
+            candidate *= 2
         if candidate or tag not in INLINE:
             self.signs.append("<" + tag)
         self.open.append(Element(tag, len(self.blocks), len(self.signs) - 1, candidate, main))
@@ -197,23 +203,16 @@ class Page:
         return "\n\n".join(own or [t for t, _ in self.blocks])
 
 
-CANDIDATES = T.StructType([T.StructField("host", T.StringType()), T.StructField("subtree", T.LongType()),
-                           T.StructField("page", T.LongType())])
+CANDIDATES = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()),
+                           T.StructField("subtrees", T.ArrayType(T.LongType()))])
 
 
 def _candidates(batches):
     schema = arrow_schema(CANDIDATES)
     for batch in batches:
-        hosts, subtrees, digests = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-            html = html.as_py()
-            digest = xxhash.xxh64_intdigest(html.encode("utf-8", "replace")) - (1 << 63)
-            found = Page().read(html).hashes
-            hosts += [host] * (len(found) + 1)
-            subtrees += [None, *found]  # null counts the page itself
-            digests += [digest] * (len(found) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()),
-                                          pa.array(digests, pa.int64())], schema=schema)
+        found = [list(Page().read(html.as_py()).hashes) for html in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, schema.field("subtrees").type)],
+                                         schema=schema)
 
 
 HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -223,26 +222,32 @@ def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), HOST, 1))
 
 
-def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
-                   min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, templates)``: the hashes of each host's recurring subtrees."""
-    source = pages.select(host_of(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
-    found = source.where("host != ''").mapInArrow(_candidates, CANDIDATES)
-    counts = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n"))
-    counts = written(counts.where((F.col("n") >= min_pages)), "subtrees")
-    sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    many = counts.where("subtree is not null").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+def site_templates(found: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                   many_pages: int = MANY_PAGES) -> DataFrame:
+    """``(host, subtree)``: the hashes of each host's recurring subtrees. ``found`` has
+    the host, the digest and the hashes of each page."""
+    each = explode_rows(found, F.col("subtrees"), ["host", "page"], "subtree")
+    counts = each.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n"))
+    counts = written(counts.where(F.col("n") >= min_pages), "subtrees")
+    sizes = found.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    times = F.when(F.col("subtree").bitwiseAND(1) == 1, STRICTER).otherwise(1)
+    often = (F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many_pages * times)
+    return counts.join(sizes, "host").where((F.col("n") >= min_pages * times) & often).select("host", "subtree")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES,
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per page: id, url, text."""
-    templates = written(site_templates(pages, url_col=url_col, html_col=html_col, min_pages=min_pages,
-                                       min_share=min_share), "templates")
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
-                          F.coalesce(html_col, F.lit("")).alias("html"),
-                          host_of(url_col).alias("host"))
+    html = F.coalesce(html_col, F.lit(""))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"),
+                          host_of(url_col).alias("host"), F.xxhash64(html).alias("page"))
+    found = written(source.where("host != ''").select("host", "page", "html").mapInArrow(_candidates, CANDIDATES), "candidates")
+    recurring = broadcast_if_small(site_templates(found, min_pages=min_pages, min_share=min_share, many_pages=many_pages),
+                                   "recurring", max_broadcast_bytes)
+    lost = (explode_rows(found, F.col("subtrees"), ["host", "page"], "subtree").join(recurring, ["host", "subtree"])
+            .groupBy("host", "page").agg(F.collect_set("subtree").alias("templates")))
+    templates = broadcast_if_small(lost, "templates", max_broadcast_bytes)
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField(url_col, T.StringType()),
                            T.StructField("text", T.StringType())])
     arrow = arrow_schema(schema)
@@ -253,4 +258,5 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
                      for h, t in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=arrow)
 
-    return source.join(templates, "host", "left").select("id", "url", "html", "templates").mapInArrow(extract, schema)
+    return (source.join(templates, ["host", "page"], "left").select("id", "url", "html", "templates")
+            .mapInArrow(extract, schema))

@@ -78,3 +78,24 @@ def test_query_against_the_articles_of_the_table(spark, sf_small):
         want[r.page_id] = "\n\n".join(b for b in blocks if b)
     out = op8(spark, sf_small).collect()
     assert {r.page_id: r.text for r in out} == want and all(r.n_chars == len(r.text) for r in out)
+
+
+def test_templates_of_a_large_host_and_bare_paragraphs_in_articles(spark):
+    box = '<section><p>Members read <b>more</b></p></section>'
+    rows = []
+    for i in range(300):
+        notice = "<p>Seen by all</p>" if i % 4 else ""
+        cell = "<p>Seldom said</p>" if i < 60 else ""
+        rows.append((i, f"http://large.example.com/{i}", f"<article><p>own {i}</p>{cell}{notice}{box if i < 30 else ''}</article>"))
+    for i in range(18):  # too few for paragraphs of an article
+        rows.append((1000 + i, f"http://small.example.com/{i}", f"<article><p>own {i}</p><p>Seen by all</p>{box if i < 6 else ''}</article>"))
+    want = {i: f"own {i}" + ("\n\nSeldom said" if i < 60 else "") for i in range(300)}
+    want |= {1000 + i: f"own {i}\n\nSeen by all" for i in range(18)}
+    pages = pages_of(spark, rows)
+    assert {r.page_id: r.text for r in main_texts(pages).collect()} == want
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.page_id: r.text for r in main_texts(pages, max_broadcast_bytes=0).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
