@@ -8,6 +8,7 @@ from spanlake.operators import checks as P
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import QA
 from spanlake.sources import fixtures as FX
+from spanlake.sources import io as S
 from spanlake.sources.tables import table
 
 ROLES_SQL = f"""
@@ -57,10 +58,10 @@ from qa
 
 @register("prediction_rows", ROWS_SQL)
 def prediction_rows(spark, sf):
-    """P5: maps of predictions (one per file) and the references."""
+    """P5: maps of predictions (one per file of bounded size) and the references."""
     qa = FX.qa_examples(spark, sf)
     text = F.coalesce(F.get("answers.text", 0), F.lit(""))
-    maps = qa.groupBy((F.col("id") % 100).alias("file")).agg(F.map_from_entries(F.collect_list(
+    maps = S.with_object(qa, "id", text, least=100, out="file").groupBy("file").agg(F.map_from_entries(F.collect_list(
         F.struct(F.col("id").cast("string"), text))).alias("predictions"))
     refs = P.references(qa).select(F.col("id").cast("string").alias("id"),
                                    F.get("answers.answer_start", 0).cast("bigint").alias("answer_start"))

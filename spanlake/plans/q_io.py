@@ -15,7 +15,7 @@ from spanlake.operators import evaluate as E
 from spanlake.operators.common import r6
 from spanlake.plans import q_decode, q_evaluate, q_retrieval, q_text
 from spanlake.plans.registry import register
-from spanlake.session import scratch_path
+from spanlake.session import scratch_path, written
 from spanlake.sources import fixtures as FX
 from spanlake.sources import io as S
 
@@ -115,23 +115,25 @@ select doc_id::varchar as doc_key, text, doc_id::bigint as document_id from docu
 
 @register("corpus_object", OBJECT_SQL)
 def corpus_object(spark, sf):
-    """A corpus of JSON object files, one per source."""
+    """A corpus of JSON object files, as many per source as its size takes."""
     d = FX.corpus(spark, sf)
     entry = F.struct("text", "title", F.col("doc_id").alias("document_id"))
-    objects = d.groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(
+    d = S.with_object(d, "doc_id", entry, group="source")
+    objects = d.groupBy("source", "object").agg(F.to_json(F.map_from_entries(F.collect_list(
         F.struct(F.col("doc_id").cast("string"), entry)))).alias("value"))
     path = scratch_path(spark, "objects")
-    objects.select("source", "value").write.partitionBy("source").text(path)
+    objects.select("source", "object", "value").write.partitionBy("source", "object").text(path)
     return S.read_corpus_object(spark, path).select("doc_key", "text", "document_id")
 
 
 @register("nbest_object", q_decode.PROB_SQL)
 def nbest_object(spark, sf):
-    """N-best lists of JSON object files, a hundred of them."""
+    """N-best lists of JSON object files, a hundred of them or as many as the size takes."""
     rows = D.nbest_rows(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
     item = F.struct("rank", F.struct("start_logit", "end_logit", "text", "probability").alias("p"))
     lists = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]).alias("preds"))
-    objects = lists.groupBy((F.col("id") % 100).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(
+    lists = S.with_object(written(lists, "nbest-lists"), "id", F.col("preds"), least=100, out="file")
+    objects = lists.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(
         F.struct(F.col("id").cast("string"), "preds")))).alias("value"))
     path = scratch_path(spark, "nbest-objects")
     objects.write.partitionBy("file").text(path)

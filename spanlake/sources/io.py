@@ -9,10 +9,12 @@ All sinks write JSON Lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlake.operators.common import broadcast_if_small
+
 CORPUS_ENTRY = ("struct<text:string,title:string,corpus_source:string,url:string,domain:string,"
                 "author:string,html:string,document_id:bigint>")
 NBEST_ENTRY = "struct<start_logit:double,end_logit:double,text:string,probability:double>"
@@ -24,6 +26,24 @@ CSV_COMMON = {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue":
 CSV_WRITE = {**CSV_COMMON, "quoteAll": "true"}
 CSV_READ = {**CSV_COMMON, "multiLine": "true"}
 
+# An object file has half of these on average, so that hardly one has more.
+MAX_OBJECT_BYTES = 16 << 20
+MAX_OBJECT_ROWS = 20_000
+
+
+def with_object(df: DataFrame, key: str, entry: Column, group: str | None = None, least: int = 1,
+                out: str = "object") -> DataFrame:
+    """``df`` with the number of the object file that a row goes to: a hash of ``key``,
+    over as many files (``least`` at least) per ``group`` as the rows and the bytes of
+    their JSON ``entry`` take, so that no file grows with the table."""
+    size = F.octet_length(F.to_json(F.struct(F.col(key), entry))).cast("bigint")
+    by = [F.col(group).alias("_group")] if group else []
+    files = df.groupBy(*by).agg(F.greatest(F.ceil(F.sum(size) * 2 / MAX_OBJECT_BYTES),
+                                           F.ceil(F.count("*") * 2 / MAX_OBJECT_ROWS), F.lit(least)).alias("_files"))
+    on = F.col(group).eqNullSafe(F.col("_group")) if group else F.lit(True)
+    side = broadcast_if_small(files, "files") if group else F.broadcast(files)  # one row
+    return df.join(side, on).withColumn(out, F.pmod(F.xxhash64(key), "_files")).drop("_files", "_group")
+
 
 # ----------------------------------------------------------------------------- S1/S2 corpus
 def read_corpus_object(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,37 @@ def test_prediction_map_rows_and_null_odds(spark):
     assert out.endswith("null_odds_m1")
     back = sorted(tuple(r) for r in spark.read.schema("id string, score_diff double").json(out).collect())
     assert back == [("q1", 0.5), ("q2", -1.25)]
+
+
+def test_object_files_have_a_largest_size(spark, sf_small, monkeypatch):
+    from urllib.parse import unquote, urlparse
+
+    from pyspark.sql import functions as F
+
+    from spanlake.operators import checks as P
+    from spanlake.plans import q_checks, q_io
+
+    def sizes(df):
+        return [os.path.getsize(unquote(urlparse(f).path)) for f in df.inputFiles()]
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    largest = docs.agg(F.max(F.octet_length("text"))).first()[0]
+    bound = 4 * largest
+    monkeypatch.setattr(S, "MAX_OBJECT_BYTES", bound, raising=False)
+    monkeypatch.setattr(S, "MAX_OBJECT_ROWS", 2 ** 40, raising=False)
+    # one source holds every row, eight times over
+    many = docs.crossJoin(spark.range(8).withColumnRenamed("id", "k")).select(
+        (F.col("doc_id") * 8 + F.col("k")).alias("doc_id"), "text", F.lit("all").alias("source"), F.lit("t").alias("title"))
+    monkeypatch.setattr(q_io.FX, "corpus", lambda spark, sf: many)
+    back = q_io.corpus_object(spark, sf_small)
+    assert max(sizes(back)) <= 2 * bound < sum(sizes(back)) / 2
+    assert sorted(back.select("document_id", "text").collect()) == sorted(many.select("doc_id", "text").collect())
+
+    monkeypatch.setattr(S, "MAX_OBJECT_BYTES", 8 << 20, raising=False)
+    monkeypatch.setattr(S, "MAX_OBJECT_ROWS", 2, raising=False)
+    lists = q_io.nbest_object(spark, sf_small)
+    assert len(sizes(lists)) > 100 and lists.select("id").distinct().count() == docs.count()
+    maps = []
+    monkeypatch.setattr(P, "predictions_to_rows", lambda m, col="predictions", f=P.predictions_to_rows: maps.append(m) or f(m, col))
+    rows = q_checks.prediction_rows(spark, sf_small).count()
+    held = [r[0] for r in maps[0].select(F.size("predictions")).collect()]
+    assert sum(held) == rows and len(held) > 100
