@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, written
+from spanlake.llm.shared import arrow_schema, free_name, written
 from spanlake.llm.textarrays import (LOWER, Powers, covered, per_row, range_hashes,
                                      slices, table, word_bounds)
 
@@ -158,6 +158,22 @@ def _cleaned(batches, windows: Windows, text: int, mode: str):
     return _scan(batches, windows, text, emit)
 
 
+def _cut(batches, text: int):
+    for batch in batches:
+        texts = batch.column(text).to_pylist()
+        for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            spans = []
+            for x in found:
+                if spans and not len(text_words(texts[i][spans[-1][1]:x["start"]])):  # no word between them
+                    spans[-1] = spans[-1][0], x["end"]
+                else:
+                    spans.append((x["start"], x["end"]))
+            for a, b in reversed(spans):
+                texts[i] = texts[i][:a] + "\n" + texts[i][b:]
+        batch = batch.set_column(text, batch.schema.field(text), pa.array(texts, batch.schema.field(text).type))
+        yield batch.select(list(range(batch.num_columns - 1)))
+
+
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str,
                      max_bytes: int) -> list[list[tuple[str, str]]]:
     """The benchmark's items, in blocks of bounded size if it is larger than that."""
@@ -235,6 +251,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode}")
     out, at = docs, docs.columns.index(text_col)
-    for items in benchmark_blocks(benchmark, item_col, item_text, max_benchmark_bytes):
+    blocks = benchmark_blocks(benchmark, item_col, item_text, max_benchmark_bytes)
+    if mode == "spans" and len(blocks) > 1:
+        # cut once, by the spans of all blocks: a cut would break other blocks' windows
+        number, spans = free_name(docs, "_number"), free_name(docs, "_hit_spans")
+        numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        found = contamination(numbered.select(number, F.col(text_col).alias("_text")), benchmark, id_col=number, text_col="_text",
+                              item_col=item_col, item_text=item_text, n=n, max_benchmark_bytes=max_benchmark_bytes)
+        found = found.select(number, F.col("hit_spans").alias(spans))
+        cut = numbered.join(found, number).select(*docs.columns, spans)
+        return cut.mapInArrow(partial(_cut, text=at), docs.schema)
+    for items in blocks:
         out = out.mapInArrow(partial(_cleaned, windows=Windows(items, n), text=at, mode=mode), docs.schema)
     return out

@@ -81,3 +81,14 @@ def test_documents_and_spans_go(spark, docs_of, max_bytes):
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
     with pytest.raises(ValueError):
         decontaminate(docs, bench, mode="words")
+
+
+def test_overlapping_items_of_several_blocks_are_cut_once(spark, docs_of):
+    words = [f"w{i}" for i in range(60)]
+    # windows of ten words that overlap, and two that only touch
+    items = [(str(i), " ".join(words[i:i + 10])) for i in (0, 2, 5, 9, 12, 30, 40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = docs_of([(1, "before " + " ".join(words) + " after"), (2, None), (3, "clean é text"), (1, "é " + " ".join(words[2:15]) + ".")])
+    whole = sorted(map(tuple, decontaminate(docs, bench, mode="spans").collect()), key=str)
+    blocks = sorted(map(tuple, decontaminate(docs, bench, mode="spans", max_benchmark_bytes=40).collect()), key=str)
+    assert blocks == whole and any(r[1] and r[1].startswith("before \n w22") for r in whole)
