@@ -5,10 +5,12 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanlake.llm.alignment import cross_tokenizer_alignment
 from spanlake.llm.importance import importance_resample
 from spanlake.llm.registry import read, register
+from spanlake.llm.vector_search import exact_top_k
 
 
 @register("op13_cross_tokenizer_alignment")
@@ -54,3 +56,18 @@ from f left join ranked using (r)
 def op12(spark, sf_dir: str) -> DataFrame:
     drawn = importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+           from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, q.r as r, c.vec_id as vec_id, c.r as cr, list_inner_product(q.e, c.e)::bigint as score
+      from v q join v c on c.r <> q.r and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+n as (select *, row_number() over (partition by r order by score desc, vec_id nulls last, cr) as place from s)
+select query_id, place::int as rank, vec_id, score from n where place <= 5
+"""
+
+
+@register("op11_exact_top_k", OP11_SQL)
+def op11(spark, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
