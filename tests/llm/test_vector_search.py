@@ -86,7 +86,7 @@ def test_numbers_of_any_size(spark):
 
 
 def test_one_large_component_among_small_ones(spark):
-    rows = random_rows(300, 8, 5) + [(1000, [1e9] * 8), (1001, [-1e9, 0.1, 0, 0, 0, 0, 0, 0])]
+    rows = random_rows(300, 8, 5) + [(1000, [1e9] * 8), (1001, [-1e9, 0.1] + [0.0] * 6)]
     compared(spark, rows)
 
 
