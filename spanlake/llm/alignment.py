@@ -31,11 +31,12 @@ result. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 import uuid
 from bisect import bisect_left
+from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import arrow_schema, kept_by_worker, written
+from spanlake.llm.shared import arrow_schema, forget_kept, kept_by_worker, written
 from spanlake.llm.textarrays import text_slices
 
 PAIRS = 4_000_000  # counted pairs in a block (17 bytes each)
-REMEMBERED = 500_000  # parts of texts that a worker remembers
+REMEMBERED = 250_000  # parts of texts that a worker remembers
 LONG_PART = 48
 CUT = re.compile("(?<=[!-~]) (?=[!-~])")
 SPACE_SIGN = "▁"
@@ -137,8 +138,9 @@ class Encoder:
         parts = [p for p in new if p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"] if t.independent else []
         if parts:
             joined = " ".join(parts)
-            ids = np.array(t.encode_a([joined])[0], np.int64)
-            if b"".join([t.a_bytes[i] for i in ids.tolist()]) == b" " + joined.encode():
+            (ids,) = t.encode_a([joined])
+            if b"".join([t.a_bytes[i] for i in ids]) == b" " + joined.encode():
+                ids = np.array(ids, np.int64)
                 ends = np.cumsum([1 + len(p.encode()) for p in parts])
                 after = np.searchsorted(np.cumsum(self.a_len[ids]), ends) + 1
                 self._append(parts, ids, np.diff(after, prepend=0), np.ones(len(parts), bool))
@@ -146,18 +148,21 @@ class Encoder:
         if parts:
             a_ids = t.encode_a(parts)
             whole = [b"".join([t.a_bytes[i] for i in ids]) == b" " + p.encode() for p, ids in zip(parts, a_ids)]
-            self._append(parts, np.array([i for ids in a_ids for i in ids], np.int64),
+            self._append(parts, np.array(list(chain.from_iterable(a_ids)), np.int64),
                          np.array([len(x) for x in a_ids]), np.array(whole))
 
     def _append(self, parts: list[str], a_ids: np.ndarray, a_lengths: np.ndarray, whole: np.ndarray):
         t = self.tokenizers
         b_ids = t.encode_b(parts)
-        good = [b"".join([t.b_bytes[i] for i in ids]) == b" " + p.encode() for p, ids in zip(parts, b_ids)]
-        for k, p in enumerate(parts, self.good.n):
-            self.place[p] = k
+        flat, lengths = list(chain.from_iterable(b_ids)), np.array([len(x) for x in b_ids])
+        sizes = np.add.reduceat(np.append(self.b_len[flat], 0), np.cumsum(lengths) - lengths) if len(flat) else 0 * lengths
+        good = (sizes == [1 + len(p.encode()) for p in parts]) & (lengths > 0)
+        if not good.all() or b"".join([t.b_bytes[i] for i in flat]) != b" " + " ".join(parts).encode():
+            good = np.array([b"".join([t.b_bytes[i] for i in ids]) == b" " + p.encode() for p, ids in zip(parts, b_ids)])
+        self.place.update(zip(parts, range(self.good.n, self.good.n + len(parts))))
         self.a.append(a_ids, a_lengths)
-        self.b.append(np.array([i for ids in b_ids for i in ids], np.int64), np.array([len(x) for x in b_ids]))
-        self.good.append(np.array(good) & whole, np.ones(len(good), np.int64))
+        self.b.append(np.array(flat, np.int64), lengths)
+        self.good.append(good & whole, np.ones(len(good), np.int64))
 
     def encode(self, texts: list[str | None]):
         """``(a ids, their bounds per text, b ids, their bounds)``; texts without tokens
@@ -172,7 +177,7 @@ class Encoder:
         self._learn([p for p in new if len(p) > LONG_PART])
         sizes = np.array([len(x) for x in split], np.int64)
         of = self.place
-        places = np.fromiter((of[p] for parts in split for p in parts), np.int64, int(sizes.sum()))
+        places = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         rows = np.repeat(np.arange(len(texts)), sizes)
         bad = np.zeros(len(texts), bool)
         bad[rows[self.good.take(places)[0] == 0]] = True
@@ -193,15 +198,18 @@ class Encoder:
 def ranks_by_galloping(short: list[int], long: list[int]) -> list[int]:
     """For each number of ``short`` how many of ``long`` are smaller; both ascend."""
     out, at, n = [], 0, len(long)
+    add, long = out.append, [*long, inf]
     for x in short:
-        step, probe = 1, at
-        while probe < n and long[probe] < x:
-            at = probe + 1
-            probe += step
-            step *= 2
-        if probe > at:
-            at = bisect_left(long, x, at, min(probe, n))
-        out.append(at)
+        if long[at] < x:
+            at += 1
+            if long[at] < x:
+                step, probe = 2, at + 1
+                while probe < n and long[probe] < x:
+                    at = probe + 1
+                    probe += step
+                    step *= 2
+                at = bisect_left(long, x, at, min(probe, n))
+        add(at)
     return out
 
 
@@ -276,7 +284,7 @@ def _files(a_path: str | None, b_path: str | None) -> tuple[str, bytes]:
 
 
 def aligned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None,
-            b_path: str | None = None, with_groups: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
+            b_path: str | None = None, with_groups: bool = False, slice_bytes: int = 1 << 18) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, groups_sha256, [groups,]
     pairs (its distinct linked id pairs as unsigned 64-bit ``a << 32 | b``, ascending),
     pair_links (how many links each has, unsigned 32-bit)."""
@@ -349,6 +357,7 @@ def pair_counts(documents: DataFrame, flush: int = 1 << 20) -> DataFrame:
         return both, np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
     def count(batches):
+        forget_kept()
         pairs, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         pending, size = [], 0
         for batch in batches:

@@ -25,6 +25,7 @@ def kept_by_worker(job: str, make):
     in a worker they have no module to keep it in.)"""
     held = getattr(sys, "_spanlake_kept", None)
     if held is None or held[0] != job:
+        held = sys._spanlake_kept = None  # what an earlier job left goes first
         held = sys._spanlake_kept = (job, make())
     return held[1]
 
