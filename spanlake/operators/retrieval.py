@@ -27,6 +27,7 @@ from pyspark.storagelevel import StorageLevel
 
 from spanlake.functions.text import WS, title_prefix, words
 from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows, r6
+from spanlake.operators.dictionary import DictionaryAnalyzer
 from spanlake.session import written
 
 K1 = 1.2
@@ -64,18 +65,31 @@ def analyze(text) -> Column:
     return words(text)
 
 
+def with_terms(df: DataFrame, columns: dict[str, str], analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
+    """Add the terms of text columns as array columns, with a user dictionary's terms
+    whole if there is an ``analyzer`` of one."""
+    if analyzer is not None:
+        return analyzer.tokens(df, columns)
+    return df.withColumns({out: analyze(text) for text, out in columns.items()})
+
+
 def _fields(text) -> list[str]:
     return [text] if isinstance(text, str) else list(text)
 
 
-def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions: int | None) -> DataFrame:
+def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions: int | None,
+                analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """Raw field texts hash-partitioned by ``doc_id`` (the text moves, not tokens),
     then one row per (document, field) with its tokens, tokenized after the shuffle."""
     docs = corpus.select(F.col(key).alias("doc_id"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
     docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
             else docs.repartition("doc_id"))
-    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(f"_f{i}").alias("toks"))
-                                    for i, f in enumerate(fields)]))
+    if analyzer is None:
+        toks = [analyze(f"_f{i}") for i in range(len(fields))]
+    else:
+        docs = with_terms(docs, {f"_f{i}": f"_t{i}" for i in range(len(fields))}, analyzer)
+        toks = [F.col(f"_t{i}") for i in range(len(fields))]
+    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), t.alias("toks")) for f, t in zip(fields, toks)]))
     return docs.select("doc_id", per_field.alias("_fz")).select("doc_id", "_fz.field", "_fz.toks")
 
 
@@ -87,13 +101,15 @@ def tokens(corpus: DataFrame, key: str = "doc_id", text="text", num_partitions:
 
 def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords: DataFrame | None = None,
                 terms: DataFrame | None = None, num_partitions: int | None = None,
-                materialize: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> InvertedIndex:
+                materialize: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+                analyzer: DictionaryAnalyzer | None = None) -> InvertedIndex:
     """Postings with term frequency and document length, for one field (``text`` a
     column name) or several (a list), in a single pass.
 
     ``stopwords`` (a ``term`` column) are no terms and count in no length. ``terms`` (a
     ``term`` column) restricts the postings to those terms, before they are grouped;
-    lengths and statistics stay those of all terms.
+    lengths and statistics stay those of all terms. An ``analyzer`` keeps the terms of a
+    user dictionary whole; questions must then be asked with the same one.
 
     ``materialize=True`` persists the postings (memory, spilling to disk): the corpus
     is tokenized once for all later uses, and the cached plan keeps its ``doc_id``
@@ -101,7 +117,7 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords:
     recomputed from the short lineage; ``save_index`` writes a durable copy.
     ``release()`` unpersists.
     """
-    docs = _docs_by_id(corpus, key, _fields(text), num_partitions)
+    docs = _docs_by_id(corpus, key, _fields(text), num_partitions, analyzer)
     if stopwords is not None:
         stop = broadcast_if_small(stopwords.select("term").distinct(), "stop-words", max_broadcast_bytes)
         kept = explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term").join(stop, "term", "left_anti")
@@ -147,14 +163,20 @@ def load_index(spark: SparkSession, path: str) -> InvertedIndex:
     return InvertedIndex(spark.read.parquet(f"{path}/postings"), stats, fields)
 
 
-def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question") -> DataFrame:
-    """``(qid, term, qtf)``: a query is a plain bag of words."""
+def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question",
+                analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
+    """``(qid, term, qtf)``: a query is a plain bag of words (and dictionary terms)."""
     q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("_q"))
-    return explode_rows(q, analyze("_q"), ["qid"], "term").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    if analyzer is None:
+        rows = explode_rows(q, analyze("_q"), ["qid"], "term")
+    else:
+        rows = explode_rows(with_terms(q, {"_q": "_terms"}, analyzer), F.col("_terms"), ["qid"], "term")
+    return rows.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str = "question",
-         k1: float = K1, b: float = B, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+         k1: float = K1, b: float = B, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+         analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """R3 (+ R4): ``(qid, doc_id, score)`` for every document sharing a term with
     the query; with several fields each is scored with its own statistics and
     the best field wins.
@@ -168,7 +190,7 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     shuffles. Both score aggregations are satisfied by a ``doc_id`` partitioning of the
     postings.
     """
-    qt = query_terms(queries, qid, qtext)
+    qt = query_terms(queries, qid, qtext, analyzer)
     stats = F.broadcast(index.stats)  # one row per field: a proven bound
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
@@ -195,14 +217,15 @@ def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, fields="text", key: str = "doc_id", qid: str = "id",
            qtext: str = "question", stopwords: DataFrame | None = None,
-           max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+           max_broadcast_bytes: int = MAX_BROADCAST_BYTES, analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """R1+R3+R4+R5 without a stored index: the ``k`` best documents per question, from
     the postings of the questions' terms alone. Several fields (a list) are scored
     each with its own statistics and the best one wins. The result is written once, so
     the postings are released."""
-    index = build_index(corpus, key, fields, stopwords, query_terms(queries, qid, qtext),
-                        max_broadcast_bytes=max_broadcast_bytes)
-    hits = written(top_k(bm25(index, queries, qid, qtext, max_broadcast_bytes=max_broadcast_bytes), k), "hits")
+    index = build_index(corpus, key, fields, stopwords, query_terms(queries, qid, qtext, analyzer),
+                        max_broadcast_bytes=max_broadcast_bytes, analyzer=analyzer)
+    scores = bm25(index, queries, qid, qtext, max_broadcast_bytes=max_broadcast_bytes, analyzer=analyzer)
+    hits = written(top_k(scores, k), "hits")
     index.release()
     return hits
 
@@ -237,15 +260,18 @@ def concat_context(hits: DataFrame, qid: str = "qid") -> DataFrame:
 
 
 def retrieve_contexts(corpus: DataFrame, questions: DataFrame, k: int = 10, stopwords: DataFrame | None = None,
-                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+                      analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """R1+R3+R5+R7+R8: ``(id, question, context)`` for every question.
 
     The corpus needs ``doc_id, title, text``; questions need ``id, question``.
     Questions with no hit get an empty context. ``stopwords`` (a ``term`` column) are
-    left out of the index. The hits' texts are read from the raw corpus, and only they
+    left out of the index; an ``analyzer`` keeps a user dictionary's terms whole in the
+    passages and in the questions. The hits' texts are read from the raw corpus, and only they
     get their title prefix.
     """
-    hits = search(passage_corpus(corpus), questions, k, stopwords=stopwords, max_broadcast_bytes=max_broadcast_bytes)
+    hits = search(passage_corpus(corpus), questions, k, stopwords=stopwords, max_broadcast_bytes=max_broadcast_bytes,
+                  analyzer=analyzer)
     raw = corpus.select("doc_id", "title", "text").join(
         broadcast_if_small(hits.select("qid", "doc_id", "rank"), "hits", max_broadcast_bytes), "doc_id")
     ctx = concat_context(raw.withColumn("text", title_prefix("title", "text")))
@@ -262,6 +288,13 @@ def title_dictionary(titles: DataFrame, title: str = "title") -> DataFrame:
             .select(F.trim("term").alias("term")).where(F.col("term") != "").distinct())
 
 
+def phrase_dictionary(titles: DataFrame, title: str = "title") -> DataFrame:
+    """Whole titles as dictionary terms of several words: without parentheses, trimmed,
+    distinct, not empty."""
+    phrase = F.trim(F.regexp_replace(F.regexp_replace(F.col(title), r"[()]", ""), WS + "+", " "))
+    return titles.select(phrase.alias("term")).where(F.col("term") != "").distinct()
+
+
 def frequent_terms(index: InvertedIndex, min_doc_fraction: float = 0.5) -> DataFrame:
     """A stop-word table derived from the corpus: terms in more than the given
     fraction of the documents of a field (the reference loads its list from a

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import WS, sanitize_query, sql_str, title_prefix
 from spanlake.operators import retrieval as R
+from spanlake.operators.dictionary import DictionaryAnalyzer
 from spanlake.plans.registry import register
-from spanlake.plans.sqlparts import PASSAGES, QUESTIONS, TITLE, bm25_ctes, words_sql
+from spanlake.plans.sqlparts import DICTIONARY, PASSAGES, QUESTIONS, TITLE, bm25_ctes, dictionary_ctes, words_sql
 from spanlake.session import scratch_path, written
 from spanlake.sources import fixtures as FX
 
@@ -211,6 +212,48 @@ def dictionary_tokens(spark, sf):
         F.count("*").cast("bigint").alias("n"))
 
 
+# ---------------------------------------------------------------- index_dictionary, dictionary_context (R2)
+def _dictionary(spark, sf):
+    """T5 terms of the pages' titles, and the corpus titles whole."""
+    pieces = R.title_dictionary(FX.page_titles(spark, sf))
+    return pieces.unionByName(R.phrase_dictionary(FX.corpus(spark, sf)))
+
+
+INDEX_DICT_SQL = f"""
+with recursive {PASSAGES}, {DICTIONARY}, {dictionary_ctes('p', 'passages', 'doc_id', 'text')},
+tf as (select doc_id, term, count(*) as tf from pdtok group by 1, 2)
+select doc_id::bigint as doc_id, term, tf::bigint as tf, (sum(tf) over (partition by doc_id))::bigint as dl from tf
+"""
+
+
+@register("index_dictionary", INDEX_DICT_SQL)
+def index_dictionary(spark, sf):
+    """Postings of an index whose analyzer keeps dictionary terms whole."""
+    idx = R.build_index(_passages(spark, sf), materialize=False, analyzer=DictionaryAnalyzer(_dictionary(spark, sf)))
+    return idx.postings.select(F.col("doc_id").cast("bigint").alias("doc_id"), "term",
+                               F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
+
+
+DICT_CONTEXT_SQL = f"""
+with recursive {PASSAGES}, {QUESTIONS}, {DICTIONARY}, {dictionary_ctes('p', 'passages', 'doc_id', 'text')},
+{dictionary_ctes('q', 'questions', 'id', 'question')},
+{bm25_ctes('passages', 'text', 'questions', 'b_', 'pdtok', 'qdtok')},
+top as (select id, row_number() over (partition by id order by score desc, doc_id) as rank, doc_id, score from b_s),
+ctx as (select top.id, string_agg(p.text, '' order by top.rank) as context
+        from top join passages p using (doc_id) where top.rank <= {K} group by top.id)
+select q.id::bigint as id, q.question, coalesce(ctx.context, '') as context
+from questions q left join ctx using (id)
+"""
+
+
+@register("dictionary_context", DICT_CONTEXT_SQL)
+def dictionary_context(spark, sf):
+    """Retrieved contexts with the dictionary in the analyzer of passages and questions."""
+    analyzer = DictionaryAnalyzer(_dictionary(spark, sf))
+    out = R.retrieve_contexts(FX.corpus(spark, sf), FX.questions(spark, sf), K, analyzer=analyzer)
+    return out.withColumn("id", F.col("id").cast("bigint"))
+
+
 # ---------------------------------------------------------------- T4 / T5 / T6
 TITLE_PREFIX_SQL = f"select doc_id::bigint as doc_id, '!!' || {TITLE} || '!!' || text as text from documents"
 
