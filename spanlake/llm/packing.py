@@ -15,7 +15,8 @@ length, which Spark computes in salted groups.
 
 Texts are split at spaces and line breaks, which the tokenizer drops and across which
 it makes no token, and each worker remembers the ids of short words while it works on
-one job; whole texts are tokenized. Null and empty texts have the closing id alone. Repeated rows are packed
+one job; whole texts are tokenized, as the tokenizer's file says: a special token's
+string in a text is that token. Null and empty texts have the closing id alone. Repeated rows are packed
 once each; documents without an id are packed like others.
 """
 
@@ -61,7 +62,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {"": b""}
         (self.separator,) = self._ids([self.SEPARATOR])[0]
 

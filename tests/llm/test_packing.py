@@ -13,12 +13,11 @@ from spanlake.llm.q_corpus import op2
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 TEXTS = [None, "", " ", "a", "Isn't it 12.5% of “Ünï”?   x\x1cy z\r\n\ttab", "é ́", "日本語テキスト のテスト",
-         "<|endoftext|> is text <|startoftext|>", "word " * 3000, "x" * 30000, "İI ΑΣ ß ﬁ ퟿😀", "a\n\nb\n"]
+         "<|endoftext|> is an id <|startoftext|>", "x<|endoftext|>y <|ENDOFTEXT|> <|endoftext|><|endoftext|>\n<|startoftext|> |", "word " * 3000, "x" * 30000, "İI ΑΣ ß ﬁ ퟿😀", "a\n\nb\n"]
 
 
 def by_document(rows):
