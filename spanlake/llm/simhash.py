@@ -209,12 +209,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is their component's, once each; columns as they came.
-    Documents without an id stay."""
-    keep = (near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-            .where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    nth = free_name(docs, "_nth")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = (docs.join(keep, id_col, "left_semi").withColumn(nth, F.row_number().over(first))
-            .where(F.col(nth) == 1).select(*docs.columns))
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, columns as they came: that of the smallest id (rows
+    without an id last), of several such rows the one whose text's hashes are smallest.
+    So a component is never lost to another row of its id, and copies without ids go."""
+    key, nth = free_name(docs, "_key"), free_name(docs, "_nth")
+    of_row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+                      F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"))
+    keyed = docs.withColumn(key, of_row)
+    keep = (near_duplicates(keyed, id_col=key, text_col=text_col, **options)
+            .select(*(F.col("component_id")[c].alias(f"_k_{c}") for c in ("no_id", "id", "h", "g"))).distinct())
+    same = [keyed[key][c].eqNullSafe(keep[f"_k_{c}"]) for c in ("no_id", "id", "h", "g")]
+    first = Window.partitionBy(key).orderBy(F.lit(0))
+    return (keyed.join(keep, same[0] & same[1] & same[2] & same[3], "left_semi")
+            .withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns))

@@ -97,6 +97,15 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(docs_of):
     rows = [(5, "a b c d e"), (3, "A B C D E"), (9, "f g h i j k"), (9, "f g h i j k"), (None, "f g h i j k"), (8, None), (2, "")]
     out = deduplicate(docs_of(rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "rank"]
-    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == [(-1, "f g h i j k"), (2, ""), (3, "A B C D E"), (9, "f g h i j k")]
+    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == [(2, ""), (3, "A B C D E"), (9, "f g h i j k")]
     empty = deduplicate(docs_of(rows).where(F.lit(False)))
     assert empty.count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark, docs_of):
+    a, b = "alpha beta gamma delta epsilon zeta", "entirely other words stand in this line here"
+    rows = [(5, a), (5, b), (9, b), (None, a), (None, a)]
+    assert sorted(tuple(r) for r in deduplicate(docs_of(rows)).select("doc_id", "text").collect()) == [(5, a), (5, b)]
+    rows = [(None, a), (None, a), (None, b), (3, ""), (None, None), (3, "")]
+    got = deduplicate(docs_of(rows)).select("doc_id", "text").collect()
+    assert sorted((r[0] or 0, r[1]) for r in got) == [(0, a), (0, b), (3, "")]
