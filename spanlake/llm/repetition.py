@@ -14,7 +14,8 @@ is that of all maximal repeats. A text is kept if the union covers at most
 ``max_covered`` of the code points in words and the longest repeat has at most
 ``max_longest`` words.
 
-Whole texts are judged, many in one set of arrays; nothing is shuffled. Null and empty
+Hashes only propose: words, windows and lines with equal hashes are compared before they
+count as equal. Whole texts are judged, many in one set of arrays; nothing is shuffled. Null and empty
 texts have no words and fail. Each row is judged by itself; only the id and text
 columns are read by :func:`quality`, while :func:`good_documents` carries all along.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from spanlake.llm.shared import arrow_schema
-from spanlake.llm.textarrays import (BLANK, CONTINUATION, ODD, Powers, covered, mixed, per_row,
+from spanlake.llm.textarrays import (BLANK, CONTINUATION, ODD, Powers, covered, exact_labels, mixed, per_row,
                                      prefix_sums, range_hashes, slices, table, word_bounds)
 
 SYMBOLS = table(lambda b: chr(b) in "#*$%&|<>")
@@ -57,17 +58,24 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def window_keys(words: np.ndarray, rows: np.ndarray, n: int, powers: Powers):
-    """Hashes of the windows of ``n`` words within a row, and where they start."""
+    """Numbers of the windows of ``n`` words, equal where row and words are, and where
+    the windows start."""
     if len(words) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(rows[:len(rows) - n + 1] == rows[n - 1:])
-    h = range_hashes(words, at, at + n, powers)
-    return mixed(h + (rows[at].astype(np.uint64) + np.uint64(1)) * ODD), at
+    h = mixed(range_hashes(words, at, at + n, powers) + (rows[at].astype(np.uint64) + np.uint64(1)) * ODD)
+    _, first, label = np.unique(h, return_index=True, return_inverse=True)
+    copies = np.flatnonzero(first[label] != np.arange(len(label)))
+    head, own = at[first[label[copies]]], at[copies]
+    if (rows[head] == rows[own]).all() and all((words[head + k] == words[own + k]).all() for k in range(n)):
+        return label, at
+    table = np.stack([rows[at], *(words[at + k].astype(np.int64) for k in range(n))], axis=1)
+    return np.unique(table, axis=0, return_inverse=True)[1], at
 
 
 def repeats(words: np.ndarray, rows: np.ndarray, powers: Powers, min_repeat: int):
     """Starts and lengths of the longest repeated prefix of every suffix that has one
-    of at least ``min_repeat`` words. ``words`` are hashes, ``rows`` ascending."""
+    of at least ``min_repeat`` words. ``words`` are numbers above 0, ``rows`` ascending."""
     n = len(words)
     keys, at = window_keys(words, rows, min_repeat, powers)
     order, group, size = grouped(keys)
@@ -134,7 +142,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, powers: Powers, min_repeat:
     blank = BLANK[data]
     starts, ends, rows = word_bounds(~blank, offsets)
     sums = prefix_sums(data, powers)
-    words = range_hashes(data, starts, ends, powers, sums)
+    words = (exact_labels(data, starts, ends, range_hashes(data, starts, ends, powers, sums)) + 1).astype(np.uint64)
     first = np.searchsorted(rows, np.arange(len(offsets)))
     points = np.concatenate([[0], np.cumsum(~CONTINUATION[data] & ~blank)])
     word_points = points[ends] - points[starts]
@@ -150,8 +158,8 @@ def measured(data: np.ndarray, offsets: np.ndarray, powers: Powers, min_repeat:
     has_word = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop = begin[has_word], stop[has_word]
     line_rows = np.searchsorted(offsets, begin, "right") - 1
-    lines = mixed(range_hashes(data, begin, stop, powers, sums) + (line_rows.astype(np.uint64) + np.uint64(1)) * ODD)
-    order, group, _ = grouped(lines)
+    lines = exact_labels(data, begin, stop, range_hashes(data, begin, stop, powers, sums))
+    order, group, _ = grouped(line_rows * (len(lines) + 1) + lines)
     dup = np.zeros(len(lines), bool)
     dup[order] = np.arange(len(lines)) != group
 

@@ -85,6 +85,32 @@ def prefix_sums(values: np.ndarray, powers: Powers) -> np.ndarray:
     return sums
 
 
+def equal_ranges(values: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether ``values[a:a + n]`` equals ``values[b:b + n]``, for each of the lengths."""
+    before = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    unlike = values[np.repeat(a, lengths) + at] != values[np.repeat(b, lengths) + at]
+    if not unlike.any():
+        return np.ones(len(lengths), bool)
+    sums = np.concatenate([[0], np.cumsum(unlike)])
+    return sums[before + lengths] == sums[before]
+
+
+def exact_labels(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where ``values[s:e]`` are: grouped by their hashes, and
+    compared with the first of the group. Where different ones share a hash they are
+    numbered by themselves."""
+    _, first, label = np.unique(hashes, return_index=True, return_inverse=True)
+    copies = np.flatnonzero(first[label] != np.arange(len(label)))
+    head = first[label[copies]]
+    lengths = ends - starts
+    same = lengths[copies] == lengths[head]
+    if same.all() and equal_ranges(values, starts[copies], starts[head], lengths[copies]).all():
+        return label
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(values[s:e].tobytes(), len(seen)) for s, e in zip(starts, ends)], np.int64)
+
+
 def word_bounds(is_word: np.ndarray, offsets: np.ndarray):
     """Starts, ends and rows of the maximal runs of word bytes; no run crosses a row."""
     n = len(is_word)

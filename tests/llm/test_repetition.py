@@ -81,3 +81,14 @@ def test_good_documents_keep_columns(docs_of):
     assert out.columns == docs_of(rows).columns
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 1]
     assert good_documents(docs_of(rows).limit(0)).count() == 0
+
+
+def test_texts_whose_polynomial_hashes_are_equal(spark, docs_of):
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = one.translate(str.maketrans("ab", "ba"))
+        filler = " ".join(f"w{i}" for i in range(20))
+        rows = [(1, f"{one}\n{other}\n{filler}"), (2, f"{one}\n{one}\n{filler}"), (3, f"{one} a b c d\n{other} a b c d\n{filler}"),
+                (4, f"{one} a b c d\n{one} a b c d\n{filler}")]
+        got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality(docs_of(rows)).collect()}
+        assert got == {1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (1, 10)}
