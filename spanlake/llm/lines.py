@@ -57,6 +57,17 @@ def _keys(data: np.ndarray, offsets: np.ndarray, min_chars: int, powers: Powers)
     order = np.lexsort((hashes, rows))
     new = np.ones(len(order), bool)
     new[1:] = (rows[order][1:] != rows[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    # lines of a row that share a hash are compared; different ones both stay
+    seen: set[bytes] = set()
+    other: list[int] = []
+    for j in np.flatnonzero(~new):
+        if new[j - 1]:
+            seen = {low[start[order[j - 1]]:stop[order[j - 1]]].tobytes()}
+        line = low[start[order[j]]:stop[order[j]]].tobytes()
+        if line not in seen:
+            seen.add(line)
+            other.append(j)
+    new[other] = True
     at = order[new]
     return low, rows[at], start[at], stop[at], hashes[at]
 

@@ -64,3 +64,16 @@ def test_digest_of_the_query(spark, sf_small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     want = sorted((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute(docs))
     assert sorted(map(tuple, op7(spark, sf_small).collect())) == want
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_lines_whose_polynomial_hashes_are_equal(spark, docs_of):
+    for n in (1024, 4096):
+        one = thue_morse(n)
+        other = one.translate(str.maketrans("ab", "ba"))
+        rows = [(i, f"{one}\n{other}") for i in range(5)]
+        got = {r["doc_id"]: r["text"] for r in deduplicate_lines(docs_of(rows)).collect()}
+        assert got == {0: "", 1: "", 2: "", 3: "", 4: f"{one}\n{other}"}
