@@ -3,11 +3,12 @@
 Each page is read once as a stream of tags and text that keeps the open elements.
 Elements that are never article text (menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are known by their tag, role, class
-or id. If a page marks its article (``article``, ``main``, ``role=main``), only that is
+or id. Classes and ids tell nothing of headings and of elements within a line, and ids
+nothing of a ``section`` (but for reader comments): those are anchors of the text. If a page marks its article (``article``, ``main``, ``role=main``), only that is
 text.
 
 Site templates are found by counting: every element subtree that could be a template
-has a hash of its tags and text; Spark counts, per host, on how many different pages
+has a hash of its tag, its text and its children's hashes; Spark counts, per host, on how many different pages
 (by a digest of the html, so copies of one page count once) each hash occurs. Subtrees
 on at least ``min_pages`` pages are deleted if that is a share of ``min_share`` of the
 host's pages or at least ``many_pages`` pages, so that the bar does not grow with the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -66,15 +68,18 @@ NAMES = re.compile(
     r"|pagination|pager|widget\w*|login\w*|signup\w*|search\w*|toolbar|masthead|skip)(?:$|[\s_-])")
 COMMENTS = re.compile(
     r"(?:^|[\s_-])(?:(?:user|reader)?comments?(?:list|section|area|box|thread|form)?|respond|reply|replies|disqus)(?:$|[\s_-])")
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])")
+HEADER = re.compile(r"(?:^|[\s_-])(?<!post[_-])(?<!article[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])"
+                    r"(?:header|topbar)(?:$|[\s_-])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Element:
-    __slots__ = ("tag", "block", "sign", "candidate", "main")
+    __slots__ = ("tag", "block", "candidate", "main", "signs")
 
-    def __init__(self, tag, block, sign, candidate, main):
-        self.tag, self.block, self.sign, self.candidate, self.main = tag, block, sign, candidate, main
+    def __init__(self, tag, block, candidate, main):
+        self.tag, self.block, self.candidate, self.main = tag, block, candidate, main
+        self.signs = [tag]  # its tag, then texts and children's hashes in order
 
 
 class Page:
@@ -84,9 +89,10 @@ class Page:
     def __init__(self, templates=frozenset()):
         self.templates, self.hashes = templates, set()
         self.blocks: list[tuple[str, bool]] = []
-        self.signs: list[str] = []
         self.parts: list[str] = []
         self.open: list[Element] = []
+        self.opened = Counter()  # open elements of each tag
+        self.around = [Element("", 0, 0, 0)]  # those that are not within a line; the first is the page
         self.in_main = 0
         self.skipped = None  # (number of open elements outside, is it for comments)
 
@@ -97,7 +103,7 @@ class Page:
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
                 self.blocks.append((text, self.in_main > 0))
-                self.signs.append(text)
+                self.around[-1].signs.append(text)
 
     def text(self, raw: str):
         if raw and self.skipped is None:
@@ -105,15 +111,18 @@ class Page:
 
     def close(self):
         e = self.open.pop()
+        self.opened[e.tag] -= 1
+        sign = 0
         if e.tag not in INLINE:
             self.flush()
+            self.around.pop()
+            sign = xxhash.xxh64_intdigest("\x1f".join(e.signs).encode("utf-8", "replace"))
+            self.around[-1].signs.append(f"<{sign:x}")
         if self.skipped is not None:
             if len(self.open) <= self.skipped[0]:
                 self.skipped = None
         elif e.candidate:
-            self.flush()
             if len(self.blocks) > e.block:
-                sign = xxhash.xxh64_intdigest("\x1f".join(self.signs[e.sign:]).encode("utf-8", "replace"))
                 sign = (sign >> 1 << 1) + (e.candidate > 1) - (1 << 63)
                 self.hashes.add(sign)
                 if sign in self.templates:
@@ -127,13 +136,13 @@ class Page:
     def start(self, tag: str, raw_attrs: str):
         if tag not in INLINE:
             self.flush()
-            for i in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph
+            for i in range(len(self.open) - 1, -1, -1) if self.opened["p"] else ():  # a block ends an open paragraph
                 if self.open[i].tag == "p":
                     self.close_to(i)
                     break
                 if self.open[i].tag not in INLINE:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and self.opened[tag]:
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i].tag == tag:
                     self.close_to(i)
@@ -143,9 +152,12 @@ class Page:
         if raw_attrs and not raw_attrs.isspace():
             attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw_attrs)}
         role = attrs.get("role", "").lower()
-        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower() if attrs else ""
+        names = comment_names = ""
+        if attrs and tag not in INLINE and tag not in HEADINGS:
+            comment_names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+            names = attrs.get("class", "").lower() if tag == "section" else comment_names
         article = tag in ("article", "main") or role in ("main", "article")
-        about_comments = bool(names) and COMMENTS.search(names) is not None
+        about_comments = bool(comment_names) and COMMENTS.search(comment_names) is not None
         if article and self.skipped is not None and not self.skipped[1] and not about_comments:
             self.skipped = None  # what wraps the article, or was never closed, is no menu
         if self.skipped is None and (about_comments or not article) and tag not in ("html", "body"):
@@ -159,12 +171,16 @@ class Page:
         candidate = int(self.skipped is None and not article and tag not in INLINE and tag not in ("html", "body"))
         if self.in_main and tag in TEXT_BLOCKS:
             candidate *= 2
-        if candidate or tag not in INLINE:
-            self.signs.append("<" + tag)
-        self.open.append(Element(tag, len(self.blocks), len(self.signs) - 1, candidate, main))
+        e = Element(tag, len(self.blocks), candidate, main)
+        self.open.append(e)
+        self.opened[tag] += 1
+        if tag not in INLINE:
+            self.around.append(e)
         self.in_main += main
 
     def end(self, tag: str):
+        if not self.opened[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i].tag == tag:
                 self.close_to(i)

@@ -99,3 +99,26 @@ def test_templates_of_a_large_host_and_bare_paragraphs_in_articles(spark):
         assert {r.page_id: r.text for r in main_texts(pages, max_broadcast_bytes=0).collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_anchors_and_inline_elements_of_an_article_stay():
+    assert text('<article><h1>T</h1><h2 id="related-work">Related work</h2><p>We compare.</p><h2 id="search">Search</h2>'
+                '<h3 class="share">Shares</h3><p>x</p></article>') == "T\n\nRelated work\n\nWe compare.\n\nSearch\n\nShares\n\nx"
+    assert text('<article><section id="social-effects"><h2>Effects</h2><p>Some.</p></section></article>') == "Effects\n\nSome."
+    assert text('<article><p>One <span class="search-term">two</span> three <b class="share">four</b> five.</p></article>') \
+        == "One two three four five."
+    assert text('<body><div class="post-header"><h1>Title</h1></div><div class="page-header"><p>Site</p></div><p>x</p></body>') \
+        == "Title\n\nx"
+    assert text('<article><section class="related-posts"><p>no</p></section><p>x</p><section id="comments"><p>no</p></section></article>') == "x"
+
+
+def test_depth_and_stray_end_tags_take_linear_time():
+    import time
+
+    def seconds(html):
+        t0 = time.process_time()
+        Page().read(html)
+        return time.process_time() - t0
+    for make in (lambda n: "<div>" * n + "deep" + "</div>" * n, lambda n: "<div>" * n + "</li>" * n,
+                 lambda n: "<div><p>a</p>" * n + "</div>" * n, lambda n: "<b>" * n + "<div>x</div>" * n):
+        assert seconds(make(16000)) < 8 * seconds(make(4000)) + 0.2
