@@ -87,25 +87,32 @@ class WordTokenizer:
             yield ([of(m[0].lower(), UNK_ID) for m in found], [m.start() for m in found], [m.end() for m in found])
 
 
-def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Callable]) -> DataFrame:
+def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Callable],
+                with_text: bool = False) -> DataFrame:
     """Add ``columns[c]``, the tokens of text column ``c``, by the tokenizer that
-    ``factory()`` makes once per task."""
+    ``factory()`` makes once per task; ``with_text`` gives each token its text too."""
     ship_package(df.sparkSession)
     made = []  # by the first batch of a task
 
-    @F.arrow_udf(TOKENS)
+    @F.arrow_udf(TOKENS.replace(">>", ",token:string>>") if with_text else TOKENS)
     def tokenize(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(factory())
-        ids, starts, ends, counts = [], [], [], [0]
-        for i, s, e in made[0](texts.to_pylist()):
+        ids, starts, ends, parts, counts = [], [], [], [], [0]
+        given = texts.to_pylist()
+        for text, (i, s, e) in zip(given, made[0](given)):
             ids.extend(i)
             starts.extend(s)
             ends.extend(e)
+            if with_text:
+                parts.extend(text[a:b] for a, b in zip(s, e))
             counts.append(len(ids))
         fields = [pa.array(x, pa.int32()) for x in (ids, starts, ends)]
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()),
-                                        pa.StructArray.from_arrays(fields, names=["id", "start", "end"]))
+        names = ["id", "start", "end"]
+        if with_text:
+            fields.append(pa.array(parts, pa.string()))
+            names.append("token")
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names=names))
 
     return df.withColumns({name: tokenize(F.col(c)) for c, name in columns.items()})
 
@@ -114,10 +121,9 @@ def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
                   factory: Callable[[], Callable] = WordTokenizer) -> DataFrame:
     """``(key, tok_idx, token, start, end)``; offsets are 0-based code points,
     end exclusive; blanks are not tokens."""
-    toks = with_tokens(df.select(F.col(key), F.col(text).alias("_t")), {"_t": "_toks"}, factory)
-    rows = posexplode_rows(toks, F.col("_toks"), [key, "_t"], "tok_idx", "x")
-    return rows.select(key, "tok_idx", F.substr("_t", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("token"),
-                       "x.start", "x.end")
+    toks = with_tokens(df.select(F.col(key), F.col(text).alias("_t")), {"_t": "_toks"}, factory, with_text=True)
+    rows = posexplode_rows(toks, F.col("_toks"), [key], "tok_idx", "x")
+    return rows.select(key, "tok_idx", "x.token", "x.start", "x.end")
 
 
 def vocabulary_from_terms(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -139,7 +145,7 @@ def extend_vocabulary(vocab: DataFrame, symbols: DataFrame) -> DataFrame:
     """Add ``symbols`` (``token``, in ``ord`` order) with ids after the last id;
     symbols already present keep their id. Returns the added rows."""
     new = symbols.join(vocab.select("token"), "token", "left_anti")
-    last = vocab.select(F.max("id")).scalar()
+    last = vocab.select(F.coalesce(F.max("id"), F.lit(-1))).scalar()
     return prefix_sums(new, ["ord"], "nth").select("token", (last + 1 + F.col("nth")).cast("bigint").alias("id"))
 
 
@@ -153,15 +159,18 @@ def added_symbols(spark) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame | None = None, question: str = "question", context: str = "context",
-           factory: Callable[[], Callable] | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+           factory: Callable[[], Callable] | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+           subwords=None) -> DataFrame:
     """W1 for both sides: the rows' other columns and ``q_ids, q_offs, c_ids, c_offs``.
 
-    The tokenizer is ``factory()``, or the built-in one with ``vocab`` ``(token, id)``:
+    The tokenizer is ``factory()``, one of :class:`subwords.Subwords`, or the built-in one with ``vocab`` ``(token, id)``:
     the vocabulary is collected for the tasks if its bytes pass the check, and joined
     on the tokens otherwise. Null texts have no tokens.
     """
     sides = {question: "_q", context: "_c"}
-    if factory is not None:
+    if subwords is not None:
+        toks = subwords.tokens(df, sides)
+    elif factory is not None:
         toks = with_tokens(df, sides, factory)
     else:
         vocab = written(vocab.select("token", F.col("id").cast("int").alias("id")), "vocabulary")
@@ -169,7 +178,7 @@ def encode(df: DataFrame, vocab: DataFrame | None = None, question: str = "quest
             ids = {r["token"]: r["id"] for r in vocab.collect()}
             toks = with_tokens(df, sides, lambda: WordTokenizer(ids))
         else:
-            toks = _joined_ids(with_tokens(df, sides, WordTokenizer), sides, vocab)
+            toks = _joined_ids(with_tokens(df, sides, WordTokenizer, with_text=True), sides, vocab)
     unzipped = {}
     for prefix, col in (("q", "_q"), ("c", "_c")):
         unzipped[f"{prefix}_ids"] = F.transform(col, lambda x: x["id"])
@@ -182,9 +191,9 @@ def _joined_ids(toks: DataFrame, sides: dict[str, str], vocab: DataFrame) -> Dat
     (a hot token's partition is split by adaptive execution), and each text's tokens
     come together again by their row number."""
     toks = written(toks.withColumn("_row", F.monotonically_increasing_id()), "tokens")
-    for text, col in sides.items():
-        rows = toks.select("_row", F.col(text).alias("_t"), F.posexplode(col).alias("_n", "_x"))
-        rows = rows.select("_row", "_n", "_x", F.lower(F.substr("_t", F.col("_x.start") + 1, F.col("_x.end") - F.col("_x.start"))).alias("token"))
+    for col in sides.values():
+        rows = toks.select("_row", F.posexplode(col).alias("_n", "_x"))
+        rows = rows.select("_row", "_n", "_x", F.lower("_x.token").alias("token"))
         found = rows.join(vocab, "token", "left").select("_row", F.struct(
             "_n", F.coalesce("id", F.lit(UNK_ID)).alias("id"), F.col("_x.start").alias("start"), F.col("_x.end").alias("end")).alias("_x"))
         lists = found.groupBy("_row").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
@@ -329,19 +338,19 @@ def span_labels(feat: DataFrame, answers: str = "answers", compat: bool = False)
 
 # ----------------------------------------------------------------------------- W8
 def train_features(examples: DataFrame, vocab: DataFrame | None = None, spec: WindowSpec = WindowSpec(),
-                   compat: bool = False, factory: Callable[[], Callable] | None = None) -> DataFrame:
+                   compat: bool = False, factory: Callable[[], Callable] | None = None, subwords=None) -> DataFrame:
     """W8 (train): ``id, window, input_ids, attention_mask, start_positions,
     end_positions``; the original columns are not carried."""
-    enc = encode(examples.select("id", "question", "context", "answers"), vocab, factory=factory)
+    enc = encode(examples.select("id", "question", "context", "answers"), vocab, factory=factory, subwords=subwords)
     f = span_labels(pair_features(windows(enc, spec), spec, eval_mode=False), compat=compat)
     return f.select("id", "window", "input_ids", "attention_mask", "start_positions", "end_positions")
 
 
 def eval_features(examples: DataFrame, vocab: DataFrame | None = None, spec: WindowSpec = WindowSpec(),
-                  factory: Callable[[], Callable] | None = None) -> DataFrame:
+                  factory: Callable[[], Callable] | None = None, subwords=None) -> DataFrame:
     """W8 (eval): ``example_id, window, input_ids, attention_mask, token_type_ids,
     sequence_ids, q_ids, offset_mapping`` (null outside the context)."""
-    enc = encode(examples.select("id", "question", "context"), vocab, factory=factory)
+    enc = encode(examples.select("id", "question", "context"), vocab, factory=factory, subwords=subwords)
     f = pair_features(windows(enc, spec), spec, eval_mode=True)
     return f.select(F.col("id").alias("example_id"), "window", "input_ids", "attention_mask",
                     "token_type_ids", "sequence_ids", "q_ids", "offset_mapping")

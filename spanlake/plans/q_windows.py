@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WS, sql_str
+from spanlake.operators import subwords as Sw
 from spanlake.operators import windows as Wn
+from spanlake.operators.common import posexplode_rows
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import QA, words_sql
+from spanlake.session import written
 from spanlake.sources import fixtures as FX
 from spanlake.sources.tables import table
 
@@ -34,17 +37,20 @@ def _tok_sql(side: str, col: str) -> str:
 {p}t as (select {p}t0.*, coalesce(v.id, 1) as tid from {p}t0 left join vocab v on v.token = lower({p}t0.token))"""
 
 
-def base_sql(specials: int = 3, source: str = QA, length: int = ML) -> str:
+VOCAB_SQL = f"""vterms as (select distinct unnest({words_sql('text')}) as token from benchmark),
+vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
+          union all select token, 3 + row_number() over (order by token) as id from vterms)"""
+
+
+def base_sql(specials: int = 3, source: str = QA, length: int = ML, vocab: str = VOCAB_SQL, tokens=_tok_sql) -> str:
     """CTEs from examples ``qa`` to windows ``win2`` and features ``feat`` of the
     ``question | context`` layout with 3 or 4 special symbols."""
     between = specials - 2
     seps = " + ".join(f"3 * (qn + {1 + i})" for i in range(1, between + 1))
     return f"""{source},
-vterms as (select distinct unnest({words_sql('text')}) as token from benchmark),
-vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
-          union all select token, 3 + row_number() over (order by token) as id from vterms),
-{_tok_sql('q', 'question')},
-{_tok_sql('c', 'context')},
+{vocab},
+{tokens('q', 'question')},
+{tokens('c', 'context')},
 qagg as (select id, count(*) as qn, sum(tid * (tok_idx + 1)) as qsum, sum(tid) as qtid from qt group by id),
 cagg as (select id, count(*) as n from ct group by id),
 ex as (select qa.id, qa.split, coalesce(qagg.qn, 0) as qn, coalesce(qagg.qsum, 0) as qsum,
@@ -349,3 +355,92 @@ select token, ((select max(id) from vocab) + row_number() over (order by ord))::
 def vocab_extend(spark, sf):
     v = _vocab(spark, sf)
     return Wn.extend_vocabulary(v, Wn.added_symbols(spark))
+
+
+# ----------------------------------------------------------------------------- W1 + W9: subword pieces
+# Examples whose contexts hold added symbols: one before the text and one for each line break.
+MARKED_QA = f"{QA.replace('qa as', 'qa0 as')}, qa as (select * replace ('[unused500] ' || replace(context, chr(10), '[UNK7]') as context) from qa0)"
+SYMBOL = r"\[UNK(?:[1-9]|[1-9][0-9])\]|\[unused[56][0-9][0-9]\]"
+PIECES_VOCAB_SQL = f"""words0 as (select unnest({words_sql('text')}) as w from benchmark),
+words1 as (select w, count(*) as n from words0 group by w),
+vterms as (select w as token from words1 where n > 1
+           union select w[1:k] from words1, (select unnest([1, 2, 3]) as k)
+           union select '##' || w[i:i + k - 1] from (select w, unnest(range(2, length(w) + 1)) as i from words1 where length(w) > 1),
+                 (select unnest([1, 2]) as k)),
+vocab as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, id)
+          union all select token, 3 + row_number() over (order by token) as id from vterms),
+longest as (select max(length(token)) as most from vocab),
+symbols as (select token, (select max(id) from vocab) + row_number() over (order by o) as id from (
+            select '[UNK' || i || ']' as token, i as o from range(1, 100) r(i)
+            union all select '[unused' || i || ']', i + 500 from range(500, 700) r(i)))"""
+
+
+def _piece_sql(side: str, col: str) -> str:
+    p = side
+    return f"""{p}l as (select id, regexp_extract_all({col}, {sql_str(SYMBOL + '|' + SEGMENT)}) as segs from qa),
+{p}s as (select id, unnest(segs) as seg, generate_subscripts(segs, 1) as pos from {p}l),
+{p}o as (select id, pos, seg, lower(seg) as w, coalesce(sum(length(seg)) over (partition by id order by pos
+          rows between unbounded preceding and 1 preceding), 0) as start from {p}s),
+{p}w as (select distinct w from {p}o where not regexp_full_match(w, {sql_str(WS)}) and not regexp_full_match(seg, {sql_str(SYMBOL)})),
+{p}c as (select w, i, unnest(range(1, least(length(w) - i + 1, most) + 1)) as n
+         from (select w, unnest(range(1, length(w) + 1)) as i from {p}w), longest),
+{p}b as (select w, i, max(n) as n, max_by(vocab.id, n) as id from {p}c
+         join vocab on vocab.token = case when i > 1 then '##' else '' end || w[i:i + n - 1] group by w, i),
+{p}r as (select w, 1 as i from {p}w union all select r.w, r.i + b.n from {p}r r join {p}b b on b.w = r.w and b.i = r.i),
+{p}k as (select distinct w from {p}r where i = length(w) + 1),
+{p}p as (select r.w, r.i, b.n, b.id from {p}r r join {p}k k using (w) join {p}b b on b.w = r.w and b.i = r.i
+         union all select w, 1, length(w), 1 from {p}w where w not in (select w from {p}k)),
+{p}t0 as (select o.id, pos, p.i, start + p.i - 1 as start, start + p.i - 1 + p.n as "end", p.id as tid
+          from {p}o o join {p}p p using (w) where not regexp_full_match(seg, {sql_str(SYMBOL)})
+          union all select o.id, pos, 1, start, start + length(seg), s.id from {p}o o join symbols s on s.token = o.seg),
+{p}t as (select id, row_number() over (partition by id order by pos, i) - 1 as tok_idx, start, "end", tid from {p}t0)"""
+
+
+def _marked_examples(spark, sf):
+    context = F.concat(F.lit("[unused500] "), F.replace("context", F.lit("\n"), F.lit("[UNK7]")))
+    return FX.qa_examples(spark, sf).withColumn("context", context)
+
+
+def _subwords(spark, sf):
+    vocab = written(Sw.subword_vocabulary(table(spark, sf, "benchmark"), "text"), "piece-vocabulary")
+    return Sw.Subwords(vocab, Wn.extend_vocabulary(vocab, Wn.added_symbols(spark)))
+
+
+PIECES_BASE = base_sql(source=MARKED_QA, vocab=PIECES_VOCAB_SQL, tokens=_piece_sql)
+SUBWORD_SQL = f"""
+with recursive {PIECES_BASE}
+select id::bigint as id, w::bigint as "window", n_ids::bigint as n_ids, ids_checksum::bigint as ids_checksum,
+       qn::bigint as n_question, cn::bigint as n_context, first_start::bigint as first_start, last_end::bigint as last_end,
+       (sum_start + sum_end)::bigint as offset_sum
+from feat
+"""
+
+
+@register("subword_features", SUBWORD_SQL)
+def subword_features(spark, sf):
+    """Pair features of subword pieces, with the places of their context's pieces."""
+    win = Wn.windows(Wn.encode(_marked_examples(spark, sf), subwords=_subwords(spark, sf)))
+    f = Wn.pair_features(win, Wn.WindowSpec(pad_to_max_length=False), eval_mode=True)
+    offs = F.filter("offset_mapping", lambda o: o.isNotNull())
+    total = F.aggregate(offs, F.lit(0).cast("bigint"), lambda a, o: a + o["start"] + o["end"])
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("window").cast("bigint").alias("window"),
+                    F.size("input_ids").cast("bigint").alias("n_ids"), Wn.checksum("input_ids").alias("ids_checksum"),
+                    F.size("q_ids").cast("bigint").alias("n_question"), (F.col("we") - F.col("ws")).cast("bigint").alias("n_context"),
+                    F.get(offs, 0)["start"].cast("bigint").alias("first_start"),
+                    F.get(offs, F.size(offs) - 1)["end"].cast("bigint").alias("last_end"), total.alias("offset_sum"))
+
+
+SUBWORD_OFFSETS_SQL = f"""
+with recursive {PIECES_BASE}
+select id::bigint as id, tok_idx::bigint as tok_idx, tid::bigint as piece_id, start::bigint as start, "end"::bigint as "end" from ct
+"""
+
+
+@register("subword_offsets", SUBWORD_OFFSETS_SQL)
+def subword_offsets(spark, sf):
+    """W1 + W9: every piece of the contexts with its id and its place in the text."""
+    toks = _subwords(spark, sf).tokens(_marked_examples(spark, sf).select("id", "context"), {"context": "_toks"})
+    rows = posexplode_rows(toks, F.col("_toks"), ["id"], "tok_idx", "x")
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.col("tok_idx").cast("bigint").alias("tok_idx"),
+                       F.col("x.id").cast("bigint").alias("piece_id"), F.col("x.start").cast("bigint").alias("start"),
+                       F.col("x.end").cast("bigint").alias("end"))
