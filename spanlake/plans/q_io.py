@@ -140,3 +140,40 @@ def nbest_object(spark, sf):
     back = S.read_nbest_object(spark, path)
     return back.select(F.col("id").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
                        "text", "start_logit", "end_logit", r6("probability").alias("probability"))
+
+
+RANGE = 1 << 20  # bytes of an object file for one task
+
+
+@register("corpus_object_split", OBJECT_SQL)
+def corpus_object_split(spark, sf):
+    """The whole corpus as one JSON object, written by all tasks and read by ranges."""
+    d = FX.corpus(spark, sf)
+    path = S.write_object(d, f"{scratch_path(spark, 'corpus')}/corpus.json", "doc_id",
+                          F.struct("text", "title", F.col("doc_id").alias("document_id")))
+    return S.read_corpus_split(spark, path, RANGE).select("doc_key", "text", "document_id")
+
+
+@register("nbest_object_split", q_decode.PROB_SQL)
+def nbest_object_split(spark, sf):
+    """S8 + S10: all n-best lists as one JSON object, written by all tasks and read by ranges."""
+    rows = D.nbest_rows(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
+    path = S.write_nbest_object(rows, scratch_path(spark, "nbest"), prefix="m0")
+    back = S.read_nbest_split(spark, path, RANGE)
+    return back.select(F.col("id").cast("bigint").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                       "text", "start_logit", "end_logit", r6("probability").alias("probability"))
+
+
+@register("predictions_object", q_decode.FINAL_SQL)
+def predictions_object(spark, sf):
+    """All predictions as one JSON object."""
+    a = D.final_answers(D.decode(FX.decode_examples(spark, sf), FX.eval_features(spark, sf)))
+    path = S.write_predictions_object(a, scratch_path(spark, "pred"), prefix="m0")
+    return S.read_object_of(spark, path, "string", "prediction_text", "bigint", RANGE)
+
+
+@register("null_odds_object", q_decode.NULL_ODDS_SQL)
+def null_odds_object(spark, sf):
+    """All null odds as one JSON object."""
+    path = S.write_null_odds_object(q_decode.null_odds(spark, sf), scratch_path(spark, "odds"), prefix="m0")
+    return S.read_object_of(spark, path, "double", "score_diff", "bigint", RANGE)

@@ -1,10 +1,9 @@
 """Sources and sinks.
 
 Distributed forms are preferred everywhere: JSON Lines and Parquet folders,
-partitioned by split/fold. The reference's single-JSON-object files are read
-(S1, S8) for compatibility: such a file is one unsplittable value, read by one
-task, so it should be converted once to Parquet and not be the working format.
-All sinks write JSON Lines.
+partitioned by split/fold. Files that are one JSON object are read by byte ranges and
+written by all tasks (``objects``: ``read_*_split``, ``write_*_object``); the older
+``read_*_object`` take such a file as one value of one task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.operators.common import broadcast_if_small
+from spanlake.sources.objects import RANGE_BYTES, read_object_entries, write_object_entries
 
 CORPUS_ENTRY = ("struct<text:string,title:string,corpus_source:string,url:string,domain:string,"
                 "author:string,html:string,document_id:bigint>")
@@ -45,7 +45,30 @@ def with_object(df: DataFrame, key: str, entry: Column, group: str | None = None
     return df.join(side, on).withColumn(out, F.pmod(F.xxhash64(key), "_files")).drop("_files", "_group")
 
 
+def json_text(value) -> Column:
+    """A column's value as JSON text (null as ``null``)."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def from_json_text(value, kind: str) -> Column:
+    """A JSON text as a value of the given type."""
+    return F.get(F.from_json(F.concat(F.lit("["), F.col(value) if isinstance(value, str) else value, F.lit("]")), f"array<{kind}>"), 0)
+
+
+def write_object(df: DataFrame, path: str, key: str, value, mode: str = "overwrite") -> str:
+    """Rows as one JSON object file in the order of ``key``, written by all tasks."""
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    return write_object_entries(ordered.select(F.col(key).cast("string").alias("key"), json_text(value).alias("value")), path, mode)
+
+
 # ----------------------------------------------------------------------------- S1/S2 corpus
+def read_corpus_split(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The corpus object of a file, or of the files of a folder, by byte ranges."""
+    rows = read_object_entries(spark, path, range_bytes)
+    return rows.select(F.col("key").alias("doc_key"), from_json_text("value", CORPUS_ENTRY).alias("d")).select("doc_key", "d.*")
+
+
 def read_corpus_object(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object ``{"0": {...}, "1": {...}}`` -> rows with ``doc_key``."""
     raw = spark.read.text(path, wholetext=True)
@@ -122,6 +145,13 @@ def read_nbest_object(spark: SparkSession, path: str) -> DataFrame:
         "id", (F.col("pos") + 1).alias("rank"), "p.*")
 
 
+def read_nbest_split(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """N-best object files by byte ranges; rows as of :func:`read_nbest_object`."""
+    rows = read_object_entries(spark, path, range_bytes)
+    lists = rows.select(F.col("key").alias("id"), from_json_text("value", f"array<{NBEST_ENTRY}>").alias("lst"))
+    return lists.select("id", F.posexplode("lst").alias("pos", "p")).select("id", (F.col("pos") + 1).alias("rank"), "p.*")
+
+
 def read_nbest_lines(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
     """S8 (splittable form): JSON Lines ``{"id": ..., "preds": [...]}``."""
     df = spark.read.schema(f"id {id_type}, preds array<{NBEST_ENTRY}>").json(path)
@@ -158,6 +188,31 @@ def write_null_odds(odds: DataFrame, out_dir: str, prefix: str | None = None, mo
     return path
 
 
+def write_predictions_object(pred: DataFrame, out_dir: str, prefix: str | None = None, mode: str = "overwrite") -> str:
+    """``{id: prediction_text}`` as one object, ``predictions[_prefix].json``."""
+    return write_object(pred, f"{out_dir}/{output_name('predictions', prefix)}.json", "id", F.col("prediction_text"), mode)
+
+
+def write_nbest_object(nbest: DataFrame, out_dir: str, prefix: str | None = None, mode: str = "overwrite") -> str:
+    """``{id: [{start_logit, end_logit, text, probability}, ...]}`` in rank order as
+    one object, ``nbest_predictions[_prefix].json``."""
+    item = F.struct("rank", F.struct("start_logit", "end_logit", "text", "probability").alias("p"))
+    lists = nbest.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]).alias("preds"))
+    return write_object(lists, f"{out_dir}/{output_name('nbest_predictions', prefix)}.json", "id", F.col("preds"), mode)
+
+
+def write_null_odds_object(odds: DataFrame, out_dir: str, prefix: str | None = None, mode: str = "overwrite") -> str:
+    """``{id: score_diff}`` as one object, ``null_odds[_prefix].json``."""
+    return write_object(odds, f"{out_dir}/{output_name('null_odds', prefix)}.json", "id", F.col("score_diff"), mode)
+
+
+def read_object_of(spark: SparkSession, path: str, kind: str, name: str, id_type: str = "string",
+                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(id, name)`` rows of an object file whose values are of type ``kind``."""
+    rows = read_object_entries(spark, path, range_bytes)
+    return rows.select(F.col("key").cast(id_type).alias("id"), from_json_text("value", kind).alias(name))
+
+
 # ----------------------------------------------------------------------------- S12 metrics
 def metrics_long(metrics_row: DataFrame) -> DataFrame:
     """One-row metrics frame -> ``(key, value)`` rows (values as strings)."""
