@@ -8,8 +8,9 @@ Plan shape at scale
   satisfies grouping on ``(doc_id, field, term)``).
 * To answer questions without a stored index, only the questions' terms are kept
   before the postings are grouped; collection statistics come from the in-row lengths.
-* A stored index is clustered by term, with its fields and statistics beside it, so
-  answering questions reads the postings of their terms once.
+* A stored index (``index_store``) is bucketed by ``doc_id``, with its terms' document
+  frequencies and statistics beside it, so answering questions reads the postings once
+  and shuffles none.
 * The weighted question terms are broadcast only after a check of their bytes;
   otherwise the join shuffles on ``(field, term)`` and adaptive execution splits hot
   terms. Hot terms are pre-aggregated map side in document frequencies.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -38,12 +39,19 @@ B = 0.75
 class InvertedIndex:
     """Postings ``(doc_id, field, term, tf, dl)`` with ``stats`` ``(field, n_docs,
     avgdl)`` of one or several fields. An index restricted to some terms has the
-    statistics of the whole collection. A stored index has each term's ``df`` in its
-    postings too."""
+    statistics of the whole collection. A stored index (``index_store``) has its terms'
+    ``dfs`` ``(field, term, df)`` beside the postings, and may have ``more`` postings of
+    other documents."""
 
     postings: DataFrame
     stats: DataFrame
     fields: tuple
+    dfs: DataFrame | None = None
+    more: DataFrame | None = None
+
+    def parts(self) -> list[DataFrame]:
+        """The postings, in parts that have no document in common."""
+        return [self.postings] if self.more is None else [self.postings, self.more]
 
     def release(self) -> None:
         """Free the postings if they were persisted."""
@@ -114,7 +122,7 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords:
     ``materialize=True`` persists the postings (memory, spilling to disk): the corpus
     is tokenized once for all later uses, and the cached plan keeps its ``doc_id``
     hash partitioning, so the scoring aggregation needs no shuffle. Lost blocks are
-    recomputed from the short lineage; ``save_index`` writes a durable copy.
+    recomputed from the short lineage; an ``IndexStore`` writes a durable copy.
     ``release()`` unpersists.
     """
     docs = _docs_by_id(corpus, key, _fields(text), num_partitions, analyzer)
@@ -147,22 +155,6 @@ def _distinct_terms(terms: DataFrame, max_bytes: int) -> DataFrame:
     return broadcast_if_small(terms.select("term").distinct(), "terms", max_bytes)
 
 
-def save_index(index: InvertedIndex, path: str, mode: str = "overwrite") -> None:
-    """Write the index once (dropping an earlier one): postings with their term's
-    document frequency, clustered by term, so that a read of some terms skips the row
-    groups of others; and the statistics."""
-    index.stats.write.mode(mode).parquet(f"{path}/stats")
-    (index.postings.join(index.term_df(), ["field", "term"])
-     .repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id")
-     .write.mode(mode).parquet(f"{path}/postings"))
-
-
-def load_index(spark: SparkSession, path: str) -> InvertedIndex:
-    stats = spark.read.parquet(f"{path}/stats")
-    fields = tuple(sorted(r["field"] for r in stats.select("field").collect()))  # one row per field
-    return InvertedIndex(spark.read.parquet(f"{path}/postings"), stats, fields)
-
-
 def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question",
                 analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """``(qid, term, qtf)``: a query is a plain bag of words (and dictionary terms)."""
@@ -184,7 +176,7 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     ``score = sum qtf * ln(1 + (N - df + .5)/(df + .5)) * tf / (tf + k1*(1 - b + b*dl/avgdl))``
     rounded to 6 places (so that ranks do not depend on summation order).
 
-    A stored index knows each term's document frequency, so its postings are read once;
+    A stored index knows its terms' document frequencies, so its postings are read once;
     otherwise the frequencies are counted first, for the questions' terms only. The
     weighted terms are broadcast if their bytes pass the check; otherwise the join
     shuffles. Both score aggregations are satisfied by a ``doc_id`` partitioning of the
@@ -194,18 +186,22 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     stats = F.broadcast(index.stats)  # one row per field: a proven bound
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    if "df" in index.postings.columns:
-        joined = (index.postings.join(broadcast_if_small(qt, "question-terms", max_broadcast_bytes), "term")
-                  .join(stats, "field").withColumn("w", F.col("qtf") * idf))
+    terms = _distinct_terms(qt, max_broadcast_bytes)
+    if index.dfs is not None:
+        dfs = index.dfs.join(terms, "term", "left_semi")
     else:
-        terms = _distinct_terms(qt, max_broadcast_bytes)
         dfs = index.postings.join(terms, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
-        weighted = qt.join(dfs, "term").join(stats, "field").select(
-            "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
-        joined = index.postings.join(broadcast_if_small(weighted, "weighted-terms", max_broadcast_bytes), ["field", "term"])
-    contrib = joined.select("qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
-    per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
-    return per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    weighted = qt.join(dfs, "term").join(stats, "field").select(
+        "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
+    weighted = broadcast_if_small(weighted, "weighted-terms", max_broadcast_bytes)
+    scores = None
+    for postings in index.parts():
+        contrib = postings.join(weighted, ["field", "term"]).select(
+            "qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
+        per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
+        part = per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+        scores = part if scores is None else scores.unionByName(part)
+    return scores
 
 
 def top_k(scores: DataFrame, k: int = 10, qid: str = "qid", doc: str = "doc_id",

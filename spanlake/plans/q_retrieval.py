@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import WS, sanitize_query, sql_str, title_prefix
 from spanlake.operators import retrieval as R
 from spanlake.operators.dictionary import DictionaryAnalyzer
+from spanlake.operators.index_store import IndexStore
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import DICTIONARY, PASSAGES, QUESTIONS, TITLE, bm25_ctes, dictionary_ctes, words_sql
 from spanlake.session import scratch_path, written
@@ -40,11 +41,24 @@ def bm25_topk(spark, sf):
 @register("bm25_saved_index", BM25_TOPK_SQL)
 def bm25_saved_index(spark, sf):
     """The same top-10 from an index that was stored and read back."""
-    index = R.build_index(_passages(spark, sf))
-    path = scratch_path(spark, "index")
-    R.save_index(index, path)
-    index.release()
-    return _ranked(R.top_k(R.bm25(R.load_index(spark, path), FX.questions(spark, sf)), K))
+    store = IndexStore(spark, scratch_path(spark, "index")).create(_passages(spark, sf))
+    return _ranked(R.top_k(R.bm25(store.index(), FX.questions(spark, sf)), K))
+
+
+@register("index_upsert", BM25_TOPK_SQL)
+def index_upsert(spark, sf):
+    """The same top-10 from a stored index of earlier documents: of two languages only
+    titles were known, and of each document of a third there was a copy under another
+    id. They are replaced and removed, before and after a compaction."""
+    passages = _passages(spark, sf)
+    lang = F.coalesce("lang", F.lit(""))
+    late, last = passages.where(lang.isin("de", "fr")), passages.where(lang == "fr")
+    known = passages.withColumn("text", F.when(lang.isin("de", "fr"), F.col("title")).otherwise(F.col("text")))
+    copies = passages.where(lang == "es").withColumn("doc_id", -F.col("doc_id") - 1)
+    store = IndexStore(spark, scratch_path(spark, "index")).create(known.unionByName(copies))
+    store.upsert(late.withColumn("text", F.when(lang == "fr", F.lit("not yet")).otherwise(F.col("text"))))
+    store.compact().delete(copies).upsert(last)
+    return _ranked(R.top_k(R.bm25(store.index(), FX.questions(spark, sf)), K))
 
 
 # ---------------------------------------------------------------- bm25_multifield

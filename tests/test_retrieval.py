@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import retrieval as R
+from spanlake.operators.index_store import IndexStore
+from spanlake.session import scratch_path
 
 DOCS = [
     (1, "Seoul", "Seoul is the capital of Korea. Seoul is big."),
@@ -119,16 +121,69 @@ def test_contexts_are_the_same_without_broadcasts(spark, frames):
 
 @pytest.mark.parametrize("fields", ["text", ["text", "title"]])
 def test_saved_index_keeps_fields_and_scores(spark, frames, fields):
-    from spanlake.session import scratch_path
     corpus, qs = frames
     idx = R.build_index(corpus, text=fields)
     path = scratch_path(spark, "index")
-    R.save_index(idx, path)
-    loaded = R.load_index(spark, path)
+    IndexStore(spark, path).save(idx, buckets=3)
+    loaded = IndexStore(spark, path).index()
     assert loaded.fields == tuple([fields] if isinstance(fields, str) else fields)
     assert ranked(R.top_k(R.bm25(loaded, qs), 3)) == ranked(R.top_k(R.bm25(idx, qs), 3))
-    plan = R.bm25(loaded, qs)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("df#") and plan.count("Relation [doc_id") + plan.count("Relation [field") == 2  # postings, statistics
+    assert ranked(R.top_k(R.bm25(loaded, qs, max_broadcast_bytes=0), 3)) == ranked(R.top_k(R.bm25(idx, qs), 3))
+    plan = R.bm25(loaded, qs)._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "tf#" in line]
+    assert len(scan) == 1 and "Bucketed: true" in scan[0]
+    assert "Exchange hashpartitioning" not in plan  # no exchange of postings or scores
+
+
+def contents(store):
+    index = store.index()
+    rows = [tuple(r) for p in index.parts() for r in p.select("doc_id", "field", "term", "tf", "dl").collect()]
+    return (sorted(rows, key=str), sorted(tuple(r) for r in index.dfs.select("field", "term", "df").collect()),
+            sorted((r["field"], r["n_docs"], round(r["avgdl"], 9)) for r in index.stats.collect()))
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_changed_index_equals_one_built_anew(spark, limit):
+    schema = "doc_id bigint, title string, text string"
+    fields = ["text", "title"]
+    now = {d: (d, t, x) for d, t, x in DOCS}
+    store = IndexStore(spark, scratch_path(spark, "index"), limit).create(spark.createDataFrame(DOCS, schema), text=fields, buckets=3)
+
+    def same():
+        anew = IndexStore(spark, scratch_path(spark, "index")).create(
+            spark.createDataFrame(list(now.values()), schema), text=fields, buckets=2)
+        assert contents(store) == contents(anew)
+        # another session finds the table by its folder
+        spark.sql(f"drop table if exists {store._table(store._log()[0][0])}")
+        assert contents(IndexStore(spark, store.path, limit)) == contents(anew)
+
+    def upsert(rows):
+        store.upsert(spark.createDataFrame(rows, schema), text=fields)
+        now.update({r[0]: r for r in rows})
+        same()
+
+    same()
+    upsert([(2, "Busan", "A port no more"), (9, None, "new words here"), (4, "Empty", None)])
+    upsert([(2, "Busan", "a port again, a port"), (1, "", "")])
+    store.delete(spark.createDataFrame([(5,), (2,), (77,)], "doc_id bigint"))
+    now.pop(5), now.pop(2)
+    same()
+    upsert([(5, "Back", "is back")])
+    store.compact()
+    same()
+    upsert([(3, "Tokyo", "changed after compaction"), (5, "t", "zzz unknown")])
+    qs = spark.createDataFrame(QUESTIONS, "id bigint, question string")
+    got = {(r.qid, r.doc_id): r.score for r in R.bm25(store.index(), qs).collect()}
+    want = R.bm25(R.build_index(spark.createDataFrame(list(now.values()), schema), text=fields), qs).collect()
+    assert got == {(r.qid, r.doc_id): r.score for r in want}
+
+
+def test_a_change_that_was_not_logged_is_not_seen(spark):
+    schema = "doc_id bigint, title string, text string"
+    store = IndexStore(spark, scratch_path(spark, "index")).create(spark.createDataFrame(DOCS, schema), buckets=2)
+    before = contents(store)
+    spark.createDataFrame([(1,)], "doc_id bigint").write.parquet(f"{store.path}/change-9/gone")
+    assert contents(store) == before
 
 
 def test_dictionary_terms_stay_whole(spark):
