@@ -9,22 +9,23 @@ from spanlake.operators import decode as D
 from spanlake.operators.common import r6
 from spanlake.operators.ensemble import vote
 from spanlake.operators.retrieval import retrieve_contexts
-from spanlake.operators.scoring import score_by_name
+from spanlake.operators.scoring import SCORERS, score_many
 from spanlake.operators.windows import WindowSpec, eval_features
 from spanlake.session import written
 
 KEYS = ["example_id", "feature_id"]
 
 
-def scored_features(features: DataFrame, scorers: list[str], batch_size: int = 32) -> DataFrame:
-    """Every scorer's logits attached to every feature, as rows of a ``model`` (its
-    number in the list). ``features`` have ``example_id`` and ``feature_id``."""
-    out = None
-    for i, name in enumerate(scorers):
-        logits = score_by_name(features, name, KEYS, batch_size=batch_size)
-        part = D.attach_logits(features.select(*KEYS, "offset_mapping"), logits, KEYS).withColumn("model", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+def scored_features(features: DataFrame, scorers: list[str], batch_size: int = 256) -> DataFrame:
+    """Every scorer's logits beside every feature, as rows of a ``model`` (its number in
+    the list), from one pass over the features, which have ``example_id`` and
+    ``feature_id``. (Logits that come from outside are attached by D1 instead.)"""
+    unknown = [name for name in scorers if name not in SCORERS]
+    if unknown:
+        raise ValueError(f"unknown scorers {unknown}; known: {sorted(SCORERS)}")
+    made = {str(i): SCORERS[name] for i, name in enumerate(scorers)}
+    scored = score_many(features, made, KEYS, ("input_ids", "sequence_ids", "q_ids"), ("offset_mapping",), batch_size)
+    return scored.withColumn("model", F.col("model").cast("int"))
 
 
 def answer_questions(corpus: DataFrame, questions: DataFrame, vocab: DataFrame, scorers: list[str], k: int = 10,

@@ -12,8 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanlake.operators.common import let
 from spanlake.operators.windows import UNK_ID
@@ -68,6 +72,46 @@ def score_with(features: DataFrame, model_factory: Callable[[], Callable], key_c
     return features.select(*key_cols, *input_cols).mapInPandas(run, schema)
 
 
+def stacked_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of integers as one 2-D array like :func:`stacked`, and which of its places
+    are theirs."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    inside = np.arange(int(sizes.max(initial=0))) < sizes[:, None]
+    out = np.full(inside.shape, NONE, np.int64)
+    out[inside] = pc.fill_null(column.flatten(), NONE).to_numpy(zero_copy_only=False)
+    return out, inside
+
+
+def score_many(features: DataFrame, factories: dict[str, Callable[[], Callable]], key_cols=("feature_id",),
+               input_cols=("input_ids", "attention_mask"), keep=(), batch_size: int = 256) -> DataFrame:
+    """M1 for several models in one pass: ``key_cols``, ``keep``, ``model`` and the logits,
+    one row per feature and model. Models are called like those of :func:`score_with`;
+    logits stay beside their feature's columns, so nothing is joined."""
+    fields = [features.schema[c] for c in (*key_cols, *keep)]
+    logits = T.ArrayType(T.FloatType())
+    schema = T.StructType([*fields, T.StructField("model", T.StringType()), T.StructField("start_logits", logits),
+                           T.StructField("end_logits", logits)])
+    arrow = to_arrow_schema(schema)
+    ship_package(features.sparkSession)
+    first = len(fields)
+
+    def run(batches):
+        models = {name: make() for name, make in factories.items()}
+        for batch in batches:
+            for at in range(0, len(batch), batch_size):
+                part = batch.slice(at, batch_size)
+                inputs, inside = {}, None
+                for c, column in zip(input_cols, part.columns[first:]):
+                    inputs[c], own = stacked_lists(column)
+                    inside = own if inside is None else inside
+                bounds = pa.array(np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32))
+                for name, model in models.items():
+                    lists = [pa.ListArray.from_arrays(bounds, pa.array(np.asarray(x, np.float32)[inside])) for x in model(inputs)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:first], pa.array([name] * len(part)), *lists], schema=arrow)
+
+    return features.select(*key_cols, *keep, *input_cols).mapInArrow(run, schema)
+
+
 class OverlapModel:
     """A numpy model for the plug-in path: context tokens that occur in the question
     score 1 plus ``bonus(ids)``, all others 0 (inputs ``input_ids, sequence_ids,
