@@ -48,7 +48,7 @@ from spanlake.llm.shared import arrow_schema, forget_kept, kept_by_worker, writt
 from spanlake.llm.textarrays import text_slices
 
 PAIRS = 4_000_000  # counted pairs in a block (17 bytes each)
-REMEMBERED = 250_000  # parts of texts that a worker remembers
+REMEMBERED = 500_000  # parts of texts that a worker remembers
 LONG_PART = 48
 CUT = re.compile("(?<=[!-~]) (?=[!-~])")
 SPACE_SIGN = "▁"
@@ -137,28 +137,31 @@ class Encoder:
         t = self.tokenizers
         parts = [p for p in new if p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"] if t.independent else []
         if parts:
-            joined = " ".join(parts)
-            (ids,) = t.encode_a([joined])
-            if b"".join([t.a_bytes[i] for i in ids]) == b" " + joined.encode():
+            raw = [p.encode() for p in parts]
+            (ids,) = t.encode_a([" ".join(parts)])
+            if b"".join([t.a_bytes[i] for i in ids]) == b" " + b" ".join(raw):
                 ids = np.array(ids, np.int64)
-                ends = np.cumsum([1 + len(p.encode()) for p in parts])
+                ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
                 after = np.searchsorted(np.cumsum(self.a_len[ids]), ends) + 1
-                self._append(parts, ids, np.diff(after, prepend=0), np.ones(len(parts), bool))
+                self._append(parts, raw, ids, np.diff(after, prepend=0), np.ones(len(parts), bool))
         parts = [p for p in new if p not in self.place]
         if parts:
             a_ids = t.encode_a(parts)
-            whole = [b"".join([t.a_bytes[i] for i in ids]) == b" " + p.encode() for p, ids in zip(parts, a_ids)]
-            self._append(parts, np.array(list(chain.from_iterable(a_ids)), np.int64),
+            raw = [p.encode() for p in parts]
+            whole = [b"".join([t.a_bytes[i] for i in ids]) == b" " + r for r, ids in zip(raw, a_ids)]
+            self._append(parts, raw, np.array(list(chain.from_iterable(a_ids)), np.int64),
                          np.array([len(x) for x in a_ids]), np.array(whole))
 
-    def _append(self, parts: list[str], a_ids: np.ndarray, a_lengths: np.ndarray, whole: np.ndarray):
+    def _append(self, parts: list[str], raw: list[bytes], a_ids: np.ndarray, a_lengths: np.ndarray, whole: np.ndarray):
         t = self.tokenizers
         b_ids = t.encode_b(parts)
-        flat, lengths = list(chain.from_iterable(b_ids)), np.array([len(x) for x in b_ids])
-        sizes = np.add.reduceat(np.append(self.b_len[flat], 0), np.cumsum(lengths) - lengths) if len(flat) else 0 * lengths
-        good = (sizes == [1 + len(p.encode()) for p in parts]) & (lengths > 0)
-        if not good.all() or b"".join([t.b_bytes[i] for i in flat]) != b" " + " ".join(parts).encode():
-            good = np.array([b"".join([t.b_bytes[i] for i in ids]) == b" " + p.encode() for p, ids in zip(parts, b_ids)])
+        flat = list(chain.from_iterable(b_ids))
+        lengths = np.fromiter(map(len, b_ids), np.int64, len(b_ids))
+        sums = np.concatenate([[0], np.cumsum(self.b_len[flat])]) if flat else np.zeros(1, np.int64)
+        ends = np.cumsum(lengths)
+        good = sums[ends] - sums[ends - lengths] == np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        if not good.all() or b"".join([t.b_bytes[i] for i in flat]) != b" " + b" ".join(raw):
+            good = np.array([b"".join([t.b_bytes[i] for i in ids]) == b" " + r for r, ids in zip(raw, b_ids)])
         self.place.update(zip(parts, range(self.good.n, self.good.n + len(parts))))
         self.a.append(a_ids, a_lengths)
         self.b.append(np.array(flat, np.int64), lengths)
@@ -187,8 +190,8 @@ class Encoder:
             ids, lengths = runs.take(places[keep])
             per_text = np.bincount(rows[keep], lengths, len(texts)).astype(np.int64)
             out += [ids, np.concatenate([[0], np.cumsum(per_text)])]
-        for p in new:
-            if of[p] >= known:
+        if self.good.n > known:
+            for p in [p for p in new if of[p] >= known]:
                 del of[p]
         for runs in (self.a, self.b, self.good):
             runs.n = known
