@@ -35,7 +35,7 @@ from spanlake.llm.textarrays import text_slices
 
 CAPACITY = 2048
 CLOSING_ID = 0
-REMEMBERED = 1_200_000  # words a worker remembers, those it met first
+REMEMBERED = 800_000  # words a worker remembers, those it met first
 LONG_WORD = 64
 
 
