@@ -42,6 +42,8 @@ ASCII_PUNCT = r"[!-/:-@\[-`{-~]"
 # a run of letters/digits, or any single other character.
 WORD = r"[\p{L}\p{N}]+"
 SEGMENT = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
+# The same without most blanks, for tokenizers that drop them anyway.
+SOLID_SEGMENT = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
 # Plain forms (used by the oracle SQL): the rules exactly as stated above.
 CLEAN_STEPS_QA = (

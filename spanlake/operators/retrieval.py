@@ -41,13 +41,14 @@ class InvertedIndex:
     avgdl)`` of one or several fields. An index restricted to some terms has the
     statistics of the whole collection. A stored index (``index_store``) has its terms'
     ``dfs`` ``(field, term, df)`` beside the postings, and may have ``more`` postings of
-    other documents."""
+    other documents. A ``restricted`` index has the postings of some questions' terms."""
 
     postings: DataFrame
     stats: DataFrame
     fields: tuple
     dfs: DataFrame | None = None
     more: DataFrame | None = None
+    restricted: bool = False
 
     def parts(self) -> list[DataFrame]:
         """The postings, in parts that have no document in common."""
@@ -148,7 +149,7 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords:
         if terms is None:
             lengths = postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return InvertedIndex(postings, stats, tuple(_fields(text)))
+    return InvertedIndex(postings, stats, tuple(_fields(text)), restricted=terms is not None)
 
 
 def _distinct_terms(terms: DataFrame, max_bytes: int) -> DataFrame:
@@ -168,7 +169,7 @@ def query_terms(queries: DataFrame, qid: str = "id", qtext: str = "question",
 
 def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str = "question",
          k1: float = K1, b: float = B, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-         analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
+         analyzer: DictionaryAnalyzer | None = None, terms: DataFrame | None = None) -> DataFrame:
     """R3 (+ R4): ``(qid, doc_id, score)`` for every document sharing a term with
     the query; with several fields each is scored with its own statistics and
     the best field wins.
@@ -177,20 +178,23 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     rounded to 6 places (so that ranks do not depend on summation order).
 
     A stored index knows its terms' document frequencies, so its postings are read once;
-    otherwise the frequencies are counted first, for the questions' terms only. The
+    otherwise the frequencies are counted first, for the questions' terms only. ``terms``
+    are the questions' terms (:func:`query_terms`) if they have been made before. The
     weighted terms are broadcast if their bytes pass the check; otherwise the join
     shuffles. Both score aggregations are satisfied by a ``doc_id`` partitioning of the
     postings.
     """
-    qt = query_terms(queries, qid, qtext, analyzer)
+    qt = query_terms(queries, qid, qtext, analyzer) if terms is None else terms
     stats = F.broadcast(index.stats)  # one row per field: a proven bound
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    terms = _distinct_terms(qt, max_broadcast_bytes)
     if index.dfs is not None:
-        dfs = index.dfs.join(terms, "term", "left_semi")
+        dfs = index.dfs.join(_distinct_terms(qt, max_broadcast_bytes), "term", "left_semi")
     else:
-        dfs = index.postings.join(terms, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+        postings = index.postings
+        if not index.restricted:
+            postings = postings.join(_distinct_terms(qt, max_broadcast_bytes), "term", "left_semi")
+        dfs = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     weighted = qt.join(dfs, "term").join(stats, "field").select(
         "qid", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     weighted = broadcast_if_small(weighted, "weighted-terms", max_broadcast_bytes)
@@ -218,9 +222,9 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, fields="text", ke
     the postings of the questions' terms alone. Several fields (a list) are scored
     each with its own statistics and the best one wins. The result is written once, so
     the postings are released."""
-    index = build_index(corpus, key, fields, stopwords, query_terms(queries, qid, qtext, analyzer),
-                        max_broadcast_bytes=max_broadcast_bytes, analyzer=analyzer)
-    scores = bm25(index, queries, qid, qtext, max_broadcast_bytes=max_broadcast_bytes, analyzer=analyzer)
+    terms = written(query_terms(queries, qid, qtext, analyzer), "question-terms")
+    index = build_index(corpus, key, fields, stopwords, terms, max_broadcast_bytes=max_broadcast_bytes, analyzer=analyzer)
+    scores = bm25(index, queries, qid, qtext, max_broadcast_bytes=max_broadcast_bytes, terms=terms)
     hits = written(top_k(scores, k), "hits")
     index.release()
     return hits

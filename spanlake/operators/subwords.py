@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import SEGMENT, words
+from spanlake.functions.text import SOLID_SEGMENT, words
 from spanlake.operators.common import explode_rows
 from spanlake.operators.windows import TOKENS, UNK_ID, vocabulary_from_terms
 from spanlake.session import ship_package, written
@@ -104,7 +104,7 @@ class Cutter:
     def __init__(self, symbols: dict[str, int]):
         self.symbols = symbols
         own = "|".join(regex.escape(s) for s in sorted(symbols, key=lambda s: (-len(s), s)))
-        self.pattern = regex.compile(f"{own}|{SEGMENT}" if own else SEGMENT)
+        self.pattern = regex.compile(f"{own}|{SOLID_SEGMENT}" if own else SOLID_SEGMENT)
 
     def __call__(self, text: str | None):
         for m in self.pattern.finditer(text or ""):

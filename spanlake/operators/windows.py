@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import SEGMENT, words
+from spanlake.functions.text import SOLID_SEGMENT, words
 from spanlake.operators.common import (MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows,
                                        posexplode_rows, size_of)
 from spanlake.operators.ordering import prefix_sums
@@ -78,13 +78,20 @@ class WordTokenizer:
 
     def __init__(self, vocabulary: dict[str, int] | None = None):
         self.vocabulary = vocabulary or {}
-        self.pattern = regex.compile(SEGMENT)
+        self.pattern = regex.compile(SOLID_SEGMENT)
 
     def __call__(self, texts: list[str | None]):
         of = self.vocabulary.get
         for text in texts:
-            found = [m for m in self.pattern.finditer(text or "") if not m[0].isspace()]
-            yield ([of(m[0].lower(), UNK_ID) for m in found], [m.start() for m in found], [m.end() for m in found])
+            ids, starts, ends = [], [], []
+            for m in self.pattern.finditer(text or ""):
+                token = m[0]
+                if not token.isspace():
+                    start, end = m.span()
+                    ids.append(of(token.lower(), UNK_ID))
+                    starts.append(start)
+                    ends.append(end)
+            yield ids, starts, ends
 
 
 def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Callable],
@@ -287,10 +294,12 @@ def batch_pad(features: DataFrame, key: str = "id", window: str = "window", batc
     window)`` order: the batch's longest row, rounded up to ``multiple``. Adds
     ``feature_ordinal, batch, padded_length``.
 
-    Only sizes move: a feature's ordinal is its key's offset (prefix sums over the
+    The features are written once, as they are read for their counts, lengths and
+    padding. Only sizes move: a feature's ordinal is its key's offset (prefix sums over the
     number of windows per key) plus its window, and the batches' lengths are joined
     back. Keys must be unique per example.
     """
+    features = written(features, "features")
     light = features.select(key, window, F.size("input_ids").alias("_n"))
     counts = light.groupBy(key).agg(F.count("*").alias("_windows"))
     offsets = prefix_sums(counts, [key], "_offset", weight="_windows").select(key, "_offset")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.operators import checks as P
+from spanlake.operators import observed as Ob
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import QA
 from spanlake.sources import fixtures as FX
@@ -49,6 +50,14 @@ def row_expectations(spark, sf):
     return P.row_expectations(feats, logits, FX.qa_examples(spark, sf), 200, 512)
 
 
+@register("observed_expectations", EXPECT_SQL)
+def observed_expectations(spark, sf):
+    """P4 counted by the write of both sides."""
+    feats = table(spark, sf, "documents").select(F.col("doc_id").alias("feature_id"))
+    logits = table(spark, sf, "embeddings").select((F.col("vec_id") * 2).alias("feature_id"), "embedding")
+    return Ob.observed_expectations(feats, logits, FX.qa_examples(spark, sf), 200, 512)[2]
+
+
 ROWS_SQL = f"""
 with {QA}
 select id::varchar as id, coalesce(answer_text, '') as prediction_text, answer_start::bigint as answer_start

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import sql_squad_normalize
 from spanlake.operators import evaluate as E
 from spanlake.operators.common import r6
+from spanlake.operators.observed import evaluate_on_write as evaluate_and_write
 from spanlake.plans.registry import register
 from spanlake.plans.sqlparts import QA
+from spanlake.session import scratch_path
 from spanlake.sources import fixtures as FX
 
 _TOKS = "list_filter(string_split({x}, ' '), lambda t: t <> '')"
@@ -60,6 +62,15 @@ def evaluate_all(spark, sf):
                     "eval_samples", "eval_missing")
 
 
+@register("evaluate_on_write", EVAL_ALL_SQL)
+def evaluate_on_write(spark, sf):
+    """E3 observed while every reference's scores are written."""
+    path = scratch_path(spark, "scores")
+    m = evaluate_and_write(FX.shifted_predictions(spark, sf), FX.qa_examples(spark, sf), path)[1]
+    return m.select(r6("eval_exact_match").alias("eval_exact_match"), r6("eval_f1").alias("eval_f1"),
+                    "eval_samples", "eval_missing")
+
+
 BEST_STEP_SQL = """
 with l as (select event_type as run, event_id * 100 as step, value as metric from events where event_id % 97 <> 0)
 select run, step::bigint as best_step, metric as best_metric from
