@@ -7,9 +7,10 @@ score for a language is the product over its words, and the prediction is the la
 of the largest score, with its share of all (uniform prior) as ``score``.
 
 Words are the lower-cased text's runs without white space behind a word-begin mark;
-a character that is no piece is one unknown piece. Words of over ``PART`` characters
-are scored in parts. Whole texts are scored; each task remembers the scores of
-the words it has met.
+a character that is no piece is one unknown piece. Words of up to ``LONG`` characters
+are worked on many at a time; longer ones, whatever their length, one by one in
+logarithms, by the same recursion. Whole texts are scored; each task remembers the scores
+of the words it has met.
 
 Learning is expectation maximisation in Spark: words are counted per language, every
 task adds up the pieces its words are expected to use (forward and backward), and the
@@ -36,7 +37,8 @@ from spanlake.llm.shared import arrow_schema, forget_kept, written
 from spanlake.llm.textarrays import Powers, prefix_sums, range_hashes, text_slices
 
 MARK = "▁"
-PART = 32
+LONG = 32
+CHUNK = 1 << 16  # characters of a long word whose pieces are looked up at once
 SAMPLE_DOCS = 4000
 ROUNDS = 3
 SMOOTHING = 0.02
@@ -121,14 +123,66 @@ class Lattice:
     def log_scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; ``p`` is (pieces + 2, languages)."""
         out = np.zeros((len(words), p.shape[1]))
-        if words:
-            order, start, size, first, pieces = self._sorted(words)
+        long = np.array([len(w) > LONG for w in words], bool)
+        short = np.flatnonzero(~long)
+        if len(short):
+            order, start, size, first, pieces = self._sorted([words[i] for i in short])
             alpha = self._forward(start, size, first, pieces, p)
-            out[order] = np.log(alpha[size, np.arange(len(size))])
+            out[short[order]] = np.log(alpha[size, np.arange(len(size))])
+        if long.any():
+            with np.errstate(divide="ignore"):
+                log_p = np.log(p)
+            for i in np.flatnonzero(long):
+                out[i] = self._long_forward(code_points([words[i]])[0], log_p)[-1]
+        return out
+
+    def _beginning(self, points: np.ndarray, back: bool = False):
+        """``(place, ends, ids)`` of the pieces that begin at each place of a word, from
+        its first place or, ``back``, from its last."""
+        none = self.n_pieces + 1
+        chunks = range(0, len(points), CHUNK)
+        for lo in reversed(chunks) if back else chunks:
+            part = points[lo:lo + CHUNK + self.longest]
+            pieces = self._pieces(part, len(part) - np.arange(len(part)))
+            places = range(min(CHUNK, len(points) - lo))
+            for i in reversed(places) if back else places:
+                lengths = np.flatnonzero(pieces[:, i] != none)
+                yield lo + i, lo + i + lengths, pieces[lengths, i]
+
+    def _long_forward(self, points: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """log alpha[t] of one word: nothing is lost however small it becomes."""
+        alpha = np.full((len(points) + 1, log_p.shape[1]), -np.inf)
+        alpha[0] = 0
+        for at, ends, ids in self._beginning(points):
+            alpha[ends] = np.logaddexp(alpha[ends], alpha[at] + log_p[ids])
+        return alpha
+
+    def _long_uses(self, points: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Expected uses by ``counts`` (languages) copies of one word."""
+        alpha = self._long_forward(points, log_p)
+        beta = np.full_like(alpha, -np.inf)
+        beta[-1] = 0
+        out = np.zeros_like(log_p)
+        for at, ends, ids in self._beginning(points, back=True):
+            behind = log_p[ids] + beta[ends]
+            beta[at] = np.logaddexp.reduce(behind, axis=0)
+            np.add.at(out, ids, counts * np.exp(alpha[at] + behind - alpha[-1]))
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by ``counts`` (words, languages) words."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._expected(words, counts, p)
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        out = self._expected([words[i] for i in short], counts[short], p)
+        for i in long:
+            out += self._long_uses(code_points([words[i]])[0], counts[i], log_p)
+        return out
+
+    def _expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         if not words:
             return np.zeros_like(p)
         none = self.n_pieces + 1
@@ -150,15 +204,9 @@ class Lattice:
         return np.stack([np.bincount(used, uses[:, c], minlength=len(p)) for c in range(p.shape[1])], axis=1)
 
 
-def word_parts(word: str) -> list[str]:
-    """The word with its mark, cut if it is long."""
-    marked = MARK + word
-    return [marked] if len(marked) <= PART else [marked[i:i + PART] for i in range(0, len(marked), PART)]
-
-
 def text_words(text: str) -> list[str]:
-    """The text's words with their mark, the long ones in parts."""
-    return [part for w in text.lower().split() for part in word_parts(w)]
+    """The text's words with their mark."""
+    return [MARK + w for w in text.lower().split()]
 
 
 WORD_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()),
@@ -244,15 +292,12 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [t.lower().split() if t and self.model.languages and any(map(str.isalpha, t)) else None for t in texts]
         new = list(set().union(*filter(None, split)).difference(self.known))
-        parts = [word_parts(w) for w in new]
         before = len(self.scores)
         if new:
-            flat = [x for w in parts for x in w]
-            scores = np.concatenate([self.lattice.log_scores(flat[at:at + 20_000], self.model.p)
-                                     for at in range(0, len(flat), 20_000)])
-            begin = np.cumsum([0] + [len(w) for w in parts[:-1]])
-            self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-            self.scores = np.concatenate([self.scores, np.add.reduceat(scores, begin)])
+            scores = [self.lattice.log_scores([MARK + w for w in new[at:at + 20_000]], self.model.p)
+                      for at in range(0, len(new), 20_000)]
+            self.known.update(zip(new, range(before, before + len(new))))
+            self.scores = np.concatenate([self.scores, *scores])
         langs, scores = [], []
         of = self.known.__getitem__
         for words in split:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from spanlake.llm import language
 from spanlake.llm.language import Lattice, Model, identified, learn, predict, public_pieces, text_words
 from spanlake.llm.q_corpus import op9
 
@@ -52,7 +53,31 @@ def test_expected_uses_against_all_segmentations(p):
 def test_words_keep_every_character():
     text = "Ab  ÇD\n" + "x" * 100 + " 日本"
     assert "".join(text_words(text)).replace("▁", "") == "".join(text.lower().split())
-    assert max(map(len, text_words(text))) <= 32
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_long_words_equal_the_unsplit_recursion(p, monkeypatch, chunk):
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    rng, words, counts = random.Random(3), ["▁ab"], [[2.0, 1.0]]
+    for n in (32, 33, 100, 500, 3000):
+        words.append("▁" + "".join(rng.choices("abz", k=n)))
+        counts.append([1.0, 3.0])
+    lattice, log_p = Lattice(PIECES), np.log(p[:-1])
+    got, want_uses = lattice.log_scores(words, p), np.zeros_like(p)
+    for w, c, row in zip(words, counts, got):
+        n = len(w)
+        edges = [(i, j, PIECES.index(w[i:j]) if w[i:j] in PIECES else len(PIECES)) for i in range(n)
+                 for j in range(i + 1, min(i + 3, n) + 1) if j == i + 1 or w[i:j] in PIECES]
+        alpha, beta = np.full((n + 1, 2), -np.inf), np.full((n + 1, 2), -np.inf)
+        alpha[0] = beta[n] = 0
+        for i, j, k in edges:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[k])
+        for i, j, k in reversed(edges):
+            beta[i] = np.logaddexp(beta[i], beta[j] + log_p[k])
+        for i, j, k in edges:
+            want_uses[k] += np.array(c) * np.exp(alpha[i] + log_p[k] + beta[j] - alpha[n])
+        assert np.isfinite(row).all() and np.allclose(row, alpha[n])
+    assert np.allclose(lattice.expected(words, np.array(counts), p), want_uses)
 
 
 def rows():

@@ -3,7 +3,7 @@
 import math
 
 import corpus_pipeline
-from spanlake.llm.language import MARK, PART, learn
+from spanlake.llm.language import MARK, learn
 from test_decontamination import brute as contaminated
 from test_decontamination import windows
 from test_lines import brute as lines
@@ -30,9 +30,7 @@ def known_language(text, model, memo):
     totals = [0.0] * len(model.languages)
     for word in text.lower().split():
         if word not in memo:
-            marked = MARK + word
-            parts = [marked[i:i + PART] for i in range(0, len(marked), PART)]
-            memo[word] = [sum(log_probability(x, of, unknown) for x in parts) for of, unknown in model_tables(model)]
+            memo[word] = [log_probability(MARK + word, of, unknown) for of, unknown in model_tables(model)]
         totals = [a + b for a, b in zip(totals, memo[word])]
     top = max(totals)
     return 1 / sum(math.exp(t - top) for t in totals) >= 0.5
