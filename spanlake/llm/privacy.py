@@ -16,8 +16,8 @@ both, the term as a word outside base spans,
 
 and a term discloses the entity if PMI >= ``threshold`` * IC, that is, if knowing it
 leaves little of the entity unknown. ``min_contexts`` asks for a pair in that many
-different texts; with 1 (:data:`EVERY`, as ``op6_pii`` has it) entities that stand only
-once are protected too. A disclosing term becomes a span of kind ``term`` wherever it is
+different texts; with 1, the default, entities that stand only once are protected too. A
+disclosing term becomes a span of kind ``term`` wherever it is
 a word of a document that holds the entity, outside base spans, which all stay.
 :func:`sanitised` generalises every span to the name of its kind.
 
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.shared import free_name, written
-from spanlake.operators.common import broadcast_if_small, explode_rows
+from spanlake.operators.common import broadcast_if_small, explode_rows, let
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -59,10 +59,7 @@ SPAN = "struct<start:int,end:int,value:string>"
 @dataclass(frozen=True)
 class Disclosure:
     threshold: float = 0.8
-    min_contexts: int = 3
-
-
-EVERY = Disclosure(min_contexts=1)
+    min_contexts: int = 1
 
 
 def _digits(value: Column) -> Column:
@@ -91,20 +88,43 @@ TESTS = {"email": lambda v: F.lit(True), "ip": _small_parts, "card": _luhn,
          "phone": lambda v: F.length(_digits(v)).between(8, 15)}
 
 
+def _sums_before(lengths: Column, begin: Column) -> Column:
+    """``begin`` plus the sum of the numbers before each: the list grows as it is made, so
+    this is for short arrays."""
+    start = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda done, n: F.struct(
+        (done["at"] + n).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
+
+
+BLOCK = 64
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the numbers before each, block by block, in a time that hardly grows
+    faster than the array."""
+    def blocks(v):
+        last = F.floor((F.greatest(F.size(v["n"]), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v["n"], b * BLOCK + 1, BLOCK))
+
+    def joined(v):
+        sums = F.transform(v["blocks"], lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
+        return F.flatten(F.zip_with(v["blocks"], _sums_before(sums, F.lit(0)), _sums_before))
+    return let({"blocks": let({"n": lengths}, blocks)}, joined)
+
+
 def _matches(text: Column, pattern: str, keep=None) -> Column:
     """All matches (that ``keep`` wants) with their places: the gaps between them come
-    from splitting."""
+    from splitting, the places from running sums of the lengths."""
     pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(done, pair):
-        start = done["at"] + F.length(pair["0"])
-        end = start + F.length(pair["1"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["1"].alias("value"))
-        spans = F.concat(done["spans"], F.array(span))
-        spans = F.when(keep(pair["1"]), spans).otherwise(done["spans"]) if keep else spans
-        return F.when(pair["1"].isNull(), done).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    def placed(v):
+        def span(pair, at):
+            start = at + F.length(pair["0"])
+            return F.struct(start.alias("start"), (start + F.length(pair["1"])).alias("end"), pair["1"].alias("value"))
+        lengths = F.transform(v["pairs"], lambda x: F.length(x["0"]) + F.coalesce(F.length(x["1"]), F.lit(0)))
+        spans = F.zip_with(v["pairs"], _running(lengths), span)
+        return F.filter(spans, lambda s: s["value"].isNotNull() & keep(s["value"]) if keep else s["value"].isNotNull())
+    return let({"pairs": pairs}, placed)
 
 
 def _kind_spans(text: Column, kind: str) -> Column:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanlake.llm.privacy import EVERY, Disclosure, personal_data, sanitised
+from spanlake.llm.privacy import PATTERNS, Disclosure, _matches, personal_data, sanitised
 from spanlake.llm.q_corpus import op6
 
 # the contract's patterns, as they are
@@ -49,7 +49,7 @@ def test_base_spans_against_the_plain_patterns(docs_of):
     rows = list(enumerate(texts)) + [(None, "a@b.cd"), (3, ODD[3])]
     got = sorted((tuple(r)[:6] for r in personal_data(docs_of(rows)).collect()), key=str)
     assert got == sorted((row(i, t) for i, t in rows), key=str)
-    spans = {r.doc_id: r.spans for r in personal_data(docs_of(rows)).collect()}
+    spans = {r.doc_id: r.spans for r in personal_data(docs_of(rows), rules=Disclosure(min_contexts=3)).collect()}
     assert spans[3] == ",".join(f"{k}:{a}:{b}" for k, a, b in base(ODD[3]))
     assert personal_data(docs_of(rows).limit(0)).count() == 0
 
@@ -81,7 +81,7 @@ def test_disclosing_terms_and_sanitised_texts(docs_of):
     for i in range(5):
         rows.append((100 + i, f"{rng.choice(common)} Quentin {i} {rng.choice(common)} quentin@x.example of {'über' * (i + 1)}"))
     rows += [(200 + i, "copied rareword text rare@y.example") for i in range(6)] + [(300, "Quentin alone"), (301, None), (None, "")]
-    rules = Disclosure()
+    rules = Disclosure(min_contexts=3)
     want = brute_terms(rows, rules)
     assert want == {("quentin@x.example", "quentin")}
     docs = docs_of(rows)
@@ -92,16 +92,16 @@ def test_disclosing_terms_and_sanitised_texts(docs_of):
             assert [text[int(a):int(b)] for a, b in terms] == re.findall("Quentin", text)
         else:
             assert not terms
-    out = {r.doc_id: r.text for r in sanitised(docs).collect()}
+    out = {r.doc_id: r.text for r in sanitised(docs, rules=rules).collect()}
     assert out[200] == "copied rareword text [EMAIL]" and out[300] == "Quentin alone" and out[301] is None
     assert all("[TERM]" in out[100 + i] and "[EMAIL]" in out[100 + i] and "uentin" not in out[100 + i] for i in range(5))
     clash = docs.withColumns({c: F.lit("x") for c in ("terms", "row", "_row", "_email", "_term", "entity")})
-    again = sanitised(clash)
+    again = sanitised(clash, rules=rules)
     assert again.columns == clash.columns and {r.doc_id: r.text for r in again.collect()} == out
 
 
 def test_overlapping_spans_are_one(docs_of):
-    out = sanitised(docs_of([(1, "x a+1 555 123 4567@b.cc y"), (2, "+4111111111111111 z")])).collect()
+    out = sanitised(docs_of([(1, "x a+1 555 123 4567@b.cc y"), (2, "+4111111111111111 z")]), rules=Disclosure(min_contexts=3)).collect()
     assert sorted(r.text for r in out) == ["[CARD] z".replace("[CARD]", "+[CARD]"), "x a[PHONE] y"]
 
 
@@ -135,10 +135,23 @@ def test_terms_of_entities_that_stand_once(spark, docs_of, tmp_path):
     texts += [f"Li {some(60)} B52x a.li@x.example {some(60)} teléfono+1 (409) 555-8387 and abc1.2.3.4x {some(3)}"]
     texts += ["copied rareword text rare@y.example, \ufdd0rareword"] * 6 + ["rareword of many"] * 3 + ["a.li@z.example a.li li"]
     texts += [f"{some(4)} Quentin {i} q@x.example r@x.example" for i in range(5)] + [f"{some(2)} q@x.example", "Quentin of words"]
-    want = plain_spans(texts, EVERY.threshold)
+    want = plain_spans(texts, Disclosure().threshold)
     assert any(want.values()) and want[texts[80]].startswith("term:0:2,")
     docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.spans for r in op6(spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         assert ",".join(x for x in got[i].split(",") if x.startswith("term:")) == want[t], t
     assert [t for t in want if "rareword text" in t and want[t].count("term") == 4]
+
+
+def test_places_of_many_matches_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("".join(f"{i} x " for i in range(n)),)], "text string")
+        t0 = time.perf_counter()
+        found = df.select(_matches(F.col("text"), PATTERNS["card"]).alias("m")).first()["m"]
+        assert len(found) == n - 10 and all(len(x["value"]) == x["end"] - x["start"] for x in found)
+        return time.perf_counter() - t0
+    seconds(100)
+    assert seconds(40_000) < 2.5 * seconds(20_000) + 2
