@@ -217,8 +217,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                       F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"))
     keyed = docs.withColumn(key, of_row)
     keep = (near_duplicates(keyed, id_col=key, text_col=text_col, **options)
-            .select(*(F.col("component_id")[c].alias(f"_k_{c}") for c in ("no_id", "id", "h", "g"))).distinct())
-    same = [keyed[key][c].eqNullSafe(keep[f"_k_{c}"]) for c in ("no_id", "id", "h", "g")]
+            .select(F.col("component_id").alias("_kept")).distinct())
+    # joined and numbered by the same key, so that texts are shuffled once
     first = Window.partitionBy(key).orderBy(F.lit(0))
-    return (keyed.join(keep, same[0] & same[1] & same[2] & same[3], "left_semi")
+    return (keyed.join(keep, keyed[key] == keep["_kept"], "left_semi")
             .withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns))
