@@ -6,12 +6,14 @@ a run of atoms too, of one word or several. From left to right the longest term
 begins at an atom is one token, and the search goes on behind it; atoms that no term
 takes are tokens if they are words.
 
-The terms are a trie over atoms, held as one flat table ``(node, atom) -> node``. It is
-built from a written table in blocks of at most ``MAX_NODES`` nodes, whose size in memory
-is therefore bounded, and each block is broadcast. One block is the usual case; with
-more, every block finds its longest terms of each text, the finds are merged in the
-row, and the tokens are chosen after the last block. Texts never leave their row and
-are worked on in Arrow batches.
+A dictionary of at most ``MAX_NODES`` trie nodes is a :class:`Trie` that is broadcast. The
+nodes of a larger one are hashes of the terms' beginnings, held as bits of two filters
+(:class:`HashedTrie`): one of beginnings and one of whole terms. Spark makes the bits, and
+a filter never takes more than ``MAX_BITS``, so a worker's memory does not grow with the
+dictionary. A filter may take a string for a term that is none, but never misses one: the
+terms that the texts were cut into are joined to the dictionary, those that are not in it
+are excluded by name, and the texts are cut again until there is no such string.
+Texts never leave their row and are worked on in slices of Arrow batches.
 
 Null and empty texts have no tokens. Null, empty and blank terms are no terms; repeated
 ones count once. With an empty dictionary the tokens are those of ``retrieval.analyze``.
@@ -19,18 +21,24 @@ ones count once. With an empty dictionary the tokens are those of ``retrieval.an
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import copy
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WORD, WS
+from spanlake.operators.batches import slices
 from spanlake.session import ship_package, written
 
-MAX_NODES = 400_000  # of a block; one takes about 130 bytes
-FINDS = "array<struct<start:int,end:int>>"
+MAX_NODES = 400_000  # of a trie; one takes about 130 bytes
+MAX_BITS = 1 << 28  # of a filter
+BITMAP = 1 << 15  # bits of one row of ``bitmap_construct_agg``
+NODE_BITS, TERM_BITS, TERM_PROBES = 8, 64, 12
+FILTERS = ("beginnings", "terms")
 
 
 def folded(text) -> Column:
@@ -102,65 +110,173 @@ def chosen(atoms: list[str], finds: dict[int, int], is_word) -> tuple[list[str],
     return terms, whole
 
 
-def _finds_column(trie, text: Column, earlier: Column | None) -> Column:
-    """All finds of one block, merged with those of earlier blocks (longer ones win)."""
-    cut = regex.compile(SEGMENT)
-
-    def merged(texts: pa.Array, before: list) -> pa.Array:
-        starts, ends, counts = [], [], [0]
-        for text, old in zip(texts.to_pylist(), before):
-            found = trie.value.finds(cut.findall(text or ""))
-            for f in old or []:
-                found[f["start"]] = max(found.get(f["start"], 0), f["end"])
-            starts.extend(found)
-            ends.extend(found.values())
-            counts.append(len(starts))
-        pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["start", "end"])
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pairs)
-
-    if earlier is None:
-        @F.arrow_udf(FINDS)
-        def find(texts: pa.Array) -> pa.Array:
-            return merged(texts, [None] * len(texts))
-        return find(text)
-
-    @F.arrow_udf(FINDS)
-    def find_more(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return merged(texts, before.to_pylist())
-    return find_more(text, earlier)
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Whole 64-bit numbers, their bits well mixed (one to one)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+
+
+class Atoms:
+    """The atoms of several texts, and hashes of runs of them, as arrays.
+
+    A run's hash is that of its characters: the sum of ``character * BASE ** place`` over
+    the run, taken back to place 0, modulo 2**64."""
+
+    _word: np.ndarray | None = None
+    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __init__(self, texts: list[str]):
+        self.text = "".join(texts)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        n = len(points)
+        word = self.word_characters()[points]
+        begins = np.ones(n, bool)
+        begins[1:] = ~(word[1:] & word[:-1])
+        begins[bounds[:-1][bounds[:-1] < n]] = True
+        self.at = np.append(np.flatnonzero(begins), n)  # where each atom begins, and the end
+        self.word = word[self.at[:-1]]
+        self.first = np.searchsorted(self.at, bounds)  # each text's first atom
+        self.limit = np.repeat(self.first[1:], np.diff(self.first))  # behind the last atom of an atom's text
+        powers, self.inverse = self.powers(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
+
+    @classmethod
+    def word_characters(cls) -> np.ndarray:
+        if cls._word is None:
+            cls._word = np.zeros(0x110000, bool)
+            every = "".join(map(chr, range(0x110000)))
+            for m in regex.compile(WORD).finditer(every):
+                cls._word[m.start():m.end()] = True
+        return cls._word
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers[0]) <= n:
+            cls._powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
+                                for b in (BASE, pow(BASE, -1, 1 << 64)))
+        return cls._powers
+
+    def hashes(self, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """Hashes of the atoms from ``first`` to before ``behind``."""
+        s = self.at[first]
+        return _mixed((self.sums[self.at[behind]] - self.sums[s]) * self.inverse[s])
+
+    def run(self, first: int, behind: int) -> str:
+        return self.text[self.at[first]:self.at[behind]]
+
+
+def _probes(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The ``k``-th bit of each hash in a filter of ``bits`` (a power of two)."""
+    step = _mixed(hashes) | np.uint64(1)
+    return ((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bits_of(n: int, each: int) -> int:
+    return min(MAX_BITS, max(BITMAP, 1 << (n * each - 1).bit_length()))
+
+
+def filter_bits(terms: pa.Array, sizes: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """``(filter, its bits)`` of the terms, each bit once in a slice."""
+    for part in slices(terms):
+        atoms = Atoms(part.to_pylist())
+        ends = np.arange(1, len(atoms.at))
+        starts = np.repeat(atoms.first[:-1], np.diff(atoms.first))  # each prefix begins at its term's first atom
+        yield 0, np.unique(_probes(atoms.hashes(starts, ends), sizes[0], 0))
+        whole = atoms.hashes(atoms.first[:-1], atoms.first[1:])
+        yield 1, np.unique(np.concatenate([_probes(whole, sizes[1], k) for k in range(TERM_PROBES)]))
+
+
+def _filters(table: DataFrame, sizes: tuple[int, int]) -> list[bytes]:
+    """Both filters, their bits set by Spark."""
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, at in filter_bits(batch.column(0), sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array((at // BITMAP).astype(np.int32)),
+                                                  pa.array(at % BITMAP)], names=["kind", "part", "bit"])
+
+    rows = table.select("term").mapInArrow(bits, "kind int, part int, bit long")
+    found = rows.groupBy("kind", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = [bytearray(n // 8) for n in sizes]
+    for kind, part, bits in zip(*found.select("kind", "part", "bits").toArrow().to_pydict().values()):
+        at = part * BITMAP // 8
+        out[kind][at:at + BITMAP // 8] = bits
+    return [bytes(x) for x in out]
+
+
+class HashedTrie:
+    """Longest terms at all atoms at once, by both filters; ``excluded`` strings, which the
+    filters hold but the dictionary doesn't, are no terms."""
+
+    def __init__(self, filters: list[bytes], excluded: frozenset[str] = frozenset()):
+        self.filters = [np.frombuffer(f, np.uint8) for f in filters]
+        self.excluded = excluded
+        atoms = Atoms(sorted(excluded))
+        self.excluded_hashes = atoms.hashes(atoms.first[:-1], atoms.first[1:])
+
+    def among(self, kind: int, hashes: np.ndarray, probes: int) -> np.ndarray:
+        """Places of the hashes whose bits are all set."""
+        held, left = self.filters[kind], np.arange(len(hashes))
+        for k in range(probes):
+            at = _probes(hashes[left], len(held) * 8, k)
+            left = left[(held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return left
+
+    def longest(self, atoms: Atoms) -> np.ndarray:
+        """How many atoms the longest term at each atom has; 0 if none begins there."""
+        out = np.zeros(len(atoms.at) - 1, np.int64)
+        at, n = np.arange(len(out)), 0
+        while len(at):
+            n += 1
+            at = at[at + n <= atoms.limit[at]]
+            hashes = atoms.hashes(at, at + n)
+            left = self.among(0, hashes, 1)
+            at, hashes = at[left], hashes[left]
+            whole = self.among(1, hashes, TERM_PROBES)
+            if len(self.excluded):
+                seen = np.isin(hashes[whole], self.excluded_hashes)
+                seen[seen] = [atoms.run(a, a + n) in self.excluded for a in at[whole][seen]]
+                whole = whole[~seen]
+            out[at[whole]] = n
+        return out
 
-def _tokens_column(trie, text: Column, finds: Column | None, flags: bool) -> Column:
+    def tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The texts' tokens, which of them are dictionary terms, and each text's number."""
+        atoms = Atoms(texts)
+        ends = self.longest(atoms)
+        behind = 0
+        for a in np.flatnonzero(ends).tolist():
+            if a < behind:
+                ends[a] = 0
+            else:
+                behind = a + int(ends[a])
+        terms = np.flatnonzero(ends)
+        inside = np.zeros(len(atoms.at), np.int64)
+        inside[terms] += 1
+        np.subtract.at(inside, terms + ends[terms], 1)
+        free = np.cumsum(inside)[:-1] == 0
+        first = np.flatnonzero((ends > 0) | (free & atoms.word))
+        behind = first + np.maximum(ends[first], 1)
+        text = atoms.text
+        tokens = [text[s:e] for s, e in zip(atoms.at[first].tolist(), atoms.at[behind].tolist())]
+        return tokens, ends[first] > 0, np.diff(np.searchsorted(first, atoms.first))
+
+
+def _trie_tokens(trie: Trie, texts: list[str]) -> tuple[list[str], list[bool], list[int]]:
     cut, is_word = regex.compile(SEGMENT), regex.compile(WORD).fullmatch
-    kind = "array<struct<term:string,whole:boolean>>" if flags else "array<string>"
-
-    def lists(all_terms, all_whole, counts):
-        values = pa.array(all_terms, pa.string())
-        if flags:
-            values = pa.StructArray.from_arrays([values, pa.array(all_whole, pa.bool_())], names=["term", "whole"])
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), values)
-
-    def tokens(texts: pa.Array, before) -> pa.Array:
-        all_terms, all_whole, counts = [], [], [0]
-        for text, old in zip(texts.to_pylist(), before):
-            atoms = cut.findall(text or "")
-            found = trie.value.finds(atoms) if trie is not None else {f["start"]: f["end"] for f in old or []}
-            terms, whole = chosen(atoms, found, is_word)
-            all_terms.extend(terms)
-            all_whole.extend(whole)
-            counts.append(len(all_terms))
-        return lists(all_terms, all_whole, counts)
-
-    if finds is None:
-        @F.arrow_udf(kind)
-        def tokenize(texts: pa.Array) -> pa.Array:
-            return tokens(texts, [None] * len(texts))
-        return tokenize(text)
-
-    @F.arrow_udf(kind)
-    def tokenize_found(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return tokens(texts, before.to_pylist())
-    return tokenize_found(text, finds)
+    all_terms, all_whole, counts = [], [], []
+    for text in texts:
+        atoms = cut.findall(text)
+        terms, whole = chosen(atoms, trie.finds(atoms), is_word)
+        all_terms.extend(terms)
+        all_whole.extend(whole)
+        counts.append(len(terms))
+    return all_terms, all_whole, counts
 
 
 class DictionaryAnalyzer:
@@ -173,25 +289,70 @@ class DictionaryAnalyzer:
     def __init__(self, terms: DataFrame, max_nodes: int = MAX_NODES):
         spark = terms.sparkSession
         ship_package(spark)
-        # a term has at most one atom per character; terms are dealt to blocks by a hash
-        # with room to spare, and a block's nodes are at most its terms' atoms
-        table = written(dictionary_terms(terms).withColumn("_n", F.size(F.regexp_extract_all("term", F.lit(SEGMENT), 0))), "dictionary")
-        nodes = table.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        blocks = -(-nodes // max_nodes) if nodes <= max_nodes else -(-5 * nodes // (4 * max_nodes))
-        dealt = table.withColumn("_block", F.pmod(F.xxhash64("term"), F.lit(max(1, blocks))))
-        self.tries = []
-        for k in range(max(1, blocks)):
-            block = dealt.where(F.col("_block") == k).select("term").toArrow().column(0).to_pylist()
-            self.tries.append(spark.sparkContext.broadcast(Trie(sorted(block))))
+        # a term has at most one node per atom
+        self.table = written(dictionary_terms(terms).withColumn("_n", F.size(F.regexp_extract_all("term", F.lit(SEGMENT), 0))), "dictionary")
+        nodes, count = self.table.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+        self.hashed, self.excluded, self.checks = nodes > max_nodes, None, True
+        if self.hashed:
+            held = _filters(self.table, (_bits_of(nodes, NODE_BITS), _bits_of(count, TERM_BITS)))
+        else:
+            held = [Trie(sorted(self.table.select("term").toArrow().column(0).to_pylist()))]
+        self.tries = [spark.sparkContext.broadcast(x) for x in held]
+
+    def _cutter(self):
+        """A function from a list of texts to tokens, flags and numbers of tokens, which
+        reads what is broadcast when it is first called in a task."""
+        tries, excluded, hashed, made = self.tries, self.excluded, self.hashed, []
+
+        def cut(texts: list[str]):
+            if not hashed:
+                return _trie_tokens(tries[0].value, texts)
+            if not made:
+                made.append(HashedTrie([t.value for t in tries], excluded.value if excluded else frozenset()))
+            return made[0].tokens(texts)
+        return cut
+
+    def checked(self, df: DataFrame, texts: list[str]) -> DictionaryAnalyzer:
+        """The analyzer whose terms in these text columns are all terms of the dictionary:
+        strings that only a filter takes for terms are excluded."""
+        out = copy.copy(self)
+        out.checks = False
+        if not self.hashed or not self.checks:
+            return out
+        found = F.explode(F.array(*[folded(t) for t in texts]))
+        seen = df.select(found.alias("text")).where("text is not null")
+        wrong: frozenset[str] = frozenset()
+        while True:
+            used = seen.mapInArrow(_whole_terms(out._cutter()), "term string").distinct()
+            more = used.join(self.table.select("term"), "term", "left_anti").toArrow().column(0).to_pylist()
+            if not more:
+                return out
+            wrong |= frozenset(more)
+            out.excluded = df.sparkSession.sparkContext.broadcast(wrong)
 
     def tokens(self, df: DataFrame, columns: dict[str, str], flags: bool = False) -> DataFrame:
-        for text, out in columns.items():
-            seen, found = f"{out}_text", f"{out}_found"
-            df = df.withColumn(seen, folded(text))
-            if len(self.tries) == 1:
-                df = df.withColumn(out, _tokens_column(self.tries[0], F.col(seen), None, flags)).drop(seen)
-                continue
-            for k, trie in enumerate(self.tries):
-                df = df.withColumn(found, _finds_column(trie, F.col(seen), F.col(found) if k else None))
-            df = df.withColumn(out, _tokens_column(None, F.col(seen), F.col(found), flags)).drop(seen, found)
-        return df
+        cut = self.checked(df, list(columns))._cutter()
+        kind = "array<struct<term:string,whole:boolean>>" if flags else "array<string>"
+
+        @F.arrow_udf(kind)
+        def tokenize(texts: pa.Array) -> pa.Array:
+            out = []
+            for part in slices(texts):
+                terms, whole, counts = cut([t or "" for t in part.to_pylist()])
+                values = pa.array(terms, pa.string())
+                if flags:
+                    values = pa.StructArray.from_arrays([values, pa.array(whole, pa.bool_())], names=["term", "whole"])
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values))
+            return pa.concat_arrays(out)
+        return df.withColumns({out: tokenize(folded(text)) for text, out in columns.items()})
+
+
+def _whole_terms(cut):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            used = set()
+            for part in slices(batch.column(0)):
+                terms, whole, _ = cut(part.to_pylist())
+                used.update(t for t, w in zip(terms, whole) if w)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(used), pa.string())], names=["term"])
+    return run

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WORD
+from spanlake.operators import dictionary
 from spanlake.operators import retrieval as R
 from spanlake.operators.dictionary import DictionaryAnalyzer, Trie, chosen
 
@@ -105,3 +106,21 @@ def test_dictionary_with_stop_words_and_fields(spark):
 def test_phrases_of_titles(spark):
     titles = spark.createDataFrame([("Foo (bar)  baz",), (" ",), (None,), ("Foo bar baz",)], "title string")
     assert [r["term"] for r in R.phrase_dictionary(titles).collect()] == ["Foo bar baz"]
+
+
+def test_large_dictionary_takes_two_filters_of_bounded_size(spark, monkeypatch):
+    """Filters that are full take many strings for terms; the tokens are right all the same."""
+    monkeypatch.setattr(dictionary, "MAX_BITS", dictionary.BITMAP)
+    rng = random.Random(3)
+    words = [f"{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    terms = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(6000)})
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)] + [None, "", terms[7].upper()]
+    analyzer = DictionaryAnalyzer(spark.createDataFrame([(t,) for t in terms], "term string"), 100)
+    assert [len(t.value) for t in analyzer.tries] == [dictionary.BITMAP // 8] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    wrong = analyzer.checked(df, ["text"]).excluded
+    assert wrong.value and not wrong.value & set(terms)
+    trie, cut = Trie(terms), regex.compile(SEGMENT).findall
+    for i, got in tokens_of(spark, analyzer, texts).items():
+        atoms = cut((texts[i] or "").lower())
+        assert got == list(zip(*chosen(atoms, trie.finds(atoms), regex.compile(WORD).fullmatch)))
