@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from spanlake.functions.text import WS, title_prefix, words
-from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows, r6
+from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows, r6, size_of
 from spanlake.operators.dictionary import DictionaryAnalyzer
 from spanlake.session import written
 
 K1 = 1.2
 B = 0.75
+PARTITION_BYTES = 8 << 20  # of text whose postings one task groups
 
 
 @dataclass
@@ -86,13 +87,20 @@ def _fields(text) -> list[str]:
     return [text] if isinstance(text, str) else list(text)
 
 
+def index_partitions(docs: DataFrame) -> int:
+    """As many partitions as leave each about ``PARTITION_BYTES`` of text, so that a task's
+    postings take the same memory whatever the size of the corpus."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size_of(docs)[1] // PARTITION_BYTES))
+
+
 def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions: int | None,
                 analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """Raw field texts hash-partitioned by ``doc_id`` (the text moves, not tokens),
     then one row per (document, field) with its tokens, tokenized after the shuffle."""
     docs = corpus.select(F.col(key).alias("doc_id"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
-    docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
-            else docs.repartition("doc_id"))
+    if analyzer is not None:
+        analyzer = analyzer.checked(docs, [f"_f{i}" for i in range(len(fields))])  # before the texts move
+    docs = docs.repartition(num_partitions or index_partitions(docs), "doc_id")
     if analyzer is None:
         toks = [analyze(f"_f{i}") for i in range(len(fields))]
     else:

@@ -193,3 +193,12 @@ def test_dictionary_terms_stay_whole(spark):
     for limit in (1 << 20, 0):
         got = sorted((r.term, r.whole) for r in R.dictionary_tokens(corpus, d, max_broadcast_bytes=limit).collect())
         assert got == [("new-york", True), ("new-york", True), ("seoul", False), ("seoul", True), ("the", False), ("times", False)]
+
+
+def test_a_task_groups_a_bounded_amount_of_text(spark, monkeypatch):
+    """The number of partitions follows the bytes of the texts, not a fixed setting."""
+    monkeypatch.setattr(R, "PARTITION_BYTES", 1000)
+    corpus = spark.createDataFrame([(i, "word " * 200) for i in range(40)], "doc_id long, text string")
+    postings = R.build_index(corpus, materialize=False).postings
+    assert R.index_partitions(corpus) == 41  # 1,008 bytes a row
+    assert postings.rdd.getNumPartitions() == 41
