@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SOLID_SEGMENT, words
+from spanlake.operators.batches import sliced, slices
 from spanlake.operators.common import explode_rows
 from spanlake.operators.windows import TOKENS, UNK_ID, vocabulary_from_terms
 from spanlake.session import ship_package, written
@@ -146,7 +147,7 @@ def _whole(text: Column, trie, symbols: dict[str, int]) -> Column:
 
     @F.arrow_udf(TOKENS)
     def tokenize(texts: pa.Array) -> pa.Array:
-        return _arrays(cut(t) for t in texts.to_pylist())
+        return pa.concat_arrays([_arrays(cut(t) for t in part.to_pylist()) for part in slices(texts)])
     return tokenize(text)
 
 
@@ -167,7 +168,8 @@ def _finds(text: Column, earlier: Column, trie, symbols: dict[str, int]) -> Colu
 
     @F.arrow_udf(FINDS)
     def merged(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return _arrays(find(t, b) for t, b in zip(texts.to_pylist(), before.to_pylist()))
+        return pa.concat_arrays([_arrays(find(t, b) for t, b in zip(part.to_pylist(), own.to_pylist()))
+                                 for part, own in sliced(texts, before)])
     return merged(text, earlier)
 
 
@@ -189,7 +191,8 @@ def _chosen(text: Column, finds: Column, symbols: dict[str, int]) -> Column:
 
     @F.arrow_udf(TOKENS)
     def tokenize(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return _arrays(choose(t, f) for t, f in zip(texts.to_pylist(), found.to_pylist()))
+        return pa.concat_arrays([_arrays(choose(t, f) for t, f in zip(part.to_pylist(), own.to_pylist()))
+                                 for part, own in sliced(texts, found)])
     return tokenize(text, finds)
 
 

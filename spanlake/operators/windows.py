@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SOLID_SEGMENT, words
+from spanlake.operators.batches import slices
 from spanlake.operators.common import (MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows,
                                        posexplode_rows, size_of)
 from spanlake.operators.ordering import prefix_sums
@@ -101,12 +102,8 @@ def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Ca
     ship_package(df.sparkSession)
     made = []  # by the first batch of a task
 
-    @F.arrow_udf(TOKENS.replace(">>", ",token:string>>") if with_text else TOKENS)
-    def tokenize(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(factory())
+    def arrays(given: list[str | None]) -> pa.Array:
         ids, starts, ends, parts, counts = [], [], [], [], [0]
-        given = texts.to_pylist()
         for text, (i, s, e) in zip(given, made[0](given)):
             ids.extend(i)
             starts.extend(s)
@@ -121,6 +118,12 @@ def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Ca
             names.append("token")
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names=names))
 
+    @F.arrow_udf(TOKENS.replace(">>", ",token:string>>") if with_text else TOKENS)
+    def tokenize(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(factory())
+        return pa.concat_arrays([arrays(part.to_pylist()) for part in slices(texts)])
+
     return df.withColumns({name: tokenize(F.col(c)) for c, name in columns.items()})
 
 
