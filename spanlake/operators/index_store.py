@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators.common import MAX_BROADCAST_BYTES, broadcast_if_small
 from spanlake.operators.dictionary import DictionaryAnalyzer
-from spanlake.operators.retrieval import InvertedIndex, build_index
+from spanlake.operators.retrieval import InvertedIndex, build_index, index_partitions
 
 POSTINGS_PER_BUCKET = 20_000_000
 
@@ -62,8 +62,9 @@ class IndexStore:
     def create(self, corpus: DataFrame, key: str = "doc_id", text="text", stopwords: DataFrame | None = None,
                buckets: int | None = None, analyzer: DictionaryAnalyzer | None = None) -> IndexStore:
         """A new base from a corpus. Texts are shuffled once, by id; the postings that a
-        task makes are one bucket."""
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        task makes are one bucket, of a bounded amount of text."""
+        fields = [text] if isinstance(text, str) else list(text)
+        buckets = buckets or index_partitions(corpus.select(key, *fields))
         index = build_index(corpus, key, text, stopwords, num_partitions=buckets, materialize=False, analyzer=analyzer)
         self._write_base(index.postings, buckets)
         return self
