@@ -1,17 +1,16 @@
 """Scoring slot (M1) and span loss (M2).
 
 M1 runs a caller-supplied model over feature rows in Arrow batches with
-``mapInPandas``; the model is built once per task and gets 2-D arrays of a bounded
+``mapInArrow``; the model is built once per task and gets 2-D arrays of a bounded
 number of rows. A JVM-side lexical scorer (question/context token overlap) gives
 deterministic logits for end-to-end runs without a network.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -36,45 +35,18 @@ def lexical_logits(features: DataFrame, context_id: int = 1) -> DataFrame:
     return features.withColumns({"start_logits": hit, "end_logits": hit})
 
 
-def stacked(column: pd.Series) -> np.ndarray:
-    """Rows of integers as one 2-D array, short rows and nulls filled with ``NONE``."""
-    rows = [np.asarray(x, dtype=np.float64) for x in column]
-    out = np.full((len(rows), max(map(len, rows), default=0)), NONE, np.int64)
-    for to, row in zip(out, rows):
-        to[:len(row)] = np.where(np.isnan(row), NONE, row)
-    return out
-
-
 def score_with(features: DataFrame, model_factory: Callable[[], Callable], key_cols=("feature_id",),
                input_cols=("input_ids", "attention_mask"), batch_size: int = 32) -> DataFrame:
     """M1 plug-in path: ``model_factory()`` returns ``model(inputs) -> (start, end)``.
     ``inputs`` has a 2-D integer array of up to ``batch_size`` rows per input column
-    (see :func:`stacked`); the logits are 2-D arrays as wide as the first one, and each
+    (see :func:`stacked_lists`); the logits are 2-D arrays as wide as the first one, and each
     row keeps as many as it has ids."""
-    key_fields = [features.schema[c] for c in key_cols]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    schema += ", start_logits array<float>, end_logits array<float>"
-    keys = list(key_cols)
-    ship_package(features.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_factory()
-        for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                part = pdf.iloc[at:at + batch_size]
-                start, end = model({c: stacked(part[c]) for c in input_cols})
-                out = part[keys].copy()
-                sizes = [len(x) for x in part[input_cols[0]]]
-                out["start_logits"] = [np.asarray(x[:n], np.float32) for x, n in zip(start, sizes)]
-                out["end_logits"] = [np.asarray(x[:n], np.float32) for x, n in zip(end, sizes)]
-                yield out
-
-    return features.select(*key_cols, *input_cols).mapInPandas(run, schema)
+    return score_many(features, {"": model_factory}, key_cols, input_cols, batch_size=batch_size).drop("model")
 
 
 def stacked_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of integers as one 2-D array like :func:`stacked`, and which of its places
-    are theirs."""
+    """Lists of integers as one 2-D array, short rows and nulls filled with ``NONE``, and
+    which of its places are theirs."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
     inside = np.arange(int(sizes.max(initial=0))) < sizes[:, None]
     out = np.full(inside.shape, NONE, np.int64)

@@ -91,7 +91,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make the ``spanlake`` package importable in Python workers.
 
-    Needed by the ``mapInPandas`` scorer path: its functions are pickled by
+    Needed by the ``mapInArrow`` scorer path: its functions are pickled by
     reference. The package is zipped once per application into the shared
     checkpoint folder and added with ``addPyFile``. When that folder is not a
     local path (a cluster file system), the package is expected to be installed
