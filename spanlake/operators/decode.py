@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators import spans
 from spanlake.operators.common import explode_rows, let, posexplode_rows
 
 N_BEST = 20
@@ -54,21 +55,7 @@ def attach_logits(features: DataFrame, logits: DataFrame, key="feature_id") -> D
 def top_indexes(logits: Column, n: int) -> Column:
     """D3: ``array<struct<idx, logit, rank>>`` of the ``n`` largest logits;
     equal logits: higher index first."""
-    keyed = F.transform(logits, lambda x, i: F.struct((-x.cast("double")).alias("nk"), (-i).alias("ni")))
-    best = F.slice(F.array_sort(keyed), 1, n)
-    return F.transform(best, lambda t, r: F.struct((-t["ni"]).alias("idx"), (-t["nk"]).alias("logit"),
-                                                   r.alias("rank")))
-
-
-def _valid(s, e, offsets: Column, max_ctx: Column | None, max_len: int) -> Column:
-    n_off = F.size(offsets)
-    ok = ((s["idx"] < n_off) & (e["idx"] < n_off)
-          & F.get(offsets, s["idx"]).isNotNull() & F.get(offsets, e["idx"]).isNotNull()
-          & (e["idx"] >= s["idx"]) & (e["idx"] - s["idx"] + 1 <= max_len))
-    if max_ctx is not None:
-        ok = ok & (max_ctx.isNull()
-                   | F.coalesce(F.try_element_at(max_ctx, s["idx"].cast("string")), F.lit(False)))
-    return ok
+    return spans.top_of(logits, n)
 
 
 def feature_candidates(features: DataFrame, n_best: int = N_BEST, max_answer_length: int = MAX_ANSWER_LENGTH,
@@ -79,37 +66,16 @@ def feature_candidates(features: DataFrame, n_best: int = N_BEST, max_answer_len
     start_logit, end_logit, score, char_start, char_end``.
     """
     with_mc = use_max_context and "token_is_max_context" in features.columns
-    bound = {"o": "offset_mapping", "s": top_indexes(F.col("start_logits"), n_best),
-             "e": top_indexes(F.col("end_logits"), n_best)}
+    given = [F.col("start_logits").alias("s"), F.col("end_logits").alias("e"), F.col("offset_mapping").alias("o")]
     if with_mc:
-        bound["m"] = "token_is_max_context"
-
-    def per_feature(v):
-        # Offsets, the max-context map and both top-n lists are bound once per
-        # feature row (see ``let``), not re-evaluated for every (start, end) pair.
-        offsets, ends, max_ctx = v["o"], v["e"], (v["m"] if with_mc else None)
-
-        def pairs(s):
-            return F.transform(
-                F.filter(ends, lambda e: _valid(s, e, offsets, max_ctx, max_answer_length)),
-                lambda e: F.struct(
-                    (-(s["logit"] + e["logit"])).alias("neg_score"),
-                    s["rank"].alias("start_rank"), e["rank"].alias("end_rank"),
-                    s["idx"].alias("start_idx"), e["idx"].alias("end_idx"),
-                    s["logit"].alias("start_logit"), e["logit"].alias("end_logit"),
-                    F.get(offsets, s["idx"])["start"].alias("char_start"),
-                    F.get(offsets, e["idx"])["end"].alias("char_end")))
-
-        cands = F.flatten(F.transform(v["s"], pairs))
-        if per_feature_cut:
-            # Sorted by (-score, start_rank, end_rank): the feature's own best n.
-            cands = F.slice(F.array_sort(cands), 1, n_best)
-        return cands
-
-    cands = let(bound, per_feature)
+        given.append(F.col("token_is_max_context").alias("m"))
+    place = features.schema["offset_mapping"].dataType.elementType
+    chars = place["start"].dataType.simpleString(), place["end"].dataType.simpleString()
+    # With the cut: the feature's own best n by (-score, start_rank, end_rank).
+    cands = spans.candidates(F.struct(*given), n_best, max_answer_length, per_feature_cut, with_mc, chars)
     rows = explode_rows(features, cands, [*_model(features), "example_id", "feature_id"], "c")
     return rows.select(*_model(features), "example_id", "feature_id", "c.start_rank", "c.end_rank", "c.start_idx", "c.end_idx",
-                       "c.start_logit", "c.end_logit", (-F.col("c.neg_score")).alias("score"),
+                       "c.start_logit", "c.end_logit", "c.score",
                        "c.char_start", "c.char_end")
 
 

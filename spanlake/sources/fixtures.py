@@ -18,6 +18,7 @@ TITLE_PATTERN = rf"^([^.\n]{{0,{TITLE_CHARS}}})"
 ANSWER_LEN = 24
 QUESTION_POSITIONS = 8  # feature positions 0..7 belong to the question
 FEATURES_PER_EXAMPLE = 2
+FEATURES_PER_TASK = 1 << 14  # decoded by one task, some seconds of work
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +80,14 @@ def eval_features(spark: SparkSession, sf_dir: str, variant: str = "se") -> Data
     """
     e = table(spark, sf_dir, "embeddings")
     n = e.select(F.count("*")).scalar()
-    d = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-docs.count() * FEATURES_PER_EXAMPLE // FEATURES_PER_TASK))
+    d = docs.select(
         "doc_id", F.explode(F.sequence(F.lit(0), F.lit(FEATURES_PER_EXAMPLE - 1))).alias("j"))
     d = d.withColumn("feature_id", F.col("doc_id") * FEATURES_PER_EXAMPLE + F.col("j"))
-    e = d.withColumn("vec_id", F.col("feature_id") % n).join(e, "vec_id")
+    # The decoding of a feature takes far longer than its bytes tell: the features go to
+    # tasks by their number, those of an example together. Variants share this exchange.
+    e = d.withColumn("vec_id", F.col("feature_id") % n).join(e, "vec_id").drop("vec_id").repartition(tasks, "doc_id")
     emb = F.col("embedding")
     rev = F.reverse(emb)
     start, end = {"se": (emb, rev), "es": (rev, emb), "ee": (emb, emb)}[variant]
