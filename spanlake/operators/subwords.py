@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SOLID_SEGMENT, words
-from spanlake.operators.batches import sliced, slices
+from spanlake.operators.batches import sliced, with_made
 from spanlake.operators.common import explode_rows
 from spanlake.operators.windows import TOKENS, UNK_ID, vocabulary_from_terms
 from spanlake.session import ship_package, written
@@ -36,7 +36,7 @@ from spanlake.session import ship_package, written
 CONTINUING = "##"
 MAX_NODES = 400_000  # of a block; one takes about 130 bytes
 MAX_SYMBOLS = 10_000  # added symbols, which are part of a pattern
-REMEMBERED = 200_000  # segments that a task remembers, those it met first
+REMEMBERED = 50_000  # segments that a task remembers, those it met first
 FINDS = TOKENS
 
 
@@ -127,28 +127,26 @@ def _arrays(rows) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names=["id", "start", "end"]))
 
 
-def _whole(text: Column, trie, symbols: dict[str, int]) -> Column:
+def _whole(df: DataFrame, columns: dict[str, str], trie, symbols: dict[str, int]) -> DataFrame:
     """Tokens by a vocabulary of one block."""
-    cutter, known = Cutter(symbols), {}
-
-    def cut(text):
-        for s, e, number in cutter(text):
-            if number is not None:
-                yield s, e, number
-                continue
-            segment = lowered(text[s:e])
-            pieces = known.get(segment)
-            if pieces is None:
-                pieces = trie.value.pieces(segment) or [(0, e - s, UNK_ID)]
-                if len(known) < REMEMBERED and e - s <= 64:
-                    known[segment] = pieces
-            for a, b, number in pieces:
-                yield s + a, s + b, number
-
-    @F.arrow_udf(TOKENS)
-    def tokenize(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_arrays(cut(t) for t in part.to_pylist()) for part in slices(texts)])
-    return tokenize(text)
+    def start():
+        cutter, known, found = Cutter(symbols), {}, trie.value.pieces
+
+        def cut(text):
+            for s, e, number in cutter(text):
+                if number is not None:
+                    yield s, e, number
+                    continue
+                segment = lowered(text[s:e])
+                pieces = known.get(segment)
+                if pieces is None:
+                    pieces = found(segment) or [(0, e - s, UNK_ID)]
+                    if len(known) < REMEMBERED and e - s <= 64:
+                        known[segment] = pieces
+                for a, b, number in pieces:
+                    yield s + a, s + b, number
+        return lambda texts: _arrays(cut(t) for t in texts)
+    return with_made(df, columns, TOKENS, start)
 
 
 def _finds(text: Column, earlier: Column, trie, symbols: dict[str, int]) -> Column:
@@ -218,10 +216,9 @@ class Subwords:
             self.tries.append(spark.sparkContext.broadcast(PieceTrie(pieces)))
 
     def tokens(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        if len(self.tries) == 1:
+            return _whole(df, columns, self.tries[0], self.symbols)
         for text, out in columns.items():
-            if len(self.tries) == 1:
-                df = df.withColumn(out, _whole(F.col(text), self.tries[0], self.symbols))
-                continue
             found = f"{out}_found"
             df = df.withColumn(found, F.array().cast(FINDS))
             for trie in self.tries:

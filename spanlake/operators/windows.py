@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SOLID_SEGMENT, words
-from spanlake.operators.batches import slices
+from spanlake.operators.batches import with_made
 from spanlake.operators.common import (MAX_BROADCAST_BYTES, broadcast_if_small, explode_rows,
                                        posexplode_rows, size_of)
 from spanlake.operators.ordering import prefix_sums
-from spanlake.session import ship_package, written
+from spanlake.session import written
 
 # Special symbols and their ids in the built-in vocabulary.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -99,32 +99,27 @@ def with_tokens(df: DataFrame, columns: dict[str, str], factory: Callable[[], Ca
                 with_text: bool = False) -> DataFrame:
     """Add ``columns[c]``, the tokens of text column ``c``, by the tokenizer that
     ``factory()`` makes once per task; ``with_text`` gives each token its text too."""
-    ship_package(df.sparkSession)
-    made = []  # by the first batch of a task
-
-    def arrays(given: list[str | None]) -> pa.Array:
-        ids, starts, ends, parts, counts = [], [], [], [], [0]
-        for text, (i, s, e) in zip(given, made[0](given)):
-            ids.extend(i)
-            starts.extend(s)
-            ends.extend(e)
+    def start():
+        tokenizer = factory()
+
+        def arrays(given: list[str | None]) -> pa.Array:
+            ids, starts, ends, parts, counts = [], [], [], [], [0]
+            for text, (i, s, e) in zip(given, tokenizer(given)):
+                ids.extend(i)
+                starts.extend(s)
+                ends.extend(e)
+                if with_text:
+                    parts.extend(text[a:b] for a, b in zip(s, e))
+                counts.append(len(ids))
+            fields = [pa.array(x, pa.int32()) for x in (ids, starts, ends)]
+            names = ["id", "start", "end"]
             if with_text:
-                parts.extend(text[a:b] for a, b in zip(s, e))
-            counts.append(len(ids))
-        fields = [pa.array(x, pa.int32()) for x in (ids, starts, ends)]
-        names = ["id", "start", "end"]
-        if with_text:
-            fields.append(pa.array(parts, pa.string()))
-            names.append("token")
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names=names))
-
-    @F.arrow_udf(TOKENS.replace(">>", ",token:string>>") if with_text else TOKENS)
-    def tokenize(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(factory())
-        return pa.concat_arrays([arrays(part.to_pylist()) for part in slices(texts)])
-
-    return df.withColumns({name: tokenize(F.col(c)) for c, name in columns.items()})
+                fields.append(pa.array(parts, pa.string()))
+                names.append("token")
+            return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names=names))
+        return arrays
+
+    return with_made(df, columns, TOKENS.replace(">>", ",token:string>>") if with_text else TOKENS, start)
 
 
 def token_offsets(df: DataFrame, key: str = "id", text: str = "context",
