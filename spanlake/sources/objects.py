@@ -376,7 +376,15 @@ class ObjectWriter(DataSourceWriter):
         self._forget(parts)
 
     def abort(self, messages):
-        self._forget([m for m in messages if m is not None and m.path])
+        """A task that was killed could not remove its file: all of this write's go."""
+        fs, base = file_system(self._own(""))
+        folder, _, name = base.rpartition("/")
+        for f in fs.get_file_info(pafs.FileSelector(folder or ".", allow_not_found=True)):
+            if f.base_name.startswith(name):
+                try:
+                    fs.delete_file(f.path)
+                except FileNotFoundError:
+                    pass  # removed by its task
 
     @staticmethod
     def _forget(parts):

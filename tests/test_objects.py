@@ -97,3 +97,12 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_object_entries(bad, path)
     assert os.listdir(tmp_path) == ["out.json"] and len(json.load(open(path))) == 40
+
+
+def test_an_aborted_write_removes_the_files_of_killed_tasks(tmp_path):
+    writer = O.ObjectWriter(f"{tmp_path}/out.json", True)
+    other = tmp_path / "_out.json-other-00000-1"
+    for path in (other, tmp_path / writer._own("00001-7").rpartition("/")[2]):
+        path.write_text("left")
+    writer.abort([None, None])
+    assert list(tmp_path.iterdir()) == [other]
