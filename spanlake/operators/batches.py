@@ -53,7 +53,7 @@ def in_slices(given: Column, kind: str, start: Callable[[], Callable[[pa.Array],
     return work(given)
 
 
-def _rows(texts: pa.Array) -> Iterator[pa.Array]:
+def row_slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Slices of structs of texts, of about ``SLICE_BYTES`` bytes or one row."""
     size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts.flatten())
     before = np.cumsum(size) // SLICE_BYTES
@@ -71,5 +71,5 @@ def with_made(df: DataFrame, columns: dict[str, str], kind: str, start: Callable
         of = start()
         return lambda part: pa.StructArray.from_arrays([of(c.to_pylist()) for c in part.flatten()], names=names)
     given = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
-    made = in_slices(given, f"struct<{','.join(f'{name}:{kind}' for name in names)}>", begin, _rows)
+    made = in_slices(given, f"struct<{','.join(f'{name}:{kind}' for name in names)}>", begin, row_slices)
     return df.withColumn("_made", made).withColumns({name: F.col(f"_made.{name}") for name in names}).drop("_made")

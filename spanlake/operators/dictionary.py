@@ -14,6 +14,8 @@ dictionary. A filter may take a string for a term that is none, but never misses
 terms that the texts were cut into are joined to the dictionary, those that are not in it
 are excluded by name, and the texts are cut again until there is no such string.
 Texts never leave their row and are worked on in slices of Arrow batches.
+``DictionaryAnalyzer.cut_once`` writes the tokens of a corpus together with the terms to be
+joined, so that the texts are cut a second time only if there was such a string.
 
 Null and empty texts have no tokens. Null, empty and blank terms are no terms; repeated
 ones count once. With an empty dictionary the tokens are those of ``retrieval.analyze``.
@@ -27,18 +29,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WORD, WS
-from spanlake.operators.batches import slices
+from spanlake.operators.batches import in_slices, row_slices, slices
 from spanlake.session import ship_package, written
 
 MAX_NODES = 400_000  # of a trie; one takes about 130 bytes
 MAX_BITS = 1 << 28  # of a filter
-BITMAP = 1 << 15  # bits of one row of ``bitmap_construct_agg``
+BITMAP = 1 << 15  # bits of one row of a filter's table
 NODE_BITS, TERM_BITS, TERM_PROBES = 8, 64, 12
 FILTERS = ("beginnings", "terms")
+MAX_ONLY = 1 << 16  # terms that the tokens are compared with in the tasks
+MAX_TOLD = 1 << 16  # terms of the dictionary that a task remembers to have told
 
 
 def folded(text) -> Column:
@@ -46,6 +51,13 @@ def folded(text) -> Column:
     return F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+", " ")
 
 
+def unspaced(texts: pa.Array) -> list[str]:
+    """Texts with their runs of blanks as one blank, and without blanks at their ends, which
+    are in no token. ``str.split`` knows the blanks of ``WS``; a regular expression would take
+    longer than all else that is done with a text."""
+    return [" ".join(t.split()) if t else "" for t in texts.to_pylist()]
+
+
 def dictionary_terms(terms: DataFrame, term: str = "term") -> DataFrame:
     """Distinct folded terms that are not blank."""
     return terms.select(F.trim(folded(term)).alias("term")).where(F.col("term") != "").distinct()
@@ -140,9 +152,11 @@ class Atoms:
         begins[bounds[:-1][bounds[:-1] < n]] = True
         self.at = np.append(np.flatnonzero(begins), n)  # where each atom begins, and the end
         self.word = word[self.at[:-1]]
+        self.blank = points[self.at[:-1]] == ord(" ")
         self.first = np.searchsorted(self.at, bounds)  # each text's first atom
         self.limit = np.repeat(self.first[1:], np.diff(self.first))  # behind the last atom of an atom's text
         powers, self.inverse = self.powers(n)
+        self.points = points
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
 
@@ -170,10 +184,21 @@ class Atoms:
     def run(self, first: int, behind: int) -> str:
         return self.text[self.at[first]:self.at[behind]]
 
+    def runs(self, first: np.ndarray, behind: np.ndarray) -> pa.Array:
+        """Runs one behind the other as an Arrow array, cut from the text as a whole."""
+        if not len(first):
+            return pa.array([], pa.string())
+        cuts = np.stack([self.at[first], self.at[behind]], 1).ravel()
+        if not self.text.isascii():
+            width = 1 + sum((self.points >= p).astype(np.int8) for p in (0x80, 0x800, 0x10000))
+            cuts = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[cuts]
+        whole = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(self.text.encode()))
+        return whole.take(pa.array(np.arange(0, len(cuts), 2)))
+
 
 def _probes(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
     """The ``k``-th bit of each hash in a filter of ``bits`` (a power of two)."""
-    step = _mixed(hashes) | np.uint64(1)
+    step = _mixed(hashes) | np.uint64(1) if k else np.uint64(0)
     return ((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
@@ -193,15 +218,22 @@ def filter_bits(terms: pa.Array, sizes: tuple[int, int]) -> Iterator[tuple[int,
 
 
 def _filters(table: DataFrame, sizes: tuple[int, int]) -> list[bytes]:
-    """Both filters, their bits set by Spark."""
+    """Both filters, their bits set by all tasks."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(n, bool) for n in sizes]
         for batch in batches:
             for kind, at in filter_bits(batch.column(0), sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array((at // BITMAP).astype(np.int32)),
-                                                  pa.array(at % BITMAP)], names=["kind", "part", "bit"])
-
-    rows = table.select("term").mapInArrow(bits, "kind int, part int, bit long")
-    found = rows.groupBy("kind", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+                held[kind][at] = True
+        for kind, of in enumerate(held):
+            for part, row in enumerate(of.reshape(-1, BITMAP)):
+                if row.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()),
+                                                      pa.array([np.packbits(row, bitorder="little").tobytes()], pa.binary())],
+                                                     names=["kind", "part", "bits"])
+
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+    rows = table.select("term").repartition(tasks).mapInArrow(bits, "kind int, part int, bits binary")
+    found = rows.groupBy("kind", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
     out = [bytearray(n // 8) for n in sizes]
     for kind, part, bits in zip(*found.select("kind", "part", "bits").toArrow().to_pydict().values()):
         at = part * BITMAP // 8
@@ -230,14 +262,15 @@ class HashedTrie:
     def longest(self, atoms: Atoms) -> np.ndarray:
         """How many atoms the longest term at each atom has; 0 if none begins there."""
         out = np.zeros(len(atoms.at) - 1, np.int64)
-        at, n = np.arange(len(out)), 0
+        at, n = np.flatnonzero(~atoms.blank), 0  # no term begins or ends with a blank
         while len(at):
             n += 1
             at = at[at + n <= atoms.limit[at]]
             hashes = atoms.hashes(at, at + n)
             left = self.among(0, hashes, 1)
             at, hashes = at[left], hashes[left]
-            whole = self.among(1, hashes, TERM_PROBES)
+            solid = np.flatnonzero(~atoms.blank[at + n - 1])
+            whole = solid[self.among(1, hashes[solid], TERM_PROBES)]
             if len(self.excluded):
                 seen = np.isin(hashes[whole], self.excluded_hashes)
                 seen[seen] = [atoms.run(a, a + n) in self.excluded for a in at[whole][seen]]
@@ -245,7 +278,7 @@ class HashedTrie:
             out[at[whole]] = n
         return out
 
-    def tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def tokens(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The texts' tokens, which of them are dictionary terms, and each text's number."""
         atoms = Atoms(texts)
         ends = self.longest(atoms)
@@ -262,12 +295,10 @@ class HashedTrie:
         free = np.cumsum(inside)[:-1] == 0
         first = np.flatnonzero((ends > 0) | (free & atoms.word))
         behind = first + np.maximum(ends[first], 1)
-        text = atoms.text
-        tokens = [text[s:e] for s, e in zip(atoms.at[first].tolist(), atoms.at[behind].tolist())]
-        return tokens, ends[first] > 0, np.diff(np.searchsorted(first, atoms.first))
+        return atoms.runs(first, behind), ends[first] > 0, np.diff(np.searchsorted(first, atoms.first))
 
 
-def _trie_tokens(trie: Trie, texts: list[str]) -> tuple[list[str], list[bool], list[int]]:
+def _trie_tokens(trie: Trie, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     cut, is_word = regex.compile(SEGMENT), regex.compile(WORD).fullmatch
     all_terms, all_whole, counts = [], [], []
     for text in texts:
@@ -276,7 +307,7 @@ def _trie_tokens(trie: Trie, texts: list[str]) -> tuple[list[str], list[bool], l
         all_terms.extend(terms)
         all_whole.extend(whole)
         counts.append(len(terms))
-    return all_terms, all_whole, counts
+    return pa.array(all_terms, pa.string()), np.array(all_whole, bool), np.array(counts, np.int64)
 
 
 class DictionaryAnalyzer:
@@ -319,7 +350,7 @@ class DictionaryAnalyzer:
         out.checks = False
         if not self.hashed or not self.checks:
             return out
-        found = F.explode(F.array(*[folded(t) for t in texts]))
+        found = F.explode(F.array(*[F.lower(t) for t in texts]))
         seen = df.select(found.alias("text")).where("text is not null")
         wrong: frozenset[str] = frozenset()
         while True:
@@ -338,13 +369,79 @@ class DictionaryAnalyzer:
         def tokenize(texts: pa.Array) -> pa.Array:
             out = []
             for part in slices(texts):
-                terms, whole, counts = cut([t or "" for t in part.to_pylist()])
-                values = pa.array(terms, pa.string())
+                values, whole, counts = cut(unspaced(part))
                 if flags:
                     values = pa.StructArray.from_arrays([values, pa.array(whole, pa.bool_())], names=["term", "whole"])
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values))
+                out.append(_lists(values, counts))
             return pa.concat_arrays(out)
-        return df.withColumns({out: tokenize(folded(text)) for text, out in columns.items()})
+        return df.withColumns({out: tokenize(F.lower(text)) for text, out in columns.items()})
+
+    def cut_once(self, df: DataFrame, texts: list[str], only: DataFrame | None = None) -> DataFrame:
+        """The frame with a struct ``(n, terms)`` in place of each text: how many tokens it has,
+        and its different tokens ``(term, tf)``. With ``only`` (distinct terms, column ``term``)
+        other tokens may be left out of ``terms``. The result is written once. The dictionary
+        terms that a task has used are written beside it and checked then: only if a string has
+        to be excluded are the texts cut again."""
+        spark = df.sparkSession
+        out, wrong, kept = copy.copy(self), frozenset(self.excluded.value if self.excluded else ()), None
+        if only is not None and only.count() <= MAX_ONLY:
+            kept = spark.sparkContext.broadcast(only.select("term").toArrow().column(0).combine_chunks())
+        names = [f"c{k}" for k in range(len(texts))]
+        kind = ",".join(f"{name}:struct<n:bigint,terms:array<struct<term:string,tf:bigint>>>" for name in names)
+        given = F.struct(*[F.lower(t).alias(name) for t, name in zip(texts, names)])
+        rest = [c for c in df.columns if c not in texts]
+        while True:
+            made = in_slices(given, f"struct<{kind},used:array<string>>", out._counter(names, kept), row_slices)
+            table = written(df.select(*rest, made.alias("_made")), "dictionary-tokens")
+            if self.hashed:
+                used = table.select(F.explode("_made.used").alias("term")).distinct()
+                more = used.join(self.table.select("term"), "term", "left_anti").toArrow().column(0).to_pylist()
+                if more:
+                    wrong |= frozenset(more)
+                    out.excluded = spark.sparkContext.broadcast(wrong)
+                    continue
+            return table.select(*rest, *[F.col(f"_made.{name}").alias(t) for t, name in zip(texts, names)])
+
+    def _counter(self, names: list[str], kept):
+        """What makes ``cut_once``'s structs of slices of texts, in a task."""
+        cut, hashed = self._cutter(), self.hashed
+
+        def begin():
+            told: set[str] = set()
+
+            def of(part: pa.StructArray) -> pa.Array:
+                fields, new = [], set()
+                for column in part.flatten():
+                    tokens, whole, counts = cut(unspaced(column))
+                    if hashed:
+                        new.update(pc.unique(tokens.filter(pa.array(whole))).to_pylist())
+                    n, text = pa.array(counts, pa.int64()), np.repeat(np.arange(len(counts)), counts)
+                    if kept is not None:
+                        held = pc.is_in(tokens, value_set=kept.value)
+                        tokens, text = tokens.filter(held), text[held.to_numpy(zero_copy_only=False)]
+                    fields.append(pa.StructArray.from_arrays([n, _counted(tokens, text, len(counts))], names=["n", "terms"]))
+                new -= told
+                if len(told) < MAX_TOLD:
+                    told.update(new)
+                used = np.zeros(len(part), np.int64)
+                used[:1] = len(new)  # those of the slice, beside its first text
+                fields.append(_lists(pa.array(sorted(new), pa.string()), used))
+                return pa.StructArray.from_arrays(fields, names=[*names, "used"])
+            return of
+        return begin
+
+
+def _counted(tokens: pa.Array, text: np.ndarray, texts: int) -> pa.Array:
+    """Each text's different tokens ``(term, tf)``; ``text`` is every token's text."""
+    coded = tokens.dictionary_encode()
+    k = max(len(coded.dictionary), 1)
+    pairs, tf = np.unique(text * k + coded.indices.to_numpy(), return_counts=True)
+    rows = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % k)), pa.array(tf, pa.int64())], names=["term", "tf"])
+    return _lists(rows, np.bincount(pairs // k, minlength=texts))
+
+
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
 def _whole_terms(cut):
@@ -352,7 +449,7 @@ def _whole_terms(cut):
         for batch in batches:
             used = set()
             for part in slices(batch.column(0)):
-                terms, whole, _ = cut(part.to_pylist())
-                used.update(t for t, w in zip(terms, whole) if w)
+                terms, whole, _ = cut(unspaced(part))
+                used.update(pc.unique(terms.filter(pa.array(whole))).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(sorted(used), pa.string())], names=["term"])
     return run

@@ -8,6 +8,8 @@ Plan shape at scale
   satisfies grouping on ``(doc_id, field, term)``).
 * To answer questions without a stored index, only the questions' terms are kept
   before the postings are grouped; collection statistics come from the in-row lengths.
+  With a user dictionary the texts are cut once, and their lengths and the questions'
+  terms written; these are partitioned by ``doc_id``, not the texts.
 * A stored index (``index_store``) is bucketed by ``doc_id``, with its terms' document
   frequencies and statistics beside it, so answering questions reads the postings once
   and shuffles none.
@@ -97,7 +99,7 @@ def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions:
                 analyzer: DictionaryAnalyzer | None = None) -> DataFrame:
     """Raw field texts hash-partitioned by ``doc_id`` (the text moves, not tokens),
     then one row per (document, field) with its tokens, tokenized after the shuffle."""
-    docs = corpus.select(F.col(key).alias("doc_id"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
+    docs = _field_texts(corpus, key, fields)
     if analyzer is not None:
         analyzer = analyzer.checked(docs, [f"_f{i}" for i in range(len(fields))])  # before the texts move
     docs = docs.repartition(num_partitions or index_partitions(docs), "doc_id")
@@ -110,6 +112,31 @@ def _docs_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions:
     return docs.select("doc_id", per_field.alias("_fz")).select("doc_id", "_fz.field", "_fz.toks")
 
 
+def _field_texts(corpus: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    return corpus.select(F.col(key).alias("doc_id"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
+
+
+def _cut_by_id(corpus: DataFrame, key: str, fields: list[str], num_partitions: int | None,
+               analyzer: DictionaryAnalyzer, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, field, dl, term, tf)`` by a dictionary's analyzer, of the distinct ``terms`` at
+    least, hash-partitioned by ``doc_id``; and ``(field, dl)`` of all documents. Spark does not
+    know how rows are partitioned behind a Python function, so it is the counted terms that
+    move, not the texts: these are cut where they lie, unless they lie in fewer partitions
+    than there are cores."""
+    docs = _field_texts(corpus, key, fields)
+    n = num_partitions or index_partitions(docs)
+    if docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism:
+        docs = docs.repartition(n, "doc_id")
+    texts = [f"_f{i}" for i in range(len(fields))]
+    docs = analyzer.cut_once(docs, texts, terms)
+    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{t}.n").alias("dl"), F.col(f"{t}.terms").alias("terms"))
+                                    for f, t in zip(fields, texts)]))
+    docs = docs.select("doc_id", per_field.alias("_fz")).select("doc_id", "_fz.field", "_fz.dl", "_fz.terms")
+    moved = docs.where(F.size("terms") > 0).repartition(n, "doc_id")
+    rows = explode_rows(moved, F.col("terms"), ["doc_id", "field", "dl"], "_t")
+    return rows.select("doc_id", "field", "dl", "_t.term", "_t.tf"), docs.select("field", "dl")
+
+
 def tokens(corpus: DataFrame, key: str = "doc_id", text="text", num_partitions: int | None = None) -> DataFrame:
     """Exploded ``(doc_id, field, term)`` tokens, hash-partitioned by ``doc_id``."""
     docs = _docs_by_id(corpus, key, _fields(text), num_partitions)
@@ -134,7 +161,9 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords:
     recomputed from the short lineage; an ``IndexStore`` writes a durable copy.
     ``release()`` unpersists.
     """
-    docs = _docs_by_id(corpus, key, _fields(text), num_partitions, analyzer)
+    held = terms if terms is None else _distinct_terms(terms, max_broadcast_bytes)
+    cut = analyzer is not None and terms is not None and stopwords is None
+    docs = None if cut else _docs_by_id(corpus, key, _fields(text), num_partitions, analyzer)
     if stopwords is not None:
         stop = broadcast_if_small(stopwords.select("term").distinct(), "stop-words", max_broadcast_bytes)
         kept = explode_rows(docs, F.col("toks"), ["doc_id", "field"], "term").join(stop, "term", "left_anti")
@@ -143,15 +172,20 @@ def build_index(corpus: DataFrame, key: str = "doc_id", text="text", stopwords:
         kept = kept.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "field")))
         lengths = kept.select("doc_id", "field", "dl").distinct()
         if terms is not None:
-            kept = kept.join(_distinct_terms(terms, max_broadcast_bytes), "term", "left_semi")
+            kept = kept.join(held, "term", "left_semi")
         postings = kept
     else:
-        docs = docs.withColumn("dl", F.size("toks").cast("bigint"))
-        lengths = docs.where("dl > 0").select("field", "dl")
-        toks = explode_rows(docs, F.col("toks"), ["doc_id", "field", "dl"], "term")
+        if cut:
+            toks, lengths = _cut_by_id(corpus, key, _fields(text), num_partitions, analyzer, held)
+        else:
+            docs = docs.withColumn("dl", F.size("toks").cast("bigint"))
+            lengths = docs.select("field", "dl")
+            toks = explode_rows(docs, F.col("toks"), ["doc_id", "field", "dl"], "term")
+        lengths = lengths.where("dl > 0")
         if terms is not None:
-            toks = toks.join(_distinct_terms(terms, max_broadcast_bytes), "term", "left_semi")
-        postings = toks.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+            toks = toks.join(held, "term", "left_semi")
+        tf = F.sum("tf") if cut else F.count("*")
+        postings = toks.groupBy("doc_id", "field", "term").agg(tf.alias("tf"), F.first("dl").alias("dl"))
     if materialize:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
         if terms is None:
@@ -210,8 +244,11 @@ def bm25(index: InvertedIndex, queries: DataFrame, qid: str = "id", qtext: str =
     for postings in index.parts():
         contrib = postings.join(weighted, ["field", "term"]).select(
             "qid", "doc_id", "field", (F.col("w") * F.col("tf") / norm).alias("c"))
-        per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
-        part = per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+        if len(index.fields) == 1:
+            part = contrib.groupBy("qid", "doc_id").agg(r6(F.sum("c")).alias("score"))
+        else:
+            per_field = contrib.groupBy("qid", "doc_id", "field").agg(r6(F.sum("c")).alias("score"))
+            part = per_field.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
         scores = part if scores is None else scores.unionByName(part)
     return scores
 

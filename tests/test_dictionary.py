@@ -1,7 +1,9 @@
 """R2: the analyzer with a user dictionary, against a plain left-to-right version."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import SEGMENT, WORD
 from spanlake.operators import dictionary
 from spanlake.operators import retrieval as R
-from spanlake.operators.dictionary import DictionaryAnalyzer, Trie, chosen
+from spanlake.operators.dictionary import DictionaryAnalyzer, Trie, chosen, folded, unspaced
 
 
 def plain(text, terms):
@@ -124,3 +126,80 @@ def test_large_dictionary_takes_two_filters_of_bounded_size(spark, monkeypatch):
     for i, got in tokens_of(spark, analyzer, texts).items():
         atoms = cut((texts[i] or "").lower())
         assert got == list(zip(*chosen(atoms, trie.finds(atoms), regex.compile(WORD).fullmatch)))
+
+
+def random_corpus(rng, words, n):
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 40))) for _ in range(n)]
+    return [(i, "New York", t) for i, t in enumerate(texts)] + [(0, "New York", texts[0]), (None, "x", "a b"), (n, "y", None), (n + 1, "", "")]
+
+
+@pytest.mark.parametrize("max_nodes", [400_000, 2])
+def test_search_cuts_each_text_once(spark, monkeypatch, max_nodes):
+    """The texts are cut once for postings, lengths and the check of the filters' finds, and
+    no score moves before the best of a task are chosen."""
+    cut, seen = DictionaryAnalyzer._cutter, spark.sparkContext.accumulator(0)
+
+    def counting(self):
+        of = cut(self)
+
+        def run(texts):
+            seen.add(len(texts))
+            return of(texts)
+        return run
+    rows = random_corpus(random.Random(5), ["a", "b c", "c", "d-e", "é"], 60)
+    corpus = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    terms = spark.createDataFrame([("b c",), ("c d",), ("é a",)], "term string")
+    analyzer = DictionaryAnalyzer(terms, max_nodes)
+    asked = spark.createDataFrame([("b c",), ("é",), ("a",)], "term string")
+    monkeypatch.setattr(DictionaryAnalyzer, "_cutter", counting)
+    index = R.build_index(corpus, terms=asked, analyzer=analyzer)
+    postings = index.postings.collect()
+    stats = index.stats.collect()
+    assert seen.value == len(rows)
+    cuts = [(i, plain(t, ["b c", "c d", "é a"])) for i, _, t in rows]
+    tf = Counter((i, term) for i, toks in cuts for term, _ in toks if term in ("b c", "é", "a"))
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in postings} == tf
+    length = {i: len(toks) for i, toks in cuts}
+    assert all(r["dl"] == length[r["doc_id"]] for r in postings)
+    lengths = [len(toks) for _, toks in cuts if toks]
+    assert [(r["field"], r["n_docs"]) for r in stats] == [("text", len(lengths))]
+    assert stats[0]["avgdl"] == pytest.approx(sum(lengths) / len(lengths))
+    scores = R.bm25(index, spark.createDataFrame([(1, "b c é")], "id long, question string"), analyzer=analyzer)
+    assert "hashpartitioning(qid" not in scores._jdf.queryExecution().executedPlan().toString()
+    index.release()
+
+
+def test_several_fields_are_cut_once(spark):
+    corpus = spark.createDataFrame(random_corpus(random.Random(6), ["new york", "c", "york"], 20), "doc_id long, title string, text string")
+    analyzer = DictionaryAnalyzer(spark.createDataFrame([("New  York",)], "term string"), 1)
+    questions = spark.createDataFrame([(1, "new york"), (2, "york c"), (3, "")], "id long, question string")
+    hits = R.search(corpus, questions, fields=["text", "title"], analyzer=analyzer)
+    index = R.build_index(corpus, text=["text", "title"], analyzer=analyzer, materialize=False)  # of all terms
+    want = R.top_k(R.bm25(index, questions, analyzer=analyzer))
+    assert sorted(map(tuple, hits.collect()), key=str) == sorted(map(tuple, want.select(hits.columns).collect()), key=str)
+    assert hits.count()
+
+
+def test_cut_once_excludes_what_only_the_filters_hold(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "MAX_BITS", dictionary.BITMAP)
+    monkeypatch.setattr(dictionary, "MAX_ONLY", 1)
+    rng = random.Random(4)
+    words = [f"{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    terms = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(6000)})
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)] + [None, "", terms[7].upper()]
+    analyzer = DictionaryAnalyzer(spark.createDataFrame([(t,) for t in terms], "term string"), 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    assert analyzer.checked(df, ["text"]).excluded.value
+    only = spark.createDataFrame([(t,) for t in terms[:2]], "term string")  # too many to be compared with in the tasks
+    trie, cut = Trie(terms), regex.compile(SEGMENT).findall
+    for given in (None, only):
+        for r in analyzer.cut_once(df, ["text"], given).collect():
+            want = chosen(a := cut((texts[r["id"]] or "").lower()), trie.finds(a), regex.compile(WORD).fullmatch)[0]
+            assert r["text"]["n"] == len(want)
+            assert {x["term"]: x["tf"] for x in r["text"]["terms"]} == Counter(want)
+
+
+def test_blanks_in_python_are_those_of_the_pattern(spark):
+    df = spark.createDataFrame([(f"a{chr(c)}{chr(c)}b",) for c in range(1, 0x3100)], "text string")
+    got = df.select(F.lower("text").alias("lower"), folded("text").alias("folded")).collect()
+    assert unspaced(pa.array([r["lower"] for r in got])) == [r["folded"] for r in got]
