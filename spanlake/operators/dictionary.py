@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import SEGMENT, WORD, WS
-from spanlake.operators.batches import in_slices, row_slices, slices
+from spanlake.operators.batches import _rows, in_slices, slices
 from spanlake.session import ship_package, written
 
 MAX_NODES = 400_000  # of a trie; one takes about 130 bytes
@@ -391,7 +391,7 @@ class DictionaryAnalyzer:
         given = F.struct(*[F.lower(t).alias(name) for t, name in zip(texts, names)])
         rest = [c for c in df.columns if c not in texts]
         while True:
-            made = in_slices(given, f"struct<{kind},used:array<string>>", out._counter(names, kept), row_slices)
+            made = in_slices(given, f"struct<{kind},used:array<string>>", out._counter(names, kept), _rows)
             table = written(df.select(*rest, made.alias("_made")), "dictionary-tokens")
             if self.hashed:
                 used = table.select(F.explode("_made.used").alias("term")).distinct()
